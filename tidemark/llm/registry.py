@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import token_frames
+from tidemark.llm import packing, token_frames
 
-_MODULES = (token_frames,)
+_MODULES = (token_frames, packing)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
