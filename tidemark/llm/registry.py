@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ngram_join, packing, token_frames
+from tidemark.llm import ngram_join, packing, token_frames, toxicity
 
-_MODULES = (token_frames, packing, ngram_join)
+_MODULES = (token_frames, packing, ngram_join, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
