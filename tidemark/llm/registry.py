@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ngram_join, packing, secrets, token_frames, toxicity
+from tidemark.llm import ngram_join, packing, secrets, token_frames, toxicity, warc
 
-_MODULES = (token_frames, packing, ngram_join, toxicity, secrets)
+_MODULES = (token_frames, packing, ngram_join, toxicity, secrets, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
