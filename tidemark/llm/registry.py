@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ngram_join, packing, rotated_codes, secrets, token_frames, toxicity, warc
+from tidemark.llm import grid_order, ngram_join, packing, rotated_codes, secrets, token_frames, toxicity, warc
 
-_MODULES = (token_frames, packing, ngram_join, toxicity, secrets, warc, rotated_codes)
+_MODULES = (token_frames, packing, ngram_join, toxicity, secrets, warc, rotated_codes, grid_order)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
