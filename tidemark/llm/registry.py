@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import grid_order, ngram_join, packing, rotated_codes, secrets, token_frames, toxicity, warc
+from tidemark.llm import (
+    grid_order,
+    mixing,
+    ngram_join,
+    packing,
+    perspectives,
+    rotated_codes,
+    secrets,
+    token_frames,
+    toxicity,
+    warc,
+)
 
-_MODULES = (token_frames, packing, ngram_join, toxicity, secrets, warc, rotated_codes, grid_order)
+_MODULES = (warc, toxicity, token_frames, mixing, rotated_codes, perspectives, packing, ngram_join, grid_order, secrets)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
