@@ -414,6 +414,21 @@ def jaccard_components(documents: DataFrame, percent: int = 80, words: int = 5)
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_first(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """``documents`` with one row of each group: that of least doc_id, a null being last, then the first in the table.
+
+    Rows are told apart by their place in the table, so repeated and null doc_ids do no harm. Texts without
+    words are groups of their own and stay.
+    """
+    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
+    light = numbered.select("__row", "doc_id")
+    grouped = jaccard_components(numbered.select(F.col("__row").alias("doc_id"), "text"), percent, words)
+    grouped = grouped.select(F.col("doc_id").alias("__row"), "component_id").join(light, "__row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = grouped.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    return numbered.join(first, "__row", "left_semi").select(*documents.columns)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     """Groups of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))
