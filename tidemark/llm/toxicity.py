@@ -158,9 +158,9 @@ class Model:
 class Training:
     """Bounds of the training; none of them depends on the size of the corpus."""
 
-    sample: int = 20_000
+    sample: int = 6_000
     positive_words: int = 2_000
-    negative_words: int = 6_000
+    negative_words: int = 4_000
     landmarks: int = 384
     cost: float = 100.0
     toxic_share: float = 0.8
@@ -168,7 +168,7 @@ class Training:
     run_share: float = 0.9
     fewest_contexts: int = 5
     most_runs: int = 5_000
-    hard_words: int = 3_000
+    hard_words: int = 2_000
     hard_rounds: int = 2
     seed: int = 5
 
@@ -264,9 +264,12 @@ def count_words(known: DataFrame) -> DataFrame:
     Contexts, not texts: copies of one text repeat its contexts, and a word that only copies share is
     no evidence.
     """
+    # Each expression on the split text is evaluated once a text, not once a word.
     words = F.split(F.lower("text"), r"\s+")
-    context = lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get(words, i - 1), F.get(words, i + 1)).alias("context"))
-    each = known.select("toxic", F.explode(F.transform(words, context)).alias("w")).select("toxic", "w.*")
+    none = F.array(F.lit(""))
+    near = F.arrays_zip(words.alias("word"), F.concat(none, words).alias("before"), F.concat(F.slice(words, 2, 2**31 - 1), none).alias("after"))
+    each = known.select("toxic", F.explode(near).alias("w"))
+    each = each.select("toxic", F.col("w.word").alias("word"), F.xxhash64("w.before", "w.after").alias("context"))
     each = each.where(F.length("word").between(2, 40)).groupBy("word", "context")
     each = each.agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
     return each.groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
