@@ -18,7 +18,7 @@
    what was found connected; at last every set outside the largest component of its hub meets every
    part, so that all pairs have been compared or are connected.
 
-Sets are compared by 54 bits of each shingle's hash. A text without words, null or empty, has an empty set
+Sets are compared by 46 bits of each shingle's hash. A text without words, null or empty, has an empty set
 and links with nothing. Equal texts, and texts of equal sets, link. Rows with a null doc_id take part; the
 component id of a group is its least non-null doc_id. Repeated doc_ids stay separate rows. Extra columns are
 not read. An empty table gives no rows. The input must be a table or another source whose partitions read the
@@ -41,7 +41,7 @@ from tidemark.llm.shingle_sets import sets_of_batch
 CHUNK_TOKENS, CHUNK_SETS = 3_000_000, 60_000
 BUCKET_TEXT = 12_000_000
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_500_000
-KEY_BITS, COMMON_IN_CHUNK, COMMON = 54, 16, 0xFFFF
+KEY_BITS, COMMON_IN_CHUNK, COMMON = 46, 16, 0xFFFF
 PACKED = "kind int, bucket int, chunk long, body binary"
 SETS = "kind int, doc_id long, n int, name binary, m int, prefix array<long>, tokens binary"
 _NAME = np.dtype([("name", "S16"), ("n", "<u4")])
@@ -52,14 +52,19 @@ def least_shared(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Sorted numbers byte by byte, highest first: their high bytes hardly change, so shuffles compress them."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
 
-def _from_six(body: bytes, n: int) -> np.ndarray:
+def _from_planes(body: bytes, n: int, width: int, offset: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(body, np.uint8, 6 * n).reshape(n, 6)
-    return out.reshape(-1).view("<u8")
+    out[:, 8 - width :] = np.frombuffer(body, np.uint8, width * n, offset).reshape(width, n).T
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
+def _width(bucket_bits: int) -> int:
+    return -(-(KEY_BITS - bucket_bits) // 8)
 
 
 class Chunk:
@@ -128,7 +133,7 @@ class Chunk:
             s, e = int(cut[b]), int(cut[b + 1])
             if e > s:
                 heavy = np.flatnonzero(which[s:e] == COMMON)
-                yield 1, b, self.number, np.array([e - s], "<u4").tobytes() + _six(rest[s:e]) + which[s:e].tobytes() + weights[s:e][heavy].tobytes()
+                yield 1, b, self.number, np.array([e - s], "<u4").tobytes() + _planes(rest[s:e], _width(self.bits)) + which[s:e].tobytes() + weights[s:e][heavy].tobytes()
 
 
 def deal_sets(documents: DataFrame, bucket_bits: int, words: int) -> DataFrame:
@@ -173,7 +178,7 @@ def _some(rows: Iterator, n: int) -> Iterator[list]:
 
 def count_shared(packed: DataFrame, bucket_bits: int) -> DataFrame:
     """Step 2, in the buckets: entries of shingles in two sets or more, with the number of sets."""
-    low = KEY_BITS - bucket_bits
+    low, wide = KEY_BITS - bucket_bits, _width(bucket_bits)
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         passed = rows[rows["kind"] != 1]
@@ -183,10 +188,10 @@ def count_shared(packed: DataFrame, bucket_bits: int) -> DataFrame:
         keys, which, weights, sizes = [], [], [], []
         for body in rows["body"]:
             n = int(np.frombuffer(body, "<u4", 1)[0])
-            one = np.frombuffer(body, "<u2", n, 4 + 6 * n)
+            one = np.frombuffer(body, "<u2", n, 4 + wide * n)
             weight = np.ones(n, np.uint32)
-            weight[one == COMMON] = np.frombuffer(body, "<u4", -1, 4 + 8 * n)
-            keys.append(_from_six(body[4:], n))
+            weight[one == COMMON] = np.frombuffer(body, "<u4", -1, 4 + (wide + 2) * n)
+            keys.append(_from_planes(body, n, wide, 4))
             which.append(one)
             weights.append(weight)
             sizes.append(n)
@@ -204,7 +209,7 @@ def count_shared(packed: DataFrame, bucket_bits: int) -> DataFrame:
             at += n
             if len(here):
                 full = keys[here] + np.uint64(int(key[0]) << low)
-                body = np.array([len(here)], "<u4").tobytes() + full.astype("<u8").tobytes() + which[here].tobytes() + np.minimum(df[here], 65_535).astype("<u2").tobytes()
+                body = np.array([len(here)], "<u4").tobytes() + _planes(full, 6) + which[here].tobytes() + np.minimum(df[here], 65_535).astype("<u2").tobytes()
                 out.append((1, int(key[0]), chunk, body))
         return pd.concat([passed, pd.DataFrame(out, columns=["kind", "bucket", "chunk", "body"])])
 
@@ -231,9 +236,9 @@ def gather_sets(counted: DataFrame, percent: int) -> DataFrame:
         keys, which, df = [], [], []
         for b in rows.loc[rows["kind"] == 1, "body"]:
             n = int(np.frombuffer(b, "<u4", 1)[0])
-            keys.append(np.frombuffer(b, "<u8", n, 4))
-            which.append(np.frombuffer(b, "<u2", n, 4 + 8 * n))
-            df.append(np.frombuffer(b, "<u2", n, 4 + 10 * n))
+            keys.append(_from_planes(b, n, 6, 4))
+            which.append(np.frombuffer(b, "<u2", n, 4 + 6 * n))
+            df.append(np.frombuffer(b, "<u2", n, 4 + 8 * n))
         if not keys:
             return every[columns]
         keys, which, df = np.concatenate(keys), np.concatenate(which), np.concatenate(df)
@@ -351,11 +356,11 @@ def join_blocks(blocks: DataFrame, keys: list[str], percent: int) -> DataFrame:
         found = trie_links(sets, rows["n"].to_numpy(np.int64), percent, label)
         return pd.DataFrame([(names[i], names[j]) for i, j in found], columns=["a", "b"])
 
-    return blocks.groupBy(*keys).applyInPandas(join, "a binary, b binary")
+    return blocks.groupBy(*keys).applyInPandas(join, "a long, b long")
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Steps 3 to 5 on candidate sets (name, n, m, prefix, tokens): links that span the groups."""
+    """Steps 3 to 5 on candidate sets (name, a number; n, m, prefix, tokens): links that span the groups."""
     light = sets.select("name", F.explode("prefix").alias("t"))
     hubs = light.groupBy("t").agg(F.min("name").alias("hub"), F.count("*").alias("size")).where("size > 1").select("t", "hub")
     member = stored(light.join(hubs, "t").select("hub", "name").distinct(), "members")
@@ -403,8 +408,11 @@ def jaccard_components(documents: DataFrame, percent: int = 80, words: int = 5)
     packed = deal_sets(documents, bits, words)
     both = stored(gather_sets(count_shared(packed, bits), percent), "sets")
     docs = both.where("kind = 0").select("doc_id", "n", "name")
-    sets = stored(both.where("kind = 1").select("name", "n", "m", "prefix", "tokens").dropDuplicates(["name"]), "candidates")
-    root = components(class_links(sets, percent)).select(F.col("node").alias("name"), "root")
+    sets = both.where("kind = 1").select("name", "n", "m", "prefix", "tokens").dropDuplicates(["name"])
+    sets = stored(sets.withColumn("number", F.monotonically_increasing_id()), "candidates")
+    names = sets.select("name", "number")
+    root = components(class_links(sets.drop("name").withColumnRenamed("number", "name"), percent))
+    root = names.join(root, F.col("number") == F.col("node")).select("name", F.col("root").cast("string").cast("binary").alias("root"))
     classes = docs.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first")).join(root, "name", "left")
     classes = classes.withColumn("root", F.coalesce("root", "name"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
