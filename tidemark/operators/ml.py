@@ -143,10 +143,14 @@ def walk_forward(ds: DataFrame, names: Sequence[str], trees: int = 100, k: int =
     scores = None
     for fold in range(1, k):  # a handful of models, each trained over the cluster
         part = folds.where(F.col("fold") == fold)
+        if part.isEmpty():
+            continue  # the last blocks may not fit after the embargo
         model = RandomForestClassifier(numTrees=trees, seed=42).fit(prepared(part.where("part = 'train'"), names))
         hit = (F.col("prediction") == F.col("label")).cast("double")
         one = model.transform(prepared(part.where("part = 'test'"), names)).agg(F.avg(hit).alias("accuracy"))
         scores = one if scores is None else scores.unionByName(one)
+    if scores is None:
+        scores = ds.sparkSession.createDataFrame([], "accuracy double")
     return summaries.walk_forward_summary(scores.where("accuracy IS NOT NULL"))
 
 

@@ -101,7 +101,7 @@ _F = {
     "volume_ratio": "volume / nullif(v20, 0)", "volume_spike": "CASE WHEN volume / nullif(v20, 0) > 2 THEN 1.0 ELSE 0.0 END", "obv_slope": "(obv - lag(obv, 5) OVER w) / (5 * v20 + 1e-10)",
     "vwap_dev": "(close - vwap) / vwap * 100", "price_change": "100 * (close / lag(close) OVER w - 1)", "price_change3": "100 * (close / lag(close, 3) OVER w - 1)",
     "price_change6": "100 * (close / lag(close, 6) OVER w - 1)", "high_low_pct": "(high - low) / close * 100", "body_pct": "abs(close - open) / (high - low + 1e-10)", "momentum": "close - lag(close, 10) OVER w",
-    "volatility": "s14 / close * 100", "pivot_dev": "(close - pivot) / pivot * 100", "bullish_candle": "CASE WHEN close > open AND abs(close - open) > 0.6 * (high - low + 1e-10) THEN 1.0 ELSE 0.0 END",
+    "volatility": "s14 / close * 100", "pivot_dev": "(close - mid) / mid * 100", "bullish_candle": "CASE WHEN close > open AND abs(close - open) > 0.6 * (high - low + 1e-10) THEN 1.0 ELSE 0.0 END",
     "doji": "CASE WHEN abs(close - open) < 0.1 * (high - low + 1e-10) THEN 1.0 ELSE 0.0 END",
     "hammer": "CASE WHEN least(close, open) - low > 2 * abs(close - open) AND high - greatest(close, open) < abs(close - open) THEN 1.0 ELSE 0.0 END",
     "taker_buy_ratio": "least(greatest(coalesce(taker_buy_base_vol / nullif(volume, 0), 0.5), 0), 1)", "vol_regime": "regime",
@@ -116,7 +116,7 @@ _ROLLED = """, g AS (SELECT f.*, CASE WHEN count(close) OVER w20 = 20 THEN avg(c
   CASE WHEN count(low) OVER w14 = 14 THEN 100 * (close - min(low) OVER w14) / (max(high) OVER w14 - min(low) OVER w14 + 1e-10) END AS stoch_k,
   CASE WHEN count(atr / close) OVER w5 = 5 THEN avg(100 * atr / close) OVER w5 END AS a5, CASE WHEN count(adx) OVER w3 = 3 THEN avg(adx) OVER w3 END AS x3,
   sum(close * volume) OVER wu / (sum(volume) OVER wu + 1e-10) AS vwap, sign(close - lag(close) OVER w) * volume AS flow,
-  (lag(high) OVER w + lag(low) OVER w + lag(close) OVER w) / 3 AS pivot
+  (lag(high) OVER w + lag(low) OVER w + lag(close) OVER w) / 3 AS mid
   FROM f WINDOW w AS (PARTITION BY symbol ORDER BY open_time), wu AS (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING),
   w20 AS (PARTITION BY symbol ORDER BY open_time ROWS 19 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY open_time ROWS 13 PRECEDING),
   w5 AS (PARTITION BY symbol ORDER BY open_time ROWS 4 PRECEDING), w3 AS (PARTITION BY symbol ORDER BY open_time ROWS 2 PRECEDING)),
@@ -259,10 +259,10 @@ p AS (SELECT a.symbol, a.open_time, a.adx, a.atr, count(*) AS ahead,
   min(CASE WHEN z.high >= a.close + 1.5 * a.atr THEN z.rn - a.rn END) AS up, min(CASE WHEN z.low <= a.close - a.atr THEN z.rn - a.rn END) AS up_stop,
   min(CASE WHEN z.low <= a.close - 1.5 * a.atr THEN z.rn - a.rn END) AS down, min(CASE WHEN z.high >= a.close + a.atr THEN z.rn - a.rn END) AS down_stop
   FROM q a JOIN q z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn + 1 AND a.rn + 12 WHERE a.n >= 100 GROUP BY ALL),
-b AS (SELECT symbol, open_time, adx, atr, ahead, coalesce(up <= coalesce(up_stop, 13), false) AS buy, coalesce(down <= coalesce(down_stop, 13), false) AS sell FROM p)
-SELECT q.symbol, {stamp_sql("q.open_time")} AS open_time, CASE WHEN b.ahead = 12 AND b.adx >= 18 AND b.atr > 0 AND buy AND NOT sell THEN 'BUY'
-  WHEN b.ahead = 12 AND b.adx >= 18 AND b.atr > 0 AND sell AND NOT buy THEN 'SELL' ELSE 'NO_TRADE' END AS target
-FROM q LEFT JOIN b ON q.symbol = b.symbol AND q.open_time = b.open_time WHERE q.n >= 100""",
+hit AS (SELECT symbol, open_time, adx, atr, ahead, coalesce(up <= coalesce(up_stop, 13), false) AS buy, coalesce(down <= coalesce(down_stop, 13), false) AS sell FROM p)
+SELECT q.symbol, {stamp_sql("q.open_time")} AS open_time, CASE WHEN hit.ahead = 12 AND hit.adx >= 18 AND hit.atr > 0 AND buy AND NOT sell THEN 'BUY'
+  WHEN hit.ahead = 12 AND hit.adx >= 18 AND hit.atr > 0 AND sell AND NOT buy THEN 'SELL' ELSE 'NO_TRADE' END AS target
+FROM q LEFT JOIN hit ON q.symbol = hit.symbol AND q.open_time = hit.open_time WHERE q.n >= 100""",
 )
 def _(spark, sf_dir):
     df = labels.first_touch_targets(features.add_features(bars(spark, sf_dir)))
@@ -283,8 +283,8 @@ def _(spark, sf_dir):
 @query(
     "walk_forward_folds",
     f"""{_TARGET_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY open_time, symbol) - 1 AS i, count(*) OVER () AS n FROM l),
-k AS (SELECT n.*, fold, n // 5 AS size, least(24, greatest(n // 5 // 10, 1)) AS skip FROM n, range(1, 5) r(fold)),
-p AS (SELECT *, CASE WHEN i < fold * size THEN 'train' WHEN i >= fold * size + skip AND i < fold * size + skip + size THEN 'test' END AS part FROM k WHERE fold * size + skip + size <= n)
+folds AS (SELECT n.*, fold, n // 5 AS size, least(24, greatest(n // 5 // 10, 1)) AS skip FROM n, range(1, 5) r(fold)),
+p AS (SELECT *, CASE WHEN i < fold * size THEN 'train' WHEN i >= fold * size + skip AND i < fold * size + skip + size THEN 'test' END AS part FROM folds WHERE fold * size + skip + size <= n)
 SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS rows, {stamp_sql("min(open_time)")} AS first, {stamp_sql("max(open_time)")} AS last FROM p WHERE part IS NOT NULL GROUP BY fold, part""",
 )
 def _(spark, sf_dir):
@@ -294,10 +294,10 @@ def _(spark, sf_dir):
 
 @query(
     "undersample",
-    f"""{_TARGET_SQL}, s AS (SELECT *, strftime(open_time, '%Y-%m-%d %H:%M:%S') AS at FROM l),
-d AS (SELECT *, row_number() OVER (ORDER BY md5(symbol || at || '|42')) AS k FROM s WHERE target = 'NO_TRADE')
-SELECT symbol, at AS open_time, target FROM s WHERE target <> 'NO_TRADE' UNION ALL
-SELECT symbol, at, target FROM d WHERE k <= (SELECT CAST(floor(count(*) * 1.0) AS BIGINT) FROM s WHERE target <> 'NO_TRADE')""",
+    f"""{_TARGET_SQL}, s AS (SELECT *, strftime(open_time, '%Y-%m-%d %H:%M:%S') AS stamp FROM l),
+drawn AS (SELECT *, row_number() OVER (ORDER BY md5(symbol || stamp || '|42')) AS draw FROM s WHERE target = 'NO_TRADE')
+SELECT symbol, stamp AS open_time, target FROM s WHERE target <> 'NO_TRADE' UNION ALL
+SELECT symbol, stamp, target FROM drawn WHERE draw <= (SELECT CAST(floor(count(*) * 1.0) AS BIGINT) FROM s WHERE target <> 'NO_TRADE')""",
 )
 def _(spark, sf_dir):
     df = labelled(spark, sf_dir)

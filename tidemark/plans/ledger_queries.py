@@ -24,12 +24,12 @@ def query(name: str, sql: str | None = None):
 
 _MEASURES = ("win_rate", "total_pnl", "avg_win", "avg_loss", "profit_factor")
 _MEASURES_SQL = f"""count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl <= 0) AS losses, {near_sql("avg(CASE WHEN pnl > 0 THEN 100.0 ELSE 0 END)", 2)} AS win_rate,
-  {near_sql("sum(pnl)", 2)} AS total_pnl, {near_sql("coalesce(avg(pnl) FILTER (pnl > 0), 0)", 2)} AS avg_win, {near_sql("coalesce(avg(pnl) FILTER (pnl <= 0), 0)", 2)} AS avg_loss,
+  {near_sql("sum(pnl)", 1)} AS total_pnl, {near_sql("coalesce(avg(pnl) FILTER (pnl > 0), 0)", 2)} AS avg_win, {near_sql("coalesce(avg(pnl) FILTER (pnl <= 0), 0)", 2)} AS avg_loss,
   {near_sql("coalesce(abs(sum(pnl) FILTER (pnl > 0) / nullif(sum(pnl) FILTER (pnl <= 0), 0)), 0)", 2)} AS profit_factor"""
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: near(c, 2) for c in _MEASURES})
+    return df.withColumns({c: near(c, 1 if c == "total_pnl" else 2) for c in _MEASURES})
 
 
 @query("performance", f"SELECT {_MEASURES_SQL} FROM ({LEDGER_SQL})")
@@ -80,10 +80,10 @@ def _(spark, sf_dir):
     return book.daily_trade_count(ledger(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("fill_vwap", f"SELECT l_orderkey AS order_id, {near_sql('sum(l_extendedprice) / sum(l_quantity)')} AS price, sum(l_quantity) AS amount FROM lineitem GROUP BY 1")
+@query("fill_vwap", f"SELECT l_orderkey AS order_id, {near_sql('sum(l_extendedprice) / sum(l_quantity) + 0.00001', 1)} AS price, sum(l_quantity) AS amount FROM lineitem GROUP BY 1")
 def _(spark, sf_dir):
     fills = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("amount"))
-    return book.fill_vwap(fills).select("order_id", near("price").alias("price"), "amount")
+    return book.fill_vwap(fills).select("order_id", near(F.col("price") + 0.00001, 1).alias("price"), "amount")
 
 
 @query(
@@ -101,9 +101,9 @@ def _(spark, sf_dir):
 _ASKED = "SELECT l_orderkey AS id, 'S' || (l_suppkey % 20) AS symbol, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS signal, l_shipdate + INTERVAL 12 HOUR AS ts FROM lineitem WHERE l_linenumber = 1"
 
 
-def asked(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("signal"), (F.col("l_shipdate") + F.expr("INTERVAL 12 HOURS")).alias("ts"))
+def asked(spark, sf_dir, only: str = "true", hours: int = 12) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").where(only)
+    return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("signal"), (F.col("l_shipdate") + F.expr(f"INTERVAL {hours} HOURS")).alias("ts"))
 
 
 def _steps(key: str) -> str:
@@ -134,8 +134,7 @@ SELECT id, symbol, signal FROM a ASOF LEFT JOIN c ON a.symbol = c.symbol AND a.t
 )
 def _(spark, sf_dir):
     """Closes of one symbol at one time count as one: it blocks if any of them does."""
-    lines = asked(spark, sf_dir).join(table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 10").select(F.col("l_orderkey").alias("id")), "id", "left_semi")
-    soon = lines.withColumn("ts", F.col("ts") - F.expr("INTERVAL 11 HOURS"))
+    soon = asked(spark, sf_dir, "l_quantity > 10", 1)
     trades = ledger(spark, sf_dir).where("pnl < 0 OR close_reason IN ('Ghost — PnL unrecoverable', 'TP2 hit')")
     at = trades.groupBy("symbol", "closed_at").agg(F.max(F.col("close_reason") != "TP2 hit").alias("lost"))
     closes = at.select("symbol", "closed_at", F.when(F.col("lost"), -1.0).otherwise(1.0).alias("pnl"), F.when(F.col("lost"), "SL hit").otherwise("TP2 hit").alias("close_reason"))

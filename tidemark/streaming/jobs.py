@@ -20,7 +20,7 @@ COOLDOWN_HOURS, DAILY_CAP = 2.0, 20
 
 def stream_bars(ticks: DataFrame, every: str = "15 minutes", watermark: str = "5 minutes") -> DataFrame:
     """Closed bars only, once the watermark has passed their end; later ticks are dropped."""
-    return to_bars(ticks.withWatermark("ts", watermark), every)
+    return to_bars(ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark), every)
 
 
 def run_scan(bars_of: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], n: int = 300) -> Callable[[DataFrame, int], None]:
@@ -37,11 +37,11 @@ def run_scan(bars_of: Callable[[DataFrame], DataFrame], scan: Callable[[DataFram
     return run
 
 
-def signal_gate(signals: DataFrame, cap: int = DAILY_CAP, cooldown_hours: float = COOLDOWN_HOURS) -> DataFrame:
+def signal_gate(signals: DataFrame, cap: int = DAILY_CAP, cooldown_hours: float = COOLDOWN_HOURS, watermark: str = "1 hour") -> DataFrame:
     """Signals (symbol, signal, at, lost) in a stream: whether each is new, off cooldown and under the day's cap.
 
     A row with ``lost`` starts a cooldown and is not a signal. State is a few values per symbol and ends
-    after two days without a row.
+    when the watermark is two days past the symbol's last row.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,10 +63,11 @@ def signal_gate(signals: DataFrame, cap: int = DAILY_CAP, cooldown_hours: float
                 last, n = row.signal, n + 1
             out.append((key[0], row.signal, row.at, reason is None, reason))
         state.update((last, until, day, n))
-        state.setTimeoutDuration(2 * 86_400_000)
+        state.setTimeoutTimestamp(int(1000 * now) + 2 * 86_400_000)
         yield pd.DataFrame(out, columns=["symbol", "signal", "at", "allowed", "reason"])
 
-    return signals.groupBy("symbol").applyInPandasWithState(gate, GATED, GATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = signals.withWatermark("at", watermark)
+    return timed.groupBy("symbol").applyInPandasWithState(gate, GATED, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Trade:
