@@ -4,10 +4,11 @@ A vector is the nearest of a few centroids plus a residual. The unit residual is
 the signs are kept, packed to a bit per dimension, with two correction scalars: the residual's length, and
 the inner product of the unit residual with its code. From these the inner product with a query is estimated
 without bias, with an error bound that holds with high probability. In every block of codes a query keeps the
-vectors whose upper bound reaches the k-th best lower bound, and only those are compared exactly.
+vectors whose upper bound reaches the k-th best lower bound and the query's floor, and only those are compared
+exactly. The floor is the k-th best inner product with a bounded sample, which the k-th best of all must reach.
 
 The centroids and nothing else are fitted on a bounded sample; every vector is coded. The k-th best inner
-product with the sample is a floor for a query's k-th best. A query leaves out a cell only if even a residual
+product with the sample is the floor of a query's k-th best. A query leaves out a cell only if even a residual
 of the cell's greatest length, at an angle that random directions hardly ever have, would stay below the floor;
 the cells nearest to the query are always visited, and more until they hold enough vectors.
 Cells are cut into blocks of bounded size, so a cell of a third of all vectors is many groups. Of equal vectors
@@ -46,12 +47,17 @@ class Index:
     width: float = 2.5
     k: int = 20
 
-    def visits(self, queries: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    def floors(self, queries: np.ndarray) -> np.ndarray:
+        """A value that a query's k-th best inner product reaches; the query itself may be in the sample."""
+        if len(self.points) <= self.k:
+            return np.full(len(queries), -np.inf)
+        at = len(self.points) - self.k - 1
+        return np.concatenate([np.partition(queries[a : a + 256] @ self.points.T, at, axis=1)[:, at] for a in range(0, len(queries), 256)]) - 1e-9
+
+    def visits(self, queries: np.ndarray, floor: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
         """Whether each query (row) visits each cell, by the cell's number of vectors and longest residual."""
         norm = np.sqrt((queries**2).sum(1))[:, None]
         toward = queries @ self.centroids.T
-        k = min(self.k + 1, len(self.points))
-        floor = np.partition(queries @ self.points.T, len(self.points) - k, axis=1)[:, len(self.points) - k]
         reach = toward + norm * longest * min(1.0, self.angle / np.sqrt(queries.shape[1])) >= floor[:, None]
         out = reach.copy()
         for nearness in (toward, 2 * toward - (self.centroids**2).sum(1)):
@@ -84,12 +90,12 @@ class Index:
         return estimate, self.width * np.sqrt((queries**2).sum(1))[:, None] * spread + 1e-9
 
 
-def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 64, rows_per_cell: int = 256, seed: int = 3) -> Index:
-    """k-means on at most ``sampled`` vectors; the rotation is a random orthogonal matrix."""
+def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 256, rows_per_cell: int = 4096, seed: int = 3) -> Index:
+    """k-means on at most ``sampled`` vectors, with a cell for so many rows; the rotation is a random orthogonal matrix."""
     random = np.random.default_rng(seed)
     points = sample(rows, sampled)
     d = points.shape[1] if len(points) else 1
-    count = max(1, min(cells, len(points) // rows_per_cell))
+    count = max(1, min(cells, len(points), rows.count() // rows_per_cell))
     centroids = points[random.choice(len(points), count, replace=False)] if len(points) else np.zeros((1, d))
     for _ in range(12 if len(points) else 0):
         near = ((centroids**2).sum(1) - 2 * points @ centroids.T).argmin(1)
@@ -97,7 +103,7 @@ def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 64, rows_per_cell:
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, points)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
-    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0], points[:4096])
+    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0], points)
 
 
 def encode(rows: DataFrame, index: Index) -> DataFrame:
@@ -130,10 +136,12 @@ def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.Dat
         low = np.where(mine, -np.inf, estimate - half)
         k = min(index.k, len(ids))
         reach = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        wanted = (estimate + half >= reach[:, None]) & ~mine
+        floor = some["floor"].to_numpy()
+        wanted = (estimate + half >= np.maximum(reach, floor)[:, None]) & ~mine
         for i in range(len(some)):
             at = np.flatnonzero(wanted[i])
             exact = vectors[at] @ q[i]
+            at, exact = at[exact >= floor[i]], exact[exact >= floor[i]]
             best = at[np.lexsort((ids[at], -exact))[: index.k]]
             out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[best], "score": vectors[best] @ q[i]}))
     return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
@@ -154,11 +162,13 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
         for batch in batches:
             if not len(batch):
                 continue
-            query, cell = np.nonzero(index.visits(matrix(batch["v"]), held, longest))
-            out = batch.iloc[query][["id", "v"]].rename(columns={"id": "query_id"})
+            vectors = matrix(batch["v"])
+            floor = index.floors(vectors)
+            query, cell = np.nonzero(index.visits(vectors, floor, held, longest))
+            out = batch.assign(floor=floor).iloc[query][["id", "v", "floor"]].rename(columns={"id": "query_id"})
             yield out.assign(cell=cell)
 
-    queries = coded.where(is_query).select("id", "v").mapInPandas(route, "query_id long, v array<double>, cell int")
+    queries = coded.where(is_query).select("id", "v").mapInPandas(route, "query_id long, v array<double>, floor double, cell int")
     queries = stored(queries.join(F.broadcast(blocks), "cell"), "routes")
     laps = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / query_rows).cast("int").alias("laps"))
     plan = blocks.join(laps, "cell")  # a row per centroid
@@ -175,7 +185,7 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
             return pd.DataFrame(columns=["query_id", "vec_id", "score"])
         return _nearest(shared.value[0], queries, block)
 
-    left = queries.select(*key, "query_id", "v").repartition(groups, *key).groupBy(*key)
+    left = queries.select(*key, "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
     right = data.select(*key, "id", "v", "bits", "length", "agreement").repartition(groups, *key).groupBy(*key)
     found = left.cogroup(right).applyInPandas(find, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
