@@ -23,7 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-AT = stamp("open_time").alias("open_time")
+
+
+def at():
+    return stamp("open_time").alias("open_time")
+
+
 AT_SQL = f"{stamp_sql('open_time')} AS open_time"
 
 _ACTIVE = "hour(ts) >= 8 AND hour(ts) < 20"
@@ -77,7 +82,7 @@ def _(spark, sf_dir):
 SELECT symbol, {AT_SQL}, {near_sql("p")} AS change_pct, CASE WHEN p >= 1.5 THEN 'BUY' WHEN p <= -1.5 THEN 'SELL' END AS btc_bias, CASE WHEN abs(p) >= 1.5 THEN 1 ELSE 0 END AS btc_score_mod FROM c""",
 )
 def _(spark, sf_dir):
-    return market.benchmark_momentum(bars(spark, sf_dir)).select("symbol", AT, near("change_pct").alias("change_pct"), "btc_bias", "btc_score_mod")
+    return market.benchmark_momentum(bars(spark, sf_dir)).select("symbol", at(), near("change_pct").alias("change_pct"), "btc_bias", "btc_score_mod")
 
 
 @query(
@@ -89,7 +94,7 @@ SELECT symbol, {AT_SQL}, {near_sql("p")} AS range_pct, CASE WHEN p IS NULL THEN
 )
 def _(spark, sf_dir):
     df = market.volatility_state(bars(spark, sf_dir))
-    return df.select("symbol", AT, near("range_pct").alias("range_pct"), "vol_state", "vol_risk_mult", "skip")
+    return df.select("symbol", at(), near("range_pct").alias("range_pct"), "vol_state", "vol_risk_mult", "skip")
 
 
 _ONE_SQL = f"""{timeframe_sql()}, s AS (SELECT *, CASE WHEN trend = 1 AND rsi < 65 THEN 'BUY' WHEN trend = -1 AND rsi > 35 THEN 'SELL' ELSE 'NO_TRADE' END AS signal, 50 + abs(rsi - 50) AS confidence FROM f)"""
@@ -112,7 +117,7 @@ def _(spark, sf_dir):
     side = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
     level = lambda k: near(F.col("entry") + side * k * F.col("atr"), 1)
     off = F.abs(F.col("stop") - (F.col("entry") - side * 2.5 * F.col("atr")))
-    return exact.where(off < 0.0051).select("symbol", AT, "signal", level(-2.5).alias("stop"), level(3.5).alias("tp1"), level(7.5).alias("tp2"))
+    return exact.where(off < 0.0051).select("symbol", at(), "signal", level(-2.5).alias("stop"), level(3.5).alias("tp1"), level(7.5).alias("tp2"))
 
 
 @query(
@@ -127,7 +132,7 @@ def _(spark, sf_dir):
     df = df.withColumn("stop", F.col("close") - F.when(F.col("signal") == "BUY", 2.5).otherwise(-2.5) * F.col("atr"))
     names = df.select("symbol").distinct().select("symbol", F.lit(0.01).alias("min_amount"), F.lit(1000.0).alias("max_amount"))
     sized = signals.position_size(df, names, F.lit(10_000.0), F.lit(1.0))
-    return sized.select("symbol", AT, "signal", near(F.col("final_risk_mult") * 100, 3).alias("risk"), near("qty", 2).alias("qty"))
+    return sized.select("symbol", at(), "signal", near(F.col("final_risk_mult") * 100, 3).alias("risk"), near("qty", 2).alias("qty"))
 
 
 @query(
@@ -136,7 +141,7 @@ def _(spark, sf_dir):
 SELECT symbol, {AT_SQL}, signal FROM p WHERE signal IS DISTINCT FROM b""",
 )
 def _(spark, sf_dir):
-    return signals.dedupe_signals(ruled(spark, sf_dir).where("signal <> 'NO_TRADE'")).select("symbol", AT, "signal")
+    return signals.dedupe_signals(ruled(spark, sf_dir).where("signal <> 'NO_TRADE'")).select("symbol", at(), "signal")
 
 
 @query(
@@ -145,7 +150,7 @@ def _(spark, sf_dir):
 SELECT symbol, {AT_SQL}, {", ".join("CASE " + " ".join(f"WHEN NOT {x}{k} THEN {k - 1}" for k in range(1, 6)) + f" ELSE 5 END AS {n}" for x, n in (("u", "up_bars"), ("d", "down_bars")))} FROM s""",
 )
 def _(spark, sf_dir):
-    return signals.trend_bars(features.add_features(bars(spark, sf_dir, "4h"))).select("symbol", AT, "up_bars", "down_bars")
+    return signals.trend_bars(features.add_features(bars(spark, sf_dir, "4h"))).select("symbol", at(), "up_bars", "down_bars")
 
 
 @query(
@@ -159,7 +164,7 @@ FROM s""",
 def _(spark, sf_dir):
     """With the entry bar's own averages standing for the slower timeframes."""
     df = ruled(spark, sf_dir).withColumns({f"ema{n}_{t}": F.col(f"ema{n}") for n in (20, 50) for t in ("1h", "4h")})
-    return signals.quality_score(df).select("symbol", AT, "quality")
+    return signals.quality_score(df).select("symbol", at(), "quality")
 
 
 @query("live_scan")
@@ -169,7 +174,7 @@ def _(spark, sf_dir):
     flows = events.select(F.col("event_type").alias("symbol"), "ts", F.round((F.col("value") - 50) * 2e6, 2).alias("net_inflow"))
     mood = events.agg((F.floor(F.sum("value")) % 101).alias("value"))
     out = scored_signals(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), bars(spark, sf_dir, "4h"), BENCHMARK, flows, mood)
-    return out.select("symbol", AT, "signal", near("confidence", 2).alias("confidence"), "score", "reject_reason", F.array_join("reasons", "; ").alias("reasons"))
+    return out.select("symbol", at(), "signal", near("confidence", 2).alias("confidence"), "score", "reject_reason", F.array_join("reasons", "; ").alias("reasons"))
 
 
 _WORDS = (("tion", "ble"), ("erhe", "ung"))
@@ -243,7 +248,7 @@ def _(spark, sf_dir):
     b = bars(spark, sf_dir).withColumns({"live": F.lead("open").over(w), "name": F.col("symbol"), "symbol": F.concat_ws("|", "symbol", stamp("open_time"))})
     asked = b.select("symbol", "name", "open_time", F.col("close").alias("entry"))
     kept = signals.expire_drifted(asked, b.where("live IS NOT NULL").select("symbol", F.col("live").alias("price")))
-    return kept.select(F.col("name").alias("symbol"), AT, near("entry").alias("entry"))
+    return kept.select(F.col("name").alias("symbol"), at(), near("entry").alias("entry"))
 
 
 @query(
@@ -309,7 +314,7 @@ FROM s a JOIN f z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn + 1 AND a.rn + 24
 def _(spark, sf_dir):
     df = ruled(spark, sf_dir)
     asked = df.where("signal <> 'NO_TRADE' AND confidence >= 60").select("symbol", "interval", "segment", "open_time", "signal")
-    return backtest.forward_bars(asked, bars(spark, sf_dir)).select("symbol", AT, "step", near("bar_close").alias("bar_close"))
+    return backtest.forward_bars(asked, bars(spark, sf_dir)).select("symbol", at(), "step", near("bar_close").alias("bar_close"))
 
 
 @query("backtest_curve")
@@ -415,7 +420,7 @@ def _small_dataset(spark, sf_dir) -> DataFrame:
 @query("ensemble_predictions")
 def _(spark, sf_dir):
     """Test rows of the split, scored by the calibrated ensemble."""
-    return ml.train_and_score(weekly(_small_dataset(spark, sf_dir)), ml_columns(), trees=5, rounds=3).select("symbol", AT, "target", "call", near("confidence").alias("confidence"))
+    return ml.train_and_score(weekly(_small_dataset(spark, sf_dir)), ml_columns(), trees=5, rounds=3).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
 
 
 @query("feature_importances")
@@ -427,4 +432,4 @@ def _(spark, sf_dir):
 @query("latest_with_slower")
 def _(spark, sf_dir):
     out = joins.latest_htf(features.add_features(bars(spark, sf_dir)), features.add_features(bars(spark, sf_dir, "1h")), "1h")
-    return out.select("symbol", AT, near("close").alias("close"), near("rsi_1h").alias("rsi_1h"), near("ema20_1h").alias("ema20_1h"))
+    return out.select("symbol", at(), near("close").alias("close"), near("rsi_1h").alias("rsi_1h"), near("ema20_1h").alias("ema20_1h"))
