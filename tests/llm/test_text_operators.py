@@ -232,6 +232,31 @@ def test_mix_stays_within_one_block():
             assert all(abs(done[k] - (slot + 1) * slots[k] / total) < 1 for k in slots)
 
 
+def test_mix_follows_the_exact_weights_however_long_it_runs(spark):
+    weights = {**{f"s{i}": 1.0 for i in range(19)}, "t": 3.3}
+    share = {k: w / sum(weights.values()) for k, w in weights.items()}
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.expr("case when id % 200 < 30 then 't' else concat('s', id % 19) end").alias("source"))
+    docs = shared.stored(docs, "docs")
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    for mix in (mixing.Mix(block_docs=1), mixing.Mix(block_docs=1, named=4, rest_groups=2, slots=100)):  # past the named, two levels of rounding
+        got = mixing.placed(docs, table, mix).toPandas().sort_values("slot")
+        assert len(got) == 8000 and not got["slot"].duplicated().any()
+        for name, slots in got.groupby("source")["slot"]:
+            at = (slots + 1).to_numpy()
+            assert (abs(np.arange(1, len(at) + 1) - at * share[name]) < (1 if mix.named > 20 else 2)).all()
+
+
+def test_mix_of_one_large_and_many_small_sources(spark):
+    """The small ones have 1 % of the weight; sources without weight come last."""
+    rows = [(i, "", f"s{i}") for i in range(1000)] + [(10_000 + i, "", "big") for i in range(20_000)] + [(5000, "", "none"), (5001, "", None)]
+    docs = shared.stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "docs")
+    table = spark.createDataFrame([("big", 1000.0), ("none", 0.0)] + [(f"s{i}", 0.01) for i in range(1000)], "source string, weight double")
+    for named in (1024, 100):
+        got = mixing.placed(docs, table, mixing.Mix(block_docs=1, named=named)).toPandas().sort_values("slot")
+        assert len(got) == len(rows) and set(got["doc_id"].tail(2)) == {5000, 5001}
+        assert abs(got["source"].head(20_000).str.startswith("s").sum() - 200) <= 2
+
+
 def test_mix_places_every_document_once(odd):
     got = mixing.placed(odd, mix=mixing.Mix(block_docs=4, slots=16, named=2, rest_groups=2, bucket_docs=5)).toPandas()
     assert len(got) == odd.count() and not got.duplicated(["slot", "place"]).any()
