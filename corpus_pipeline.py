@@ -1,8 +1,9 @@
 """The document pipeline: five stages, each on the documents that its predecessor kept.
 
 Toxic documents go; one document of each near-duplicate group stays; live-looking secrets are masked in the
-text; the rest is put in mixed order of its sources; and the texts are cut and packed into sequences. All
-stages but the last return the columns of ``documents``. Packing has no SQL form, so ``run`` has none.
+text; the rest is put in mixed order of its sources; and the texts are cut and packed into sequences that are
+numbered in that order. All stages but the last return the columns of ``documents``; the mixed order passes from
+stage to stage as the order of rows in the written files. Packing has no SQL form, so ``run`` has none.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents, each with its sequence and place; sequences follow the order of the files' rows."""
+    return packing.pack_documents(docs, ordered=True)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -338,3 +339,20 @@ def test_pipeline_stages_take_effect(spark, documents, tmp_path):
     assert ids("ngram_jaccard_join") == clean | {502} == ids("pfair_mixing") == ids("best_fit_packing")
     assert "[SECRET]" in seen["secret_scan"].where(F.col("doc_id") == 502).first()["text"]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(clean) + 1
+
+
+def test_sequences_follow_the_mixed_order(spark, tmp_path):
+    """Source b has 1/4 of the documents and 37 % of the slots: so much of the first shard, 5 % of the last."""
+    rng = random.Random(5)
+    rows = [(i, text(rng, 12), "en", "b" if i % 4 == 0 else "a", 60) for i in range(13_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = shared.stored(corpus_pipeline.mix_sources(spark, shared.stored(docs.repartition(7), "docs"), ""), "mixed")
+    out = corpus_pipeline.pack(spark, mixed, "").toPandas()
+    assert sorted(out["doc_id"]) == list(range(13_000)) and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
+    of = out.assign(b=out["doc_id"] % 4 == 0).sort_values(["sequence_id", "offset"])["b"]
+    assert abs(of.head(4000).mean() - 0.366) < 0.04 and of.tail(2000).mean() < 0.08
+    # the files' rows in order, however Spark reads them
+    ranked = [r["doc_id"] for f in sorted(Path(mixed.inputFiles()[0].removeprefix("file:")).parent.glob("part-*")) for r in spark.read.parquet(str(f)).coalesce(1).select("doc_id").collect()]
+    place = {d: i for i, d in enumerate(ranked)}
+    first = out.assign(place=out["doc_id"].map(place)).groupby("sequence_id")["place"].min().sort_index()
+    assert first.is_monotonic_increasing

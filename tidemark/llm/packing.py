@@ -8,6 +8,9 @@ documents that this displaces. After an epoch each island sends its best packing
 of the shard, and a second epoch follows. The bins that the best packing of a shard leaves badly
 filled are dissolved, and their documents go through the same steps once more in new shards.
 
+Documents in an order that matters (``ordered``) are dealt to shards as consecutive ranges of it. A sequence
+bears the least key of its pieces, so that with ordered keys ``sequence_id`` rises with its first document.
+
 Nothing whole is held anywhere: a group has the lengths of at most a few thousand pieces.
 """
 
@@ -19,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import END_ID, default_vocabulary, encoder
@@ -28,6 +32,8 @@ from tidemark.llm.shared import stored, table
 CAPACITY = 1024
 PIECES = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECE_BITS = 21  # of a key made of a document's position and the piece in it
+NEAR_DOCS = 1024  # so many positions go to one shard together
 STATE = "shard long, island int, bins long, fitness double, packing binary"
 
 
@@ -45,11 +51,30 @@ class Evolution:
     seed: int = 17
 
 
-def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def positioned(documents: DataFrame) -> DataFrame:
+    """doc_id, text and position: the place of the row in the files of ``documents``, by file name and row.
+
+    Spark reads files in another order than they were written, so the order of reading says nothing. What
+    does not come from files is written first.
+    """
+    try:
+        rows = documents.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return positioned(stored(documents.select("doc_id", "text"), "ordered"))
+    ends = sorted(rows.groupBy("file").agg((F.max("at") + 1).alias("n")).collect())  # a row per file
+    if not ends:
+        return documents.select("doc_id", "text", F.lit(0).cast("long").alias("position"))
+    starts = np.cumsum([0, *(r["n"] for r in ends)]).tolist()
+    first = documents.sparkSession.createDataFrame([(r["file"], s) for r, s in zip(ends, starts)], "file string, first long")
+    return rows.join(F.broadcast(first), "file").select("doc_id", "text", (F.col("first") + F.col("at")).alias("position"))
+
+
+def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, ordered: bool = False) -> DataFrame:
     """Pieces of every document: whole up to ``capacity`` ids, else pieces of exactly that, the first shorter.
 
     Null text counts as empty and gives the end id alone. Repeated rows and doc_ids stay apart by
-    ``key``, which numbers the pieces by partition and place; extra columns are not read.
+    ``key``, which numbers the pieces by partition and place; extra columns are not read. ``ordered``
+    makes the keys follow the documents' order in their files instead.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,9 +85,12 @@ def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, c
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             docs, texts = batch["doc_id"].array, batch["text"].fillna("").tolist()
+            at_doc = batch["position"].tolist() if ordered else None
             for a in range(0, len(texts), 1024):
                 rows = []
-                for doc, ids in zip(docs[a : a + 1024], encode(texts[a : a + 1024])):
+                for k, (doc, ids) in enumerate(zip(docs[a : a + 1024], encode(texts[a : a + 1024])), a):
+                    if ordered:
+                        key = at_doc[k] << PIECE_BITS
                     ids += end
                     n = len(ids) // 4
                     at = 0
@@ -75,7 +103,7 @@ def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, c
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return documents.select("doc_id", "text").mapInPandas(cut, PIECES)
+    return (positioned(documents) if ordered else documents.select("doc_id", "text")).mapInPandas(cut, PIECES)
 
 
 def best_fit(items: list[int], lengths: list[int], free: list[int], assigned: np.ndarray, capacity: int) -> None:
@@ -194,10 +222,21 @@ def _state(shard: int, island: int, packings: list[np.ndarray], lengths: np.ndar
     return pd.DataFrame(rows, columns=["shard", "island", "bins", "fitness", "packing"])
 
 
-def pack_shards(items: DataFrame, rounds_of: int, capacity: int, setup: Evolution) -> DataFrame:
-    """One round: items (key, length) of ``rounds_of`` shards to (key, shard, bin, place, fill)."""
+def in_ranges(items: DataFrame, shard_items: int) -> DataFrame:
+    """(key, length, shard): shards as consecutive ranges of the keys, cut between stretches of positions."""
+    stretch = F.shiftright("key", PIECE_BITS + NEAR_DOCS.bit_length() - 1)
+    items = items.select("key", "length", stretch.alias("stretch"))
+    counts = items.groupBy("stretch").agg(F.count("*").alias("n"))  # a row per 1,024 documents
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = counts.select("stretch", F.floor(before / shard_items).cast("long").alias("shard"))
+    return items.join(shards, "stretch").select("key", "length", "shard")
+
+
+def pack_shards(items: DataFrame, rounds_of: int, capacity: int, setup: Evolution, ordered: bool = False) -> DataFrame:
+    """One round: items (key, length) of ``rounds_of`` shards to (key, first, place, fill); first is the bin's least key."""
     groups = max(1, min(rounds_of * setup.islands, 8192))
-    dealt = items.select("key", "length", F.pmod(F.xxhash64("key"), F.lit(rounds_of)).alias("shard"))
+    by_hash: Column = F.pmod(F.xxhash64("key"), F.lit(rounds_of))
+    dealt = in_ranges(items, setup.shard_items) if ordered else items.select("key", "length", by_hash.alias("shard"))
     islands = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(setup.islands - 1))))
     islands = islands.repartition(groups, "shard", "island")
 
@@ -223,43 +262,42 @@ def pack_shards(items: DataFrame, rounds_of: int, capacity: int, setup: Evolutio
         out["bin"] = np.frombuffer(best["packing"], "<i4").astype(np.int64)
         out["place"] = out.groupby("bin")["length"].cumsum() - out["length"]
         out["fill"] = out.groupby("bin")["length"].transform("sum")
-        return out[["key", "shard", "bin", "place", "fill"]]
+        out["first"] = out.groupby("bin")["key"].transform("min")
+        return out[["key", "first", "place", "fill"]]
 
     grown = islands.groupBy("shard", "island").applyInPandas(start, STATE)
     both = islands.groupBy("shard", "island").cogroup(grown.groupBy("shard", "island")).applyInPandas(settle, STATE)
     by_shard = dealt.repartition(groups, "shard").groupBy("shard")
-    return by_shard.cogroup(both.groupBy("shard")).applyInPandas(expand, "key long, shard long, bin long, place long, fill long")
+    return by_shard.cogroup(both.groupBy("shard")).applyInPandas(expand, "key long, first long, place long, fill long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, setup: Evolution = Evolution()) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, setup: Evolution = Evolution(), ordered: bool = False) -> DataFrame:
     """Sequences of at most ``capacity`` ids for all pieces (the columns of ``PIECES``).
 
-    A piece of full length is a sequence of its own. No pieces give no rows.
+    A piece of full length is a sequence of its own. No pieces give no rows. ``ordered`` needs keys that
+    follow an order, from ``cut_documents``.
     """
-    whole = pieces.where(F.col("length") >= capacity).select("key", (F.col("key") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.where(F.col("length") >= capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.where(F.col("length") < capacity).select("key", "length")
     n = items.count()
-    if not n:
-        placed = whole
-    else:
+    placed = whole
+    if n:
         shards = -(-n // setup.shard_items)
-        first = stored(pack_shards(items, shards, capacity, setup), "packed")
+        first = stored(pack_shards(items, shards, capacity, setup, ordered), "packed")
         loose = first.where(F.col("fill") < setup.good_fill * capacity)
         left = loose.count() if shards > 1 else 0
-        name = F.shiftleft(F.col("shard"), 32) + F.col("bin")
-        rows = [(first, 1)] if not left else [(first.where(F.col("fill") >= setup.good_fill * capacity), 1)]
+        rounds = [first] if not left else [first.where(F.col("fill") >= setup.good_fill * capacity)]
         if left:
             again = items.join(loose.select("key"), "key", "left_semi")
-            rows.append((pack_shards(again, -(-left // setup.shard_items), capacity, setup), 2))
-        placed = whole
-        for df, k in rows:
-            placed = placed.unionByName(df.select("key", (name * 4 + k).alias("sequence_id"), F.col("place").alias("offset")))
+            rounds.append(pack_shards(again, -(-left // setup.shard_items), capacity, setup, ordered))
+        for df in rounds:
+            placed = placed.unionByName(df.select("key", F.col("first").alias("sequence_id"), F.col("place").alias("offset")))
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, vocabulary: str | None = None, ordered: bool = False) -> DataFrame:
     """Encode, cut and pack all documents; the pieces are written once, so that each text is encoded once."""
-    return pack(stored(cut_documents(documents, vocabulary or default_vocabulary()), "pieces"))
+    return pack(stored(cut_documents(documents, vocabulary or default_vocabulary(), ordered=ordered), "pieces"), ordered=ordered)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
