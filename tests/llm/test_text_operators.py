@@ -224,6 +224,18 @@ def test_copied_examples_stay_and_live_secrets_are_masked(documents, tmp_path):
     assert all("Ex4mpleSecretValue" in got[i] for i in range(5))
 
 
+def test_short_secrets_of_one_owner_are_live(documents, tmp_path):
+    """Base matches are judged by their owners alone; opaque runs must be varied too."""
+    rows = [(1, "my password = S3cr3tPw end", "s1"), (2, "a token: hunter22 b", "s2"), (3, "AKIA" + "A" * 12 + " x", "s3"), (4, "f" * 32, "s4"), (5, "Aa1" * 8, "s5")]
+    rows += [(10 + i, "password=changeme", f"s{i}") for i in range(4)]
+    docs = documents(rows, tmp_path / "d")
+    live = {r["doc_id"]: (r["n_live"], r["n_opaque"]) for r in secrets.scan(docs).collect()}
+    assert [live[i] for i in (1, 2, 3, 4)] == [(1, 0)] * 4 and live[5] == live[10] == (0, 0)
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["my [SECRET] end", "a [SECRET] b", "[SECRET] x", "[SECRET]"]
+    assert got[5] == "Aa1" * 8 and got[10] == "password=changeme"
+
+
 def test_mix_stays_within_one_block():
     for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"big": 0.5, **{f"s{i}": 0.01 for i in range(50)}}):
         slots = mixing.whole_slots(weights, 1000)

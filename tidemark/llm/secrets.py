@@ -2,9 +2,9 @@
 
 Candidates are the matches of three base patterns, and opaque runs of letters and digits. Each is known by
 the SHA-256 of its value alone. Over the whole corpus the hashes are counted by distinct owners and distinct
-repositories: a value that many owners hold is a copied example, one that few hold and that has enough
-different characters looks like somebody's live credential. Base matches are always reported; an opaque run
-is reported (kind ``opaque``) only if it looks live and overlaps no base match.
+repositories: a value that many owners hold is a copied example, one that few hold looks like somebody's live
+credential. Base matches are always reported and judged by their owners alone; an opaque run is reported (kind
+``opaque``) only if it looks live, has enough different characters and overlaps no base match.
 
 The table of documents has no repository column: its source stands for the owner, and source with lang
 for the repository; both are parameters. Positions count code points, the end is exclusive, and a span
@@ -33,7 +33,7 @@ KINDS = ("assign", "access", "hex", "opaque")
 MARK, INSTEAD = "", ""
 SPAN = "struct<start:int,kind:int,end:int,hash:string,varied:boolean>"
 EXAMPLE_OWNERS = 3
-LEAST_VARIED = 8
+LEAST_VARIED = 8  # distinct characters of an opaque run
 REDACTED = "[SECRET]"
 
 
@@ -89,12 +89,12 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
 def judge(found: DataFrame, owner: str = "owner", repository: str = "repository", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Rows (row, spans) of the rows of ``found`` (row, found, owner, repository) with candidates.
 
-    Each span gets ``live``: few owners have it and it is varied.
+    Each span gets ``live``: few owners have it, and if it is an opaque run, it is varied.
     """
     some = found.where(F.size("found") > 0)
     counted = ownership(some, owner, repository)
     each = some.select("row", F.explode("found").alias("s")).select("row", "s", F.col("s.hash").alias("hash")).join(counted, "hash")
-    live = (F.col("owners") < example_owners) & F.col("s.varied")
+    live = (F.col("owners") < example_owners) & ((F.col("s.kind") < 3) | F.col("s.varied"))
     span = F.struct("s.start", "s.kind", "s.end", live.alias("live"), "owners", "repositories")
     each = each.where((F.col("s.kind") < 3) | live)
     return each.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
