@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place; sequences follow the order of the files' rows."""
-    return packing.pack_documents(docs, ordered=True)
+    return packing.pack_documents(docs, ordered=True, added=True)
 
 
 STAGES = [

@@ -50,6 +50,21 @@ def test_cached_encoding_equals_the_library(tokenizer, t):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in (t, t + " " + t)]
 
 
+def test_queries_encode_added_tokens_as_the_plain_library(spark, documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é <|endoftext|><|endoftext|> it's", "漢字<|endoftext|>", "<|endoftext|", "none here", "", None]
+    documents([(i, t, "s") for i, t in enumerate(texts)], tmp_path / "documents.parquet")
+    want = {i: np.array([*plain.encode(t or "", add_special_tokens=False).ids, END_ID], "<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 50256, 65, END_ID]
+    want = {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_frames.op3(spark, str(tmp_path)).collect()} == want
+    docs = shared.table(spark, str(tmp_path), "documents")
+    for got in (packing.op7(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got.collect()} == want
+
+
 def test_token_frames_round_trip(spark, odd, tokenizer, tmp_path):
     path = str(tmp_path / "frames")
     manifest = shared.stored(token_frames.write_tokens(odd, path, default_vocabulary(), frame_ids=500), "m")

@@ -3,6 +3,9 @@
 The encoding of a text is the concatenation of the encodings of its pre-tokens, which repeat. Each
 worker sends a pre-token to the library once and joins the ids afterwards. Texts with a character
 beyond Latin-1 go to the library whole, so that its own Unicode tables decide.
+
+With ``added`` the ids are the library's at its defaults: an added token such as ``<|endoftext|>`` in a text is
+one id, and texts that hold one go to the library whole. Without it such a token is encoded like other text.
 """
 
 from __future__ import annotations
@@ -35,12 +38,14 @@ def default_vocabulary() -> str:
 class ByteBpe:
     """Encodes batches of texts to the bytes of their ids, little-endian unsigned 32-bit."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(map(re.escape, tokens))) if tokens else None
         self.words: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -62,6 +67,8 @@ class ByteBpe:
         for a in range(0, len(texts), 256):
             part = texts[a : a + 256]
             simple = [t.isascii() or _is_latin1(t) for t in part]
+            if self.added:
+                simple = [s and not self.added.search(t) for s, t in zip(simple, part)]
             pieces = [_PRE_TOKEN.findall(t) if s else None for t, s in zip(part, simple)]
             wanted = set(chain.from_iterable(p for p in pieces if p is not None))
             new = list(wanted - self.words.keys())
@@ -88,11 +95,11 @@ def _is_latin1(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, ByteBpe] = {}
+_ENCODERS: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def encoder(vocabulary: str) -> ByteBpe:
+def encoder(vocabulary: str, added: bool = False) -> ByteBpe:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = ByteBpe(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, added) not in _ENCODERS:
+        _ENCODERS[vocabulary, added] = ByteBpe(vocabulary, added)
+    return _ENCODERS[vocabulary, added]

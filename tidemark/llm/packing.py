@@ -69,19 +69,20 @@ def positioned(documents: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(first), "file").select("doc_id", "text", (F.col("first") + F.col("at")).alias("position"))
 
 
-def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, ordered: bool = False) -> DataFrame:
+def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, ordered: bool = False, added: bool = False) -> DataFrame:
     """Pieces of every document: whole up to ``capacity`` ids, else pieces of exactly that, the first shorter.
 
     Null text counts as empty and gives the end id alone. Repeated rows and doc_ids stay apart by
     ``key``, which numbers the pieces by partition and place; extra columns are not read. ``ordered``
-    makes the keys follow the documents' order in their files instead.
+    makes the keys follow the documents' order in their files instead; ``added`` takes added tokens in a
+    text as the library does by default.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 40
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, added).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             docs, texts = batch["doc_id"].array, batch["text"].fillna("").tolist()
@@ -295,14 +296,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, setup: Evolution = Evoluti
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(documents: DataFrame, vocabulary: str | None = None, ordered: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, vocabulary: str | None = None, ordered: bool = False, added: bool = False) -> DataFrame:
     """Encode, cut and pack all documents; the pieces are written once, so that each text is encoded once."""
-    return pack(stored(cut_documents(documents, vocabulary or default_vocabulary(), ordered=ordered), "pieces"), ordered=ordered)
+    return pack(stored(cut_documents(documents, vocabulary or default_vocabulary(), ordered=ordered, added=added), "pieces"), ordered=ordered)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of at most 1024 ids as the islands find."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=True)
 
 
 QUERIES = {"op7_best_fit_packing": op7}

@@ -156,20 +156,20 @@ class FrameFile:
 
 
 def write_tokens(
-    documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, frame_ids: int = 65_536, width: int = 2, level: int = 3
+    documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, frame_ids: int = 65_536, width: int = 2, level: int = 3, added: bool = False
 ) -> DataFrame:
     """Encode and write all documents in ascending doc_id order; one row per file.
 
     The texts are dealt by ranges of (doc_id, hash of the text), so one repeated doc_id does not fill a
     task. A file appears under its final name in one move: a task that runs again replaces it by the
-    same content.
+    same content. ``added`` takes added tokens in a text as the library does by default.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, added).encode
         end = np.array([end_id], dtype="<u4")
         writer = sink = None
         system, root = open_filesystem(path)
@@ -247,7 +247,7 @@ def read_documents(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     """Every whole text encoded, written to frames in ascending doc_id order, and read back."""
     documents = table(spark, sf_dir, "documents")
-    manifest = stored(write_tokens(documents, new_path(spark, "tokens"), default_vocabulary()), "token-files")
+    manifest = stored(write_tokens(documents, new_path(spark, "tokens"), default_vocabulary(), added=True), "token-files")
     return read_tokens(manifest)
 
 
