@@ -84,6 +84,37 @@ def test_search_finds_the_nearest(table):
     assert hits >= 0.9 * 20 * len(queries)
 
 
+def test_each_row_of_a_repeated_query_id_finds_k_others(spark):
+    rng = np.random.default_rng(4)
+    v, ids = rng.normal(size=(400, 8)), np.arange(400)
+    v, ids = np.vstack([v, v[[20, 20, 40]], -v[60:61], np.tile(v[80], (30, 1)), np.tile(v[80], (22, 1))]), np.concatenate([ids, [20, 20, 40], [60], np.full(30, 80), np.arange(1001, 1023)])
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    rows = vectors.usable(df)
+    got = rotated_codes.search(rows, rotated_codes.fit(rows, rows_per_cell=1000), F.col("id") % 20 == 0).toPandas()
+    for q in (0, 20, 40, 60, 80):
+        mine, want = got[got["query_id"] == q], []
+        for x in v[ids == q]:
+            score = np.where(ids == q, -np.inf, v @ x)
+            want += [(k + 1, int(ids[b]), round(score[b], 9)) for k, b in enumerate(np.lexsort((ids, -score))[:20])]
+        assert sorted((r.rank, r.vec_id, round(r.score, 9)) for r in mine.itertuples()) == sorted(want)
+
+
+def test_recall_with_many_more_cells_than_are_always_visited(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 24))[rng.integers(0, 150, 12_000)] + 0.5 * rng.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = vectors.usable(df)
+    index = rotated_codes.fit(rows, rows_per_cell=80)
+    assert len(index.centroids) == 150
+    got = rotated_codes.search(rows, index, F.col("id") % 200 == 0).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(g["vec_id"]))
+    assert hits >= 0.97 * 20 * 60
+
+
 def test_search_with_few_rows_returns_all_others(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     rows = vectors.usable(df)

@@ -5,7 +5,8 @@ the signs are kept, packed to a bit per dimension, with two correction scalars:
 the inner product of the unit residual with its code. From these the inner product with a query is estimated
 without bias, with an error bound that holds with high probability. In every block of codes a query keeps the
 vectors whose upper bound reaches the k-th best lower bound and the query's floor, and only those are compared
-exactly. The floor is the k-th best inner product with a bounded sample, which the k-th best of all must reach.
+exactly. The floor is the k-th best inner product with the rows of other ids in a bounded sample, which the k-th
+best of all must reach.
 
 The centroids and nothing else are fitted on a bounded sample; every vector is coded. The k-th best inner
 product with the sample is the floor of a query's k-th best. A query leaves out a cell only if even a residual
@@ -16,7 +17,7 @@ in a block only the smallest ids can be among a query's nearest, so the others a
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 neither as query nor as candidate. Repeated ids stay candidates, each row of its own, but a query leaves out
-all rows of its own id. Ties go to the smaller id. An empty table gives no rows; extra columns are not read.
+all rows of its own id. Each row of a repeated query id is a query with its own k results. Ties go to the smaller id. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored, table
-from tidemark.llm.vectors import matrix, sample, usable
+from tidemark.llm.vectors import matrix, sample_with_ids, usable
 
 CODED = "id long, v array<double>, cell int, bits binary, length double, agreement double"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -42,17 +43,21 @@ class Index:
     centroids: np.ndarray
     rotation: np.ndarray
     points: np.ndarray
+    point_ids: np.ndarray
     nearest_cells: int = 8
     angle: float = 5.0
     width: float = 2.5
     k: int = 20
 
-    def floors(self, queries: np.ndarray) -> np.ndarray:
-        """A value that a query's k-th best inner product reaches; the query itself may be in the sample."""
-        if len(self.points) <= self.k:
-            return np.full(len(queries), -np.inf)
-        at = len(self.points) - self.k - 1
-        return np.concatenate([np.partition(queries[a : a + 256] @ self.points.T, at, axis=1)[:, at] for a in range(0, len(queries), 256)]) - 1e-9
+    def floors(self, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """A value that a query's k-th best inner product reaches; rows of its ``own`` id in the sample do not count."""
+        out = np.full(len(queries), -np.inf)
+        at = len(self.points) - self.k
+        for a in range(0, len(queries) if at >= 0 else 0, 256):
+            score = queries[a : a + 256] @ self.points.T
+            score[own[a : a + 256, None] == self.point_ids[None, :]] = -np.inf
+            out[a : a + 256] = np.partition(score, at, axis=1)[:, at]
+        return out - 1e-9
 
     def visits(self, queries: np.ndarray, floor: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
         """Whether each query (row) visits each cell, by the cell's number of vectors and longest residual."""
@@ -93,7 +98,7 @@ class Index:
 def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 256, rows_per_cell: int = 4096, seed: int = 3) -> Index:
     """k-means on at most ``sampled`` vectors, with a cell for so many rows; the rotation is a random orthogonal matrix."""
     random = np.random.default_rng(seed)
-    points = sample(rows, sampled)
+    ids, points = sample_with_ids(rows, sampled)
     d = points.shape[1] if len(points) else 1
     count = max(1, min(cells, len(points), rows.count() // rows_per_cell))
     centroids = points[random.choice(len(points), count, replace=False)] if len(points) else np.zeros((1, d))
@@ -103,7 +108,7 @@ def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 256, rows_per_cell:
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, points)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
-    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0], points)
+    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0], points, ids)
 
 
 def encode(rows: DataFrame, index: Index) -> DataFrame:
@@ -123,14 +128,16 @@ def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.Dat
     block = block.sort_values("id", kind="stable")
     vectors = matrix(block["v"])
     same = pd.Series([v.tobytes() for v in vectors])
-    keep = (same.groupby(same).cumcount() <= index.k).to_numpy()
+    alike = pd.DataFrame({"v": same.to_numpy(), "id": block["id"].to_numpy()})
+    own = alike.groupby(["v", "id"])["id"].transform("size").groupby(alike["v"]).transform("max")  # a query leaves out so many
+    keep = (same.groupby(same).cumcount() < index.k + own).to_numpy()
     block, vectors = block[keep], vectors[keep]
     ids = block["id"].to_numpy()
     bits = np.frombuffer(b"".join(block["bits"]), np.uint8).reshape(len(block), -1)
     out = []
     for a in range(0, len(queries), 128):
         some = queries.iloc[a : a + 128]
-        q, own = matrix(some["v"]), some["query_id"].to_numpy()
+        q, own, row = matrix(some["v"]), some["query_id"].to_numpy(), some["query_row"].to_numpy()
         estimate, half = index.bounds(q, int(block["cell"].iloc[0]), bits, block["length"].to_numpy(), block["agreement"].to_numpy())
         mine = own[:, None] == ids[None, :]
         low = np.where(mine, -np.inf, estimate - half)
@@ -143,12 +150,12 @@ def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.Dat
             exact = vectors[at] @ q[i]
             at, exact = at[exact >= floor[i]], exact[exact >= floor[i]]
             best = at[np.lexsort((ids[at], -exact))[: index.k]]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[best], "score": vectors[best] @ q[i]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+            out.append(pd.DataFrame({"query_row": row[i], "query_id": own[i], "vec_id": ids[best], "score": vectors[best] @ q[i]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"])
 
 
 def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
-    """The k nearest of each query among all rows (id, v): query_id, rank, vec_id, score."""
+    """The k nearest of each query row among all rows (id, v): query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     coded = stored(encode(rows, index), "codes")
     held, longest = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids))
@@ -163,16 +170,16 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
             if not len(batch):
                 continue
             vectors = matrix(batch["v"])
-            floor = index.floors(vectors)
+            floor = index.floors(vectors, batch["id"].to_numpy())
             query, cell = np.nonzero(index.visits(vectors, floor, held, longest))
-            out = batch.assign(floor=floor).iloc[query][["id", "v", "floor"]].rename(columns={"id": "query_id"})
+            out = batch.assign(floor=floor).iloc[query][["query_row", "id", "v", "floor"]].rename(columns={"id": "query_id"})
             yield out.assign(cell=cell)
 
-    queries = coded.where(is_query).select("id", "v").mapInPandas(route, "query_id long, v array<double>, floor double, cell int")
+    queries = coded.where(is_query).select(F.monotonically_increasing_id().alias("query_row"), "id", "v").mapInPandas(route, "query_row long, query_id long, v array<double>, floor double, cell int")
     queries = stored(queries.join(F.broadcast(blocks), "cell"), "routes")
     laps = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / query_rows).cast("int").alias("laps"))
     plan = blocks.join(laps, "cell")  # a row per centroid
-    queries = queries.join(F.broadcast(laps), "cell").withColumn("lap", F.pmod(F.xxhash64("query_id"), F.col("laps")).cast("int"))
+    queries = queries.join(F.broadcast(laps), "cell").withColumn("lap", F.pmod(F.xxhash64("query_row"), F.col("laps")).cast("int"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     data = coded.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.monotonically_increasing_id(), F.col("blocks")).cast("int"))
     data = data.withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)))
@@ -182,13 +189,13 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
 
     def find(_key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"])
         return _nearest(shared.value[0], queries, block)
 
-    left = queries.select(*key, "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
+    left = queries.select(*key, "query_row", "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
     right = data.select(*key, "id", "v", "bits", "length", "agreement").repartition(groups, *key).groupBy(*key)
     found = left.cogroup(right).applyInPandas(find, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= index.k)
     return found.select("query_id", "rank", "vec_id", "score")
 

@@ -22,8 +22,13 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 def sample(rows: DataFrame, n: int) -> np.ndarray:
     """At most n vectors, least in a hash of their id: a bounded sample that does not depend on order."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
-    return np.array([r["v"] for r in got], dtype=np.float64).reshape(len(got), -1) if got else np.empty((0, 1))
+    return sample_with_ids(rows, n)[1]
+
+
+def sample_with_ids(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(n).select("id", "v").collect()
+    ids = np.array([r["id"] for r in got], dtype=np.int64)
+    return ids, np.array([r["v"] for r in got], dtype=np.float64).reshape(len(got), -1) if got else np.empty((0, 1))
 
 
 def matrix(column) -> np.ndarray:
