@@ -124,7 +124,7 @@ def test_search_with_few_rows_returns_all_others(spark):
     assert rotated_codes.search(none, rotated_codes.fit(none), F.col("id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, 4096])
+@pytest.mark.parametrize("block", [48, 4096])
 def test_links_equal_brute_force(table, block):
     df, ids, v = table
     unit = v / np.abs(v).max(axis=1, keepdims=True)

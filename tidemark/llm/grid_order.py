@@ -2,10 +2,15 @@
 
 For unit vectors a cosine of at least c is a distance of at most eps = sqrt(2 - 2c). Vectors are projected on
 the leading principal directions of a bounded sample; projections never lengthen distances. The vectors are
-sorted by their grid cells of width eps on these directions, first direction first, and cut into sequence
-intervals of bounded size, each with the box of its projections. Two intervals whose boxes are further apart
-than eps cannot hold a link and are never brought together; the others are, and split recursively until boxes
-part them or few vectors are left, whose cosines are computed in double precision from the original vectors.
+sorted by their grid cells of width eps on these directions, first direction first, and numbered in that order;
+so many numbers in a row are a sequence interval, however the rows lie in partitions. Intervals form a tree, each
+with the box of its projections. The join starts with the root and itself and goes down a level at a time: two
+intervals whose boxes are further apart than eps cannot hold a link, and nothing below them is looked at. The
+pairs of lowest intervals that are left meet in tasks, where the recursion goes on until boxes part them or few
+vectors are left, whose cosines are computed in double precision.
+
+How much the boxes part depends on the vectors: intervals of clusters are parted at once, those of vectors that
+fill all directions alike are not, and then every pair of intervals is compared.
 
 Equal vectors are one before the join, with their number, so a group of copies of any size costs one row. The
 join returns counts of links by vector and links that span the groups, never the links themselves.
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -31,6 +36,9 @@ from tidemark.llm.shared import stored, table
 from tidemark.llm.vectors import matrix, sample, usable
 
 SLACK = 1e-9
+BLOCK_ROWS = 8192  # of an interval that a task takes
+FAN = 8  # intervals of a level in one of the level above
+PARTS = 8  # at least so many ranges sort the rows
 
 
 @dataclass(frozen=True)
@@ -55,6 +63,10 @@ def unit_vectors(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
+def from_bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+
+
 def fit(rows: DataFrame, cosine: float = 0.95, sampled: int = 10_000, directions: int = 12) -> Grid:
     """Principal directions of at most ``sampled`` vectors."""
     points = sample(rows, sampled)
@@ -75,13 +87,14 @@ def apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
 class Join:
     """Recursive join of two sequence intervals, or of one with itself."""
 
-    LEAF = 192
+    LEAF = 256
 
     def __init__(self, unit: np.ndarray, projected: np.ndarray, copies: np.ndarray, grid: Grid):
-        self.unit, self.projected, self.copies, self.grid = unit, projected, copies, grid
+        self.unit, self.projected, self.copies, self.grid = unit, projected, copies.astype(np.float64), grid
         self.links = np.zeros(len(unit), np.int64)
-        self.parent = list(range(len(unit)))
+        self.parent = np.arange(len(unit))
         self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.compared = self.parted = 0  # pairs of vectors
 
     def box(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         if (a, b) not in self.boxes:
@@ -92,14 +105,24 @@ class Join:
     def find(self, x: int) -> int:
         while self.parent[x] != x:
             self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
+            x = int(self.parent[x])
         return x
 
+    def roots(self, a: int, b: int) -> np.ndarray:
+        out = self.parent[a:b]
+        while not np.array_equal(up := self.parent[out], out):
+            out = up
+        self.parent[a:b] = out
+        return out.copy()
+
     def join(self, a: int, b: int, c: int, d: int) -> None:
         """All pairs of rows a..b with rows c..d; equal intervals give each pair once."""
-        if a == b or c == d or apart(self.box(a, b), self.box(c, d)) > self.grid.eps + SLACK:
+        if a == b or c == d:
             return
-        if b - a <= self.LEAF and d - c <= self.LEAF:
+        if apart(self.box(a, b), self.box(c, d)) > self.grid.eps + SLACK:
+            self.parted += (b - a) * (d - c)
+        elif b - a <= self.LEAF and d - c <= self.LEAF:
+            self.compared += (b - a) * (d - c)
             self._leaf(a, b, c, d)
         elif (a, b) == (c, d):
             m = (a + b) // 2
@@ -119,86 +142,120 @@ class Join:
         hit = self.unit[a:b] @ self.unit[c:d].T >= self.grid.cosine
         if (a, b) == (c, d):
             np.fill_diagonal(hit, False)
-            self.links[a:b] += hit @ self.copies[c:d]
-        else:
-            self.links[a:b] += hit @ self.copies[c:d]
-            self.links[c:d] += self.copies[a:b] @ hit
-        for i in np.flatnonzero(hit.any(1)).tolist():
-            row = self.find(a + i)
-            for j in np.flatnonzero(hit[i]).tolist():
-                other = self.find(c + j)
-                if other != row:
-                    self.parent[other] = row
+        if not hit.any():
+            return
+        counted = hit.astype(np.float64)
+        self.links[a:b] += (counted @ self.copies[c:d]).astype(np.int64)
+        if (a, b) != (c, d):
+            self.links[c:d] += (self.copies[a:b] @ counted).astype(np.int64)
+        ours, theirs = self.roots(a, b), self.roots(c, d)
+        new = hit & (ours[:, None] != theirs[None, :])
+        for i in np.flatnonzero(new.any(1)).tolist():
+            root = self.find(int(ours[i]))
+            for other in np.unique(theirs[new[i]]).tolist():
+                other = self.find(other)
+                if other != root:
+                    self.parent[other] = root
 
 
 def sequence(rows: DataFrame, grid: Grid, block_rows: int) -> DataFrame:
-    """Rows (id, v, copies) in grid order: block, and the rows sorted within."""
+    """Rows (id, unit, copies, seq, block): unit vectors as bytes, numbered in grid order; blocks of ``block_rows``."""
     shared = rows.sparkSession.sparkContext.broadcast(grid)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(cells=list(shared.value.cells(shared.value.project(unit_vectors(matrix(batch["v"]))))))
-
-    celled = rows.mapInPandas(cells, "id long, v array<double>, copies long, cells array<int>")
-    parts = max(1, -(-rows.count() // block_rows))
-    ordered = stored(celled.repartitionByRange(parts, "cells", "id").withColumn("part", F.spark_partition_id()), "grid-order")
-    # Ranges come from a sample, so a part may be larger than asked for; it is cut further.
-    sizes = ordered.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cuts"))
-    cut = F.pmod(F.xxhash64("id"), F.col("cuts"))
-    return ordered.join(F.broadcast(sizes) if parts < 10_000 else sizes, "part").withColumn("block", F.concat_ws("-", F.format_string("%09d", "part"), cut)).drop("cuts", "part")
-
-
-def near_pairs(blocks: DataFrame, grid: Grid) -> DataFrame:
-    """(left, right), left <= right, of the blocks whose boxes are not further apart than eps.
-
-    A row per block comes in; the pairs meet on cells of the first direction and are tested on all.
-    """
-    first = lambda c: F.floor(F.get(c, F.lit(0)) / grid.eps)
-    wide = blocks.withColumn("cell", F.explode(F.sequence(first(F.col("low")) - 1, first(F.col("high")) + 1)))
-    left = wide.select(F.col("block").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1"), "cell")
-    right = wide.select(F.col("block").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"), "cell")
-    gap = lambda x, y: F.greatest(F.lit(0.0), x - y)
-    gaps = F.zip_with(F.zip_with("l1", "h2", gap), F.zip_with("l2", "h1", gap), lambda x, y: F.greatest(x, y))
-    distance = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = left.join(right, "cell").where("left <= right").where(distance <= (grid.eps + SLACK) ** 2)
-    return pairs.select("left", "right").distinct()
-
-
-def epsilon_join(rows: DataFrame, grid: Grid, block_rows: int = 4096) -> DataFrame:
-    """Rows (id, v, copies), ids distinct: (id, other, links), links by id, and spanning links where other is set."""
-    placed = stored(sequence(rows, grid, block_rows), "blocks")
-    shared = rows.sparkSession.sparkContext.broadcast(grid)
+                unit = unit_vectors(matrix(batch["v"]))
+                cells = shared.value.cells(shared.value.project(unit))
+                yield pd.DataFrame({"id": batch["id"], "unit": [u.tobytes() for u in unit], "copies": batch["copies"], "cells": list(cells)})
+
+    celled = rows.mapInPandas(cells, "id long, unit binary, copies long, cells array<int>")
+    parts = max(1, -(-rows.count() // (8 * block_rows)))
+    ranged = celled.repartitionByRange(max(parts, PARTS), "cells", "id").sortWithinPartitions("cells", "id")
+    ordered = stored(ranged.drop("cells").withColumn("at", F.monotonically_increasing_id()), "grid-order")
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row per partition
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", first.alias("first"))
+    numbered = ordered.withColumn("part", part).join(starts, "part")
+    seq = F.col("first") + F.col("at") - F.shiftleft("part", 33)
+    return numbered.select("id", "unit", "copies", seq.alias("seq"), F.floor(seq / block_rows).cast("long").alias("block"))
+
+
+def boxes(placed: DataFrame, grid: Grid) -> DataFrame:
+    """(block, low, high): the box of each block's projections."""
+    shared = placed.sparkSession.sparkContext.broadcast(grid)
 
     def box(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = shared.value
         for batch in batches:
             if len(batch):
-                projected = grid.project(unit_vectors(matrix(batch["v"])))
-                for name, at in batch.reset_index(drop=True).groupby("block").indices.items():
-                    yield pd.DataFrame({"block": [name] * len(grid.directions), "d": range(len(grid.directions)), "low": projected[at].min(0), "high": projected[at].max(0)})
+                projected = grid.project(from_bytes(batch["unit"]))
+                for block, at in batch.reset_index(drop=True).groupby("block").indices.items():
+                    yield pd.DataFrame({"block": block, "d": range(len(grid.directions)), "low": projected[at].min(0), "high": projected[at].max(0)})
+
+    sides = placed.select("block", "unit").mapInPandas(box, "block long, d int, low double, high double")
+    return _in_order(sides)
+
 
-    sides = placed.select("block", "v").mapInPandas(box, "block string, d int, low double, high double")
+def _in_order(sides: DataFrame) -> DataFrame:
+    """(block, d, low, high), many rows a block and d, to (block, low, high) with arrays."""
     sides = sides.groupBy("block", "d").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("d", c))), lambda s: s[c])
-    blocks = stored(sides.groupBy("block").agg(ordered("low").alias("low"), ordered("high").alias("high")), "boxes")
-    pairs = stored(near_pairs(blocks, grid), "block-pairs")
+    return sides.groupBy("block").agg(ordered("low").alias("low"), ordered("high").alias("high"))
+
+
+def parents(level: DataFrame) -> DataFrame:
+    """The boxes of the next level up of the tree of intervals."""
+    sides = level.select(F.floor(F.col("block") / FAN).cast("long").alias("block"), F.posexplode(F.arrays_zip("low", "high")).alias("d", "side"))
+    return _in_order(sides.select("block", "d", "side.low", "side.high"))
+
+
+def near_pairs(level: DataFrame, blocks: int, grid: Grid) -> DataFrame:
+    """(left, right), left <= right, of the blocks whose boxes, and those of all above them, are within eps.
+
+    Goes down the tree of intervals a level at a time; a level's pairs come from those kept on the one above.
+    """
+    levels = [stored(level, "boxes")]
+    while blocks > FAN:
+        levels.append(stored(parents(levels[-1]), "boxes"))
+        blocks = -(-blocks // FAN)
+    spark = level.sparkSession
+    children = lambda c: F.sequence(F.col(c) * FAN, F.col(c) * FAN + FAN - 1)
+    pairs = spark.createDataFrame([(0, 0)], "left long, right long")
+    for boxes_ in reversed(levels):
+        pairs = pairs.withColumn("left", F.explode(children("left"))).withColumn("right", F.explode(children("right"))).where("left <= right")
+        a = boxes_.select(F.col("block").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+        b = boxes_.select(F.col("block").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+        gap = lambda x, y: F.greatest(F.lit(0.0), x - y)
+        gaps = F.zip_with(F.zip_with("l1", "h2", gap), F.zip_with("l2", "h1", gap), lambda x, y: F.greatest(x, y))
+        distance = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+        kept = pairs.join(a, "left").join(b, "right").where(distance <= (grid.eps + SLACK) ** 2)
+        pairs = stored(kept.select("left", "right"), "block-pairs")
+    return pairs
+
+
+def epsilon_join(rows: DataFrame, grid: Grid, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (id, v, copies), ids distinct: (id, other, links), links by id, and spanning links where other is set."""
+    placed = stored(sequence(rows, grid, block_rows), "blocks")
+    shared = rows.sparkSession.sparkContext.broadcast(grid)
+    blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    pairs = near_pairs(boxes(placed, grid), blocks, grid)
     ends = pairs.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     groups = min(max(1, pairs.count()), 8192)
 
     def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         grid = shared.value
-        part = part.assign(second=(part["block"] == key[1]) & (key[0] != key[1]), order=[tuple(c) for c in part["cells"]])
-        part = part.sort_values(["second", "order", "id"], kind="stable")
-        unit = unit_vectors(matrix(part["v"]))
+        part = part.sort_values("seq", kind="stable")
+        unit = from_bytes(part["unit"])
         work = Join(unit, grid.project(unit), part["copies"].to_numpy(np.int64), grid)
-        n, m = len(part), int((~part["second"]).sum())
+        n, m = len(part), int((part["block"] == key[0]).sum())
         if m == n:
             work.join(0, n, 0, n)
         else:
             work.join(0, m, m, n)
         ids = part["id"].to_numpy()
-        root = ids[[work.find(i) for i in range(n)]]
+        root = ids[work.roots(0, n)]
         counted = pd.DataFrame({"id": ids, "other": pd.array([pd.NA] * n, "Int64"), "links": work.links})
         spans = pd.DataFrame({"id": ids, "other": pd.array(root, "Int64"), "links": 0})
         return pd.concat([counted[work.links > 0], spans[ids != root]])
@@ -207,7 +264,7 @@ def epsilon_join(rows: DataFrame, grid: Grid, block_rows: int = 4096) -> DataFra
     return met.groupBy("left", "right").applyInPandas(join, "id long, other long, links long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
     rows = usable(vectors)
     distinct = stored(rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "distinct")
