@@ -41,19 +41,22 @@ class ByteBpe:
     def __init__(self, vocabulary: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = not added
         tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.added = re.compile("|".join(map(re.escape, tokens))) if tokens else None
+        self.inner = Tokenizer.from_file(vocabulary)  # for pre-tokens: it does not look for pre-tokens in them
+        self.inner.encode_special_tokens = True
+        self.inner.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
+        self.over = 0
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.words.clear()
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            got = self.inner.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4").tobytes()
             of = np.array(got.word_ids, dtype=np.int64)
             ends = 4 * np.searchsorted(of, np.arange(len(part)), side="right")
@@ -62,6 +65,16 @@ class ByteBpe:
                 self.words[word] = ids[start:end]
                 start = end
 
+    def _forget(self, new: list[str]) -> None:
+        """Beyond the bound what a batch has brought goes again, as the frequent words came first; now and then all start anew."""
+        if len(self.words) > KEPT_WORDS:
+            self.over += 1
+            if self.over % 4096:
+                for w in new:
+                    del self.words[w]
+            else:
+                self.words.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(texts), 256):
@@ -70,13 +83,8 @@ class ByteBpe:
             if self.added:
                 simple = [s and not self.added.search(t) for s, t in zip(simple, part)]
             pieces = [_PRE_TOKEN.findall(t) if s else None for t, s in zip(part, simple)]
-            wanted = set(chain.from_iterable(p for p in pieces if p is not None))
-            new = list(wanted - self.words.keys())
-            if new:
-                before = len(self.words)
-                self._learn(new)
-                if len(self.words) < before + len(new):  # it was cleared
-                    self._learn([w for w in wanted if w not in self.words])
+            new = list(set(chain.from_iterable(p for p in pieces if p is not None)).difference(self.words))
+            self._learn(new)
             get = self.words.__getitem__
             for t, p in zip(part, pieces):
                 if p is None:
@@ -84,6 +92,7 @@ class ByteBpe:
                     out.append(np.array(ids, dtype="<u4").tobytes())
                 else:
                     out.append(b"".join(map(get, p)))
+            self._forget(new)
         return out
 
 
