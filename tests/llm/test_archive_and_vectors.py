@@ -115,6 +115,23 @@ def test_recall_with_many_more_cells_than_are_always_visited(spark):
     assert hits >= 0.97 * 20 * 60
 
 
+def test_every_query_finds_k_beyond_the_sample(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = vectors.usable(df)
+    for sampled in (500, 20_000):  # a twelfth of the table, and all of it
+        got = rotated_codes.search(rows, rotated_codes.fit(rows, sampled=sampled, rows_per_cell=400), F.col("id") % 60 == 0, block_rows=300).toPandas()
+        assert (got.groupby("query_id")["rank"].max() == 20).all() and got["query_id"].nunique() == 100
+        hits = 0
+        for q, g in got.groupby("query_id"):
+            score = v @ v[q]
+            score[q] = -np.inf
+            hits += len(set(np.argsort(-score)[:20]) & set(g["vec_id"]))
+        assert hits >= 0.95 * 20 * 100
+
+
 def test_search_with_few_rows_returns_all_others(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     rows = vectors.usable(df)

@@ -3,21 +3,24 @@
 A vector is the nearest of a few centroids plus a residual. The unit residual is rotated at random and only
 the signs are kept, packed to a bit per dimension, with two correction scalars: the residual's length, and
 the inner product of the unit residual with its code. From these the inner product with a query is estimated
-without bias, with an error bound that holds with high probability. In every block of codes a query keeps the
-vectors whose upper bound reaches the k-th best lower bound and the query's floor, and only those are compared
-exactly. The floor is the k-th best inner product with the rows of other ids in a bounded sample, which the k-th
-best of all must reach.
-
-The centroids and nothing else are fitted on a bounded sample; every vector is coded. The k-th best inner
-product with the sample is the floor of a query's k-th best. A query leaves out a cell only if even a residual
-of the cell's greatest length, at an angle that random directions hardly ever have, would stay below the floor;
-the cells nearest to the query are always visited, and more until they hold enough vectors.
+without bias, with an error bound that holds with high probability. In every block of codes that a query visits,
+the vectors of the best estimates are compared exactly first; their k-th best inner product, or the query's floor
+where that is higher, then decides by the bounds which others are compared. A block always returns its k best of
+all that were compared, so a query has k results as soon as the blocks hold k vectors, whatever the bounds miss.
+
+The centroids are fitted on a bounded sample; every vector is coded. The floor, the k-th best inner product with
+the rows of other ids in the sample, is what the k-th best of all reaches; it only saves work. A query leaves out a
+cell only if even a residual of the cell's greatest length, at an angle that random directions hardly ever have,
+would stay below the floor; the cells nearest to the query are always visited, and more until they hold enough
+vectors. The number of cells follows the number of vectors, up to one for eight sampled vectors; beyond that the
+cells have more blocks.
 Cells are cut into blocks of bounded size, so a cell of a third of all vectors is many groups. Of equal vectors
 in a block only the smallest ids can be among a query's nearest, so the others are not compared.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 neither as query nor as candidate. Repeated ids stay candidates, each row of its own, but a query leaves out
-all rows of its own id. Each row of a repeated query id is a query with its own k results. Ties go to the smaller id. An empty table gives no rows; extra columns are not read.
+all rows of its own id. Each row of a repeated query id is a query with its own k results. Ties go to the smaller
+id. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -95,12 +98,12 @@ class Index:
         return estimate, self.width * np.sqrt((queries**2).sum(1))[:, None] * spread + 1e-9
 
 
-def fit(rows: DataFrame, sampled: int = 20_000, cells: int = 256, rows_per_cell: int = 4096, seed: int = 3) -> Index:
+def fit(rows: DataFrame, sampled: int = 20_000, rows_per_cell: int = 4096, sampled_per_cell: int = 8, seed: int = 3) -> Index:
     """k-means on at most ``sampled`` vectors, with a cell for so many rows; the rotation is a random orthogonal matrix."""
     random = np.random.default_rng(seed)
     ids, points = sample_with_ids(rows, sampled)
     d = points.shape[1] if len(points) else 1
-    count = max(1, min(cells, len(points), rows.count() // rows_per_cell))
+    count = max(1, min(len(points) // sampled_per_cell, rows.count() // rows_per_cell))
     centroids = points[random.choice(len(points), count, replace=False)] if len(points) else np.zeros((1, d))
     for _ in range(12 if len(points) else 0):
         near = ((centroids**2).sum(1) - 2 * points @ centroids.T).argmin(1)
@@ -124,7 +127,7 @@ def encode(rows: DataFrame, index: Index) -> DataFrame:
 
 
 def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """The k best of a block for each query: bounds first, then exact inner products of those in reach."""
+    """The k best of a block for each query, of those compared exactly: the best estimates, then all in reach."""
     block = block.sort_values("id", kind="stable")
     vectors = matrix(block["v"])
     same = pd.Series([v.tobytes() for v in vectors])
@@ -134,21 +137,30 @@ def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.Dat
     block, vectors = block[keep], vectors[keep]
     ids = block["id"].to_numpy()
     bits = np.frombuffer(b"".join(block["bits"]), np.uint8).reshape(len(block), -1)
+    first = min(2 * index.k, len(ids))
     out = []
     for a in range(0, len(queries), 128):
         some = queries.iloc[a : a + 128]
         q, own, row = matrix(some["v"]), some["query_id"].to_numpy(), some["query_row"].to_numpy()
         estimate, half = index.bounds(q, int(block["cell"].iloc[0]), bits, block["length"].to_numpy(), block["agreement"].to_numpy())
         mine = own[:, None] == ids[None, :]
-        low = np.where(mine, -np.inf, estimate - half)
-        k = min(index.k, len(ids))
-        reach = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
+        estimate[mine] = -np.inf
+        best_first = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
         floor = some["floor"].to_numpy()
-        wanted = (estimate + half >= np.maximum(reach, floor)[:, None]) & ~mine
         for i in range(len(some)):
-            at = np.flatnonzero(wanted[i])
+            known = best_first[i]
+            known = known[~mine[i, known]]
+            exact = vectors[known] @ q[i]
+            threshold = floor[i]
+            if len(known) >= index.k:
+                threshold = max(threshold, np.partition(exact, len(exact) - index.k)[len(exact) - index.k] - 1e-9)
+            reach = estimate[i] + half[i] >= threshold
+            if len(known) < index.k:
+                reach[:] = True
+            reach[mine[i]] = False
+            reach[known] = True
+            at = np.flatnonzero(reach)
             exact = vectors[at] @ q[i]
-            at, exact = at[exact >= floor[i]], exact[exact >= floor[i]]
             best = at[np.lexsort((ids[at], -exact))[: index.k]]
             out.append(pd.DataFrame({"query_row": row[i], "query_id": own[i], "vec_id": ids[best], "score": vectors[best] @ q[i]}))
     return pd.concat(out) if out else pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"])
