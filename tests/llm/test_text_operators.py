@@ -116,6 +116,70 @@ def test_packing_in_shards_is_near_one_best_fit_of_all_and_empty_input_is_empty(
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def island(lengths, **setup):
+    return packing.Island(np.sort(np.asarray(lengths))[::-1].copy(), 1024, packing.Evolution(**setup), 1)
+
+
+def best_fit_bins(lengths):
+    whole = np.zeros(len(lengths), np.int32)
+    packing.best_fit(list(range(len(lengths))), sorted(np.asarray(lengths).tolist(), reverse=True), [], whole, 1024)
+    return int(whole.max()) + 1
+
+
+def fits(packing_, lengths):
+    return np.bincount(packing_, weights=lengths).max() <= 1024 and packing_.min() >= 0
+
+
+def test_crossover_injects_whole_bins_and_places_the_displaced():
+    rng = np.random.default_rng(3)
+    one = island(rng.integers(260, 410, 600), injected_share=0.3)
+    one.first()
+    for _ in range(5):
+        a, b = one.packings[0], one.packings[-1]
+        child = one.cross(a, b)
+        assert len(child) == 600 and fits(child, one.lengths)
+        bins = lambda p: {tuple(np.flatnonzero(p == x)) for x in np.unique(p)}
+        assert len(bins(child) & bins(a)) >= 20  # many bins of the one parent are in the child as they were
+        assert fits(one.mutate(a), one.lengths)
+
+
+def test_displaced_items_take_the_place_of_smaller_ones():
+    one = island([600, 500, 400, 400, 24])  # the bins 600 + 400 and 500 + 400 with 24 left over, 24 and 400 of them displaced
+    assigned, loose = np.array([0, 1, 0, 2, 3], np.int32), np.array([False, False, False, True, True])
+    out = one.refill(assigned, loose)
+    assert fits(out, one.lengths) and len(np.unique(out)) == 2
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(300, 385, 600), (260, 410, 600), (200, 513, 600)])
+def test_islands_beat_best_fit_on_thirds_and_quarters(spark, low, high, n):
+    lengths = np.random.default_rng(n).integers(low, high, n)
+    rows = [(i, i, 0, 0, int(x), 0) for i, x in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES)).toPandas()
+    assert (got.groupby("sequence_id")["length"].sum() <= 1024).all() and len(got) == n
+    assert got["sequence_id"].nunique() <= 0.97 * best_fit_bins(lengths)
+    one = island(lengths)
+    one.first()
+    one.evolve()
+    assert one.floor <= one.rank(one.packings[0])[0] < best_fit_bins(lengths)
+
+
+def test_migration_brings_a_better_packing(spark):
+    lengths = np.random.default_rng(2).integers(300, 385, 900)
+    rows = [(i, i, 0, 0, int(x), 0) for i, x in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    alone = [packing.pack(pieces, setup=packing.Evolution(islands=1, migrants=0, seed=s)).toPandas()["sequence_id"].nunique() for s in (17, 18, 19)]
+    together = packing.pack(pieces, setup=packing.Evolution(islands=3)).toPandas()["sequence_id"].nunique()
+    assert together <= max(alone)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fewest_bins_is_a_lower_bound(seed):
+    lengths = np.random.default_rng(seed).integers(1, 1024, 200)
+    floor = packing.fewest_bins(lengths, 1024)
+    assert -(-lengths.sum() // 1024) <= floor <= best_fit_bins(lengths)
+    assert packing.fewest_bins(np.array([600] * 5 + [424] * 5 + [500]), 1024) == 6 and packing.fewest_bins(np.array([], int), 1024) == 0
+
+
 def brute_components(rows, percent=80):
     sets = []
     for _, t in rows:

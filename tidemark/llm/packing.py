@@ -2,16 +2,21 @@
 
 The genes are whole bins. Documents are dealt at random to shards of bounded size; a shard is one
 packing problem, worked on by several islands, each a Spark group with a population of its own that
-starts from perturbed best-fit-decreasing packings. Crossover takes well-filled bins of one parent
-whole, removes from the other parent every bin that holds one of their documents, and best-fits the
-documents that this displaces. After an epoch each island sends its best packings to the next island
-of the shard, and a second epoch follows. The bins that the best packing of a shard leaves badly
-filled are dissolved, and their documents go through the same steps once more in new shards.
+starts from best-fit-decreasing and perturbed packings. Crossover takes well-filled bins of one parent
+whole, removes from the other parent every bin that holds one of their documents, lets the displaced
+documents take the place of one or two smaller ones where they fill a bin better, and best-fits the rest.
+After an epoch each island sends its best packings to the next island of the shard, and a second epoch
+follows. A packing is never worse than best-fit decreasing of its shard; an island stops as soon as it
+has as few bins as the lengths allow, or some generations have saved none. The bins that the best packing of a shard leaves badly filled are
+dissolved, and their documents go through the same steps in new shards, until one shard holds the rest.
 
 Documents in an order that matters (``ordered``) are dealt to shards as consecutive ranges of it. A sequence
 bears the least key of its pieces, so that with ordered keys ``sequence_id`` rises with its first document.
 
 Nothing whole is held anywhere: a group has the lengths of at most a few thousand pieces.
+
+Equal lengths go by key. A null or empty text is the end id alone; a null doc_id is kept; repeated rows are
+documents of their own; no documents give no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +49,12 @@ class Evolution:
     shard_items: int = 4096
     islands: int = 2
     population: int = 4
-    generations: int = 6
+    generations: int = 12
+    patience: int = 2  # generations of an epoch without a bin less
     migrants: int = 1
     mutated_share: float = 0.02
+    injected_share: float = 0.05
+    exchanged: int = 400  # most displaced items that are tried in exchange for others
     good_fill: float = 0.98
     seed: int = 17
 
@@ -145,6 +153,20 @@ def quality(assigned: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[i
     return len(fill), float(np.mean(fill * fill)) if len(fill) else 1.0
 
 
+def fewest_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound: for every k, items over half a bin take one each, and those of k or more fill what is beside them."""
+    if not len(lengths):
+        return 0
+    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    items, room = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    alone = items[-1] - items[half + 1]
+    beside = items[capacity - k + 1] - items[half + 1]  # over half a bin, with room for k
+    left = beside * capacity - (room[capacity - k + 1] - room[half + 1])
+    small = room[half + 1] - room[k]
+    return int((alone + np.maximum(0, -(-(small - left) // capacity))).max())
+
+
 class Island:
     """A population of packings of one shard; items come longest first."""
 
@@ -152,7 +174,7 @@ class Island:
         self.lengths, self.capacity, self.setup = lengths, capacity, setup
         self.list = lengths.tolist()
         self.random = np.random.default_rng(seed)
-        self.floor = -(-int(lengths.sum()) // capacity)
+        self.floor = fewest_bins(lengths, capacity)
         self.packings: list[np.ndarray] = []
 
     def first(self) -> None:
@@ -173,18 +195,70 @@ class Island:
         return min(self.rank(p)[0] for p in self.packings) <= self.floor
 
     def refill(self, assigned: np.ndarray, loose: np.ndarray) -> np.ndarray:
-        """Best-fit the loose items, longest first, into the bins of the others."""
+        """The loose items into the bins of the others: in exchange for smaller ones first, then by best fit."""
         out = assigned.copy()
         fixed = ~loose
         names, out[fixed] = np.unique(assigned[fixed], return_inverse=True)
         free = (self.capacity - np.bincount(out[fixed], weights=self.lengths[fixed], minlength=len(names))).astype(int).tolist()
-        best_fit(np.flatnonzero(loose).tolist(), self.list, free, out, self.capacity)
+        pool = np.flatnonzero(loose).tolist()
+        if 0 < len(pool) <= self.setup.exchanged:
+            pool = self.exchange(out, fixed, free, pool)
+        best_fit(sorted(pool), self.list, free, out, self.capacity)
         return out
 
+    def exchange(self, out: np.ndarray, fixed: np.ndarray, free: list[int], pool: list[int]) -> list[int]:
+        """Displaced items, one or two, take the place of one or two of a bin that they fill better."""
+        members: list[list[int]] = [[] for _ in free]
+        for i in np.flatnonzero(fixed).tolist():
+            members[out[i]].append(i)
+        reach = self.sums(pool)
+        for b in self.random.permutation(len(free)).tolist():
+            room, own = free[b], members[b]
+            if not room or len(own) > 12:
+                continue
+            best, gain = None, 0
+            for x, i in enumerate(own):
+                for j in [None, *own[x + 1 :]]:
+                    gone = self.list[i] + (0 if j is None else self.list[j])
+                    total = (reach & ((2 << (gone + room)) - 1)).bit_length() - 1
+                    if total - gone > gain:
+                        best, gain = (i, j, total), total - gone
+            come = self.summing(pool, best[2]) if best else None
+            if come is None:
+                continue
+            leave = [i for i in best[:2] if i is not None]
+            members[b] = [m for m in own if m not in leave] + come
+            out[come] = b
+            free[b] = room - gain
+            pool = [m for m in pool if m not in come] + leave
+            reach = self.sums(pool)
+        return pool
+
+    def sums(self, pool: list[int]) -> int:
+        """The lengths of one and two items of the pool, as the bits of a number (a single item's double among them)."""
+        one = 0
+        for i in pool:
+            one |= 1 << self.list[i]
+        two = one
+        for i in pool:
+            two |= one << self.list[i]
+        return two & ((2 << self.capacity) - 1)
+
+    def summing(self, pool: list[int], total: int) -> list[int] | None:
+        """One or two items of the pool with that sum."""
+        at: dict[int, int] = {}
+        for i in pool:
+            if self.list[i] == total:
+                return [i]
+            if total - self.list[i] in at:
+                return [at[total - self.list[i]], i]
+            at[self.list[i]] = i
+        return None
+
     def cross(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """``other`` with a random half of ``one``'s well-filled bins put in whole."""
         fill = np.bincount(one, weights=self.lengths)
-        good = (fill >= np.quantile(fill, 0.5)) & (self.random.random(len(fill)) < 0.5)
+        good = (fill >= np.quantile(fill, 0.5)) & (self.random.random(len(fill)) < self.setup.injected_share)
         injected = good[one]
         hit = np.zeros(other.max() + 1, bool)
         hit[other[injected]] = True
@@ -200,13 +274,16 @@ class Island:
         return self.refill(assigned, np.isin(assigned, worst))
 
     def evolve(self) -> None:
+        idle = 0
         for _ in range(self.setup.generations):
-            if self.done() or len(self.packings) < 2:
+            if self.done() or len(self.packings) < 2 or idle == self.setup.patience:
                 break
+            least = min(self.rank(p)[0] for p in self.packings)
             ranked = sorted(self.packings, key=self.rank)
             a, b = self.random.choice(len(ranked), 2, replace=False)
             children = [self.cross(ranked[min(a, b)], ranked[max(a, b)]), self.mutate(ranked[0])]
             self.packings = sorted(ranked + children, key=self.rank)[: self.setup.population]
+            idle = 0 if self.rank(self.packings[0])[0] < least else idle + 1
         self.packings.sort(key=self.rank)
 
 
@@ -234,7 +311,7 @@ def in_ranges(items: DataFrame, shard_items: int) -> DataFrame:
 
 
 def pack_shards(items: DataFrame, rounds_of: int, capacity: int, setup: Evolution, ordered: bool = False) -> DataFrame:
-    """One round: items (key, length) of ``rounds_of`` shards to (key, first, place, fill); first is the bin's least key."""
+    """One round: items (key, length) of ``rounds_of`` shards to (key, length, first, place, fill); first is the bin's least key."""
     groups = max(1, min(rounds_of * setup.islands, 8192))
     by_hash: Column = F.pmod(F.xxhash64("key"), F.lit(rounds_of))
     dealt = in_ranges(items, setup.shard_items) if ordered else items.select("key", "length", by_hash.alias("shard"))
@@ -264,12 +341,12 @@ def pack_shards(items: DataFrame, rounds_of: int, capacity: int, setup: Evolutio
         out["place"] = out.groupby("bin")["length"].cumsum() - out["length"]
         out["fill"] = out.groupby("bin")["length"].transform("sum")
         out["first"] = out.groupby("bin")["key"].transform("min")
-        return out[["key", "first", "place", "fill"]]
+        return out[["key", "length", "first", "place", "fill"]]
 
     grown = islands.groupBy("shard", "island").applyInPandas(start, STATE)
     both = islands.groupBy("shard", "island").cogroup(grown.groupBy("shard", "island")).applyInPandas(settle, STATE)
     by_shard = dealt.repartition(groups, "shard").groupBy("shard")
-    return by_shard.cogroup(both.groupBy("shard")).applyInPandas(expand, "key long, first long, place long, fill long")
+    return by_shard.cogroup(both.groupBy("shard")).applyInPandas(expand, "key long, length long, first long, place long, fill long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, setup: Evolution = Evolution(), ordered: bool = False) -> DataFrame:
@@ -280,19 +357,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, setup: Evolution = Evoluti
     """
     whole = pieces.where(F.col("length") >= capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.where(F.col("length") < capacity).select("key", "length")
-    n = items.count()
-    placed = whole
-    if n:
+    placed, n = whole, items.count()
+    while n:
         shards = -(-n // setup.shard_items)
-        first = stored(pack_shards(items, shards, capacity, setup, ordered), "packed")
-        loose = first.where(F.col("fill") < setup.good_fill * capacity)
-        left = loose.count() if shards > 1 else 0
-        rounds = [first] if not left else [first.where(F.col("fill") >= setup.good_fill * capacity)]
-        if left:
-            again = items.join(loose.select("key"), "key", "left_semi")
-            rounds.append(pack_shards(again, -(-left // setup.shard_items), capacity, setup, ordered))
-        for df in rounds:
-            placed = placed.unionByName(df.select("key", F.col("first").alias("sequence_id"), F.col("place").alias("offset")))
+        packed = pack_shards(items, shards, capacity, setup, ordered)
+        if shards > 1:
+            packed = stored(packed, "packed")
+            loose = packed.where(F.col("fill") < setup.good_fill * capacity).select("key", "length")
+            left = loose.count()
+            if left < n:
+                packed, items, n = packed.where(F.col("fill") >= setup.good_fill * capacity), loose, left
+            else:
+                n = 0
+        else:
+            n = 0
+        placed = placed.unionByName(packed.select("key", F.col("first").alias("sequence_id"), F.col("place").alias("offset")))
     return pieces.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
