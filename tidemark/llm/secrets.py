@@ -35,12 +35,27 @@ SPAN = "struct<start:int,kind:int,end:int,hash:string,varied:boolean>"
 EXAMPLE_OWNERS = 3
 LEAST_VARIED = 8  # distinct characters of an opaque run
 REDACTED = "[SECRET]"
+STRETCH = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not once an element of the arrays in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut(array: Column) -> Column:
+    """An array in stretches of ``STRETCH``, so that no step copies all that was found before."""
+    stretches = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(array) - 1) / STRETCH).cast("int")))
+    return F.transform(stretches, lambda c: F.slice(array, c * STRETCH + 1, F.lit(STRETCH)))
 
 
 def _spans(text: Column, pattern: str, kind: int, wanted, value) -> Column:
-    """Matches as an array of spans: the matches are marked, the text split at the marks, lengths summed."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    """Matches as an array of spans: the matches are marked, the text split at the marks, lengths summed.
+
+    Every second piece is a match, also within a stretch. The work grows with the pieces, but for a
+    2 * STRETCH'th part of their square.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.length(piece)
@@ -50,30 +65,54 @@ def _spans(text: Column, pattern: str, kind: int, wanted, value) -> Column:
         found = F.when(acc["match"] & wanted(piece), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["match"]).alias("match"), found.alias("found"))
 
-    return F.aggregate(pieces, state, step)["found"]
+    def of_stretch(pieces: Column, at: Column) -> Column:
+        return F.aggregate(pieces, F.struct(at.alias("at"), F.lit(False).alias("match"), none.alias("found")), step)["found"]
+
+    def of_stretches(stretches: Column) -> Column:
+        length = lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = F.aggregate(stretches, start, lambda acc, s: F.struct((acc["at"] + length(s)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+        return F.flatten(F.zip_with(stretches, starts["all"], of_stretch))
+
+    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    return _let(_let(pieces, _cut), of_stretches)
 
 
 def candidates(text: Column) -> Column:
     """Array of candidate spans of all kinds, in no order."""
-    text = F.coalesce(text, F.lit(""))
-    text = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit(INSTEAD))).otherwise(text)
     whole, always = (lambda p: p), (lambda p: F.lit(True))
     assigned = lambda p: F.regexp_extract(p, ASSIGN, 2)
     mixed = lambda p: p.rlike("[0-9]") & p.rlike("[A-Z]") & p.rlike("[a-z]")
     none = F.array().cast(f"array<{SPAN}>")
-    return F.concat(
-        F.when(text.rlike(KEYWORD), _spans(text, ASSIGN, 0, lambda p: F.length(assigned(p)) >= LEAST_ASSIGNED, assigned)).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1, always, whole)).otherwise(none),
-        F.when(text.rlike(HEX), _spans(text, HEX, 2, always, whole)).otherwise(none),
-        F.when(text.rlike(OPAQUE), _spans(text, OPAQUE, 3, mixed, whole)).otherwise(none),
-    )
+
+    def of(text: Column) -> Column:
+        return F.concat(
+            F.when(text.rlike(KEYWORD), _spans(text, ASSIGN, 0, lambda p: F.length(assigned(p)) >= LEAST_ASSIGNED, assigned)).otherwise(none),
+            F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1, always, whole)).otherwise(none),
+            F.when(text.rlike(HEX), _spans(text, HEX, 2, always, whole)).otherwise(none),
+            F.when(text.rlike(OPAQUE), _spans(text, OPAQUE, 3, mixed, whole)).otherwise(none),
+        )
+
+    text = F.coalesce(text, F.lit(""))
+    return _let(F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit(INSTEAD))).otherwise(text), of)
 
 
 def without_overlaps(found: Column) -> Column:
     """The spans in order of start, then kind; opaque ones that touch a base match go."""
-    base = F.filter(found, lambda s: s["kind"] < 3)
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.array_sort(F.filter(found, lambda s: (s["kind"] < 3) | free(s)))
+    least = lambda spans, field: F.array_min(F.transform(spans, lambda s: s[field]))
+    most = lambda spans, field: F.array_max(F.transform(spans, lambda s: s[field]))
+    bounded = lambda spans: F.struct(spans.alias("spans"), least(spans, "start").alias("start"), most(spans, "end").alias("end"))
+    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def free(found: Column, base: Column) -> Column:
+        hit = lambda s: F.exists(base, lambda stretch: touch(stretch, s) & F.exists(stretch["spans"], lambda b: touch(b, s)))
+        return F.array_sort(F.filter(found, lambda s: (s["kind"] < 3) | ~hit(s)))
+
+    def of(found: Column) -> Column:
+        base = _let(F.array_sort(F.filter(found, lambda s: s["kind"] < 3)), lambda base: F.transform(_cut(base), bounded))
+        return F.when(F.size(found) > 0, _let(base, lambda base: free(found, base))).otherwise(found)
+
+    return _let(found, of)
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -92,7 +131,8 @@ def judge(found: DataFrame, owner: str = "owner", repository: str = "repository"
     Each span gets ``live``: few owners have it, and if it is an opaque run, it is varied.
     """
     some = found.where(F.size("found") > 0)
-    counted = ownership(some, owner, repository)
+    # Written first: Spark then splits the tasks of a value that makes up much of all candidates.
+    counted = stored(ownership(some, owner, repository), "ownership")
     each = some.select("row", F.explode("found").alias("s")).select("row", "s", F.col("s.hash").alias("hash")).join(counted, "hash")
     live = (F.col("owners") < example_owners) & ((F.col("s.kind") < 3) | F.col("s.varied"))
     span = F.struct("s.start", "s.kind", "s.end", live.alias("live"), "owners", "repositories")
@@ -131,30 +171,32 @@ def scan(documents: DataFrame, owner: Column | None = None, repository: Column |
 def redact(documents: DataFrame, mask: str = REDACTED) -> DataFrame:
     """``documents`` with every live-looking secret replaced by ``mask``; copied examples stay.
 
-    Only the few texts with candidates move; the others pass by. n_chars follows the new text.
+    The texts are scanned once. n_chars follows the new text; all other columns, whatever their names, stay as
+    they are. Null and empty texts stay; repeated rows are masked each; an empty table gives no rows.
     """
-    columns = documents.columns
-    has = F.size(candidates(F.col("text"))) > 0
-    dirty = documents.where(has).withColumn("row", F.monotonically_increasing_id()).withColumn("found", without_overlaps(candidates(F.col("text"))))
-    dirty = dirty.withColumn("owner", F.col("source")).withColumn("repository", F.concat_ws("/", "source", "lang"))
-    dirty = stored(dirty, "with-candidates")
-    judged = dirty.join(judge(dirty.select("row", "found", "owner", "repository")), "row", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    of = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+    rows = documents.select(of, without_overlaps(candidates(F.col("text"))).alias("found"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    has = F.size("found") > 0
+    dirty = rows.where(has).withColumn("owner", F.col("doc.source")).withColumn("repository", F.concat_ws("/", "doc.source", "doc.lang"))
+    judged = dirty.select("doc", "row").join(judge(dirty.select("row", "found", "owner", "repository")), "row", "left")
+    text = F.col("doc.text")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        text = F.when(s["start"] >= acc["at"], F.concat(acc["text"], before, F.lit(mask))).otherwise(acc["text"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("text"))
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(before, F.lit(mask)))).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
 
     live = F.filter("spans", lambda s: s["live"])
-    rest = lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     changed = F.coalesce(F.size(live) > 0, F.lit(False))
-    text = F.when(changed, F.aggregate(live, start, step, rest)).otherwise(F.col("text"))
-    judged = judged.withColumn("new", text)
-    if "n_chars" in columns:
-        judged = judged.withColumn("n_chars", F.when(changed, F.length("new").cast("long")).otherwise(F.col("n_chars")))
-    judged = judged.withColumn("text", F.col("new")).select(*columns)
-    return documents.where(~has).unionByName(judged)
+    judged = judged.withColumn("new", F.when(changed, F.aggregate(live, start, step, rest)).otherwise(text))
+    doc = F.col("doc").withField("text", F.col("new"))
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        doc = doc.withField("n_chars", F.when(changed, F.length("new").cast(kind)).otherwise(F.col("doc.n_chars")))
+    return rows.where(~has).select("doc.*").unionByName(judged.select(doc.alias("doc")).select("doc.*"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
