@@ -405,6 +405,85 @@ def test_toxicity_on_held_out_rows_and_odd_texts(spark, documents, tmp_path):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["doc_id"] < 400} == {i for i, y in labels if not y}
 
 
+def kernel_by_hand(one, other, decay):
+    """Sum over the subsequences of both words, by their characters, of decay to the skipped characters, over both norms."""
+
+    def features(word):
+        padded, out = "_" + word + "_", {}
+        for i in range(len(padded)):
+            for p in toxicity.PATTERNS:
+                if i + p[3] < len(padded) and "_" not in padded[i + 1 : i + p[3]]:
+                    key = "".join(padded[i + k] for k in p)
+                    out[key] = out.get(key, 0) + decay ** (p[3] - 3)
+        return out
+
+    a, b = features(one), features(other)
+    norm = lambda w: sum(decay ** (2 * (p[3] - 3)) * max(0, len(w) + 2 - p[3]) for p in toxicity.PATTERNS) ** 0.5
+    return sum(v * b[k] for k, v in a.items() if k in b) / max(1, norm(one)) / max(1, norm(other))
+
+
+def test_the_folded_table_gives_the_kernel_machine(spark):
+    words = ["blockhead", "nitwit", "the", "theea", "block", "abcdefgh"]
+    kernel = toxicity.Kernel(0.8)
+    features = toxicity.Nystrom([], words, kernel)
+    beta = np.random.default_rng(1).normal(size=features.root.shape[1])
+    model = toxicity.Model(kernel, features.table(beta), 0.25)
+    others = ["blockhead", "blxockhead", "nitnitwit", "thea", "zzz", "dcba"]
+    direct = np.array([[kernel_by_hand(w, m, 0.8) for m in words] for w in others])
+    np.testing.assert_allclose(features.sentences(others), direct @ features.root, atol=2e-5)
+    np.testing.assert_allclose(model.word_margins([" ".join(others)])[0], np.maximum(direct @ (features.root @ beta) + 0.25, toxicity.FLOOR), atol=2e-4)
+    two = features.sentences(["blockhead thea"])
+    np.testing.assert_allclose(two[0], (features.sentences(["blockhead"])[0] + features.sentences(["thea"])[0]) / 2**0.5, atol=2e-5)
+
+
+@pytest.mark.parametrize(("text_", "same"), [("i.d.i.o.t", "idiot"), ("x i d i o t y z", "xidiotyz"), ("i--d--i--o--t!", "idiot"), ("i1d1i0o9t", "idiot"), ("...", ""), ("", "")])
+def test_marks_and_spaces_inside_words_do_not_count(text_, same):
+    classes, first, last, of = toxicity.words_of([text_, "and"])
+    assert [bytes(classes[a:b]) for a, b in zip(first, last)] == [bytes(toxicity.classes_of(w)) for w in (same, "and") if w]
+    assert of.tolist() == ([0, 1] if same else [1])
+
+
+def test_changed_insults_are_found_and_stems_need_repetition(spark, documents, tmp_path):
+    rows, labels = toxic_corpus()
+    docs = documents(rows, tmp_path / "d")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rng = random.Random(3)
+    ways = [lambda w: w, ".".join, "--".join, " ".join, lambda w: w[:2] + rng.choice("qxz") + w[2:], lambda w: w[:3] + "e" + w[3:]]
+    for way in ways:
+        changed = [text(rng, 12) + " " + way(rng.choice(["blockhead", "nitwit"])) + " " + text(rng, 12) for _ in range(40)]
+        assert (model.scores(changed) >= 0.5).mean() >= 0.9
+    assert (model.scores([text(rng, 60) for _ in range(40)]) < 0.5).all()
+
+
+def test_stages_leave_other_columns_as_they_are(spark, documents, tmp_path):
+    rows, labels = toxic_corpus(60)
+    docs = documents(rows + [(900, "password = Liv3SecretZq1 here", "s")], tmp_path / "d")
+    names = ("score", "predicted", "slot", "place", "row", "owner", "repository", "found", "spans", "new", "doc", "hash", "h", "n", "entity")
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    docs = shared.stored(docs, "docs")
+    want = {r["doc_id"]: tuple(r[c] for c in names) for r in docs.collect()}
+    for out in (toxicity.drop_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int")), secrets.redact(docs), mixing.in_mixed_order(docs), ngram_join.keep_first(docs)):
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = {r["doc_id"]: tuple(r[c] for c in names) for r in out.collect()}
+        assert len(got) > 20 and all(want[i] == v for i, v in got.items())
+    assert "[SECRET]" in secrets.redact(docs).where("doc_id = 900").first()["text"]
+
+
+def test_empty_tables_pass_the_whole_pipeline(spark, documents, tmp_path):
+    documents([], tmp_path / "documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert token_frames.op3(spark, str(tmp_path)).count() == 0
+
+
+def test_very_many_secrets_in_one_text(documents, tmp_path):
+    each = [hashlib.sha256(str(i).encode()).hexdigest() + " x" for i in range(1500)]
+    one = secrets.scan(documents([(1, " ".join(each), "s")], tmp_path / "d")).first()
+    spans = ",".join(f"hex:{67 * i}:{67 * i + 64}" for i in range(1500))
+    assert one["n_hex"] == 1500 and one["spans"] == spans and one["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_toxicity_without_labels_or_rows(spark, documents, tmp_path):
     docs = documents([(1, "a", "s")], tmp_path / "d")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -177,11 +177,10 @@ def placed(documents: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
 
 def in_mixed_order(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``documents`` with its columns, dealt and sorted by the mixed order."""
-    columns = documents.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     order = stored(placed(documents, mix=mix).select("row", "slot", "place"), "order")
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    joined = numbered.join(order, numbered["__row"] == order["row"])
-    return joined.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*[numbered[c] for c in columns])
+    numbered = documents.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(order, "row").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("doc.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
