@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import grid_order, rotated_codes, vectors, warc
+from tidemark.llm import grid_order, rotated_codes, shared, vectors, warc
 
 PAGE = "page_id long, url string, html string, captured long, url_key string, digest int"
 
@@ -39,6 +39,19 @@ def test_archives_round_trip_in_global_order(pages, tmp_path):
     assert warc.archive_and_merge(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [7, 100_000])
+def test_any_page_id_and_time_and_ranges_of_any_size(spark, tmp_path, range_rows):
+    rows = [(10**12, "a.b/", "x" * 150, 10**15), (-(2**63), "a.b/", "x" * 150, -(10**15)), (2**63 - 1, "c.d/", "y", None)] + [(i, f"h{i % 3}.e/", "z" * i, i % 5) for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, captured long").write.parquet(str(tmp_path / "pages"))
+    manifest = shared.stored(warc.write_archives(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "warc")), "m")
+    got = warc.merge_runs(shared.stored(warc.read_archives(manifest), "runs"), range_rows).toPandas().sort_values(["history_part", "history_place"])
+    assert sorted(zip(got["page_id"], got["captured"])) == sorted((r[0], r[3] or 0) for r in rows)
+    order = list(zip(got["url_key"], got["captured"], got["page_id"]))
+    assert order == sorted(order)
+    by_id = got.set_index("page_id")
+    assert by_id.loc[10**12, "record_type"] == "revisit" and by_id.loc[10**12, "refers_to"] == -(2**63)
+
+
 def test_url_keys(spark):
     df = spark.createDataFrame([("http://www.Ex.org:80/A?b#c",), ("https://u@sub.ex.org:8080",), (None,), ("ex.org/x",)], "u string")
     assert [r[0] for r in df.select(warc.url_key(F.col("u"))).collect()] == ["org,ex)/a?b", "org,ex,sub:8080)/", ")/", "org,ex)/x"]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path, stored, table
+from tidemark.llm.shared import new_path, parts_for, stored, table, text_volume
 
 BROADCAST_BLOCKS = 250_000
 
@@ -180,7 +180,7 @@ def in_mixed_order(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     order = stored(placed(documents, mix=mix).select("row", "slot", "place"), "order")
     numbered = documents.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row"))
-    return numbered.join(order, "row").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("doc.*")
+    return numbered.join(order, "row").repartitionByRange(parts_for(text_volume(documents)), "slot", "place").sortWithinPartitions("slot", "place").select("doc.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

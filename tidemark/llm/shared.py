@@ -12,12 +12,14 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a new local one where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -45,6 +47,11 @@ def text_volume(df: DataFrame, column: str = "text") -> int:
     return int(row["n"] or 0)
 
 
+def parts_for(volume: int, each: int = 16 << 20, most: int = 20_000) -> int:
+    """Partitions of about ``each`` bytes; beyond ``most`` they grow instead, so that files and tasks stay countable."""
+    return max(1, -(-volume // max(each, volume // most)))
+
+
 def open_filesystem(uri: str):
     """pyarrow's file system and path of a URI, so that tasks reach any store that pyarrow knows."""
     from pyarrow import fs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import END_ID, default_vocabulary, encoder
-from tidemark.llm.shared import new_path, open_filesystem, stored, table
+from tidemark.llm.shared import new_path, open_filesystem, parts_for, stored, table, text_volume
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -192,7 +192,7 @@ def write_tokens(
             yield pd.DataFrame([(f"{path}/part-{part:06d}.tok.zst", part, first, n, tokens)], columns=["path", "part", "first_doc", "docs", "tokens"])
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = rows.repartitionByRange(parts_for(text_volume(documents)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return ordered.select("doc_id", "text").mapInPandas(write, MANIFEST)
 
 

@@ -8,8 +8,9 @@ Merging: reading an archive back gives a locally sorted run of captures. The run
 (URL key, time, page), so a URL with very many captures spans ranges, and each range merges its k runs with
 a loser tree. Ranges in order, and rows in order inside each, make the capture histories.
 
-Pages have no capture time, so ``captured`` is a parameter: seconds since the epoch, by default page_id
-seconds after 2024-01-01 00:00:00 UTC. A null html counts as empty; a null url has an empty key and an empty
+Pages have no capture time, so ``captured`` is a parameter: seconds since the epoch, in the query page_id (modulo
+ten years) seconds after 2024-01-01 00:00:00 UTC. A time beyond the years 1 to 9999 is kept in a field of its own,
+and its WARC-Date is the nearest that there is; a null one counts as 0. A null html counts as empty; a null url has an empty key and an empty
 target; null page_ids are never preferred as response over a number, and refer by record id alone. Of
 repeated rows with one page_id and payload, the first by url, then by place in the table, is the response. An
 empty table writes no archive and gives no rows. Extra columns are not read.
@@ -21,8 +22,10 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import new_path, open_filesystem, stored, table
 
 LEAST_PAYLOAD = 100
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799  # of the years 1 and 9999
+RANGE_ROWS = 100_000  # captures of a range, which a task merges
 MANIFEST = "path string, records long"
 CAPTURE = (
     "run string, place long, url_key string, captured long, page_id long, url string, record_type string, "
@@ -51,13 +56,15 @@ def with_first(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFram
     """Pages with digest, length, and the page that is the response for their payload (null: they are)."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), "captured",
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.coalesce(F.col("captured").cast("long"), F.lit(0)).alias("captured"),
         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"),
         F.monotonically_increasing_id().alias("row"),
     )
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("row").alias("row"))
     equal = pages.where(F.col("payload_bytes") >= least_payload).groupBy("payload_digest")
     equal = equal.agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("key"), "first")
+    # Written first: Spark then splits the tasks of a payload that very many pages have.
+    equal = stored(equal, "equal-payloads")
     key = F.when(F.col("payload_bytes") >= least_payload, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.col("row").cast("string")))
     joined = pages.withColumn("key", key).join(equal, "key", "left")
     revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
@@ -72,14 +79,14 @@ def _record_id(row: int) -> str:
 def _record(row: Any) -> bytes:
     from datetime import UTC, datetime
 
-    date = datetime.fromtimestamp(row.captured, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = datetime.fromtimestamp(min(max(row.captured, FIRST_SECOND), LAST_SECOND), UTC).isoformat().replace("+00:00", "Z")
     page = "" if row.page_id is None else str(row.page_id)
     target = "".join(c if c.isprintable() and c != " " else "%%%02X" % ord(c) for c in row.url)
     body = RESPONSE_HEAD if row.revisit else RESPONSE_HEAD + row.html.encode("utf-8")
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if row.revisit else 'response'}", f"WARC-Record-ID: <{_record_id(row.row)}>",
         f"WARC-Target-URI: {target}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{row.payload_digest}",
-        "Content-Type: application/http; msgtype=response", f"X-Page-Id: {page}", f"X-Url-Key: {row.url_key}", f"X-Payload-Length: {row.payload_bytes}",
+        "Content-Type: application/http; msgtype=response", f"X-Page-Id: {page}", f"X-Url-Key: {row.url_key}", f"X-Captured: {row.captured}", f"X-Payload-Length: {row.payload_bytes}",
     ]
     if row.revisit:
         first = "" if row.first_page is None else str(row.first_page)
@@ -160,8 +167,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     columns = [c.strip().split(" ")[0] for c in CAPTURE.split(",")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from datetime import UTC, datetime
-
         def number(text: str) -> int | None:
             return int(text) if text else None
 
@@ -179,9 +184,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             size = len(payload)
                             if hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{path}: the record at {offset} does not match its digest")
-                        time = datetime.strptime(fields["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
                         rows.append((
-                            path, place, fields["x-url-key"], int(time.timestamp()), number(fields["x-page-id"]), fields["warc-target-uri"], fields["warc-type"],
+                            path, place, fields["x-url-key"], int(fields["x-captured"]), number(fields["x-page-id"]), fields["warc-target-uri"], fields["warc-type"],
                             size, digest, number(fields.get("x-refers-to-page", "")), fields["warc-record-id"].strip("<>"), offset, length,
                         ))
                         if len(rows) == 5_000:
@@ -239,8 +243,12 @@ class LoserTree:
             self._play(winner)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, time and page: ``history_part`` then ``history_place``."""
+def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Captures in global order of URL key, time and page: ``history_part`` then ``history_place``.
+
+    The number of ranges follows the number of captures, so a task holds about ``range_rows`` of them, each run's
+    part of the range in its sorted order, however long the runs are.
+    """
     columns = captures.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema) + ", history_part int, history_place long"
 
@@ -251,21 +259,28 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         for batch in batches:
             for run, rows in batch.groupby("run", sort=False):
                 runs.setdefault(run, []).append(rows)
-        runs = {run: pd.concat(parts) for run, parts in sorted(runs.items())}
-
-        def keys(k: int, rows: pd.DataFrame) -> Iterator[tuple]:
-            ids = rows["page_id"].isna()
-            for i, key in enumerate(zip(rows["url_key"], rows["captured"], ~ids, rows["page_id"].fillna(0), rows["place"])):
-                yield (*key, k, i)
-
-        order = [(k, i) for *_, k, i in LoserTree([keys(k, rows) for k, rows in enumerate(runs.values())])]
-        if order:
-            start = pd.Series([0, *(len(r) for r in runs.values())]).cumsum()
-            out = pd.concat(list(runs.values()), ignore_index=True).iloc[[start[k] + i for k, i in order]]
-            out = out.astype({"page_id": "Int64", "refers_to": "Int64"})
-            yield out[columns].assign(history_part=part, history_place=range(len(out)))
 
-    ranged = captures.repartitionByRange("url_key", "captured", "page_id", "run", "place")
+        def heads(k: int, parts: list[pd.DataFrame]) -> Iterator[tuple]:
+            at = 0
+            for rows in parts:
+                known = rows["page_id"].notna()
+                for key in zip(rows["url_key"], rows["captured"], known, rows["page_id"].fillna(0), rows["place"]):
+                    yield (*key, k, at)
+                    at += 1
+
+        runs = dict(sorted(runs.items()))
+        order = iter(LoserTree([heads(k, parts) for k, parts in enumerate(runs.values())]))
+        tables = [pd.concat(parts, ignore_index=True) for parts in runs.values()]
+        first = np.cumsum([0, *(len(t) for t in tables)])
+        whole = pd.concat(tables, ignore_index=True) if tables else None
+        place = 0
+        while some := [first[k] + at for *_, k, at in islice(order, 10_000)]:
+            out = whole.iloc[some].astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield out[columns].assign(history_part=part, history_place=range(place, place + len(out)))
+            place += len(out)
+
+    ranges = max(1, -(-captures.count() // range_rows))
+    ranged = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "place")
     return ranged.sortWithinPartitions("run", "place").mapInPandas(merge, schema)
 
 
@@ -277,7 +292,7 @@ def archive_and_merge(pages: DataFrame, path: str) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """A record per page, read back from the archives in the order of the capture histories."""
-    captured = F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))
+    captured = F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(315_360_000))
     pages = table(spark, sf_dir, "pages").withColumn("captured", captured.cast("long"))
     merged = archive_and_merge(pages, new_path(spark, "warc"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_part", "history_place")
