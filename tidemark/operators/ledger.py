@@ -97,29 +97,35 @@ def open_exposure(signals: DataFrame, trades: DataFrame, sectors: DataFrame, dir
     """For each signal (symbol, signal, ts): how many trades are open then, in all, on its side, in its sector
     and in its symbol, and whether the caps allow it.
 
-    A trade is +1 when it opens and -1 when it closes. The events of a day are summed per day first, days are
-    accumulated over a small table, and the running sums inside a day start from there: no pair of a signal and
-    a trade is made, and no group holds more than a day.
+    A trade is +1 when it opens and -1 when it closes. Trades and signals are one table, each row once per cap it
+    counts for. The events of a day are summed per day first, days are accumulated over a small table, and the
+    running sums inside a day start from there: no pair of a signal and a trade is made, and no group holds more
+    than a day. A last aggregate brings the caps of a signal together again; equal signals are one row of it.
     """
-    sectors = F.broadcast(sectors.select("symbol", "sector"))
-    opened = trades.select("symbol", F.col("signal").alias("side"), F.col("opened_at").alias("ts"), F.lit(1).alias("step"))
-    closed = trades.where("closed_at IS NOT NULL").select("symbol", F.col("signal").alias("side"), F.col("closed_at").alias("ts"), F.lit(-1).alias("step"))
-    events = opened.unionByName(closed).join(sectors, "symbol", "left")
-    asked = signals.select("*", F.monotonically_increasing_id().alias("_id")).drop("sector").join(sectors, "symbol", "left")
-    out = asked
-    for name, key, event_key in (("open_all", F.lit("all"), F.lit("all")), ("open_side", F.col("signal"), F.col("side")), ("open_sector", F.col("sector"), F.col("sector")), ("open_symbol", F.col("symbol"), F.col("symbol"))):
-        steps = events.select(event_key.alias("_k"), "ts", F.col("step").cast("long").alias("step"), F.lit(None).cast("long").alias("_id")).where("_k IS NOT NULL")
-        rows = steps.unionByName(asked.select(key.alias("_k"), "ts", F.lit(0).cast("long").alias("step"), "_id").where("_k IS NOT NULL"))
-        rows = rows.withColumn("_day", F.col("ts").cast("date"))
-        daily = rows.groupBy("_k", "_day").agg(F.sum("step").alias("_sum"))
-        earlier = Window.partitionBy("_k").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-        daily = daily.select("_k", "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-        # All events up to and at the time count, as a trade is open from its opening and no longer at its close.
-        inside = Window.partitionBy("_k", "_day").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        counted = rows.withColumn("_in", F.sum("step").over(inside)).where("_id IS NOT NULL").join(daily, ["_k", "_day"])
-        out = out.join(counted.select("_id", (F.col("_base") + F.col("_in")).alias(name)), "_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    sectors = sectors.select("symbol", "sector")
+    sides = F.struct("symbol", F.col("signal").alias("side"))
+    opened = trades.select(sides.alias("of"), F.col("opened_at").alias("ts"), F.lit(1).cast("long").alias("step"))
+    closed = trades.where("closed_at IS NOT NULL").select(sides.alias("of"), F.col("closed_at").alias("ts"), F.lit(-1).cast("long").alias("step"))
+    nothing = F.lit(None).cast(signals.select(F.struct("*").alias("s")).schema["s"].dataType)
+    asked = signals.groupBy(*signals.columns).agg(F.count("*").alias("_times")).select(sides.alias("of"), "ts", F.lit(0).cast("long").alias("step"), F.struct(*signals.columns).alias("row"), "_times")
+    rows = opened.unionByName(closed).select("*", nothing.alias("row"), F.lit(None).cast("long").alias("_times")).unionByName(asked)
+    rows = rows.select("of.*", "ts", "step", "row", "_times").join(sectors, "symbol", "left")
+    caps = (("open_all", F.lit("")), ("open_side", F.col("side")), ("open_sector", F.col("sector")), ("open_symbol", F.col("symbol")))
+    keys = F.array(*[F.struct(F.lit(n).alias("cap"), k.alias("key")) for n, k in caps])
+    rows = rows.withColumn("k", F.explode(keys)).select("k.*", "ts", "step", "row", "_times", F.col("ts").cast("date").alias("day"))
+    rows = rows.where("key IS NOT NULL OR row IS NOT NULL")  # a signal without a sector is still answered
+    daily = rows.groupBy("cap", "key", "day").agg(F.sum("step").alias("sum"))
+    earlier = Window.partitionBy("cap", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.select(F.col("cap").alias("_cap"), F.col("key").alias("_key"), F.col("day").alias("_day"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
+    # All events up to and at the time count, as a trade is open from its opening and no longer at its close.
+    inside = Window.partitionBy("cap", "key", "day").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = (F.col("cap") == F.col("_cap")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))
+    counted = rows.withColumn("in", F.sum("step").over(inside)).where("row IS NOT NULL").join(daily, same)
+    held = F.when(F.col("key").isNotNull(), F.col("base") + F.col("in")).otherwise(0)
+    out = counted.groupBy("row", "_times").agg(*[F.max(F.when(F.col("cap") == n, held)).alias(n) for n, _ in caps])
+    out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("row.*", *[n for n, _ in caps])
     allowed = (F.col("open_all") < open_cap) & (F.col("open_side") < direction_cap) & (F.col("open_sector") < sector_cap) & (F.col("open_symbol") < 1)
-    return out.withColumn("allowed", allowed).drop("_id")
+    return out.withColumn("allowed", allowed)
 
 
 def drop_on_cooldown(signals: DataFrame, ledger: DataFrame, hours: float = 2.0) -> DataFrame:

@@ -88,6 +88,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def recent(df: DataFrame, n: int, time: str) -> DataFrame:
-    """The newest n rows of the table, newest first."""
-    return df.orderBy(F.desc(time)).limit(n)
+def recent(df: DataFrame, n: int, time: str, *then: str) -> DataFrame:
+    """The newest n rows of the table, newest first; equal times by ``then``, descending."""
+    return df.orderBy(F.desc(time), *map(F.desc, then)).limit(n)

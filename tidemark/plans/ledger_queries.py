@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import is_stale
 from tidemark.operators import ledger as book
+from tidemark.operators.series import recent
 from tidemark.plans.tables import LEDGER_SQL, ledger, near, near_sql, stamp, stamp_sql, table, ticks
 
 QUERIES: dict = {}
@@ -98,12 +100,12 @@ def _(spark, sf_dir):
     return out.select(near("equity", 2).alias("equity"), near("unrealised", 2).alias("unrealised"), "open_positions")
 
 
-_ASKED = "SELECT l_orderkey AS id, 'S' || (l_suppkey % 20) AS symbol, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS signal, l_shipdate + INTERVAL 12 HOUR AS ts FROM lineitem WHERE l_linenumber = 1"
+_ASKED = "SELECT l_orderkey || '-' || l_linenumber AS id, 'S' || (l_suppkey % 20) AS symbol, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS signal, l_shipdate + INTERVAL 12 HOUR AS ts FROM lineitem WHERE true"
 
 
 def asked(spark, sf_dir, only: str = "true", hours: int = 12) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").where(only)
-    return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("signal"), (F.col("l_shipdate") + F.expr(f"INTERVAL {hours} HOURS")).alias("ts"))
+    lines = table(spark, sf_dir, "lineitem").where(only)
+    return lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("symbol"), F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("signal"), (F.col("l_shipdate") + F.expr(f"INTERVAL {hours} HOURS")).alias("ts"))
 
 
 def _steps(key: str) -> str:
@@ -115,19 +117,20 @@ def _steps(key: str) -> str:
     "open_exposure",
     f"""WITH l AS (SELECT *, 'sec' || (CAST(substr(symbol, 2) AS INTEGER) % 4) AS sector FROM ({LEDGER_SQL})), a AS (SELECT *, 'sec' || (CAST(substr(symbol, 2) AS INTEGER) % 4) AS sector FROM ({_ASKED})),
 x AS ({_steps("'all'")}), y AS ({_steps("signal")}), z AS ({_steps("sector")}), v AS ({_steps("symbol")})
-SELECT id, CAST(coalesce(x.n, 0) AS BIGINT) AS open_all, CAST(coalesce(y.n, 0) AS BIGINT) AS open_side, CAST(coalesce(z.n, 0) AS BIGINT) AS open_sector, CAST(coalesce(v.n, 0) AS BIGINT) AS open_symbol
+SELECT id, CAST(coalesce(x.n, 0) AS BIGINT) AS open_all, CAST(coalesce(y.n, 0) AS BIGINT) AS open_side, CAST(coalesce(z.n, 0) AS BIGINT) AS open_sector, CAST(coalesce(v.n, 0) AS BIGINT) AS open_symbol,
+  coalesce(x.n, 0) < 10 AND coalesce(y.n, 0) < 3 AND coalesce(z.n, 0) < 2 AND coalesce(v.n, 0) < 1 AS allowed
 FROM a ASOF LEFT JOIN x ON a.ts >= x.ts ASOF LEFT JOIN y ON a.signal = y.k AND a.ts >= y.ts ASOF LEFT JOIN z ON a.sector = z.k AND a.ts >= z.ts ASOF LEFT JOIN v ON a.symbol = v.k AND a.ts >= v.ts""",
 )
 def _(spark, sf_dir):
     trades = ledger(spark, sf_dir)
     sectors = trades.select("symbol").distinct().withColumn("sector", F.concat(F.lit("sec"), (F.substring("symbol", 2, 9).cast("int") % 4).cast("string")))
-    return book.open_exposure(asked(spark, sf_dir), trades, sectors).select("id", "open_all", "open_side", "open_sector", "open_symbol")
+    return book.open_exposure(asked(spark, sf_dir), trades, sectors).select("id", "open_all", "open_side", "open_sector", "open_symbol", "allowed")
 
 
 @query(
     "signals_off_cooldown",
     f"""WITH c AS (SELECT symbol, closed_at AS ts, max(CASE WHEN close_reason <> 'TP2 hit' THEN 1 ELSE 0 END) AS lost FROM (SELECT * FROM ({LEDGER_SQL}) WHERE pnl < 0 OR close_reason IN ('Ghost — PnL unrecoverable', 'TP2 hit')) GROUP BY ALL),
-a AS ({_ASKED.replace("12 HOUR", "1 HOUR").replace("l_linenumber = 1", "l_linenumber = 1 AND l_quantity > 10")})
+a AS ({_ASKED.replace("12 HOUR", "1 HOUR").replace("WHERE true", "WHERE l_quantity > 10")})
 SELECT id, symbol, signal FROM a ASOF LEFT JOIN c ON a.symbol = c.symbol AND a.ts >= c.ts WHERE NOT coalesce(c.lost = 1 AND date_diff('second', c.ts, a.ts) / 3600.0 < 2, false)""".replace(
         "SELECT id, symbol", "SELECT id, a.symbol"
     ),
@@ -206,10 +209,20 @@ def _(spark, sf_dir):
 @query("recent_trades", f"SELECT trade_id, symbol, {stamp_sql('closed_at')} AS closed_at FROM (SELECT *, row_number() OVER (ORDER BY closed_at DESC, trade_id DESC) AS k FROM ({LEDGER_SQL})) WHERE k <= 100")
 def _(spark, sf_dir):
     """The last hundred; equal times by the trade's name."""
-    out = ledger(spark, sf_dir).orderBy(F.desc("closed_at"), F.desc("trade_id")).limit(100)
+    out = recent(ledger(spark, sf_dir), 100, "closed_at", "trade_id")
     return out.select("trade_id", "symbol", stamp("closed_at").alias("closed_at"))
 
 
+@query(
+    "stale_trades",
+    f"""SELECT symbol, date_diff('second', opened_at, TIMESTAMP '1996-01-01') / 3600.0 > 48 AS stale, count(*) AS trades FROM ({LEDGER_SQL}) GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    """Trades older than two days at the start of 1996."""
+    stale = is_stale("opened_at", F.lit("1996-01-01").cast("timestamp_ntz"))
+    return ledger(spark, sf_dir).select("symbol", stale.alias("stale")).groupBy("symbol", "stale").agg(F.count("*").alias("trades"))
+
+
 @query("open_trades_json", """SELECT symbol, signal, round(entry, 4) + 0.0 AS entry, qty FROM (%s)""" % _OPEN_SQL)
 def _(spark, sf_dir):
     """Trades through one JSON map per side and back."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lexicon import BEARISH, BULLISH, MAJORS
 from tidemark.operators import backtest, features, joins, market, ml, series, signals, summaries
 from tidemark.plans.tables import BENCHMARK, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql, weekly
 from tidemark.plans.workloads import rule_signals, run_backtest, scored_signals
@@ -104,20 +105,53 @@ def ruled(spark, sf_dir) -> DataFrame:
     return rule_signals(features.add_features(bars(spark, sf_dir)))
 
 
+_STATE_SQL = "CASE CAST(volume AS BIGINT) % 4 WHEN 0 THEN 'VERY_HIGH' WHEN 1 THEN 'DEAD' WHEN 2 THEN 'UNKNOWN' ELSE 'NORMAL' END"
+_LEVEL_SQL = "CASE WHEN entry < 10 THEN round_even({0}, 4) ELSE round_even({0}, 2) END"
+
+
 @query(
     "signal_levels",
-    f"""{_ONE_SQL}, l AS (SELECT symbol, open_time, signal, close AS entry, atr, CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END AS side FROM s WHERE signal <> 'NO_TRADE' AND atr > 0),
-p AS (SELECT *, entry - side * 2.5 * atr AS stop, entry + side * 3.5 * atr AS tp1, entry + side * 7.5 * atr AS tp2 FROM l)
-SELECT symbol, {AT_SQL}, signal, {near_sql("stop", 1)} AS stop, {near_sql("tp1", 1)} AS tp1, {near_sql("tp2", 1)} AS tp2 FROM p WHERE round(stop, 2) > 0 AND round(tp1, 2) > 0 AND round(tp2, 2) > 0""",
+    f"""{_ONE_SQL}, l AS (SELECT symbol, open_time, signal, close AS entry, atr, {_STATE_SQL} AS vol_state, CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END AS side FROM s WHERE signal <> 'NO_TRADE' AND atr > 0),
+x AS (SELECT *, CASE vol_state WHEN 'VERY_HIGH' THEN 1.5 WHEN 'NORMAL' THEN 1.0 ELSE 0.8 END AS stretch FROM l),
+p AS (SELECT *, {_LEVEL_SQL.format("entry - side * atr * 2.5")} AS stop, {_LEVEL_SQL.format("entry + side * atr * 3.5 * stretch")} AS tp1, {_LEVEL_SQL.format("entry + side * atr * 7.5 * stretch")} AS tp2 FROM x)
+SELECT symbol, {AT_SQL}, signal, vol_state, {near_sql("stop")} AS stop, {near_sql("tp1")} AS tp1, {near_sql("tp2")} AS tp2 FROM p WHERE stop > 0 AND tp1 > 0 AND tp2 > 0""",
 )
 def _(spark, sf_dir):
-    """Rounded further for the comparison: two engines may round a half at the second digit either way."""
-    df = ruled(spark, sf_dir).where("signal <> 'NO_TRADE' AND atr > 0").withColumns({"entry": F.col("close"), "vol_state": F.lit("NORMAL")})
-    exact = signals.with_levels(df)
-    side = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
-    level = lambda k: near(F.col("entry") + side * k * F.col("atr"), 1)
-    off = F.abs(F.col("stop") - (F.col("entry") - side * 2.5 * F.col("atr")))
-    return exact.where(off < 0.0051).select("symbol", at(), "signal", level(-2.5).alias("stop"), level(3.5).alias("tp1"), level(7.5).alias("tp2"))
+    """With the bar's volume standing for the state of the market."""
+    kind = F.col("volume").cast("long") % 4
+    state = F.when(kind == 0, "VERY_HIGH").when(kind == 1, "DEAD").when(kind == 2, "UNKNOWN").otherwise("NORMAL")
+    df = ruled(spark, sf_dir).where("signal <> 'NO_TRADE' AND atr > 0").withColumns({"entry": F.col("close"), "vol_state": state})
+    return signals.with_levels(df).select("symbol", at(), "signal", "vol_state", *[near(c).alias(c) for c in ("stop", "tp1", "tp2")])
+
+
+@query(
+    "prices_on_ticks",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, CASE l_partkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.05 WHEN 2 THEN 0.0 WHEN 3 THEN l_extendedprice / l_quantity * 0.6 END AS tick FROM lineitem),
+u AS (SELECT *, CASE WHEN tick IS NULL OR tick <= 0 OR tick > price / 2 THEN 0.01 ELSE tick END AS use FROM p)
+SELECT l_orderkey, l_linenumber, round(round_even(price / use, 0) * use, 6) + 0.0 AS price FROM u""",
+)
+def _(spark, sf_dir):
+    price, kind = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_partkey") % 5
+    tick = F.when(kind == 0, 0.5).when(kind == 1, 0.05).when(kind == 2, 0.0).when(kind == 3, price * 0.6)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", near(signals.round_price(price, tick, F.lit(0.01)), 6).alias("price"))
+
+
+@query(
+    "effective_risks",
+    """WITH e AS (SELECT (user_id % 5) / 4.0 AS m, CASE event_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 ELSE 1.0 END AS v, (event_id % 5 - 1) / 2.0 AS r FROM events)
+SELECT m AS mode, v AS volatility, r AS ratchet, CASE WHEN r > 0 THEN greatest(m * v * r, 0.25) ELSE 0.0 END AS risk, count(*) AS n FROM e GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    kind = F.col("event_id") % 3
+    rows = table(spark, sf_dir, "events").select(((F.col("user_id") % 5) / 4.0).alias("mode"), F.when(kind == 0, 0.25).when(kind == 1, 0.5).otherwise(1.0).alias("volatility"), ((F.col("event_id") % 5 - 1) / 2.0).alias("ratchet"))
+    return rows.withColumn("risk", market.effective_risk(F.col("mode"), F.col("volatility"), F.col("ratchet"))).groupBy("mode", "volatility", "ratchet", "risk").agg(F.count("*").alias("n"))
+
+
+@query("restored_volumes", f"SELECT symbol, {AT_SQL}, {near_sql('close')} AS close, {near_sql('CASE WHEN volume % 2 = 0 THEN volume END')} AS volume FROM ({bars_sql()})")
+def _(spark, sf_dir):
+    """Volumes put back from a table that lacks the odd ones."""
+    b = bars(spark, sf_dir)
+    return joins.restore_column(b.withColumn("volume", F.lit(-1.0)), b.where("volume % 2 = 0"), "volume").select("symbol", at(), near("close").alias("close"), near("volume").alias("volume"))
 
 
 @query(
@@ -167,7 +201,44 @@ def _(spark, sf_dir):
     return signals.quality_score(df).select("symbol", at(), "quality")
 
 
-@query("live_scan")
+_LATEST = "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS newest FROM {0})"
+_OWN, _HOUR, _SLOW = (f"({timeframe_sql(i)} SELECT * FROM f)" for i in ("15m", "1h", "4h"))
+_RUNS = ", ".join(f"coalesce(lag(ema20 > ema50, {k}) OVER w, false) AS u{k}, coalesce(lag(ema20 < ema50, {k}) OVER w, false) AS d{k}" for k in range(1, 6))
+_RUN = lambda x: "CASE " + " ".join(f"WHEN NOT {x}{k} THEN {k - 1}" for k in range(1, 6)) + " ELSE 5 END"
+_TESTS = {
+    "counter": "signal = 'SELL' AND ema20_4h > ema50_4h", "confident": "confidence >= 60", "trending": "adx > 18", "on_rsi": "signal = 'BUY' AND rsi < 65 OR signal = 'SELL' AND rsi > 35",
+    "on_ema": "signal = 'BUY' AND ema20 > ema50 OR signal = 'SELL' AND ema20 < ema50", "hour": "signal = 'BUY' AND ema20_1h > ema50_1h OR signal = 'SELL' AND ema20_1h < ema50_1h",
+    "slow": "signal = 'BUY' AND ema20_4h > ema50_4h AND rsi_4h > 45 OR signal = 'SELL' AND ema20_4h < ema50_4h AND rsi_4h < 55", "settled": "trend_bars >= 4",
+    "surge": "vol_prev > 0 AND vol_mean_prev > 0 AND vol_prev > 1.5 * vol_mean_prev", "thin": "vol_prev > 0 AND vol_mean_prev > 0 AND vol_prev < 0.5 * vol_mean_prev",
+}
+_BIASES = (("btc", "benchmark"), ("flow", "netflow"), ("fg", "sentiment"))
+_TEXTS = [("counter", "'4h counter-trend (-1)'"), ("confident", "printf('confidence %.0f', confidence)"), ("trending", "printf('ADX %.0f', adx)"), ("on_rsi", "'RSI on side'"), ("on_ema", "'EMA on side'"), ("hour", "'1h confirms'"), ("slow", "'4h trend aligns'"), ("settled", "'4h trend established'")]
+_TEXTS += [x for k, n in _BIASES for x in ((f"{k}_bias = signal", f"'{n} aligned'"), (f"{k}_bias <> signal AND {k}_mod > 0", f"'{n} opposed'"))] + [("surge", "'volume surge'")]
+_LIVE_SQL = f"""WITH own AS (SELECT *, lag(volume) OVER w AS vol_prev, CASE WHEN count(volume) OVER v = 20 THEN avg(volume) OVER v END AS vol_mean_prev FROM {_OWN}
+  WINDOW w AS (PARTITION BY symbol ORDER BY open_time), v AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+late AS (SELECT symbol, open_time, rsi, ema20, ema50, {_RUN("u")} AS up, {_RUN("d")} AS down FROM (SELECT symbol, open_time, rsi, ema20, ema50, {_RUNS} FROM {_SLOW} WINDOW w AS (PARTITION BY symbol ORDER BY open_time))),
+bench AS (SELECT 100 * (close / lag(close) OVER (ORDER BY open_time) - 1) AS p, open_time FROM ({bars_sql()}) WHERE symbol = '{BENCHMARK}'),
+flow AS (SELECT event_type AS symbol, round((arg_max(value, ts) - 50) * 2000000, 2) AS x FROM events GROUP BY 1),
+mood AS (SELECT CAST(floor(sum(value)) AS BIGINT) % 101 AS v FROM events),
+j AS (SELECT o.symbol, o.open_time, o.open_time AS ts, o.close, o.atr, o.rsi, o.adx, o.ema20, o.ema50, o.vol_prev, o.vol_mean_prev, h.ema20 AS ema20_1h, h.ema50 AS ema50_1h, l.rsi AS rsi_4h, l.ema20 AS ema20_4h, l.ema50 AS ema50_4h, l.up, l.down,
+  CASE WHEN o.trend = 1 AND o.rsi < 65 THEN 'BUY' WHEN o.trend = -1 AND o.rsi > 35 THEN 'SELL' ELSE 'NO_TRADE' END AS signal, 50 + abs(o.rsi - 50) AS confidence,
+  CASE WHEN p >= 1.5 THEN 'BUY' WHEN p <= -1.5 THEN 'SELL' END AS btc_bias, CASE WHEN abs(p) >= 1.5 THEN 1 ELSE 0 END AS btc_mod,
+  CASE WHEN x > 50000000 THEN 'SELL' WHEN x < -50000000 THEN 'BUY' END AS flow_bias, CASE WHEN abs(x) > 50000000 THEN 1 ELSE 0 END AS flow_mod,
+  CASE WHEN v >= 75 THEN 'SELL' WHEN v <= 25 THEN 'BUY' END AS fg_bias, CASE WHEN v >= 75 OR v <= 25 THEN 1 ELSE 0 END AS fg_mod, v <= 20 AS blocks_sell, v >= 70 AS blocks_buy
+  FROM {_LATEST.format("own")} o LEFT JOIN {_LATEST.format(_HOUR)} h ON o.symbol = h.symbol AND h.newest = 1 LEFT JOIN {_LATEST.format("late")} l ON o.symbol = l.symbol AND l.newest = 1
+  LEFT JOIN flow ON o.symbol = flow.symbol, (SELECT p FROM bench ORDER BY open_time DESC LIMIT 1), mood WHERE o.newest = 1),
+m AS (SELECT *, CASE WHEN signal = 'BUY' THEN up ELSE down END AS trend_bars, {_pick(50, 50, 45, 50)} AS min_confidence, {_pick(3, 4, 3, 3)} AS min_score, {_pick(18, 22, 15, 18)} AS min_adx FROM j),
+t AS (SELECT *, {", ".join(f"coalesce({test}, false) AS {n}" for n, test in _TESTS.items())} FROM m),
+r AS (SELECT *, {" + ".join(f"CAST({n} AS INTEGER)" for n in ("confident", "trending", "on_rsi", "on_ema", "hour", "slow", "settled", "surge"))} - CAST(counter AS INTEGER)
+  + {" + ".join(f"coalesce(CASE WHEN {k}_bias = signal THEN {k}_mod WHEN {k}_bias <> signal THEN -{k}_mod END, 0)" for k, _ in _BIASES)} AS score,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in _TEXTS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM t)
+SELECT symbol, {AT_SQL}, signal, {near_sql("confidence", 2)} AS confidence, score, CASE WHEN signal = 'NO_TRADE' THEN 'no trade' WHEN confidence < min_confidence THEN 'confidence'
+  WHEN signal = 'BUY' AND blocks_buy OR signal = 'SELL' AND blocks_sell THEN 'sentiment' WHEN adx < min_adx THEN 'adx'
+  WHEN CASE WHEN signal = 'BUY' THEN ema20_4h < ema50_4h WHEN counter THEN symbol IN ({", ".join(f"'{x}'" for x in MAJORS)}) OR rsi_4h > 65 END THEN '4h bias' WHEN trend_bars < 1 THEN '4h fresh' WHEN thin THEN 'volume'
+  WHEN score < min_score THEN 'score' WHEN coalesce(NOT (close > 0) OR NOT (atr > 0), true) THEN 'price' END AS reject_reason, reasons FROM r"""
+
+
+@query("live_scan", _LIVE_SQL)
 def _(spark, sf_dir):
     """Every symbol's newest bar, scored and filtered, with reasons."""
     events = table(spark, sf_dir, "events")
@@ -177,50 +248,51 @@ def _(spark, sf_dir):
     return out.select("symbol", at(), "signal", near("confidence", 2).alias("confidence"), "score", "reject_reason", F.array_join("reasons", "; ").alias("reasons"))
 
 
-_WORDS = (("tion", "ble"), ("erhe", "ung"))
+def _title_sql(t: str) -> str:
+    return " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in BULLISH) + " - " + " - ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in BEARISH)
 
 
-def _title_sql(t: str) -> str:
-    return " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in _WORDS[0]) + " - " + " - ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in _WORDS[1])
+def _page_sql(t: str) -> str:
+    count = lambda w: f"(length({t}) - length(replace({t}, '{w}', ''))) // {len(w)}"
+    return " + ".join(map(count, BULLISH)) + " - " + " - ".join(map(count, BEARISH))
 
 
-@query(
-    "news_sentiment_titles",
-    f"""WITH n AS (SELECT source AS coin, lower(substr(coalesce(text, ''), 1, 200)) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
-s AS (SELECT coin, CAST(sum({_title_sql("t")}) AS BIGINT) AS score, count(*) AS articles FROM n WHERE k <= 10 GROUP BY coin)
-SELECT *, CASE WHEN score > 0 THEN 'BULLISH' WHEN score < 0 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM s""",
-)
+_NEWS_SQL = f"""WITH n AS (SELECT source AS coin, lower(coalesce(text, '')) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
+s AS (SELECT coin, CAST(sum({_title_sql("t")}) AS BIGINT) AS score, count(*) AS articles FROM n WHERE k <= 10 GROUP BY coin)"""
+
+
+def _news(spark, sf_dir) -> DataFrame:
+    """Documents as titles, with their source as the coin."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("coin"), F.col("doc_id").alias("published_at"), F.coalesce("text", F.lit("")).alias("title"))
+    return signals.news_sentiment(docs)
+
+
+@query("news_sentiment_titles", f"{_NEWS_SQL} SELECT *, CASE WHEN score > 0 THEN 'BULLISH' WHEN score < 0 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM s")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("coin"), F.col("doc_id").alias("published_at"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("title"))
-    return signals.news_sentiment(docs, up=_WORDS[0], down=_WORDS[1])
+    return _news(spark, sf_dir)
 
 
 @query(
     "news_sentiment_pages",
-    f"""WITH p AS (SELECT page_id, lower(coalesce(html, '')) AS t FROM pages),
-s AS (SELECT page_id, {" + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in _WORDS[0])} - {" - ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in _WORDS[1])} AS score FROM p)
+    f"""WITH p AS (SELECT page_id, lower(coalesce(html, '')) AS t FROM pages), s AS (SELECT page_id, {_page_sql("t")} AS score FROM p)
 SELECT page_id, score, CASE WHEN score > 2 THEN 'BULLISH' WHEN score < -2 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM s""",
 )
 def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("text"))
-    return signals.page_sentiment(pages, up=_WORDS[0], down=_WORDS[1]).select("page_id", F.col("score").cast("long").alias("score"), "sentiment")
+    return signals.page_sentiment(pages).select("page_id", F.col("score").cast("long").alias("score"), "sentiment")
 
 
 @query(
     "news_applied",
-    f"""WITH n AS (SELECT source AS coin, lower(substr(coalesce(text, ''), 1, 200)) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
-s AS (SELECT coin, sum({_title_sql("t")}) AS score FROM n WHERE k <= 10 GROUP BY coin),
-e AS (SELECT event_id, 'src' || (user_id % 20) AS coin, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS signal FROM events)
+    f"""{_NEWS_SQL}, e AS (SELECT event_id, 'src' || (user_id % 20) AS coin, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS signal FROM events)
 SELECT event_id, CASE WHEN signal = 'BUY' AND score > 0 OR signal = 'SELL' AND score < 0 THEN 1 ELSE 0 END AS score,
   CASE WHEN signal = 'BUY' AND score > 0 OR signal = 'SELL' AND score < 0 THEN 'news agrees' WHEN signal = 'BUY' AND score < 0 OR signal = 'SELL' AND score > 0 THEN 'news opposes: caution' ELSE '' END AS note
 FROM e LEFT JOIN s ON e.coin = s.coin""",
 )
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("coin"), F.col("doc_id").alias("published_at"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("title"))
-    news = signals.news_sentiment(docs, up=_WORDS[0], down=_WORDS[1])
     coin = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))
     asked = table(spark, sf_dir, "events").select("event_id", coin.alias("coin"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("signal"), F.lit(0).alias("score"), F.array().cast("array<string>").alias("reasons"))
-    return signals.apply_news(asked, news).select("event_id", "score", F.array_join("reasons", ";").alias("note"))
+    return signals.apply_news(asked, _news(spark, sf_dir)).select("event_id", "score", F.array_join("reasons", ";").alias("note"))
 
 
 @query(
@@ -317,14 +389,44 @@ def _(spark, sf_dir):
     return backtest.forward_bars(asked, bars(spark, sf_dir)).select("symbol", at(), "step", near("bar_close").alias("bar_close"))
 
 
-@query("backtest_curve")
+def _curve_sql(runs: str) -> str:
+    """CTEs ending in ``q``: the trades of all runs (run_id and the columns of ``o``) that the cap admits, with equity and drawdown."""
+    return f"""u AS ({runs}),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY entry_time, symbol) AS turn FROM u),
+g AS (SELECT run_id, turn, true AS taken, [exit_time] AS held FROM n WHERE turn = 1
+  UNION ALL SELECT run_id, turn, len(open) < 10, CASE WHEN len(open) < 10 THEN list_append(open, exit_time) ELSE open END
+  FROM (SELECT n.run_id, n.turn, n.exit_time, list_filter(g.held, lambda x: x > n.entry_time) AS open FROM g JOIN n ON n.run_id = g.run_id AND n.turn = g.turn + 1)),
+a AS (SELECT n.*, CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END AS side, abs(entry - stop) / entry AS d FROM n JOIN g ON n.run_id = g.run_id AND n.turn = g.turn WHERE g.taken),
+y AS (SELECT *, least(0.01 / nullif(d, 0), 10) AS notional, entry * (1 + side * 0.0005) AS i, exit_price * (1 - side * 0.0005) AS z FROM a),
+e2 AS (SELECT *, notional * (side * (z - i) / i - 0.001) AS ret FROM y),
+c AS (SELECT *, ret / (notional * d) AS r, 100000 * exp(sum(ln(1 + ret)) OVER w) AS equity FROM e2 WINDOW w AS (PARTITION BY run_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, greatest(max(equity) OVER w, 100000) AS peak FROM c WINDOW w AS (PARTITION BY run_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "backtest_curve",
+    f"""{_EXITS_SQL}, {_curve_sql("SELECT 'rule' AS run_id, * FROM o")}
+SELECT symbol, {stamp_sql("entry_time")} AS entry_time, {stamp_sql("exit_time")} AS exit_time, outcome, {near_sql("equity", 2)} AS equity, {near_sql("(peak - equity) / peak")} AS drawdown FROM q""",
+)
 def _(spark, sf_dir):
     """Admitted trades with equity, peak and drawdown."""
     curve = run_backtest(ruled(spark, sf_dir), "rule")
     return curve.select("symbol", stamp("entry_time").alias("entry_time"), stamp("exit_time").alias("exit_time"), "outcome", near("equity", 2).alias("equity"), near("drawdown").alias("drawdown"))
 
 
-@query("backtest_leaderboard")
+_METRICS_SQL = f"""{_EXITS_SQL.replace("confidence >= 52", "confidence >= 50").replace("SELECT t.symbol, t.open_time AS entry_time,", "SELECT t.symbol, t.confidence, t.open_time AS entry_time,")},
+{_curve_sql("SELECT 'conf-' || least AS run_id, o.* FROM o, (SELECT unnest([50, 55, 60, 65]) AS least) WHERE confidence >= least")},
+s1 AS (SELECT run_id, count(*) AS trades, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret <= 0) AS losses, avg(r) AS mr, stddev_pop(r) AS sr, max((peak - equity) / peak) AS max_drawdown,
+  coalesce(sum(equity * ret / (1 + ret)) FILTER (ret > 0), 0) AS won, coalesce(-sum(equity * ret / (1 + ret)) FILTER (ret <= 0), 0) AS lost,
+  date_diff('second', arg_min(entry_time, (exit_time, entry_time, symbol)), max(exit_time)) / 86400.0 AS days, arg_max(equity, (exit_time, entry_time, symbol)) AS ending FROM q GROUP BY run_id),
+s2 AS (SELECT *, CASE WHEN sr > 0 THEN mr / sr ELSE 0 END * sqrt(CASE WHEN days > 0 THEN trades / days * 365 ELSE 0 END) AS sharpe FROM s1)"""
+
+
+@query(
+    "backtest_leaderboard",
+    f"""{_METRICS_SQL} SELECT run_id, CAST(row_number() OVER (ORDER BY sharpe DESC, run_id) AS INTEGER) AS place, trades, wins, losses, {near_sql("wins / trades")} AS win_rate, {near_sql("sharpe")} AS sharpe, {near_sql("max_drawdown")} AS max_drawdown,
+  {near_sql("won / nullif(lost, 0)")} AS profit_factor, {near_sql("ending / 100000 - 1")} AS total_return, {near_sql("mr")} AS avg_r FROM s2""",
+)
 def _(spark, sf_dir):
     """Metrics of one run per threshold, best first."""
     df = ruled(spark, sf_dir)
@@ -333,7 +435,8 @@ def _(spark, sf_dir):
     fired = fired.withColumn("signal", F.when(F.col("confidence") >= least, F.col("signal")).otherwise("NO_TRADE"))
     trades = backtest.simulate_exits(fired, by=("run_id", *series.SERIES))
     curve = backtest.equity_curve(backtest.trade_returns(backtest.admit(trades)))
-    return backtest.leaderboard(backtest.backtest_metrics(curve)).select("run_id", "place", "trades", "wins", near("win_rate").alias("win_rate"), near("sharpe_annualized").alias("sharpe"), near("max_drawdown").alias("max_drawdown"))
+    out = backtest.leaderboard(backtest.backtest_metrics(curve))
+    return out.select("run_id", "place", "trades", "wins", "losses", *[near(c).alias(n) for c, n in (("win_rate", "win_rate"), ("sharpe_annualized", "sharpe"), ("max_drawdown", "max_drawdown"), ("profit_factor", "profit_factor"), ("total_return", "total_return"), ("avg_r", "avg_r"))])
 
 
 # Predictions and models.
@@ -378,22 +481,24 @@ s AS (SELECT threshold, count(*) FILTER (call = 'BUY') AS cb, count(*) FILTER (c
   count(*) FILTER (call = 'BUY' AND target = 'BUY') AS hb, count(*) FILTER (call = 'SELL' AND target = 'SELL') AS hs FROM a GROUP BY threshold),
 r AS (SELECT threshold, cb + cs AS signals, coalesce(hb / nullif(cb, 0), 0) AS pb, coalesce(hs / nullif(cs, 0), 0) AS ps, (coalesce(hb / nullif(tb, 0), 0) + coalesce(hs / nullif(ts, 0), 0)) / 2 AS rec FROM s),
 v AS (SELECT *, CASE WHEN pb * 3.5 - (1 - pb) * 2.5 <= 0 OR ps * 3.5 - (1 - ps) * 2.5 <= 0 THEN 0 ELSE (pb * 3.5 - (1 - pb) * 2.5 + ps * 3.5 - (1 - ps) * 2.5) * rec * sqrt(greatest(signals, 1)) END AS score FROM r)
-SELECT threshold, signals, {near_sql("pb")} AS precision_buy, {near_sql("ps")} AS precision_sell, {near_sql("rec")} AS avg_recall, {near_sql("signals * (pb + ps) / 2 * 200 - signals * (1 - (pb + ps) / 2) * 100", 2)} AS pnl, {near_sql("score")} AS score FROM v""",
+SELECT threshold, signals, {near_sql("pb")} AS precision_buy, {near_sql("ps")} AS precision_sell, {near_sql("rec")} AS avg_recall, {near_sql("signals * (pb + ps) / 2 * 200 - signals * (1 - (pb + ps) / 2) * 100", 2)} AS pnl, {near_sql("score")} AS score,
+  coalesce(score > 0 AND signals > 20 AND row_number() OVER (ORDER BY CASE WHEN score > 0 AND signals > 20 THEN score END DESC NULLS LAST, threshold) = 1, false) AS best FROM v""",
 )
 def _(spark, sf_dir):
     out = summaries.threshold_sweep(predictions(spark, sf_dir))
-    return out.select("threshold", "signals", *[near(c).alias(c) for c in ("precision_buy", "precision_sell", "avg_recall")], near("pnl", 2).alias("pnl"), near("score").alias("score"))
+    return out.select("threshold", "signals", *[near(c).alias(c) for c in ("precision_buy", "precision_sell", "avg_recall")], near("pnl", 2).alias("pnl"), near("score").alias("score"), "best")
 
 
 @query(
     "meta_threshold_sweep",
     f"""{_CALL_SQL}, m AS (SELECT best AS p, CASE WHEN call = target THEN 1.0 ELSE 0.0 END AS y FROM c WHERE call <> 'NO_TRADE'), g AS (SELECT CAST(unnest([0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80]) AS DOUBLE) AS threshold),
 s AS (SELECT threshold, count(*) AS selected, avg(y) AS hit_rate FROM m, g WHERE p >= threshold GROUP BY threshold)
-SELECT threshold, selected, {near_sql("hit_rate")} AS hit_rate, {near_sql("hit_rate * sqrt(selected)")} AS score FROM s WHERE selected >= 20""",
+SELECT threshold, selected, {near_sql("hit_rate")} AS hit_rate, {near_sql("hit_rate * sqrt(selected)")} AS score,
+  hit_rate > 0 AND row_number() OVER (ORDER BY hit_rate * sqrt(selected) DESC, threshold) = 1 AS best FROM s WHERE selected >= 20""",
 )
 def _(spark, sf_dir):
     meta = summaries.meta_labels(called(predictions(spark, sf_dir))).withColumn("p", F.array_max("probs"))
-    return summaries.meta_threshold_sweep(meta).select("threshold", "selected", near("hit_rate").alias("hit_rate"), near("score").alias("score"))
+    return summaries.meta_threshold_sweep(meta).select("threshold", "selected", near("hit_rate").alias("hit_rate"), near("score").alias("score"), "best")
 
 
 @query("base_rate", f"{_CALL_SQL} SELECT count(*) AS calls, CAST(count(*) FILTER (call = target) AS BIGINT) AS correct, {near_sql('avg(CASE WHEN call = target THEN 1.0 ELSE 0 END)')} AS base_rate FROM c WHERE call <> 'NO_TRADE'")
@@ -429,7 +534,11 @@ def _(spark, sf_dir):
     return ml.importance_scan(weekly(_small_dataset(spark, sf_dir)), ml_columns(), ("rsi", "adx"), k=5, trees=5)
 
 
-@query("latest_with_slower")
+@query(
+    "latest_with_slower",
+    f"""SELECT a.symbol, {stamp_sql("a.open_time")} AS open_time, {near_sql("a.close")} AS close, {near_sql("h.rsi")} AS rsi_1h, {near_sql("h.ema20")} AS ema20_1h
+FROM {_LATEST.format(_OWN)} a LEFT JOIN {_LATEST.format(_HOUR)} h ON a.symbol = h.symbol AND h.newest = 1 WHERE a.newest = 1""",
+)
 def _(spark, sf_dir):
     out = joins.latest_htf(features.add_features(bars(spark, sf_dir)), features.add_features(bars(spark, sf_dir, "1h")), "1h")
     return out.select("symbol", at(), near("close").alias("close"), near("rsi_1h").alias("rsi_1h"), near("ema20_1h").alias("ema20_1h"))
