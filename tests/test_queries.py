@@ -7,7 +7,6 @@ import pytest
 from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"build_dataset", "ensemble_predictions", "walk_forward_accuracy", "feature_importances", "backtest_leaderboard", "stream_scan"}
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
@@ -35,9 +34,10 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) and len(got.columns)
 
 
 def test_entry_has_rows(spark):

@@ -72,10 +72,13 @@ def after_cutoff(bars: DataFrame, trained_at: Column) -> DataFrame:
 def tag_segments(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Bars inside named windows (label, start_ms, end_ms, candles): the first ``candles`` of each symbol.
 
-    The windows are a handful of rows.
+    Bars and windows meet on the days of the windows.
     """
     ms = F.unix_millis(F.col(TIME).cast("timestamp"))
-    inside = bars.drop("segment").join(F.broadcast(windows), (ms >= F.col("start_ms")) & (ms <= F.col("end_ms")))
+    day = lambda c: F.floor(F.col(c) / 86_400_000)
+    days = windows.withColumn("_day", F.explode(F.sequence(day("start_ms"), day("end_ms"))))
+    dated = bars.drop("segment").withColumn("_ms", ms).withColumn("_day", day("_ms"))
+    inside = dated.join(days, "_day").where("_ms >= start_ms AND _ms <= end_ms").drop("_day", "_ms")
     first = Window.partitionBy("symbol", "interval", "label").orderBy(TIME)
     ranked = inside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= F.col("candles"))
     return ranked.withColumnRenamed("label", "segment").drop("_n", "start_ms", "end_ms", "candles")

@@ -16,8 +16,8 @@ RISK_PER_TRADE = 0.01
 
 
 def with_tier(df: DataFrame, tiers: DataFrame) -> DataFrame:
-    """``df`` with the tier of its symbol; tiers is a small table."""
-    return df.join(F.broadcast(tiers.select("symbol", "tier")), "symbol", "left").withColumn("tier", F.coalesce("tier", F.lit("Unknown")))
+    """``df`` with the tier of its symbol."""
+    return df.join(tiers.select("symbol", "tier"), "symbol", "left").withColumn("tier", F.coalesce("tier", F.lit("Unknown")))
 
 
 def trend_bars(slow: DataFrame, by: Sequence[str] = ("symbol", "segment"), most: int = 5) -> DataFrame:
@@ -186,13 +186,13 @@ def split_amount(total: Column, step: Column) -> tuple[Column, Column]:
 def position_size(signals: DataFrame, instruments: DataFrame, balance: Column, risk_mult: Column) -> DataFrame:
     """Quantity from risked money, volatility and conviction, inside the limits of the instrument.
 
-    Needs entry, atr, stop and confidence; instruments (symbol, min_amount, max_amount) is a small table.
+    Needs entry, atr, stop and confidence; instruments has symbol, min_amount and max_amount.
     """
     e = F.col("entry")
     boost = F.when(F.col("confidence") >= 60, 1.5).otherwise(1.0)
     calm = F.coalesce(clip(div(F.lit(0.003), div("atr", e)), 0.4, 2.0), F.lit(1.0))
     mult = risk_mult * boost * calm
-    df = signals.join(F.broadcast(instruments.select("symbol", "min_amount", "max_amount")), "symbol").withColumn("final_risk_mult", mult)
+    df = signals.join(instruments.select("symbol", "min_amount", "max_amount"), "symbol").withColumn("final_risk_mult", mult)
     risk = balance * RISK_PER_TRADE * F.col("final_risk_mult")
     raw = F.least(div(risk, F.abs(e - F.col("stop"))), div(balance * 0.05, e), div(10 * risk, e), F.col("max_amount"))
     df = df.withColumns({"risk_usd": F.bround(risk, 2), "qty": round_amount(raw, F.col("min_amount"))})

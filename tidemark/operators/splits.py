@@ -68,7 +68,8 @@ def walk_forward_folds(ds: DataFrame, k: int = 5, gap: int = EMBARGO, order: Seq
 def undersample(ds: DataFrame, key: Column, ratio: float = 1.0, seed: int = 42, majority: str = "NO_TRADE") -> DataFrame:
     """All signals, and exactly ratio times as many rows of the majority, those least in a keyed hash.
 
-    The limit is a sort of hashes with a limit: partial sorts in all tasks, no group holds the majority.
+    The rows are counted by the first digits of their hash; whole buckets below the limit stay, and only the bucket
+    that the limit falls into is sorted, a 65,536th of the majority.
     """
     counts = ds.groupBy((F.col("target") == majority).alias("major")).count().collect()
     sizes = {r["major"]: r["count"] for r in counts}
@@ -76,5 +77,9 @@ def undersample(ds: DataFrame, key: Column, ratio: float = 1.0, seed: int = 42,
     if sizes.get(True, 0) <= keep:
         return ds
     draw = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
-    major = ds.where(F.col("target") == majority).withColumn("_draw", draw).orderBy("_draw").limit(keep).drop("_draw")
-    return ds.where(F.col("target") != majority).unionByName(major)
+    major = ds.where(F.col("target") == majority).withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, 4))
+    upto = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    row = major.groupBy("_bucket").count().withColumn("upto", upto).where(F.col("upto") > keep).orderBy("_bucket").first()
+    below = major.where(F.col("_bucket") < row["_bucket"])
+    edge = major.where(F.col("_bucket") == row["_bucket"]).orderBy("_draw").limit(keep - (row["upto"] - row["count"]))
+    return ds.where(F.col("target") != majority).unionByName(below.unionByName(edge).drop("_draw", "_bucket"))

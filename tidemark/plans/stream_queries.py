@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features
 from tidemark.plans.signal_queries import ruled
-from tidemark.plans.tables import bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks
+from tidemark.plans.tables import TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql
 from tidemark.plans.workloads import rule_signals
 from tidemark.sources.bars import to_bars
 from tidemark.streaming import jobs
 
+SLICES, FILES = 4, 2  # of a stream, and in each of its slices
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,16 +32,25 @@ def query(name: str, sql: str | None = None):
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one only where no shared one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder that all executors see; a local one where no shared one is set and all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, df: DataFrame, name: str, parts: int = 4) -> DataFrame:
-    """A table as a stream of files."""
+def file_stream(spark: SparkSession, df: DataFrame, name: str, time: str) -> DataFrame:
+    """A table as a stream of files: slices of time, written one after the other and read a slice per micro-batch."""
     path = shared(spark, name)
-    df.repartition(parts).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(path)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [k / SLICES for k in range(1, SLICES)], 10_000).alias("c")).first()["c"] or []
+    slice_ = sum(((at > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(SLICES):
+        df.where(slice_ == k).repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -58,33 +69,52 @@ FROM ({bars_sql("1h")}) WHERE open_time + INTERVAL 1 HOUR <= (SELECT max(ts) - I
 def _(spark, sf_dir):
     """Hourly bars as a stream, of all hours that the watermark has closed: the same as in a batch."""
     source = ticks(spark, sf_dir)
-    out = finished(spark, jobs.stream_bars(file_stream(spark, source, "ticks", 1), "1 hour", "2 hours"), "stream-bars")
+    out = finished(spark, jobs.stream_bars(file_stream(spark, source, "ticks", "ts"), "1 hour", "2 hours"), "stream-bars")
     return out.select("symbol", stamp("open_time").alias("open_time"), *[near(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-@query("stream_scan")
+_RECENT_SQL = f"SELECT * EXCLUDE (newest) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS newest FROM ({bars_sql()})) WHERE newest <= 300"
+_RULE_SQL = "CASE WHEN trend = 1 AND rsi < 65 THEN 'BUY' WHEN trend = -1 AND rsi > 35 THEN 'SELL' ELSE 'NO_TRADE' END"
+
+
+@query(
+    "stream_scan",
+    f"""WITH RECURSIVE {averages_sql(_RECENT_SQL)}, {TIMEFRAME_SQL}, s AS (SELECT *, {_RULE_SQL} AS signal FROM f)
+SELECT symbol, {stamp_sql("open_time")} AS open_time, signal, {near_sql("50 + abs(rsi - 50)", 2)} AS confidence, CAST({SLICES} AS BIGINT) AS scans FROM s WHERE signal <> 'NO_TRADE'""",
+)
 def _(spark, sf_dir):
-    """A scan of the last 300 bars of each symbol that a micro-batch touches."""
+    """Scans of the last 300 bars of each symbol that a micro-batch touches, with how many batches found each signal."""
     history, path = bars(spark, sf_dir), shared(spark, "scan")
 
     def scan(recent: DataFrame) -> DataFrame:
         return rule_signals(features.add_features(recent)).where("signal <> 'NO_TRADE'")
 
     def sink(found: DataFrame, batch_id: int) -> None:
-        found.select("symbol", stamp("open_time").alias("open_time"), "signal", near("confidence", 2).alias("confidence"), F.lit(batch_id).alias("batch")).write.mode("append").parquet(path)
+        """A folder per batch: a batch that runs again replaces what it wrote."""
+        rows = found.select("symbol", stamp("open_time").alias("open_time"), "signal", near("confidence", 2).alias("confidence"))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     each = jobs.run_scan(lambda touched: history.join(touched, "symbol", "left_semi"), scan, sink)
-    stream = file_stream(spark, ticks(spark, sf_dir), "scan-ticks", 1)
+    stream = file_stream(spark, ticks(spark, sf_dir), "scan-ticks", "ts")
     stream.writeStream.foreachBatch(each).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start().awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).groupBy("symbol", "open_time", "signal", "confidence").agg(F.count_distinct("batch").alias("scans"))
 
 
-@query("stream_signal_gate")
+@query(
+    "stream_signal_gate",
+    f"""{timeframe_sql()}, s AS (SELECT symbol, open_time AS moment, rsi < 35 AS lost, {_RULE_SQL} AS signal FROM f),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment) AS turn FROM s WHERE signal <> 'NO_TRADE'),
+g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '1970-01-01' AS blocked, DATE '1970-01-01' AS day, 0 AS taken, '' AS reason FROM n
+  UNION ALL SELECT symbol, turn, CASE WHEN reason = 'ok' THEN signal ELSE last END, CASE WHEN lost THEN moment + INTERVAL 2 HOUR ELSE blocked END, CAST(moment AS DATE), taken + CASE WHEN reason = 'ok' THEN 1 ELSE 0 END, reason
+  FROM (SELECT *, CASE WHEN lost THEN 'lost' WHEN signal = last THEN 'same' WHEN moment < blocked THEN 'cooldown' WHEN taken >= 20 THEN 'cap' ELSE 'ok' END AS reason
+    FROM (SELECT n.*, g.last, g.blocked, CASE WHEN g.day = CAST(n.moment AS DATE) THEN g.taken ELSE 0 END AS taken FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn + 1)))
+SELECT n.symbol, n.signal, {stamp_sql("n.moment")} AS "at", reason = 'ok' AS allowed, CASE WHEN reason = 'ok' THEN '' ELSE reason END AS reason FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn WHERE reason <> 'lost'""",
+)
 def _(spark, sf_dir):
     """The rule's signals through the gate: new ones, off cooldown, under the day's cap."""
     found = ruled(spark, sf_dir).where("signal <> 'NO_TRADE'")
     rows = found.select("symbol", "signal", F.col("open_time").cast("timestamp").alias("at"), (F.col("rsi") < 35).alias("lost"))
-    out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "gate", 1)), "gated")
+    out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "gate", "at")), "gated")
     return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
