@@ -5,14 +5,13 @@ the signs are kept, packed to a bit per dimension, with two correction scalars:
 the inner product of the unit residual with its code. From these the inner product with a query is estimated
 without bias, with an error bound that holds with high probability. In every block of codes that a query visits,
 the vectors of the best estimates are compared exactly first; their k-th best inner product, or the query's floor
-where that is higher, then decides by the bounds which others are compared. A block always returns its k best of
-all that were compared, so a query has k results as soon as the blocks hold k vectors, whatever the bounds miss.
-
-The centroids are fitted on a bounded sample; every vector is coded. The floor, the k-th best inner product with
-the rows of other ids in the sample, is what the k-th best of all reaches; it only saves work. A query leaves out a
-cell only if even a residual of the cell's greatest length, at an angle that random directions hardly ever have,
-would stay below the floor; the cells nearest to the query are always visited, and more until they hold enough
-vectors. The number of cells follows the number of vectors, up to one for eight sampled vectors; beyond that the
+where that is higher, then decides by the bounds which others are compared. The floor is the k-th best inner product
+with the rows of other ids in a bounded sample, which the k-th best of all reaches. The k sampled vectors that show it
+are candidates as well, so a query has k results whatever the bounds miss; a block returns what reaches the floor.
+
+The centroids are fitted on the sample; every vector is coded. A query leaves out a cell only if even a residual
+of the cell's greatest length, at an angle that random directions hardly ever have, would stay below the floor; the
+cells nearest to the query are always visited, and more until they hold enough vectors. The number of cells follows the number of vectors, up to one for eight sampled vectors; beyond that the
 cells have more blocks.
 Cells are cut into blocks of bounded size, so a cell of a third of all vectors is many groups. Of equal vectors
 in a block only the smallest ids can be among a query's nearest, so the others are not compared.
@@ -36,6 +35,7 @@ from tidemark.llm.shared import stored, table
 from tidemark.llm.vectors import matrix, sample_with_ids, usable
 
 CODED = "id long, v array<double>, cell int, bits binary, length double, agreement double"
+ROUTED = "query_row long, query_id long, v array<double>, floor double, cell int, vec_id long, score double"
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -52,15 +52,19 @@ class Index:
     width: float = 2.5
     k: int = 20
 
-    def floors(self, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """A value that a query's k-th best inner product reaches; rows of its ``own`` id in the sample do not count."""
-        out = np.full(len(queries), -np.inf)
+    def floors(self, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A value that a query's k-th best inner product reaches, and the places of the sampled vectors that show it.
+
+        Rows of the query's ``own`` id in the sample do not count. Without k others there is no floor.
+        """
+        out, best = np.full(len(queries), -np.inf), np.zeros((len(queries), self.k), np.int64)
         at = len(self.points) - self.k
         for a in range(0, len(queries) if at >= 0 else 0, 256):
             score = queries[a : a + 256] @ self.points.T
             score[own[a : a + 256, None] == self.point_ids[None, :]] = -np.inf
-            out[a : a + 256] = np.partition(score, at, axis=1)[:, at]
-        return out - 1e-9
+            best[a : a + 256] = np.argpartition(score, at, axis=1)[:, at:]
+            out[a : a + 256] = np.take_along_axis(score, best[a : a + 256], 1).min(1)
+        return out - 1e-9, best
 
     def visits(self, queries: np.ndarray, floor: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
         """Whether each query (row) visits each cell, by the cell's number of vectors and longest residual."""
@@ -126,6 +130,11 @@ def encode(rows: DataFrame, index: Index) -> DataFrame:
     return rows.mapInPandas(run, CODED)
 
 
+def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products that come out alike whatever other vectors are beside one."""
+    return (vectors * query).sum(1)
+
+
 def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     """The k best of a block for each query, of those compared exactly: the best estimates, then all in reach."""
     block = block.sort_values("id", kind="stable")
@@ -161,8 +170,9 @@ def _nearest(index: Index, queries: pd.DataFrame, block: pd.DataFrame) -> pd.Dat
             reach[known] = True
             at = np.flatnonzero(reach)
             exact = vectors[at] @ q[i]
+            at, exact = at[exact >= floor[i]], exact[exact >= floor[i]]
             best = at[np.lexsort((ids[at], -exact))[: index.k]]
-            out.append(pd.DataFrame({"query_row": row[i], "query_id": own[i], "vec_id": ids[best], "score": vectors[best] @ q[i]}))
+            out.append(pd.DataFrame({"query_row": row[i], "query_id": own[i], "vec_id": ids[best], "score": inner(vectors[best], q[i])}))
     return pd.concat(out) if out else pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"])
 
 
@@ -182,13 +192,19 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
             if not len(batch):
                 continue
             vectors = matrix(batch["v"])
-            floor = index.floors(vectors, batch["id"].to_numpy())
+            floor, best = index.floors(vectors, batch["id"].to_numpy())
             query, cell = np.nonzero(index.visits(vectors, floor, held, longest))
-            out = batch.assign(floor=floor).iloc[query][["query_row", "id", "v", "floor"]].rename(columns={"id": "query_id"})
-            yield out.assign(cell=cell)
-
-    queries = coded.where(is_query).select(F.monotonically_increasing_id().alias("query_row"), "id", "v").mapInPandas(route, "query_row long, query_id long, v array<double>, floor double, cell int")
-    queries = stored(queries.join(F.broadcast(blocks), "cell"), "routes")
+            batch = batch.assign(floor=floor).rename(columns={"id": "query_id"})[["query_row", "query_id", "v", "floor"]]
+            yield batch.iloc[query].assign(cell=cell, vec_id=pd.NA, score=np.nan).astype({"vec_id": "Int64"})
+            shown = np.flatnonzero(floor > -np.inf)
+            if len(shown):
+                score = np.concatenate([inner(index.points[best[i]], vectors[i]) for i in shown])
+                sampled = batch.iloc[np.repeat(shown, index.k)].assign(v=None, cell=-1, vec_id=index.point_ids[best[shown]].ravel(), score=score)
+                yield sampled.astype({"vec_id": "Int64"})
+
+    queries = coded.where(is_query).select(F.monotonically_increasing_id().alias("query_row"), "id", "v").mapInPandas(route, ROUTED)
+    routed = stored(queries, "routes")
+    queries = routed.where("cell >= 0").drop("vec_id", "score").join(F.broadcast(blocks), "cell")
     laps = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / query_rows).cast("int").alias("laps"))
     plan = blocks.join(laps, "cell")  # a row per centroid
     queries = queries.join(F.broadcast(laps), "cell").withColumn("lap", F.pmod(F.xxhash64("query_row"), F.col("laps")).cast("int"))
@@ -207,6 +223,12 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
     left = queries.select(*key, "query_row", "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
     right = data.select(*key, "id", "v", "bits", "length", "agreement").repartition(groups, *key).groupBy(*key)
     found = left.cogroup(right).applyInPandas(find, FOUND)
+    # The sampled vectors that show a floor are answers too, so that no query has fewer than k; they may have been
+    # found in their blocks as well. Equal rows of one id stay as many as there are.
+    both = found.withColumn("sampled", F.lit(0)).unionByName(routed.where("cell < 0").select("query_row", "query_id", "vec_id", "score", F.lit(1).alias("sampled")))
+    times = F.greatest(F.sum("sampled"), F.sum(1 - F.col("sampled"))).cast("int")
+    both = both.groupBy("query_row", "query_id", "vec_id", "score").agg(times.alias("times"))
+    found = both.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "time")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= index.k)
     return found.select("query_id", "rank", "vec_id", "score")
