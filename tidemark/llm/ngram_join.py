@@ -18,7 +18,9 @@
    what was found connected; at last every set outside the largest component of its hub meets every
    part, so that all pairs have been compared or are connected.
 
-Sets are compared by 46 bits of each shingle's hash. A text without words, null or empty, has an empty set
+A chunk sends a bucket one row if it has shingles of it, so there are never more rows than shingles. Sets are
+compared by 46 bits of each shingle's hash: two different shingles of a pair of texts of 1,000 words agree there
+with a chance of 1 in 10^8, and then change an overlap by one. A text without words, null or empty, has an empty set
 and links with nothing. Equal texts, and texts of equal sets, link. Rows with a null doc_id take part; the
 component id of a group is its least non-null doc_id. Repeated doc_ids stay separate rows. Extra columns are
 not read. An empty table gives no rows. The input must be a table or another source whose partitions read the
@@ -38,8 +40,8 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import stored, table, text_volume
 from tidemark.llm.shingle_sets import sets_of_batch
 
-CHUNK_TOKENS, CHUNK_SETS = 3_000_000, 60_000
-BUCKET_TEXT = 12_000_000
+CHUNK_TOKENS, CHUNK_SETS = 2_000_000, 40_000
+BUCKET_TEXT = 8_000_000
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_500_000
 KEY_BITS, COMMON_IN_CHUNK, COMMON = 46, 16, 0xFFFF
 PACKED = "kind int, bucket int, chunk long, body binary"
@@ -404,7 +406,7 @@ def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(documents: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents (doc_id, text)."""
-    bits = min(20, max(6, (text_volume(documents) // BUCKET_TEXT).bit_length()))
+    bits = min(30, max(6, (text_volume(documents) // BUCKET_TEXT).bit_length()))
     packed = deal_sets(documents, bits, words)
     both = stored(gather_sets(count_shared(packed, bits), percent), "sets")
     docs = both.where("kind = 0").select("doc_id", "n", "name")
