@@ -88,13 +88,34 @@ def train_ensemble(train: DataFrame, names: Sequence[str], trees: int = 100, rou
     return out
 
 
-def calibrate(model: Ensemble, calib: DataFrame) -> Ensemble:
-    """Isotonic calibration of each class on rows that trained nothing."""
+@dataclass(frozen=True)
+class Sigmoid:
+    """A logistic of one column, as a calibrator."""
+
+    slope: float
+    shift: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", 1 / (1 + F.exp(-(self.slope * F.col("_x") + self.shift))))
+
+
+def fit_calibrator(one: DataFrame, method: str):
+    """A calibrator of _x to one (0 or 1), isotonic or sigmoid."""
+    if method == "isotonic":
+        return IsotonicRegression(featuresCol="_x", labelCol="one").fit(one)
+    if method != "sigmoid":
+        raise ValueError(f"no calibration by {method}")
+    fitted = LogisticRegression(featuresCol="_v", labelCol="one", maxIter=50).fit(VectorAssembler(inputCols=["_x"], outputCol="_v").transform(one))
+    return Sigmoid(float(fitted.coefficients[0]), float(fitted.intercept))
+
+
+def calibrate(model: Ensemble, calib: DataFrame, method: str = "isotonic") -> Ensemble:
+    """Isotonic or sigmoid calibration of each class on rows that trained nothing."""
     df = model.probabilities(prepared(calib, model.names))
     model.calibrators = []
     for k in range(len(CLASSES)):
         one = df.select(F.get("probs", F.lit(k)).alias("_x"), (F.col("label") == k).cast("double").alias("one"))
-        model.calibrators.append(IsotonicRegression(featuresCol="_x", labelCol="one").fit(one))
+        model.calibrators.append(fit_calibrator(one, method))
     return model
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import BEARISH, BULLISH, MAJORS
-from tidemark.operators import backtest, features, joins, market, ml, series, signals, summaries
+from tidemark.operators import backtest, features, joins, market, ml, series, signals, splits, summaries
 from tidemark.plans.tables import BENCHMARK, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql, weekly
 from tidemark.plans.workloads import rule_signals, run_backtest, scored_signals
 
@@ -508,30 +508,62 @@ def _(spark, sf_dir):
 
 @query("walk_forward_accuracy")
 def _(spark, sf_dir):
-    """Accuracy of a forest trained on each fold's past."""
-    return ml.walk_forward(weekly(_small_dataset(spark, sf_dir)), ml_columns(), trees=5)
+    """Accuracy of a forest trained on each fold's past, on all features."""
+    ds, names = _dataset(spark, sf_dir)
+    return ml.walk_forward(ds, names)
 
 
-def ml_columns() -> list[str]:
-    return ["rsi", "adx", "atr_pct", "macd_hist", "volume_ratio", "price_change", "ema20_vs_ema50", "bb_pct"]
-
-
-def _small_dataset(spark, sf_dir) -> DataFrame:
+def _dataset(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Labelled bars by week, and the names of all their features."""
     from tidemark.operators import labels
 
-    return labels.make_targets(features.add_features(bars(spark, sf_dir)))
+    b = bars(spark, sf_dir)
+    full = features.add_features(b)
+    names = [c for c, kind in full.dtypes if kind == "double" and c not in b.columns]
+    return weekly(labels.make_targets(full)), names
 
 
 @query("ensemble_predictions")
 def _(spark, sf_dir):
     """Test rows of the split, scored by the calibrated ensemble."""
-    return ml.train_and_score(weekly(_small_dataset(spark, sf_dir)), ml_columns(), trees=5, rounds=3).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
+    ds, names = _dataset(spark, sf_dir)
+    return ml.train_and_score(ds, names).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
 
 
 @query("feature_importances")
 def _(spark, sf_dir):
     """The most important features, with two forced ones first."""
-    return ml.importance_scan(weekly(_small_dataset(spark, sf_dir)), ml_columns(), ("rsi", "adx"), k=5, trees=5)
+    ds, names = _dataset(spark, sf_dir)
+    return ml.importance_scan(ds, names, ("rsi", "adx"))
+
+
+@query("sigmoid_calibrated_calls")
+def _(spark, sf_dir):
+    """Test rows by an ensemble of few trees with sigmoid calibration."""
+    ds, names = _dataset(spark, sf_dir)
+    parted = splits.embargo_split(ds)
+    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names, trees=20, rounds=5), parted.where("part = 'calib'"), "sigmoid")
+    return ml.score(model, parted.where("part = 'test'")).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
+
+
+@query("pipeline_scores")
+def _(spark, sf_dir):
+    """Test rows by a forest in a pipeline, as a saved model would score them."""
+    ds, names = _dataset(spark, sf_dir)
+    rows = splits.embargo_split(ml.prepared(ds, names).drop("features"))
+    model = ml.forest_pipeline(names, trees=20).fit(rows.where("part = 'train'"))
+    return ml.score_pipeline(model, rows.where("part = 'test'")).select("symbol", at(), "target", F.transform("probs", lambda p: near(p)).alias("probs"))
+
+
+@query("meta_filtered_calls")
+def _(spark, sf_dir):
+    """Calls that a model of the calls, trained on the calibration rows, believes in."""
+    ds, names = _dataset(spark, sf_dir)
+    parted = splits.embargo_split(ml.prepared(ds, names).drop("features", "label", "weight"))
+    model = ml.train_ensemble(parted.where("part = 'train'"), names, trees=20, rounds=5)
+    meta = ml.train_meta(ml.score(model, parted.where("part = 'calib'")), [*names, "confidence"])
+    kept = ml.meta_filter(ml.score(model, parted.where("part = 'test'")), meta, [*names, "confidence"], 0.35, 0.4)
+    return kept.select("symbol", at(), "target", "call", near("confidence").alias("confidence"), near("meta_p").alias("meta_p"))
 
 
 @query(

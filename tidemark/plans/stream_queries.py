@@ -118,17 +118,43 @@ def _(spark, sf_dir):
     return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("trade_lifecycle")
-def _(spark, sf_dir):
-    """One trade per symbol and day over all later ticks of two days."""
+_LIFE_SQL = f"""WITH RECURSIVE t AS (SELECT symbol || '-' || {stamp_sql("open_time")} AS trade_id, symbol, CASE WHEN day(open_time) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE -1 END AS side, close AS entry, open_time + INTERVAL 4 HOUR AS opened FROM ({bars_sql("4h")}) WHERE hour(open_time) = 4),
+c AS (SELECT *, entry * (1 - 0.05 * side) AS stop, entry * (1 + 0.04 * side) AS tp1, entry * (1 + 0.1 * side) AS tp2 FROM t),
+n AS MATERIALIZED (SELECT trade_id, e.ts, 100 + e.value AS price, row_number() OVER (PARTITION BY trade_id ORDER BY e.ts, e.value) AS turn FROM c JOIN events e ON e.event_type = c.symbol AND e.ts > c.opened AND e.ts <= c.opened + INTERVAL 72 HOUR),
+r AS (SELECT trade_id, CAST(0 AS BIGINT) AS turn, CAST(2 AS DOUBLE) AS held, stop, false AS hit, CAST(NULL AS DOUBLE) AS part, CAST(NULL AS VARCHAR) AS ending, TIMESTAMP '1970-01-01' AS ts, CAST(0 AS DOUBLE) AS price FROM c
+  UNION ALL SELECT trade_id, turn, held, stop, hit, part, CASE WHEN mae THEN 'MAE' WHEN side * (price - tp2) >= 0 THEN 'TP2' WHEN side * (price - stop) <= 0 THEN CASE WHEN abs(price - entry) < 0.002 * entry THEN 'BREAK-EVEN' ELSE 'STOPPED OUT' END WHEN date_diff('microsecond', opened, ts) > 48 * 3600000000 THEN 'TIME' END, ts, price
+  FROM (SELECT * REPLACE (CASE WHEN NOT mae AND hit AND abs(stop - entry) < 0.001 * entry AND side * (price - (entry + tp2) / 2) >= 0 THEN tp1 ELSE stop END AS stop)
+  FROM (SELECT * REPLACE (held - coalesce(part, 0) AS held, CASE WHEN part IS NOT NULL THEN entry ELSE stop END AS stop, hit OR part IS NOT NULL AS hit)
+  FROM (SELECT *, CASE WHEN NOT mae AND NOT hit AND side * (price - tp1) >= 0 THEN least(CAST(1 AS DOUBLE), held) END AS part
+  FROM (SELECT n.trade_id, n.turn, r.held, r.stop, r.hit, c.side, c.entry, c.tp1, c.tp2, c.opened, n.ts, n.price, c.side * (n.price - c.entry) * r.held < -150 AS mae FROM r JOIN n ON n.trade_id = r.trade_id AND n.turn = r.turn + 1 JOIN c ON c.trade_id = r.trade_id WHERE r.ending IS NULL)))))
+SELECT trade_id, symbol, {stamp_sql("ts")} AS "at", event, {near_sql("price")} AS price, qty, {near_sql("side * (price - entry) * qty")} AS pnl
+FROM (SELECT r.trade_id, symbol, ts, 'TP1' AS event, price, part AS qty, side, entry FROM r JOIN c ON r.trade_id = c.trade_id WHERE part IS NOT NULL
+  UNION ALL SELECT r.trade_id, symbol, ts, ending, price, held, side, entry FROM r JOIN c ON r.trade_id = c.trade_id WHERE ending IS NOT NULL)"""
+
+
+def _daily_trades(spark, sf_dir) -> DataFrame:
+    """One trade per symbol and day."""
     day = bars(spark, sf_dir, "4h")
     side = F.when(F.dayofmonth("open_time") % 2 == 0, 1.0).otherwise(-1.0)
-    trades = day.where(F.hour("open_time") == 4).select(
+    return day.where(F.hour("open_time") == 4).select(
         F.concat_ws("-", "symbol", stamp("open_time")).alias("trade_id"), "symbol", F.when(side > 0, "BUY").otherwise("SELL").alias("signal"), F.col("close").alias("entry"),
         (F.col("close") * (1 - 0.05 * side)).alias("stop"), (F.col("close") * (1 + 0.04 * side)).alias("tp1"), (F.col("close") * (1 + 0.1 * side)).alias("tp2"),
         F.lit(2.0).alias("qty"), F.lit(1.0).alias("qty_tp1"), F.lit(50.0).alias("risk_usd"), (F.col("open_time") + F.expr("INTERVAL 4 HOURS")).alias("opened_at"),
     )
-    out = jobs.trade_lifecycle(trades, ticks(spark, sf_dir).select("symbol", "ts", "price"))
+
+
+@query("trade_lifecycle", _LIFE_SQL)
+def _(spark, sf_dir):
+    """The trades over all later ticks of three days."""
+    out = jobs.trade_lifecycle(_daily_trades(spark, sf_dir), ticks(spark, sf_dir).select("symbol", "ts", "price"))
+    return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
+
+
+@query("stream_trade_lifecycle", _LIFE_SQL)
+def _(spark, sf_dir):
+    """The same with the ticks as a stream of several micro-batches, each trade's place in its life held as state."""
+    prices = file_stream(spark, ticks(spark, sf_dir).select("symbol", "ts", "price"), "life-ticks", "ts")
+    out = finished(spark, jobs.stream_lifecycle(_daily_trades(spark, sf_dir), prices), "life")
     return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
 
 

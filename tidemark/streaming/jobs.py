@@ -15,6 +15,7 @@ from tidemark.sources.bars import to_bars
 GATED = "symbol string, signal string, at timestamp, allowed boolean, reason string"
 GATE_STATE = "last string, until double, day string, n int"
 EVENTS = "trade_id string, symbol string, at timestamp, event string, price double, qty double, pnl double"
+LIFE_STATE = "left double, stop double, hit boolean, closed boolean"
 COOLDOWN_HOURS, DAILY_CAP = 2.0, 20
 
 
@@ -116,27 +117,60 @@ class Trade:
             yield self._close(at, "TIME", price)
 
 
+def met_prices(trades: DataFrame, prices: DataFrame, hours: float) -> DataFrame:
+    """The trades' columns with ts and live of each price of their symbol in their life, and a day more."""
+    days = F.sequence(F.to_date("opened_at"), F.to_date(F.col("opened_at") + F.expr(f"INTERVAL {int(hours) + 24} HOURS")))
+    spread = trades.withColumn("_day", F.explode(days))
+    life = F.col("opened_at") + F.expr(f"INTERVAL {int(hours) + 24} HOURS")
+    seen = prices.select("symbol", F.to_date("ts").alias("_day"), "ts", F.col("price").alias("live"))
+    met = seen.join(spread, ["symbol", "_day"])
+    return met.where((F.col("ts") > F.col("opened_at")) & (F.col("ts") <= life)).drop("_day")
+
+
+EVENT_COLUMNS = ["trade_id", "symbol", "at", "event", "price", "qty", "pnl"]
+
+
 def trade_lifecycle(trades: DataFrame, prices: DataFrame, hours: float = 48.0) -> DataFrame:
     """Ledger events of trades over the prices (symbol, ts, price) of their symbol.
 
     A trade is an ordered fold, and only over its own life: prices join their trades by symbol and day, so a
-    symbol's whole history never meets in one group.
+    symbol's whole history never meets in one group. Equal times go by price.
     """
-    columns = ["trade_id", "symbol", "at", "event", "price", "qty", "pnl"]
-    days = F.sequence(F.to_date("opened_at"), F.to_date(F.col("opened_at") + F.expr(f"INTERVAL {int(hours) + 24} HOURS")))
-    spread = trades.withColumn("_day", F.explode(days))
-    life = F.col("opened_at") + F.expr(f"INTERVAL {int(hours) + 24} HOURS")
-    met = spread.join(prices.select("symbol", F.to_date("ts").alias("_day"), "ts", F.col("price").alias("live")), ["symbol", "_day"])
-    met = met.where((F.col("ts") > F.col("opened_at")) & (F.col("ts") <= life)).drop("_day")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
+        group = group.sort_values(["ts", "live"], kind="stable")
         trade = Trade(next(group.itertuples()), hours)
         out = [e for at, price in zip(group["ts"], group["live"]) for e in trade.step(at, price)]
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=EVENT_COLUMNS)
 
     kind = prices.schema["ts"].dataType.simpleString()
-    return met.groupBy("trade_id").applyInPandas(fold, EVENTS.replace("at timestamp", f"at {kind}"))
+    return met_prices(trades, prices, hours).groupBy("trade_id").applyInPandas(fold, EVENTS.replace("at timestamp", f"at {kind}"))
+
+
+def stream_lifecycle(trades: DataFrame, prices: DataFrame, hours: float = 48.0, watermark: str = "1 hour") -> DataFrame:
+    """The same over a stream of prices, with a table of trades.
+
+    The state of a trade is what is left of it, its stop, and whether the first target was hit; it ends with the
+    trade, or when the watermark is past the trade's life. Prices later than the watermark are not seen.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fold(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        group = pd.concat(list(parts)).sort_values(["ts", "live"], kind="stable")
+        trade = Trade(next(group.itertuples()), hours)
+        if state.exists:
+            trade.left, trade.stop, trade.hit1, trade.closed = state.get
+        out = [e for at, price in zip(group["ts"], group["live"]) for e in trade.step(at, price)]
+        state.update((trade.left, trade.stop, trade.hit1, trade.closed))
+        state.setTimeoutTimestamp(max(int(1000 * trade.opened.timestamp()) + int(3_600_000 * (hours + 25)), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=EVENT_COLUMNS)
+
+    timed = prices.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    met = met_prices(trades.withColumn("opened_at", F.col("opened_at").cast("timestamp")), timed, hours)
+    return met.groupBy("trade_id").applyInPandasWithState(fold, EVENTS, LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start_memory(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
