@@ -171,14 +171,14 @@ def scan(documents: DataFrame, owner: Column | None = None, repository: Column |
 def redact(documents: DataFrame, mask: str = REDACTED) -> DataFrame:
     """``documents`` with every live-looking secret replaced by ``mask``; copied examples stay.
 
-    The texts are scanned once. n_chars follows the new text; all other columns, whatever their names, stay as
-    they are. Null and empty texts stay; repeated rows are masked each; an empty table gives no rows.
+    Only the few texts with candidates move; the others pass by. n_chars follows the new text; all other columns,
+    whatever their names, stay as they are. Null and empty texts stay; repeated rows are masked each; an empty
+    table gives no rows.
     """
     of = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
-    rows = documents.select(of, without_overlaps(candidates(F.col("text"))).alias("found"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    has = F.size("found") > 0
-    dirty = rows.where(has).withColumn("owner", F.col("doc.source")).withColumn("repository", F.concat_ws("/", "doc.source", "doc.lang"))
+    has = F.size(candidates(F.col("text"))) > 0
+    dirty = documents.where(has).select(of, without_overlaps(candidates(F.col("text"))).alias("found"), F.monotonically_increasing_id().alias("row"))
+    dirty = stored(dirty.withColumn("owner", F.col("doc.source")).withColumn("repository", F.concat_ws("/", "doc.source", "doc.lang")), "with-candidates")
     judged = dirty.select("doc", "row").join(judge(dirty.select("row", "found", "owner", "repository")), "row", "left")
     text = F.col("doc.text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -196,7 +196,7 @@ def redact(documents: DataFrame, mask: str = REDACTED) -> DataFrame:
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         doc = doc.withField("n_chars", F.when(changed, F.length("new").cast(kind)).otherwise(F.col("doc.n_chars")))
-    return rows.where(~has).select("doc.*").unionByName(judged.select(doc.alias("doc")).select("doc.*"))
+    return documents.where(~has).unionByName(judged.select(doc.alias("doc")).select("doc.*"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
