@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +79,14 @@ class Ensemble:
 
 def train_ensemble(train: DataFrame, names: Sequence[str], trees: int = 100, rounds: int = 40, depth: int = 5, seed: int = 42) -> Ensemble:
     """A forest, one boosted model per class (whose probabilities are renormalised), and a linear model."""
-    df = prepared(train, names)
+    df = prepared(train, names).persist(StorageLevel.MEMORY_AND_DISK)  # read by every tree
     out = Ensemble(list(names))
     out.forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(df)
     for k in range(len(CLASSES)):
         one = df.withColumn("one", (F.col("label") == k).cast("double"))
         out.boosted.append(GBTClassifier(labelCol="one", weightCol="weight", maxIter=rounds, maxDepth=3, seed=seed).fit(one))
     out.linear = LogisticRegression(weightCol="weight", family="multinomial", maxIter=20).fit(df)
+    df.unpersist()
     return out
 
 
@@ -137,7 +139,9 @@ def forest_pipeline(names: Sequence[str], trees: int = 100) -> Pipeline:
 
 def importances(df: DataFrame, names: Sequence[str], trees: int = 50) -> DataFrame:
     """(feature, importance) of a forest on all features; a row per feature."""
-    model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=42).fit(prepared(df, names))
+    ready = prepared(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=42).fit(ready)
+    ready.unpersist()
     rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
@@ -166,7 +170,9 @@ def walk_forward(ds: DataFrame, names: Sequence[str], trees: int = 100, k: int =
         part = folds.where(F.col("fold") == fold)
         if part.isEmpty():
             continue  # the last blocks may not fit after the embargo
-        model = RandomForestClassifier(numTrees=trees, seed=42).fit(prepared(part.where("part = 'train'"), names))
+        rows = prepared(part.where("part = 'train'"), names).persist(StorageLevel.MEMORY_AND_DISK)
+        model = RandomForestClassifier(numTrees=trees, seed=42).fit(rows)
+        rows.unpersist()
         hit = (F.col("prediction") == F.col("label")).cast("double")
         one = model.transform(prepared(part.where("part = 'test'"), names)).agg(F.avg(hit).alias("accuracy"))
         scores = one if scores is None else scores.unionByName(one)

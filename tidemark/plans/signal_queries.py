@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -520,7 +521,7 @@ def _dataset(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     b = bars(spark, sf_dir)
     full = features.add_features(b)
     names = [c for c, kind in full.dtypes if kind == "double" and c not in b.columns]
-    return weekly(labels.make_targets(full)), names
+    return weekly(labels.make_targets(full)).persist(StorageLevel.MEMORY_AND_DISK), names  # the models read it again and again
 
 
 @query("ensemble_predictions")
@@ -542,7 +543,7 @@ def _(spark, sf_dir):
     """Test rows by an ensemble of few trees with sigmoid calibration."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ds)
-    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names, trees=20, rounds=5), parted.where("part = 'calib'"), "sigmoid")
+    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3), parted.where("part = 'calib'"), "sigmoid")
     return ml.score(model, parted.where("part = 'test'")).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
 
 
@@ -560,7 +561,7 @@ def _(spark, sf_dir):
     """Calls that a model of the calls, trained on the calibration rows, believes in."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ml.prepared(ds, names).drop("features", "label", "weight"))
-    model = ml.train_ensemble(parted.where("part = 'train'"), names, trees=20, rounds=5)
+    model = ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3)
     meta = ml.train_meta(ml.score(model, parted.where("part = 'calib'")), [*names, "confidence"])
     kept = ml.meta_filter(ml.score(model, parted.where("part = 'test'")), meta, [*names, "confidence"], 0.35, 0.4)
     return kept.select("symbol", at(), "target", "call", near("confidence").alias("confidence"), near("meta_p").alias("meta_p"))
