@@ -154,6 +154,28 @@ def test_search_with_few_rows_returns_all_others(spark):
     assert rotated_codes.search(none, rotated_codes.fit(none), F.col("id") % 20 == 0).count() == 0
 
 
+def test_the_tree_of_intervals_keeps_near_blocks_and_parts_clusters(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16)) * np.r_[np.full(4, 3.0), np.full(12, 0.05)]
+    v = centers[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "id long, v array<double>, copies long")
+    grid = grid_order.fit(df)
+    placed = shared.stored(grid_order.sequence(df, grid, 25), "placed").toPandas()
+    assert sorted(placed["seq"]) == list(range(3000)) and (placed["seq"] // 25 == placed["block"]).all()
+    unit = grid_order.unit_vectors(v)[placed["id"]]
+    order = np.argsort(placed["seq"].to_numpy())
+    cells = [tuple(c) for c in grid.cells(grid.project(unit))[order]]
+    assert cells == sorted(cells)
+    level = grid_order.boxes(spark.createDataFrame(placed), grid)
+    boxes = {r["block"]: (np.array(r["low"]), np.array(r["high"])) for r in level.collect()}
+    want = {(a, b) for a in boxes for b in boxes if a <= b and grid_order.apart(boxes[a], boxes[b]) <= grid.eps}
+    got = {(r["left"], r["right"]) for r in grid_order.near_pairs(level, 120, grid).collect()}
+    assert got == want and len(got) < 0.6 * 120 * 121 / 2
+    work = grid_order.Join(unit[order], grid.project(unit[order]), np.ones(3000, np.int64), grid)
+    work.join(0, 3000, 0, 3000)
+    assert work.parted > 0 and (work.links == (unit[order] @ unit[order].T >= 0.95).sum(1) - 1).all()
+
+
 @pytest.mark.parametrize("block", [48, 4096])
 def test_links_equal_brute_force(table, block):
     df, ids, v = table
