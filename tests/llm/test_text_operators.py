@@ -405,6 +405,26 @@ def test_toxicity_on_held_out_rows_and_odd_texts(spark, documents, tmp_path):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["doc_id"] < 400} == {i for i, y in labels if not y}
 
 
+def test_five_thousand_sources_stay_within_a_block_of_their_weights():
+    rng = np.random.default_rng(4)
+    weights = mixing.whole([*rng.pareto(1.2, 4_999) + 1e-4, 2_000.0])
+    total, slots = sum(weights), 200_000
+    rows = list(mixing.schedule(weights, [-(-slots * w // total) for w in weights]))[:slots]
+    assert [slot for _, _, slot in rows] == list(range(slots))
+    done = [0] * len(weights)
+    for i, j, slot in rows:  # block j of i after its release and before its deadline, both from the weight itself
+        assert done[i] == j and j * total < (slot + 1) * weights[i] and slot * weights[i] < (j + 1) * total
+        done[i] += 1
+    assert all(abs(n * total - slots * w) < total for n, w in zip(done, weights))
+
+
+def test_a_block_grows_where_there_would_be_too_many(spark, documents, tmp_path):
+    docs = documents([(i, "w " * (1 + i % 3), f"s{i % 5}") for i in range(400)], tmp_path / "d")
+    few = mixing.placed(docs, mix=mixing.Mix(block_docs=2, most_blocks=20)).collect()
+    assert len(few) == 400 and max(r["place"] for r in few) == 19 and len({(r["source"], r["block"]) for r in few}) == 20
+    assert len({(r["slot"], r["place"]) for r in few}) == 400
+
+
 def kernel_by_hand(one, other, decay):
     """Sum over the subsequences of both words, by their characters, of decay to the skipped characters, over both norms."""
 

@@ -42,7 +42,8 @@ BROADCAST_BLOCKS = 250_000
 class Mix:
     block_docs: int = 64
     slots: int = 1 << 20  # blocks of the schedule that the driver writes at a time
-    named: int = 1024
+    most_blocks: int = 1 << 24  # of all sources; a block is larger where the documents would make more
+    named: int = 16_384
     rest_groups: int = 256
     bucket_docs: int = 50_000
 
@@ -155,12 +156,14 @@ def placed(documents: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
         volume = volume.join(named, "entity", "left")
     weighed = F.coalesce((F.col("weight") > 0) & ~F.isnan("weight"), F.lit(False))
     volume = volume.withColumn("phase", F.when(weighed, 0).otherwise(1)).withColumn("weight", F.when(weighed, F.col("weight")).otherwise(1.0))
-    volume = stored(volume.withColumn("blocks", F.ceil(F.col("docs") / mix.block_docs)), "volume")
-    whole_ = volume.agg(F.sum("docs").alias("docs"), F.sum("blocks").alias("blocks")).first()
+    volume = stored(volume, "volume")
+    whole_ = volume.agg(F.sum("docs").alias("docs"), F.count("*").alias("sources")).first()
+    block_docs = max(mix.block_docs, -(-(whole_["docs"] or 0) // mix.most_blocks))
+    volume = volume.withColumn("blocks", F.ceil(F.col("docs") / block_docs))
     if not whole_["docs"]:
         return rows.select("row", "doc_id", "source", "entity", *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "place")], *keep)
     slots = scheduled(volume, mix)
-    slots = F.broadcast(slots) if whole_["blocks"] <= BROADCAST_BLOCKS else slots.hint("merge")
+    slots = F.broadcast(slots) if whole_["docs"] / block_docs + whole_["sources"] <= BROADCAST_BLOCKS else slots.hint("merge")
 
     buckets = max(1, -(-whole_["docs"] // mix.bucket_docs))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "size", "row")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
@@ -170,7 +173,7 @@ def placed(documents: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
     inside = Window.partitionBy("entity", "bucket").orderBy("h", "doc_id", "size", "row")
     rows = rows.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["entity", "bucket"])
     number = F.col("first") + F.col("rank")
-    rows = rows.withColumn("block", F.floor(number / mix.block_docs).cast("long")).withColumn("place", (number % mix.block_docs).cast("long"))
+    rows = rows.withColumn("block", F.floor(number / block_docs).cast("long")).withColumn("place", (number % block_docs).cast("long"))
     rows = rows.join(slots, ["entity", "block"])
     return rows.select("row", "doc_id", "source", "entity", "block", "slot", "place", *keep)
 
