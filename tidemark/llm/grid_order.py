@@ -291,3 +291,12 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_grid_order_join": op9}
+ORACLES = {
+    "op9_grid_order_join": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM v WHERE v IS NOT NULL AND list_dot_product(v, v) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.95 * a.norm * b.norm),
+r AS (SELECT a AS vec_id, a AS least FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.vec_id WHERE r.least < l.b),
+d AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT vec_id, min(least) AS least FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.least, v.vec_id)) AS kept
+FROM v LEFT JOIN d ON d.a = v.vec_id LEFT JOIN c ON c.vec_id = v.vec_id"""
+}

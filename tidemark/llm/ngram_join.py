@@ -445,3 +445,13 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_ngram_jaccard_join": op8}
+ORACLES = {
+    "op8_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+h AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM h a JOIN h b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT a AS doc_id, a AS least FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.doc_id WHERE r.least < l.b)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(min(r.least), n.doc_id) AS component_id FROM n LEFT JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n.n"""
+}

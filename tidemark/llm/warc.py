@@ -295,8 +295,14 @@ def op1(spark, sf_dir: str) -> DataFrame:
     captured = F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(315_360_000))
     pages = table(spark, sf_dir, "pages").withColumn("captured", captured.cast("long"))
     merged = archive_and_merge(pages, new_path(spark, "warc"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_part", "history_place")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
 
 
 QUERIES = {"op1_warc_index_merge": op1}
-ORACLES = {}
+ORACLES = {
+    "op1_warc_index_merge": """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha256(t) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  CAST(1704067200 + page_id % 315360000 AS BIGINT) AS captured FROM f"""
+}
