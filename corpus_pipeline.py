@@ -4,6 +4,9 @@ Toxic documents go; one document of each near-duplicate group stays; live-lookin
 text; the rest is put in mixed order of its sources; and the texts are cut and packed into sequences that are
 numbered in that order. All stages but the last return the columns of ``documents``; the mixed order passes from
 stage to stage as the order of rows in the written files. Packing has no SQL form, so ``run`` has none.
+
+In every stage a null or empty text is an empty text and stays until the end, where it is its end id alone; null and
+repeated doc_ids are rows of their own; other columns pass unread; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from tidemark.llm.shared import DOCUMENT_COLUMNS, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the kernel machine, trained on the labelled ones among them, does not call toxic."""
+    """Documents that the kernel machine, trained on the labelled ones among them, does not call toxic.
+
+    Without labels of both kinds all documents stay, or none if all labels are toxic.
+    """
     return toxicity.drop_toxic(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each near-duplicate group."""
+    """The document of least doc_id of each near-duplicate group; texts without words are groups of their own."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     return ngram_join.keep_first(docs)
 
@@ -31,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the mixed order of their sources."""
+    """All documents, in the mixed order of their sources; a null source is a source."""
     return mixing.in_mixed_order(docs.select(*DOCUMENT_COLUMNS))
 
 
