@@ -27,7 +27,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``links`` (a, b, of any ordered type) to (node, root), root being the least node reached.
 
     A node without a link has no row. Each round is written to the shared folder, so a lost executor
-    costs a round at most; the steps aggregate before they join, so a hub of any degree passes.
+    costs a round at most. The steps aggregate before they join; the links of one hub meet its least node in one
+    task of the join, as a stream of rows of two numbers.
     """
     now = stored(_turned(links), "links")
     seen = None
