@@ -7,15 +7,17 @@ from tidemark.llm import (
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     perspectives,
     rotated_codes,
     secrets,
     token_frames,
+    tournament_packing,
     toxicity,
     warc,
 )
 
-_MODULES = (warc, toxicity, token_frames, mixing, rotated_codes, perspectives, packing, ngram_join, grid_order, secrets)
+_MODULES = (warc, toxicity, token_frames, mixing, rotated_codes, perspectives, packing, ngram_join, grid_order, secrets, tournament_packing, periodic_runs)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
