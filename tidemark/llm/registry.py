@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import (
+    collocations,
     grid_order,
     mixing,
     ngram_join,
@@ -17,7 +18,7 @@ from tidemark.llm import (
     warc,
 )
 
-_MODULES = (warc, toxicity, token_frames, mixing, rotated_codes, perspectives, packing, ngram_join, grid_order, secrets, tournament_packing, periodic_runs)
+_MODULES = (warc, toxicity, token_frames, mixing, rotated_codes, perspectives, packing, ngram_join, grid_order, secrets, collocations, tournament_packing, periodic_runs)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
