@@ -50,9 +50,9 @@ class Setup:
     longest: int = 5
     least: int = 100
     cover: int = 100  # per cent of a phrase's count from which a longer phrase replaces it
-    shard_words: int = 1 << 20
-    range_windows: int = 1 << 20
-    fan: int = 256
+    shard_words: int = 1 << 18
+    range_windows: int = 1 << 19
+    fan: int = 64
 
 
 class Numbers(dict):
