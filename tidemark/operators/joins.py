@@ -1,39 +1,54 @@
-"""As-of joins by one union and one window, and the cross-asset features built on them."""
+"""As-of joins by one union and a window by stretch of time, and the cross-asset features built on them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
 from tidemark.operators.series import SERIES, TIME, by_time, latest, pct_change, rolling
+from tidemark.operators.stretches import carried
+
+
+def carry_forward(both: DataFrame, value: str, by: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """``value`` with its last one that is not null, in ``order``, of each ``by`` group.
+
+    ``bucket`` must not fall along the order. Rows are sorted in their bucket only; what a bucket starts with comes
+    from the earlier buckets' last values, a row each. So a group that holds most rows is spread over tasks.
+    """
+    both = both.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    out = carried(both, {"_before": last}, lambda n: F.last(n, ignorenulls=True), by, "_bucket")
+    return out.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))).drop("_before", "_bucket")
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, cols: dict[str, str], by: Sequence[str], defaults: dict[str, float] | None = None,
-    on: str = TIME, right_on: str | None = None, least_rows: int = 0,
+    on: str = TIME, right_on: str | None = None, least_rows: int = 0, every: str = "day",
 ) -> DataFrame:
     """``left`` with the values of the last right row at or before its time, in the same ``by`` group.
 
     ``cols`` maps right columns to new names. Both sides are put together and the last right struct is carried
-    forward: one shuffle, and no row is ever paired with more than one. Of right rows at one time, the largest
-    values win. A group with fewer than ``least_rows`` right rows counts as having none. ``right_on`` may name
-    the close time of a right bar, which keeps the future out.
+    forward: no row is ever paired with more than one. Rows are sorted by group and stretch of time (``every``, a unit of
+    ``date_trunc``), and each stretch begins with the last right row of the stretches before it. Of right rows at one
+    time, the largest values win. A group with fewer than ``least_rows`` right rows counts as having none.
+    ``right_on`` may name the close time of a right bar, which keeps the future out.
     """
     new = list(cols.values())
     left = left.drop(*new)
     value = F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
+    r = right.where(F.col(right_on or on).isNotNull())
     if least_rows:
-        enough = F.count("*").over(Window.partitionBy(*by)) >= least_rows
-        right = right.withColumn("_enough", enough).where("_enough").drop("_enough")
-    r = right.where(F.col(right_on or on).isNotNull()).select(*by, F.col(right_on or on).alias("_t"), value.alias("_v"), F.lit(0).alias("_side"))
+        many = right.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows)
+        r = r.join(many.select(*by), list(by), "left_semi")
+    r = r.select(*by, F.col(right_on or on).alias("_t"), value.alias("_v"), F.lit(0).alias("_side"))
     row = F.struct(*left.columns)
     both = left.select(*by, F.col(on).alias("_t"), F.lit(1).alias("_side"), row.alias("_row")).unionByName(r, allowMissingColumns=True)
     # Right rows of a time come before left rows of that time.
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    out = carry_forward(both, "_v", by, ("_t", "_side", "_v"), F.date_trunc(every, "_t")).where("_side = 1")
     filled = [F.coalesce(f"_v.{n}", F.lit((defaults or {}).get(n))).alias(n) if n in (defaults or {}) else F.col(f"_v.{n}").alias(n) for n in new]
     return out.select("_row.*", *filled)
 
@@ -52,16 +67,12 @@ def closing(bars: DataFrame, hours: int) -> DataFrame:
     return bars.withColumn("close_time", F.col(TIME) + F.expr(f"INTERVAL {hours} HOURS"))
 
 
-def asof_benchmark(bars: DataFrame, benchmark: DataFrame, name: str = "btc_close") -> DataFrame:
+def asof_benchmark(bars: DataFrame, benchmark: DataFrame, name: str = "btc_close", every: str = "hour") -> DataFrame:
     """The benchmark's last close at or before each bar of every symbol of its segment.
 
-    Each symbol gets the benchmark's rows once, as right side of the as-of join, so that the bars stay dealt by
-    symbol and segment instead of one group per segment. The benchmark is one series; where it is not small
-    enough for Spark to broadcast, the join with the symbols shuffles it by segment.
+    All symbols meet the benchmark's rows once, by segment and stretch of time.
     """
-    bench = benchmark.select("segment", TIME, F.col("close").alias(name)).where(F.col(TIME).isNotNull())
-    each = bars.select("symbol", "segment").distinct().join(bench, "segment")
-    return asof_join(bars, each, {name: name}, ("symbol", "segment"))
+    return asof_join(bars, benchmark, {"close": name}, ("segment",), every=every)
 
 
 def cross_asset(bars: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:

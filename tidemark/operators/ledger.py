@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import age_hours, base_asset, clip, div
 from tidemark.functions.tables import with_row
+from tidemark.operators.joins import carry_forward
 
 GHOST = "Ghost — PnL unrecoverable"
 RECOVERED = "RECOVERED"
@@ -131,16 +132,16 @@ def open_exposure(signals: DataFrame, trades: DataFrame, sectors: DataFrame, dir
 def drop_on_cooldown(signals: DataFrame, ledger: DataFrame, hours: float = 2.0) -> DataFrame:
     """Signals (symbol, ts, ...) whose symbol's last decisive close is not a loss or ghost within ``hours``.
 
-    A full win clears the block. The last close comes by one union and one window.
+    A full win clears the block. Of closes at one time a loss or ghost counts last. Signals and closes are sorted by
+    symbol and day, and a day begins with the last close of the days before it.
     """
     lost = (F.coalesce("pnl", F.lit(0.0)) < 0) | _ghost()
     cleared = F.coalesce(F.col("close_reason") == "TP2 hit", F.lit(False))
-    closes = ledger.where(F.col("closed_at").isNotNull() & (lost | cleared)).select("symbol", F.col("closed_at").alias("ts"), (lost & ~cleared).alias("_lost"), F.lit(0).alias("_side"))
+    closes = ledger.where(F.col("closed_at").isNotNull() & (lost | cleared)).select("symbol", F.col("closed_at").alias("ts"), (lost & ~cleared).alias("_lost"))
+    closes = closes.select("symbol", "ts", F.struct("ts", "_lost").alias("_last"), F.lit(0).alias("_side"))
     row = F.struct(*signals.columns)
     both = closes.unionByName(signals.select("symbol", "ts", row.alias("_row"), F.lit(1).alias("_side")), allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct("ts", "_lost")), ignorenulls=True).over(w)
-    out = both.withColumn("_last", last).where("_side = 1")
+    out = carry_forward(both, "_last", ("symbol",), ("ts", "_side", "_last"), F.date_trunc("day", "ts")).where("_side = 1")
     blocked = F.col("_last._lost") & (age_hours("_last.ts", "ts") < hours)
     return out.where(~F.coalesce(blocked, F.lit(False))).select("_row.*")
 

@@ -38,15 +38,15 @@ def min_bars(bars: DataFrame, n: int, by: Sequence[str] = SERIES) -> DataFrame:
     return bars.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where(F.col("_n") >= n).drop("_n")
 
 
+def finite(c: str) -> Column:
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+
+
 def fill_features(df: DataFrame, cols: Sequence[str], by: Sequence[str] = SERIES, default: float = 0.0) -> DataFrame:
     """Infinite and NaN become missing, then the last value of the series, then the default."""
     upto = by_time(by).rowsBetween(Window.unboundedPreceding, 0)
 
-    def filled(c: str) -> Column:
-        finite = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
-        return F.coalesce(F.last(finite, ignorenulls=True).over(upto), F.lit(default))
-
-    return df.withColumns({c: filled(c) for c in cols})
+    return df.withColumns({c: F.coalesce(F.last(finite(c), ignorenulls=True).over(upto), F.lit(default)) for c in cols})
 
 
 def ensure_columns(df: DataFrame, cols: Sequence[str], default: float = 0.0) -> DataFrame:

@@ -8,39 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import TIME
+from tidemark.operators.stretches import BUCKET_ROWS, numbered
 
 TEST_SHARE, CALIB_SHARE, EMBARGO = 0.20, 0.15, 24
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
-    """``df`` with ``row_no`` (from 0) and ``rows_in`` of each ``by`` group in ``order``.
-
-    ``bucket`` must not fall along the order. Rows are ranked in (group, bucket) only, and the buckets' small
-    counts are summed up, so a group that holds most rows is spread over tasks.
-    """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(*by, "_bucket").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"_first": F.coalesce(F.sum("_count").over(before), F.lit(0)), "rows_in": F.sum("_count").over(Window.partitionBy(*by))})
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)) - 1)
-    return ranked.join(counts.drop("_count"), [*by, "_bucket"]).withColumn("row_no", F.col("_first") + F.col("_rank")).drop("_bucket", "_first", "_rank")
-
-
 def embargo_split(
     ds: DataFrame, by: Sequence[str] = ("regime",), test: float = TEST_SHARE, calib: float = CALIB_SHARE, gap: int = EMBARGO,
-    order: Sequence[str] = (TIME, "symbol"), unit: str = "rows",
+    order: Sequence[str] = (TIME, "symbol"), unit: str = "rows", bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Rows with ``part``: train, calib or test, in time order in each group; rows in the two gaps are left out.
 
     A group too small for both gaps is all train. ``unit`` 'bars' counts the sizes in distinct times instead of
     rows, so that the gap spans the same time for any number of symbols.
     """
-    day = F.date_trunc("day", F.col(TIME))
     if unit == "bars":
-        times = numbered(ds.select(*by, TIME).distinct(), by, [TIME], day)
+        times = numbered(ds.select(*by, TIME).distinct(), by, [TIME], rows=bucket_rows)
         ranked = ds.join(times, [*by, TIME])
     else:
-        ranked = numbered(ds, by, order, day)
+        ranked = numbered(ds, by, order, order[0], bucket_rows)
     n = F.col("rows_in")
     test_start = n - F.floor(n * test)
     calib_end = test_start - gap
@@ -51,9 +37,9 @@ def embargo_split(
     return ranked.withColumn("part", part).where("part IS NOT NULL").drop("row_no", "rows_in")
 
 
-def walk_forward_folds(ds: DataFrame, k: int = 5, gap: int = EMBARGO, order: Sequence[str] = (TIME, "symbol")) -> DataFrame:
+def walk_forward_folds(ds: DataFrame, k: int = 5, gap: int = EMBARGO, order: Sequence[str] = (TIME, "symbol"), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows of k - 1 folds: train on the first blocks, test on the next after an embargo. Rows repeat by fold."""
-    ranked = numbered(ds.withColumn("_all", F.lit(1)), ["_all"], order, F.date_trunc("day", F.col(TIME))).drop("_all")
+    ranked = numbered(ds.withColumn("_all", F.lit(1)), ["_all"], order, order[0], bucket_rows).drop("_all")
     size = F.floor(F.col("rows_in") / k)
     skip = F.least(F.lit(gap), F.greatest(F.floor(size / 10), F.lit(1)))
     fold = ranked.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
@@ -81,5 +67,5 @@ def undersample(ds: DataFrame, key: Column, ratio: float = 1.0, seed: int = 42,
     upto = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     row = major.groupBy("_bucket").count().withColumn("upto", upto).where(F.col("upto") > keep).orderBy("_bucket").first()
     below = major.where(F.col("_bucket") < row["_bucket"])
-    edge = major.where(F.col("_bucket") == row["_bucket"]).orderBy("_draw").limit(keep - (row["upto"] - row["count"]))
+    edge = major.where(F.col("_bucket") == row["_bucket"]).orderBy("_draw", *ds.columns).limit(keep - (row["upto"] - row["count"]))
     return ds.where(F.col("target") != majority).unionByName(below.unionByName(edge).drop("_draw", "_bucket"))

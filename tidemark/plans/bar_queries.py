@@ -149,11 +149,14 @@ for _name, (_interval, _columns) in GROUPS.items():
     )
 
 
-@query("features_blocked", features_sql("15m", ("ema20", "rsi", "atr", "adx", "macd_signal")))
+_ALL = tuple(dict.fromkeys(c for interval, columns in GROUPS.values() if interval == "15m" for c in columns))
+
+
+@query("features_blocked", features_sql("15m", _ALL))
 def _(spark, sf_dir):
-    """The averages in blocks of 200 bars, as for series too long for one task."""
+    """All features in blocks of 200 bars, as for series too long for one task."""
     df = features.add_features(bars(spark, sf_dir), block_rows=200)
-    return df.select("symbol", stamp("open_time").alias("open_time"), *[near(c).alias(c) for c in ("ema20", "rsi", "atr", "adx", "macd_signal")])
+    return df.select("symbol", stamp("open_time").alias("open_time"), *[near(c).alias(c) for c in _ALL])
 
 
 @query(

@@ -129,19 +129,13 @@ def _(spark, sf_dir):
 
 @query(
     "signals_off_cooldown",
-    f"""WITH c AS (SELECT symbol, closed_at AS ts, max(CASE WHEN close_reason <> 'TP2 hit' THEN 1 ELSE 0 END) AS lost FROM (SELECT * FROM ({LEDGER_SQL}) WHERE pnl < 0 OR close_reason IN ('Ghost — PnL unrecoverable', 'TP2 hit')) GROUP BY ALL),
-a AS ({_ASKED.replace("12 HOUR", "1 HOUR").replace("WHERE true", "WHERE l_quantity > 10")})
-SELECT id, symbol, signal FROM a ASOF LEFT JOIN c ON a.symbol = c.symbol AND a.ts >= c.ts WHERE NOT coalesce(c.lost = 1 AND date_diff('second', c.ts, a.ts) / 3600.0 < 2, false)""".replace(
-        "SELECT id, symbol", "SELECT id, a.symbol"
-    ),
+    f"""WITH c AS (SELECT symbol, closed_at AS ts, max(CASE WHEN close_reason <> 'TP2 hit' THEN 1 ELSE 0 END) AS lost FROM ({LEDGER_SQL}) WHERE pnl < 0 OR close_reason IN ('Ghost — PnL unrecoverable', 'TP2 hit') GROUP BY ALL),
+a AS ({_ASKED.replace("12 HOUR", "1 HOUR")})
+SELECT id, a.symbol, signal FROM a ASOF LEFT JOIN c ON a.symbol = c.symbol AND a.ts >= c.ts WHERE NOT coalesce(c.lost = 1 AND date_diff('second', c.ts, a.ts) / 3600.0 < 2, false)""",
 )
 def _(spark, sf_dir):
-    """Closes of one symbol at one time count as one: it blocks if any of them does."""
-    soon = asked(spark, sf_dir, "l_quantity > 10", 1)
-    trades = ledger(spark, sf_dir).where("pnl < 0 OR close_reason IN ('Ghost — PnL unrecoverable', 'TP2 hit')")
-    at = trades.groupBy("symbol", "closed_at").agg(F.max(F.col("close_reason") != "TP2 hit").alias("lost"))
-    closes = at.select("symbol", "closed_at", F.when(F.col("lost"), -1.0).otherwise(1.0).alias("pnl"), F.when(F.col("lost"), "SL hit").otherwise("TP2 hit").alias("close_reason"))
-    return book.drop_on_cooldown(soon, closes).select("id", "symbol", "signal")
+    """All signals against the ledger as it is."""
+    return book.drop_on_cooldown(asked(spark, sf_dir, hours=1), ledger(spark, sf_dir)).select("id", "symbol", "signal")
 
 
 _OPEN_SQL = "SELECT l_suppkey, 'S' || l_suppkey || 'USDT' AS symbol, CASE WHEN l_suppkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS signal, max(l_extendedprice / l_quantity) AS entry, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_suppkey"

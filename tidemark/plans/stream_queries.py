@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from tidemark.plans.signal_queries import ruled
 from tidemark.plans.tables import TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql
 from tidemark.plans.workloads import rule_signals
 from tidemark.sources.bars import to_bars
+from tidemark.sources.shared import shared_path
 from tidemark.streaming import jobs
 
 SLICES, FILES = 4, 2  # of a stream, and in each of its slices
@@ -31,20 +29,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one where no shared one is set and all runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, df: DataFrame, name: str, time: str) -> DataFrame:
     """A table as a stream of files: slices of time, written one after the other and read a slice per micro-batch."""
-    path = shared(spark, name)
+    path = shared_path(spark, name)
     at = F.unix_micros(F.col(time).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(at, [k / SLICES for k in range(1, SLICES)], 10_000).alias("c")).first()["c"] or []
     slice_ = sum(((at > c).cast("int") for c in cuts), F.lit(0))
@@ -55,7 +42,7 @@ def file_stream(spark: SparkSession, df: DataFrame, name: str, time: str) -> Dat
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """The stream run to its end into files, read back."""
-    path = shared(spark, name)
+    path = shared_path(spark, name)
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start(path)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -84,7 +71,7 @@ SELECT symbol, {stamp_sql("open_time")} AS open_time, signal, {near_sql("50 + ab
 )
 def _(spark, sf_dir):
     """Scans of the last 300 bars of each symbol that a micro-batch touches, with how many batches found each signal."""
-    history, path = bars(spark, sf_dir), shared(spark, "scan")
+    history, path = bars(spark, sf_dir), shared_path(spark, "scan")
 
     def scan(recent: DataFrame) -> DataFrame:
         return rule_signals(features.add_features(recent)).where("signal <> 'NO_TRADE'")
