@@ -18,6 +18,7 @@ no rows. Extra columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ class Setup:
     cover: int = 100  # per cent of a phrase's count from which a longer phrase replaces it
     shard_words: int = 1 << 18
     range_windows: int = 1 << 19
-    fan: int = 64
+    fan: int = 256
 
 
 class Numbers(dict):
@@ -99,10 +100,13 @@ class Shard:
         rows = np.concatenate([windows(rank[x], n, self.setup.longest) for x, n in self.parts])
         n = len(rows)
         phrases = Phrases(words, *counted(rows, np.ones(n, np.int64), len(words)))
-        some = np.arange(1 << 14, len(phrases.rows), 1 << 15) if len(phrases.rows) > 1 << 14 else np.arange(min(1, len(phrases.rows)))
+        automaton = Automaton.of(phrases).to_bytes()
+        # Shards are alike, so each takes its sample at places of its own; else all bounds would lie together.
+        some = np.arange(0, len(phrases.rows), 1 << 13)
+        some = np.minimum(some + np.random.default_rng(zlib.crc32(automaton)).integers(0, 1 << 13, len(some)), len(phrases.rows) - 1)
         sample = Phrases(words, phrases.rows[some], phrases.counts[some]).named()
         self.number, self.parts, self.size = Numbers({BREAK: 0}), [], 0
-        return n, len(phrases.rows), Automaton.of(phrases).to_bytes(), sample
+        return n, len(phrases.rows), automaton, sample
 
 
 def count_shards(documents: DataFrame, setup: Setup = Setup()) -> DataFrame:
