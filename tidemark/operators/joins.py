@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import clip
 from tidemark.operators.series import SERIES, TIME, by_time, latest, pct_change, rolling
 from tidemark.operators.stretches import carried
+from tidemark.sources.shared import written
 
 
 def carry_forward(both: DataFrame, value: str, by: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
@@ -55,11 +56,17 @@ def asof_join(
 
 def align_1h(bars: DataFrame, hourly: DataFrame, by: Sequence[str] = ("symbol", "segment"), right_on: str | None = None) -> DataFrame:
     cols = {"rsi": "rsi_1h", "adx": "adx_1h", "trend": "trend_1h"}
-    return asof_join(bars, hourly, cols, by, {"rsi_1h": 50.0, "adx_1h": 0.0, "trend_1h": 0.0}, right_on=right_on, least_rows=5)
+    return asof_join(bars, _made_once(hourly, cols, by, right_on), cols, by, {"rsi_1h": 50.0, "adx_1h": 0.0, "trend_1h": 0.0}, right_on=right_on, least_rows=5)
 
 
 def align_4h(bars: DataFrame, slow: DataFrame, by: Sequence[str] = ("symbol", "segment"), right_on: str | None = None) -> DataFrame:
-    return asof_join(bars, slow, {"rsi": "rsi_4h", "trend": "trend_4h"}, by, {"rsi_4h": 50.0, "trend_4h": 0.0}, right_on=right_on, least_rows=5)
+    cols = {"rsi": "rsi_4h", "trend": "trend_4h"}
+    return asof_join(bars, _made_once(slow, cols, by, right_on), cols, by, {"rsi_4h": 50.0, "trend_4h": 0.0}, right_on=right_on, least_rows=5)
+
+
+def _made_once(slow: DataFrame, cols: dict[str, str], by: Sequence[str], right_on: str | None) -> DataFrame:
+    """The few columns that a join reads of a slower timeframe, written: it reads them three times."""
+    return written(slow.select(*by, right_on or TIME, *cols), "slower")
 
 
 def closing(bars: DataFrame, hours: int) -> DataFrame:

@@ -56,10 +56,14 @@ def volatility_state(bars: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     w = by_time(by)
     df = bars.withColumn("_tr", true_range(w))
     df = df.withColumn("range_pct", 100 * div(rolling(F.avg, "_tr", 14, w), "close")).drop("_tr")
-    p = F.col("range_pct")
+    state, risk = states_of(F.col("range_pct"))
+    return df.withColumns({"vol_state": state, "vol_risk_mult": risk, "skip": F.coalesce(F.col("range_pct") < 0.05, F.lit(False))})
+
+
+def states_of(p: Column) -> tuple[Column, Column]:
+    """State of the mean range in percent, and what it does to the risk."""
     state = F.when(p.isNull(), "UNKNOWN").when(p > 4.0, "VERY_HIGH").when(p > 2.0, "HIGH").when(p < 0.05, "DEAD").otherwise("NORMAL")
-    risk = F.when(p > 4.0, 0.25).when(p > 2.0, 0.5).when(p < 0.05, 0.0).otherwise(1.0)
-    return df.withColumns({"vol_state": state, "vol_risk_mult": risk, "skip": F.coalesce(p < 0.05, F.lit(False))})
+    return state, F.when(p > 4.0, 0.25).when(p > 2.0, 0.5).when(p < 0.05, 0.0).otherwise(1.0)
 
 
 def effective_risk(mode: Column, volatility: Column, ratchet: Column) -> Column:

@@ -57,8 +57,8 @@ def _(spark, sf_dir):
 @query(
     "bars_by_user",
     f"""SELECT CAST(user_id AS VARCHAR) AS symbol, {stamp_sql("time_bucket(INTERVAL '1 hour', ts)")} AS open_time,
-  {near_sql("arg_min(100 + value, ts)")} AS open, {near_sql("max(100 + value)")} AS high, {near_sql("min(100 + value)")} AS low,
-  {near_sql("arg_max(100 + value, ts)")} AS close, count(*) AS ticks FROM events GROUP BY 1, 2""",
+  {near_sql("arg_min(100 + value, (ts, value))")} AS open, {near_sql("max(100 + value)")} AS high, {near_sql("min(100 + value)")} AS low,
+  {near_sql("arg_max(100 + value, (ts, value))")} AS close, count(*) AS ticks FROM events GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
     from tidemark.plans.tables import table

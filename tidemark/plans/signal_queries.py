@@ -41,10 +41,13 @@ def _pick(wa, wq, a, q) -> str:
     return f"CASE WHEN {_WEEKEND} AND {_ACTIVE} THEN {wa} WHEN {_WEEKEND} THEN {wq} WHEN {_ACTIVE} THEN {a} ELSE {q} END"
 
 
+_MULT_SQL = near_sql(f"({_pick(0.85, 0.5, 1.0, 0.5)}) * CASE WHEN hour(ts) BETWEEN 9 AND 11 OR hour(ts) BETWEEN 13 AND 16 THEN 1.2 ELSE 1.0 END", 3)
+
+
 @query(
     "scan_mode",
     f"""SELECT {_pick("'weekend_active'", "'weekend_quiet'", "'active'", "'quiet'")} AS mode, {_pick(50, 50, 45, 50)} AS min_confidence, {_pick(3, 4, 3, 3)} AS min_score, {_pick(18, 22, 15, 18)} AS min_adx,
-  {_pick(15, 30, 15, 30)} AS interval_min, {near_sql(f"({_pick(0.85, 0.5, 1.0, 0.5)}) * CASE WHEN hour(ts) BETWEEN 9 AND 11 OR hour(ts) BETWEEN 13 AND 16 THEN 1.2 ELSE 1.0 END", 3)} AS risk_mult, count(*) AS n
+  {_pick(15, 30, 15, 30)} AS interval_min, {_MULT_SQL} AS risk_mult, count(*) AS n
 FROM events GROUP BY ALL""",
 )
 def _(spark, sf_dir):
@@ -215,31 +218,33 @@ _TESTS = {
 _BIASES = (("btc", "benchmark"), ("flow", "netflow"), ("fg", "sentiment"))
 _TEXTS = [("counter", "'4h counter-trend (-1)'"), ("confident", "printf('confidence %.0f', confidence)"), ("trending", "printf('ADX %.0f', adx)"), ("on_rsi", "'RSI on side'"), ("on_ema", "'EMA on side'"), ("hour", "'1h confirms'"), ("slow", "'4h trend aligns'"), ("settled", "'4h trend established'")]
 _TEXTS += [x for k, n in _BIASES for x in ((f"{k}_bias = signal", f"'{n} aligned'"), (f"{k}_bias <> signal AND {k}_mod > 0", f"'{n} opposed'"))] + [("surge", "'volume surge'")]
-_LIVE_SQL = f"""WITH own AS (SELECT *, lag(volume) OVER w AS vol_prev, CASE WHEN count(volume) OVER v = 20 THEN avg(volume) OVER v END AS vol_mean_prev FROM {_OWN}
-  WINDOW w AS (PARTITION BY symbol ORDER BY open_time), v AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+_DECIDED_SQL = f"""WITH span AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS plain FROM {_OWN} WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+own AS (SELECT *, lag(volume) OVER w AS vol_prev, CASE WHEN count(volume) OVER v = 20 THEN avg(volume) OVER v END AS vol_mean_prev, CASE WHEN count(plain) OVER y = 14 THEN 100 * avg(plain) OVER y / close END AS range_pct FROM span
+  WINDOW w AS (PARTITION BY symbol ORDER BY open_time), v AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY symbol ORDER BY open_time ROWS 13 PRECEDING)),
 late AS (SELECT symbol, open_time, rsi, ema20, ema50, {_RUN("u")} AS up, {_RUN("d")} AS down FROM (SELECT symbol, open_time, rsi, ema20, ema50, {_RUNS} FROM {_SLOW} WINDOW w AS (PARTITION BY symbol ORDER BY open_time))),
 bench AS (SELECT 100 * (close / lag(close) OVER (ORDER BY open_time) - 1) AS p, open_time FROM ({bars_sql()}) WHERE symbol = '{BENCHMARK}'),
 flow AS (SELECT event_type AS symbol, round((arg_max(value, ts) - 50) * 2000000, 2) AS x FROM events GROUP BY 1),
 mood AS (SELECT CAST(floor(sum(value)) AS BIGINT) % 101 AS v FROM events),
-j AS (SELECT o.symbol, o.open_time, o.open_time AS ts, o.close, o.atr, o.rsi, o.adx, o.ema20, o.ema50, o.vol_prev, o.vol_mean_prev, h.ema20 AS ema20_1h, h.ema50 AS ema50_1h, l.rsi AS rsi_4h, l.ema20 AS ema20_4h, l.ema50 AS ema50_4h, l.up, l.down,
+j AS (SELECT o.symbol, o.open_time, o.open_time AS ts, o.close, o.atr, o.rsi, coalesce(o.adx, 0) AS adx, o.ema20, o.ema50, o.ema200, o.range_pct, o.vol_prev, o.vol_mean_prev, h.ema20 AS ema20_1h, h.ema50 AS ema50_1h, l.rsi AS rsi_4h, l.ema20 AS ema20_4h, l.ema50 AS ema50_4h, l.up, l.down,
   CASE WHEN o.trend = 1 AND o.rsi < 65 THEN 'BUY' WHEN o.trend = -1 AND o.rsi > 35 THEN 'SELL' ELSE 'NO_TRADE' END AS signal, 50 + abs(o.rsi - 50) AS confidence,
   CASE WHEN p >= 1.5 THEN 'BUY' WHEN p <= -1.5 THEN 'SELL' END AS btc_bias, CASE WHEN abs(p) >= 1.5 THEN 1 ELSE 0 END AS btc_mod,
   CASE WHEN x > 50000000 THEN 'SELL' WHEN x < -50000000 THEN 'BUY' END AS flow_bias, CASE WHEN abs(x) > 50000000 THEN 1 ELSE 0 END AS flow_mod,
   CASE WHEN v >= 75 THEN 'SELL' WHEN v <= 25 THEN 'BUY' END AS fg_bias, CASE WHEN v >= 75 OR v <= 25 THEN 1 ELSE 0 END AS fg_mod, v <= 20 AS blocks_sell, v >= 70 AS blocks_buy
   FROM {_LATEST.format("own")} o LEFT JOIN {_LATEST.format(_HOUR)} h ON o.symbol = h.symbol AND h.newest = 1 LEFT JOIN {_LATEST.format("late")} l ON o.symbol = l.symbol AND l.newest = 1
   LEFT JOIN flow ON o.symbol = flow.symbol, (SELECT p FROM bench ORDER BY open_time DESC LIMIT 1), mood WHERE o.newest = 1),
-m AS (SELECT *, CASE WHEN signal = 'BUY' THEN up ELSE down END AS trend_bars, {_pick(50, 50, 45, 50)} AS min_confidence, {_pick(3, 4, 3, 3)} AS min_score, {_pick(18, 22, 15, 18)} AS min_adx FROM j),
+m AS (SELECT *, CASE WHEN signal = 'BUY' THEN up ELSE down END AS trend_bars, {_pick(50, 50, 45, 50)} AS min_confidence, {_pick(3, 4, 3, 3)} AS min_score, {_pick(18, 22, 15, 18)} AS min_adx, {_MULT_SQL} AS risk_mult FROM j),
 t AS (SELECT *, {", ".join(f"coalesce({test}, false) AS {n}" for n, test in _TESTS.items())} FROM m),
 r AS (SELECT *, {" + ".join(f"CAST({n} AS INTEGER)" for n in ("confident", "trending", "on_rsi", "on_ema", "hour", "slow", "settled", "surge"))} - CAST(counter AS INTEGER)
   + {" + ".join(f"coalesce(CASE WHEN {k}_bias = signal THEN {k}_mod WHEN {k}_bias <> signal THEN -{k}_mod END, 0)" for k, _ in _BIASES)} AS score,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in _TEXTS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM t)
-SELECT symbol, {AT_SQL}, signal, {near_sql("confidence", 2)} AS confidence, score, CASE WHEN signal = 'NO_TRADE' THEN 'no trade' WHEN confidence < min_confidence THEN 'confidence'
+  array_to_string(list_filter([{", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in _TEXTS)}], lambda x: x IS NOT NULL), '; ') AS reasons FROM t),
+z AS (SELECT *, CASE WHEN signal = 'NO_TRADE' THEN 'no trade' WHEN confidence < min_confidence THEN 'confidence'
   WHEN signal = 'BUY' AND blocks_buy OR signal = 'SELL' AND blocks_sell THEN 'sentiment' WHEN adx < min_adx THEN 'adx'
   WHEN CASE WHEN signal = 'BUY' THEN ema20_4h < ema50_4h WHEN counter THEN symbol IN ({", ".join(f"'{x}'" for x in MAJORS)}) OR rsi_4h > 65 END THEN '4h bias' WHEN trend_bars < 1 THEN '4h fresh' WHEN thin THEN 'volume'
-  WHEN score < min_score THEN 'score' WHEN coalesce(NOT (close > 0) OR NOT (atr > 0), true) THEN 'price' END AS reject_reason, reasons FROM r"""
+  WHEN score < min_score THEN 'score' WHEN coalesce(NOT (close > 0) OR NOT (atr > 0), true) THEN 'price' END AS reject_reason FROM r)"""
+_SCAN_SQL = f"SELECT symbol, {AT_SQL}, signal, {near_sql('confidence', 2)} AS confidence, score, reject_reason, reasons FROM z"
 
 
-@query("live_scan", _LIVE_SQL)
+@query("live_scan", f"{_DECIDED_SQL} {_SCAN_SQL}")
 def _(spark, sf_dir):
     """Every symbol's newest bar, scored and filtered, with reasons."""
     events = table(spark, sf_dir, "events")
@@ -262,7 +267,29 @@ _NEWS_SQL = f"""WITH n AS (SELECT source AS coin, lower(coalesce(text, '')) AS t
 s AS (SELECT coin, CAST(sum({_title_sql("t")}) AS BIGINT) AS score, count(*) AS articles FROM n WHERE k <= 10 GROUP BY coin)"""
 
 
-def _news(spark, sf_dir) -> DataFrame:
+def wide_sql(sql: str) -> str:
+    """The same over forty symbols, an event type and an eighth of the users each, at prices from wild to still."""
+    return sql.replace("100 + value AS price", "2000 * pow(2, user_id % 8) + value AS price").replace("event_type AS symbol", "event_type || '-' || (user_id % 8) AS symbol").replace(f"'{BENCHMARK}'", f"'{BENCHMARK}-0'")
+
+
+ORDERS_SQL = f"""{wide_sql(_DECIDED_SQL)}, {_NEWS_SQL.removeprefix("WITH ").replace("s AS (", "news AS (")},
+q AS (SELECT z.*, coalesce(news.score, 0) AS mood, CAST(coalesce(confidence >= 75, false) AS INTEGER) + CAST(coalesce(adx > 20, false) AS INTEGER) + CAST(coalesce(signal = 'BUY' AND rsi < 40 OR signal = 'SELL' AND rsi > 60, false) AS INTEGER)
+  + CAST(coalesce(signal = 'BUY' AND ema20 > ema50 AND ema50 > ema200 OR signal = 'SELL' AND ema20 < ema50 AND ema50 < ema200, false) AS INTEGER) + CAST(hour AS INTEGER)
+  + CAST(coalesce(signal = 'BUY' AND ema20_4h > ema50_4h OR signal = 'SELL' AND ema20_4h < ema50_4h, false) AS INTEGER) AS quality
+  FROM (SELECT * RENAME (score AS points) FROM z) z LEFT JOIN news ON news.coin = 'src' || split_part(symbol, '-', 2)),
+v AS (SELECT *, signal = 'BUY' AND mood > 0 OR signal = 'SELL' AND mood < 0 AS agrees, signal = 'BUY' AND mood < 0 OR signal = 'SELL' AND mood > 0 AS opposes, close AS entry, CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END AS side,
+  CASE WHEN range_pct > 4 THEN 'VERY_HIGH' WHEN range_pct > 2 THEN 'HIGH' WHEN range_pct < 0.05 THEN 'DEAD' WHEN range_pct IS NULL THEN 'UNKNOWN' ELSE 'NORMAL' END AS vol_state,
+  CASE WHEN range_pct > 4 THEN 0.25 WHEN range_pct > 2 THEN 0.5 WHEN range_pct < 0.05 THEN 0.0 ELSE 1.0 END AS vol_mult FROM q),
+x AS (SELECT *, CASE vol_state WHEN 'VERY_HIGH' THEN 1.5 WHEN 'DEAD' THEN 0.8 WHEN 'UNKNOWN' THEN 0.8 ELSE 1.0 END AS stretch FROM v),
+y AS (SELECT *, {_LEVEL_SQL.format("entry - side * atr * 2.5")} AS stop, {_LEVEL_SQL.format("entry + side * atr * 3.5 * stretch")} AS tp1, {_LEVEL_SQL.format("entry + side * atr * 7.5 * stretch")} AS tp2,
+  10000 * 0.01 * risk_mult * vol_mult * CASE WHEN confidence >= 60 THEN 1.5 ELSE 1.0 END * coalesce(least(greatest(0.003 / nullif(atr / entry, 0), 0.4), 2.0), 1.0) AS risk FROM x),
+k AS (SELECT *, least(risk / nullif(abs(entry - stop), 0), 10000 * 0.05 / entry, 10 * risk / entry, 1000) AS raw FROM y WHERE stop > 0 AND tp1 > 0 AND tp2 > 0)
+SELECT symbol, {AT_SQL}, signal, {near_sql("confidence", 2)} AS confidence, points + CAST(agrees AS INTEGER) AS score, reject_reason, quality, vol_state,
+  CASE WHEN agrees OR opposes THEN CASE WHEN reasons = '' THEN '' ELSE reasons || '; ' END || CASE WHEN agrees THEN 'news agrees' ELSE 'news opposes: caution' END ELSE reasons END AS reasons,
+  {near_sql("stop")} AS stop, {near_sql("tp1")} AS tp1, {near_sql("tp2")} AS tp2, {near_sql("CASE WHEN raw > 0 THEN greatest(0.01, floor(raw / 0.01) * 0.01) ELSE 0 END", 2)} AS qty FROM k"""
+
+
+def news(spark, sf_dir) -> DataFrame:
     """Documents as titles, with their source as the coin."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("coin"), F.col("doc_id").alias("published_at"), F.coalesce("text", F.lit("")).alias("title"))
     return signals.news_sentiment(docs)
@@ -270,7 +297,7 @@ def _news(spark, sf_dir) -> DataFrame:
 
 @query("news_sentiment_titles", f"{_NEWS_SQL} SELECT *, CASE WHEN score > 0 THEN 'BULLISH' WHEN score < 0 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM s")
 def _(spark, sf_dir):
-    return _news(spark, sf_dir)
+    return news(spark, sf_dir)
 
 
 @query(
@@ -293,7 +320,7 @@ FROM e LEFT JOIN s ON e.coin = s.coin""",
 def _(spark, sf_dir):
     coin = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))
     asked = table(spark, sf_dir, "events").select("event_id", coin.alias("coin"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("signal"), F.lit(0).alias("score"), F.array().cast("array<string>").alias("reasons"))
-    return signals.apply_news(asked, _news(spark, sf_dir)).select("event_id", "score", F.array_join("reasons", ";").alias("note"))
+    return signals.apply_news(asked, news(spark, sf_dir)).select("event_id", "score", F.array_join("reasons", ";").alias("note"))
 
 
 @query(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import features
-from tidemark.plans.signal_queries import ruled
-from tidemark.plans.tables import TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql
-from tidemark.plans.workloads import rule_signals
+from tidemark.operators import features, series
+from tidemark.plans.signal_queries import ORDERS_SQL, news, ruled
+from tidemark.plans.tables import BENCHMARK, INTERVALS, TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql
+from tidemark.plans.workloads import benchmark_now, ordered, rule_signals, scanned_signals
 from tidemark.sources.bars import to_bars
 from tidemark.sources.shared import shared_path
 from tidemark.streaming import jobs
+from tidemark.streaming.scan import scan_inputs
 
 SLICES, FILES = 4, 2  # of a stream, and in each of its slices
 
@@ -90,7 +91,7 @@ def _(spark, sf_dir):
 @query(
     "stream_signal_gate",
     f"""{timeframe_sql()}, s AS (SELECT symbol, open_time AS moment, rsi < 35 AS lost, {_RULE_SQL} AS signal FROM f),
-n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment) AS turn FROM s WHERE signal <> 'NO_TRADE'),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment) AS turn FROM s WHERE signal <> 'NO_TRADE' AND moment < (SELECT max(moment) - INTERVAL 1 HOUR FROM s WHERE signal <> 'NO_TRADE')),
 g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '1970-01-01' AS blocked, DATE '1970-01-01' AS day, 0 AS taken, '' AS reason FROM n
   UNION ALL SELECT symbol, turn, CASE WHEN reason = 'ok' THEN signal ELSE last END, CASE WHEN lost THEN moment + INTERVAL 2 HOUR ELSE blocked END, CAST(moment AS DATE), taken + CASE WHEN reason = 'ok' THEN 1 ELSE 0 END, reason
   FROM (SELECT *, CASE WHEN lost THEN 'lost' WHEN signal = last THEN 'same' WHEN moment < blocked THEN 'cooldown' WHEN taken >= 20 THEN 'cap' ELSE 'ok' END AS reason
@@ -98,13 +99,59 @@ g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '
 SELECT n.symbol, n.signal, {stamp_sql("n.moment")} AS "at", reason = 'ok' AS allowed, CASE WHEN reason = 'ok' THEN '' ELSE reason END AS reason FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn WHERE reason <> 'lost'""",
 )
 def _(spark, sf_dir):
-    """The rule's signals through the gate: new ones, off cooldown, under the day's cap."""
+    """The rule's signals through the gate, those that the watermark has passed: new ones, off cooldown, under the day's cap."""
     found = ruled(spark, sf_dir).where("signal <> 'NO_TRADE'")
     rows = found.select("symbol", "signal", F.col("open_time").cast("timestamp").alias("at"), (F.col("rsi") < 35).alias("lost"))
     out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "gate", "at")), "gated")
     return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+def wide_ticks(spark, sf_dir) -> DataFrame:
+    """Ticks of forty symbols, an event type and an eighth of the users each, at prices from wild to still."""
+    group = F.concat_ws("-", "event_type", (F.col("user_id") % 8).cast("string"))
+    rows = table(spark, sf_dir, "events").select(group.alias("symbol"), "ts", "value", "user_id")
+    return rows.select("symbol", "ts", (2000 * F.pow(F.lit(2.0), F.col("user_id") % 8) + F.col("value")).alias("price"), (1 + F.col("user_id") % 10).cast("double").alias("qty"), (F.col("user_id") % 2 == 0).alias("is_taker_buy"), "value")
+
+
+@query("stream_live_scan", ORDERS_SQL)
+def _(spark, sf_dir):
+    """The last scan of each symbol from a stream of bars: filters, score, news, levels and size, with nothing read twice."""
+    seen = wide_ticks(spark, sf_dir)
+    bars_ = {i: to_bars(seen, every, i) for i, every in INTERVALS.items()}
+    closed = series.union_all([b.withColumn("closed_at", F.col("open_time") + F.expr(f"INTERVAL {INTERVALS[i]}")) for i, b in bars_.items()])
+    events = seen.withColumn("net_inflow", F.round((F.col("value") - 50) * 2e6, 2))
+    bench = benchmark_now(series.with_segment(bars_["15m"]).where(F.col("symbol") == f"{BENCHMARK}-0"))
+    mood = events.agg((F.floor(F.sum("value")) % 101).alias("value"))
+    names = seen.select("symbol").distinct().select("symbol", F.lit(0.01).alias("min_amount"), F.lit(1000.0).alias("max_amount"))
+    inputs = scan_inputs(file_stream(spark, closed, "scan-bars", "closed_at")).withColumn("coin", F.concat(F.lit("src"), F.substring_index("symbol", "-", -1)))
+    made = ordered(scanned_signals(inputs, bench, events.select("symbol", "ts", "net_inflow"), mood), news(spark, sf_dir), names, 10_000.0)
+    shown = ["symbol", "bars", "open_time", "signal", "confidence", "score", "reject_reason", "quality", "vol_state", "reasons", "stop", "tp1", "tp2", "qty"]
+    last = finished(spark, made.select(*shown), "scanned").groupBy("symbol").agg(F.max_by(F.struct(*shown[2:]), "bars").alias("r")).select("symbol", "r.*")
+    near_ = {c: near(c, 2 if c in ("confidence", "qty") else 4) for c in ("confidence", "stop", "tp1", "tp2", "qty")}
+    return last.withColumns({"open_time": stamp("open_time"), "reasons": F.array_join("reasons", "; "), **near_})
+
+
+_TURN_SQL = "row_number() OVER (PARTITION BY symbol ORDER BY moment, signal, lost)"
+_TICK_GATE_SQL = f"""WITH RECURSIVE s AS (SELECT event_type AS symbol, ts AS moment, value > 160 AS lost, CASE WHEN user_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS signal FROM events),
+n AS MATERIALIZED (SELECT *, {_TURN_SQL} AS turn FROM s WHERE moment < (SELECT date_trunc('millisecond', max(moment) - INTERVAL 3 HOUR) FROM s)),
+g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '1970-01-01' AS blocked, DATE '1970-01-01' AS day, 0 AS taken, '' AS reason FROM n
+  UNION ALL SELECT symbol, turn, CASE WHEN reason = 'ok' THEN signal ELSE last END, CASE WHEN lost THEN moment + INTERVAL 2 HOUR ELSE blocked END, CAST(moment AS DATE), taken + CASE WHEN reason = 'ok' THEN 1 ELSE 0 END, reason
+  FROM (SELECT *, CASE WHEN lost THEN 'lost' WHEN signal = last THEN 'same' WHEN moment < blocked THEN 'cooldown' WHEN taken >= 20 THEN 'cap' ELSE 'ok' END AS reason
+    FROM (SELECT n.*, g.last, g.blocked, CASE WHEN g.day = CAST(n.moment AS DATE) THEN g.taken ELSE 0 END AS taken FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn + 1)))
+SELECT n.symbol, n.signal, {stamp_sql("n.moment")} AS "at", reason = 'ok' AS allowed, CASE WHEN reason = 'ok' THEN '' ELSE reason END AS reason FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn WHERE reason <> 'lost'"""
+
+
+@query("stream_signal_gate_shuffled", _TICK_GATE_SQL)
+def _(spark, sf_dir):
+    """Every tick as a signal, arriving up to two hours out of order: judged in order of time, days over their cap among them."""
+    events = table(spark, sf_dir, "events")
+    late = F.timestamp_add("SECOND", F.pmod(F.xxhash64("event_id"), F.lit(7200)).cast("int"), F.col("ts"))
+    side = F.when(F.col("user_id") % 2 == 0, "BUY").otherwise("SELL")
+    rows = events.select(F.col("event_type").alias("symbol"), side.alias("signal"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") > 160).alias("lost"), late.alias("arrived"))
+    out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "ticks-gate", "arrived"), watermark="3 hours"), "ticks-gated")
+    return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 _LIFE_SQL = f"""WITH RECURSIVE t AS (SELECT symbol || '-' || {stamp_sql("open_time")} AS trade_id, symbol, CASE WHEN day(open_time) % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE -1 END AS side, close AS entry, open_time + INTERVAL 4 HOUR AS opened FROM ({bars_sql("4h")}) WHERE hour(open_time) = 4),
 c AS (SELECT *, entry * (1 - 0.05 * side) AS stop, entry * (1 + 0.04 * side) AS tp1, entry * (1 + 0.1 * side) AS tp2 FROM t),
 n AS MATERIALIZED (SELECT trade_id, e.ts, 100 + e.value AS price, row_number() OVER (PARTITION BY trade_id ORDER BY e.ts, e.value) AS turn FROM c JOIN events e ON e.event_type = c.symbol AND e.ts > c.opened AND e.ts <= c.opened + INTERVAL 72 HOUR),
@@ -137,11 +184,16 @@ def _(spark, sf_dir):
     return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
 
 
-@query("stream_trade_lifecycle", _LIFE_SQL)
+_LATE_LIFE_SQL = _LIFE_SQL.replace("INTERVAL 72 HOUR),", "INTERVAL 72 HOUR AND e.ts < (SELECT date_trunc('millisecond', max(ts) - INTERVAL 3 HOUR) FROM events)),")
+
+
+@query("stream_trade_lifecycle", _LATE_LIFE_SQL)
 def _(spark, sf_dir):
-    """The same with the ticks as a stream of several micro-batches, each trade's place in its life held as state."""
-    prices = file_stream(spark, ticks(spark, sf_dir).select("symbol", "ts", "price"), "life-ticks", "ts")
-    out = finished(spark, jobs.stream_lifecycle(_daily_trades(spark, sf_dir), prices), "life")
+    """The same with the ticks as a stream of several micro-batches, up to two hours out of order, up to the watermark."""
+    events = table(spark, sf_dir, "events")
+    late = F.timestamp_add("SECOND", F.pmod(F.xxhash64("event_id"), F.lit(7200)).cast("int"), F.col("ts"))
+    ticks_ = events.select(F.col("event_type").alias("symbol"), "ts", (100 + F.col("value")).alias("price"), late.alias("arrived"))
+    out = finished(spark, jobs.stream_lifecycle(_daily_trades(spark, sf_dir), file_stream(spark, ticks_, "life-ticks", "arrived"), watermark="3 hours"), "life")
     return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
 
 

@@ -58,7 +58,7 @@ TICKS_SQL = "SELECT event_type AS symbol, ts, 100 + value AS price, CAST(1 + use
 
 def bars_sql(interval: str = "15m") -> str:
     return f"""SELECT symbol, '{interval}' AS "interval", 'all' AS segment, time_bucket(INTERVAL '{INTERVALS[interval]}', ts) AS open_time,
-  arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(qty) AS volume,
+  arg_min(price, (ts, price)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, price)) AS close, sum(qty) AS volume,
   sum(CASE WHEN is_taker_buy THEN qty ELSE 0 END) AS taker_buy_base_vol FROM ({TICKS_SQL}) GROUP BY 1, 2, 3, 4"""
 
 

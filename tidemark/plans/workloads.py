@@ -49,8 +49,37 @@ def scored_signals(entry: DataFrame, hourly: DataFrame, slow: DataFrame, benchma
     late = series.latest(slow_features.select("symbol", series.TIME, "rsi", "ema20", "ema50", "up_bars", "down_bars"), ("symbol",)).drop(series.TIME)
     late = late.select("symbol", *[F.col(c).alias(f"{c}_4h") for c in ("rsi", "ema20", "ema50")], "up_bars", "down_bars")
     latest = latest.join(late, "symbol", "left").withColumn("trend_bars", F.when(F.col("signal") == "BUY", F.col("up_bars")).otherwise(F.col("down_bars")))
-    bench = series.latest(market.benchmark_momentum(entry.where(F.col("symbol") == benchmark)), ("symbol",)).select("btc_bias", "btc_score_mod")
+    return decided(latest, benchmark_now(entry.where(F.col("symbol") == benchmark)), flows, mood)
+
+
+def benchmark_now(benchmark: DataFrame) -> DataFrame:
+    """The benchmark's newest move, a row."""
+    return series.latest(market.benchmark_momentum(benchmark), ("symbol",)).select("btc_bias", "btc_score_mod")
+
+
+def decided(latest: DataFrame, bench: DataFrame, flows: DataFrame, mood: DataFrame) -> DataFrame:
+    """Rows of scan inputs, from a table or a stream, with score, reasons and reason of rejection.
+
+    ``bench``, ``flows`` and ``mood`` are tables; a stream meets them as they are.
+    """
     latest = with_row(latest, bench)
     latest = latest.join(market.classify_netflow(flows).select("symbol", "flow_bias", "flow_score_mod"), "symbol", "left")
     latest = with_row(latest, market.classify_fear_greed(mood).select("fg_bias", "fg_score_mod", "fg_blocks_buy", "fg_blocks_sell"))
     return signals.filter_signals(signals.score_signals(market.with_scan_mode(latest, series.TIME)))
+
+
+def ordered(filtered: DataFrame, news: DataFrame, instruments: DataFrame, balance: float) -> DataFrame:
+    """Decided rows with the scanner's quality, the news, levels, and the size of an order.
+
+    Needs coin, ema200 and range_pct, the plain mean range in percent; ``news`` has coin and sentiment.
+    """
+    state, risk = market.states_of(F.col("range_pct"))
+    out = signals.apply_news(signals.quality_score(filtered), news)
+    out = signals.with_levels(out.withColumns({"entry": F.col("close"), "vol_state": state, "vol_risk_mult": risk}))
+    return signals.position_size(out, instruments, F.lit(balance), F.col("risk_mult") * F.col("vol_risk_mult"))
+
+
+def scanned_signals(inputs: DataFrame, bench: DataFrame, flows: DataFrame, mood: DataFrame) -> DataFrame:
+    """A stream's rows of inputs, decided by the rule."""
+    run = F.when(F.col("signal") == "BUY", F.col("up_bars")).otherwise(F.col("down_bars"))
+    return decided(rule_signals(inputs).withColumn("trend_bars", run), bench, flows, mood)

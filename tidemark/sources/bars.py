@@ -31,10 +31,12 @@ def dedupe_bars(bars: DataFrame) -> DataFrame:
 def to_bars(ticks: DataFrame, every: str, interval: str | None = None) -> DataFrame:
     """Tumbling bars of ticks (symbol, ts, price, qty, is_taker_buy), batch or stream.
 
-    Partial aggregation runs before the shuffle, so a hot symbol costs a row per window and task.
+    Partial aggregation runs before the shuffle, so a hot symbol costs a row per window and task. Ticks of one time
+    go by price.
     """
+    turn = F.struct("ts", "price")
     bars = ticks.groupBy("symbol", F.window("ts", every).alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+        F.min_by("price", turn).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", turn).alias("close"),
         F.sum("qty").alias("volume"), F.sum(F.when(F.col("is_taker_buy"), F.col("qty")).otherwise(0.0)).alias("taker_buy_base_vol"),
     )
     return bars.select("symbol", F.lit(interval or every).alias("interval"), F.col("w.start").alias("open_time"), *PRICES, "taker_buy_base_vol")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +13,15 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators import series
 from tidemark.sources.bars import to_bars
 
-GATED = "symbol string, signal string, at timestamp, allowed boolean, reason string"
-GATE_STATE = "last string, until double, day string, n int"
+DAY_US = 86_400_000_000
+GATED = "symbol string, signal string, us long, allowed boolean, reason string"
+GATE_STATE = "last string, until long, day long, n int, seen long, at array<long>, signal array<string>, lost array<boolean>"
 EVENTS = "trade_id string, symbol string, at timestamp, event string, price double, qty double, pnl double"
-LIFE_STATE = "left double, stop double, hit boolean, closed boolean"
+LIFE_STATE = (
+    "symbol string, signal string, entry double, stop double, tp1 double, tp2 double, qty double, qty_tp1 double, risk_usd double, opened long, "
+    "left double, moved double, hit boolean, closed boolean, at array<long>, live array<double>"
+)
+LIFE_COLUMNS = ["symbol", "signal", "entry", "stop", "tp1", "tp2", "qty", "qty_tp1", "risk_usd", "opened"]
 COOLDOWN_HOURS, DAILY_CAP = 2.0, 20
 
 
@@ -38,37 +44,53 @@ def run_scan(bars_of: Callable[[DataFrame], DataFrame], scan: Callable[[DataFram
     return run
 
 
+def _due(waiting: list[tuple], state) -> tuple[list[tuple], list[tuple], int]:
+    """Rows (microseconds first) that the watermark has passed, in order; the others; and the watermark."""
+    mark = state.getCurrentWatermarkMs()
+    waiting = sorted(waiting)
+    k = next((k for k, w in enumerate(waiting) if w[0] >= 1000 * mark), len(waiting))
+    return waiting[:k], waiting[k:], mark
+
+
 def signal_gate(signals: DataFrame, cap: int = DAILY_CAP, cooldown_hours: float = COOLDOWN_HOURS, watermark: str = "1 hour") -> DataFrame:
     """Signals (symbol, signal, at, lost) in a stream: whether each is new, off cooldown and under the day's cap.
 
-    A row with ``lost`` starts a cooldown and is not a signal. State is a few values per symbol and ends
-    when the watermark is two days past the symbol's last row.
+    A row with ``lost`` starts a cooldown and is not a signal. Rows wait until the watermark has passed them and
+    are judged in order of their time, then of their signal, whatever order they come in; days are UTC. Rows later than the
+    watermark are dropped. State is the waiting rows and a few values per symbol, and ends when the watermark
+    is two days past the symbol's last row.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def gate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, until, day, n, seen, *held = state.get if state.exists else ("", 0, 0, 0, 0, [], [], [])
+        waiting = list(zip(*held))
+        if not state.hasTimedOut:
+            for part in parts:
+                waiting += zip(part["us"].tolist(), part["signal"].tolist(), part["lost"].tolist())
+        due, waiting, mark = _due(waiting, state)
+        if state.hasTimedOut and not due and not waiting:
             state.remove()
             return
-        last, until, day, n = state.get if state.exists else ("", 0.0, "", 0)
         out = []
-        for row in pd.concat(list(parts)).sort_values("at", kind="stable").itertuples():
-            now, today = row.at.timestamp(), row.at.strftime("%Y-%m-%d")
+        for now, signal, lost in due:
+            seen, today = now, now // DAY_US
             if today != day:
                 day, n = today, 0
-            if row.lost:
-                until = now + 3600 * cooldown_hours
+            if lost:
+                until = now + int(3_600_000_000 * cooldown_hours)
                 continue
-            reason = "same" if row.signal == last else "cooldown" if now < until else "cap" if n >= cap else None
+            reason = "same" if signal == last else "cooldown" if now < until else "cap" if n >= cap else None
             if reason is None:
-                last, n = row.signal, n + 1
-            out.append((key[0], row.signal, row.at, reason is None, reason))
-        state.update((last, until, day, n))
-        state.setTimeoutTimestamp(int(1000 * now) + 2 * 86_400_000)
-        yield pd.DataFrame(out, columns=["symbol", "signal", "at", "allowed", "reason"])
+                last, n = signal, n + 1
+            out.append((key[0], signal, now, reason is None, reason))
+        state.update((last, until, day, n, seen, *([list(c) for c in zip(*waiting)] or [[], [], []])))
+        state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 if waiting else (seen + 2 * DAY_US) // 1000))
+        yield pd.DataFrame(out, columns=["symbol", "signal", "us", "allowed", "reason"])
 
-    timed = signals.withWatermark("at", watermark)
-    return timed.groupBy("symbol").applyInPandasWithState(gate, GATED, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = signals.withWatermark("at", watermark).select("symbol", "signal", "at", "lost", F.unix_micros("at").alias("us"))
+    out = timed.groupBy("symbol").applyInPandasWithState(gate, GATED, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("symbol", "signal", F.timestamp_micros("us").alias("at"), "allowed", "reason")
 
 
 class Trade:
@@ -150,27 +172,39 @@ def trade_lifecycle(trades: DataFrame, prices: DataFrame, hours: float = 48.0) -
 def stream_lifecycle(trades: DataFrame, prices: DataFrame, hours: float = 48.0, watermark: str = "1 hour") -> DataFrame:
     """The same over a stream of prices, with a table of trades.
 
-    The state of a trade is what is left of it, its stop, and whether the first target was hit; it ends with the
-    trade, or when the watermark is past the trade's life. Prices later than the watermark are not seen.
+    Prices wait until the watermark has passed them and are taken in order of their time, whatever order they come in;
+    later ones are dropped. The state of a trade is its own columns, what is left of it, its stop, whether the first target was hit, and
+    the waiting prices; it ends when the watermark is past the trade's life.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def fold(_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        got = [] if state.hasTimedOut else [p for p in parts if len(p)]
+        *own, left, moved, hit, closed, at, live = state.get if state.exists else (*(got[0].iloc[0][c] for c in LIFE_COLUMNS), None, None, False, False, [], [])
+        of = dict(zip(LIFE_COLUMNS, own))
+        opened = int(of["opened"])
+        trade = Trade(SimpleNamespace(trade_id=key[0], opened_at=pd.Timestamp(opened, unit="us"), **of), hours)
+        if left is not None:
+            trade.left, trade.stop, trade.hit1, trade.closed = left, moved, hit, closed
+        waiting = list(zip(at, live))
+        for part in got:
+            waiting += zip(part["us"].tolist(), part["price"].tolist())
+        due, waiting, mark = _due(waiting, state)
+        out = [(*e[:2], now, *e[3:]) for now, price in due for e in trade.step(pd.Timestamp(now, unit="us"), price)]
+        end = opened // 1000 + int(3_600_000 * (hours + 25))
+        if not waiting and mark > end:
             state.remove()
-            return
-        group = pd.concat(list(parts)).sort_values(["ts", "live"], kind="stable")
-        trade = Trade(next(group.itertuples()), hours)
-        if state.exists:
-            trade.left, trade.stop, trade.hit1, trade.closed = state.get
-        out = [e for at, price in zip(group["ts"], group["live"]) for e in trade.step(at, price)]
-        state.update((trade.left, trade.stop, trade.hit1, trade.closed))
-        state.setTimeoutTimestamp(max(int(1000 * trade.opened.timestamp()) + int(3_600_000 * (hours + 25)), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=EVENT_COLUMNS)
+        else:
+            plain = [x.item() if hasattr(x, "item") else x for x in own]
+            state.update((*plain, float(trade.left), float(trade.stop), bool(trade.hit1), bool(trade.closed), [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] // 1000 if waiting else end))
+        yield pd.DataFrame(out, columns=["us" if c == "at" else c for c in EVENT_COLUMNS])
 
     timed = prices.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     met = met_prices(trades.withColumn("opened_at", F.col("opened_at").cast("timestamp")), timed, hours)
-    return met.groupBy("trade_id").applyInPandasWithState(fold, EVENTS, LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    met = met.select("trade_id", *LIFE_COLUMNS[:-1], F.unix_micros("opened_at").alias("opened"), "ts", F.unix_micros("ts").alias("us"), F.col("live").alias("price"))
+    out = met.groupBy("trade_id").applyInPandasWithState(fold, EVENTS.replace("at timestamp", "us long"), LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("at", F.timestamp_micros("us")).select(*EVENT_COLUMNS)
 
 
 def start_memory(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
