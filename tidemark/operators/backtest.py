@@ -6,12 +6,14 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import div
-from tidemark.operators.labels import first_hit
-from tidemark.operators.series import SERIES, TIME, by_time
+from tidemark.operators.labels import ARRAY_BARS, first_hit, first_touches
+from tidemark.operators.series import SERIES, TIME, by_time, union_all
+from tidemark.operators.stretches import carried, in_blocks, numbered
+from tidemark.sources.shared import written
 
 FEE, SLIPPAGE, RISK, LEVERAGE, START = 0.0005, 0.0005, 0.01, 10.0, 100_000.0
 STOP_ATR, TP1_ATR = 2.5, 3.5
@@ -31,50 +33,112 @@ def simulate_exits(bars: DataFrame, n: int = 24, stop: float = STOP_ATR, target:
     """Trades of the bars that carry a signal (BUY or SELL): first touch of stop or target in n bars, else a
     time exit at the close of bar n. On a tie in one bar the stop comes first.
 
-    The following bars come from the window itself, so signals are joined with nothing. A series' last n bars
-    give no trade.
+    Up to ``ARRAY_BARS`` bars come from a window, so signals are joined with nothing; longer horizons skip by blocks. A
+    series' last n bars give no trade.
     """
-    w = by_time(by)
-    path = F.collect_list(F.struct(F.col(TIME).alias("t"), "high", "low", "close")).over(w.rowsBetween(1, n))
-    df = bars.withColumn("_path", path).where((F.col("signal") != "NO_TRADE") & (F.size("_path") == n) & (F.col("atr") > 0))
     side = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
-    df = df.withColumns({"entry": F.col("close"), "stop": F.col("close") - side * stop * F.col("atr"), "tp1": F.col("close") + side * target * F.col("atr")})
-    df = df.where("stop > 0 AND tp1 > 0")
     buy = F.col("signal") == "BUY"
-    lost = first_hit(F.col("_path"), lambda b: F.when(buy, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop")))
-    won = first_hit(F.col("_path"), lambda b: F.when(buy, b["high"] >= F.col("tp1")).otherwise(b["low"] <= F.col("tp1")))
-    df = df.withColumns({"_lost": F.coalesce(lost, F.lit(n + 1)), "_won": F.coalesce(won, F.lit(n + 1))})
+    priced = {"entry": F.col("close"), "stop": F.col("close") - side * stop * F.col("atr"), "tp1": F.col("close") + side * target * F.col("atr")}
+    fired = (F.col("signal") != "NO_TRADE") & (F.col("atr") > 0)
+    if n > ARRAY_BARS:
+        df = _far_exits(bars, n, fired, priced, by)
+    else:
+        path = F.collect_list(F.struct(F.col(TIME).alias("t"), "high", "low", "close")).over(by_time(by).rowsBetween(1, n))
+        df = bars.withColumn("_path", path).where(fired & (F.size("_path") == n)).withColumns(priced)
+        lost = first_hit(F.col("_path"), lambda b: F.when(buy, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop")))
+        won = first_hit(F.col("_path"), lambda b: F.when(buy, b["high"] >= F.col("tp1")).otherwise(b["low"] <= F.col("tp1")))
+        df = df.withColumns({"_lost": F.coalesce(lost, F.lit(n + 1)), "_won": F.coalesce(won, F.lit(n + 1))})
+        df = df.withColumn("_bar", F.get("_path", F.least("_lost", "_won", F.lit(n)).cast("int") - 1))
     stopped, reached = (F.col("_lost") <= n) & (F.col("_lost") <= F.col("_won")), F.col("_won") <= n
-    bar = F.get("_path", F.when(stopped, F.col("_lost")).when(reached, F.col("_won")).otherwise(n).cast("int") - 1)
-    return df.select(
-        *by, "signal", "confidence", F.col(TIME).alias("entry_time"), bar["t"].alias("exit_time"), "entry", "stop", "tp1",
+    return df.where("stop > 0 AND tp1 > 0").select(
+        *by, "signal", "confidence", F.col(TIME).alias("entry_time"), F.col("_bar.t").alias("exit_time"), "entry", "stop", "tp1",
         F.when(stopped, "SL").when(reached, "TP1").otherwise("TIME_EXIT").alias("outcome"),
-        F.when(stopped, F.col("stop")).when(reached, F.col("tp1")).otherwise(bar["close"]).alias("exit_price"),
+        F.when(stopped, F.col("stop")).when(reached, F.col("tp1")).otherwise(F.col("_bar.close")).alias("exit_price"),
     )
 
 
-def admit(trades: DataFrame, most: int = 10, by: Sequence[str] = ("run_id",)) -> DataFrame:
+def _far_exits(bars: DataFrame, n: int, fired: Column, priced: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """Signals with the bars until their stop and target, and the bar that ends them."""
+    rows = numbered(bars, by, [TIME]).withColumnRenamed("row_no", "_row")
+    points = rows.where(fired & (F.col("_row") + n < F.col("rows_in"))).withColumns(priced)
+    buy = F.col("signal") == "BUY"
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))  # levels that nothing touches
+    levels = {
+        "_low_stop": ("low", F.when(buy, F.col("stop")).otherwise(low)), "_high_stop": ("high", F.when(buy, high).otherwise(F.col("stop"))),
+        "_high_goal": ("high", F.when(buy, F.col("tp1")).otherwise(high)), "_low_goal": ("low", F.when(buy, low).otherwise(F.col("tp1"))),
+    }
+    df = first_touches(points, rows, n, levels, by)
+    df = df.withColumns({"_lost": F.coalesce("_low_stop", "_high_stop", F.lit(n + 1)), "_won": F.coalesce("_high_goal", "_low_goal", F.lit(n + 1))})
+    df = df.withColumn("_end", F.col("_row") + F.least("_lost", "_won", F.lit(n)))
+    ends = rows.select(*by, F.col("_row").alias("_end"), F.struct(F.col(TIME).alias("t"), "close").alias("_bar"))
+    return df.join(ends, [*by, "_end"])
+
+
+ENTERED = ("entry_time", "symbol")
+EXITED = ("exit_time", "entry_time", "symbol")
+
+
+def admit(trades: DataFrame, most: int = 10, by: Sequence[str] = ("run_id",), slice_rows: int | None = None) -> DataFrame:
     """In order of entry, trades while fewer than ``most`` admitted ones are still open.
 
-    Admission depends on earlier admissions, so it is an ordered fold in each run; a run is a few thousand
-    trades, and runs are parallel.
+    Admission depends on earlier admissions, so it is an ordered fold in each run. With ``slice_rows`` a run is cut
+    wherever none of its candidates is open, which makes the parts independent; a part of more rows is folded a
+    slice at a time, with the at most ``most`` exits that are still open carried from slice to slice.
     """
+    if slice_rows:
+        return _admit_in_slices(trades, most, by, slice_rows)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["entry_time", "symbol"], kind="stable")
-        open_until: list = []
-        taken = []
-        for start, end in zip(group["entry_time"], group["exit_time"]):
-            while open_until and open_until[0] <= start:
-                heapq.heappop(open_until)
-            taken.append(len(open_until) < most)
-            if taken[-1]:
-                heapq.heappush(open_until, end)
-        return group[taken]
+        group = group.sort_values(list(ENTERED), kind="stable")
+        return group[_taken(group["entry_time"], group["exit_time"], [], most)]
 
     return trades.groupBy(*by).applyInPandas(fold, trades.schema)
 
 
+def _taken(starts, ends, open_until: list, most: int) -> list[bool]:
+    """Which trades are admitted; ``open_until``, a heap of exits, is what is open before and after them."""
+    taken = []
+    for start, end in zip(starts, ends):
+        while open_until and open_until[0] <= start:
+            heapq.heappop(open_until)
+        taken.append(len(open_until) < most)
+        if taken[-1]:
+            heapq.heappush(open_until, end)
+    return taken
+
+
+def _admit_in_slices(trades: DataFrame, most: int, by: Sequence[str], slice_rows: int) -> DataFrame:
+    """Parts by a running maximum of exits and a running count of cuts, both carried from block to block."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = written(in_blocks(trades, slice_rows, by, *ENTERED).withColumns({"_in": micros("entry_time"), "_out": micros("exit_time")}), "trades")
+    w = Window.partitionBy(*by, "_block").orderBy("_row")
+    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = carried(rows, {"_held": F.max("_out")}, F.max, by)
+    rows = rows.withColumn("_cut", F.coalesce(F.greatest("_held", F.max("_out").over(earlier)) <= F.col("_in"), F.lit(True)).cast("long"))
+    rows = carried(rows, {"_cuts": F.sum("_cut")}, F.sum, by).withColumn("_part", F.coalesce("_cuts", F.lit(0)) + F.sum("_cut").over(upto))
+    firsts = rows.groupBy(*by, "_part").agg(F.min("_block").alias("_first"))
+    rows = written(rows.join(firsts, [*by, "_part"]).withColumn("_step", F.col("_block") - F.col("_first")).drop("_held", "_cut", "_cuts", "_first"), "parts")
+    part = (*by, "_part")
+    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in part)
+    folded = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _taken boolean, _until array<long>"
+
+    def fold(key: tuple, group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_row", kind="stable")
+        heap = sorted(int(x) for x in state["_until"].iloc[0]) if len(state) else []
+        group["_taken"] = _taken(group["_in"].tolist(), group["_out"].tolist(), heap, most)
+        group["_until"] = [*[None] * (len(group) - 1), heap] if len(group) else []
+        return group
+
+    last = rows.agg(F.max("_step")).first()[0]
+    state, done = trades.sparkSession.createDataFrame([], f"{keyed}, _until array<long>"), []
+    for step in range((last or 0) + 1):  # one, but for parts of more than a slice
+        now = rows.where(F.col("_step") == step)
+        out = written(now.groupBy(*part).cogroup(state.groupBy(*part)).applyInPandas(fold, folded), "slice")
+        state = out.where("_until IS NOT NULL").select(*part, "_until")
+        done.append(out.where("_taken").select(*trades.columns))
+    return union_all(done)
+
+
 def trade_returns(trades: DataFrame, fee: float = FEE, slippage: float = SLIPPAGE, risk: float = RISK, leverage: float = LEVERAGE) -> DataFrame:
     """Notional over equity, return on equity after slippage and fees, and multiple of the risk taken."""
     side = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
@@ -86,14 +150,24 @@ def trade_returns(trades: DataFrame, fee: float = FEE, slippage: float = SLIPPAG
     return df.withColumn("r_multiple", F.coalesce(div("ret", F.col("notional") * F.col("_risk")), F.lit(0.0))).drop("_risk")
 
 
-def equity_curve(trades: DataFrame, start: float = START, by: Sequence[str] = ("run_id",)) -> DataFrame:
+def equity_curve(trades: DataFrame, start: float = START, by: Sequence[str] = ("run_id",), slice_rows: int | None = None) -> DataFrame:
     """Equity, peak and drawdown in order of exit. Returns do not depend on equity, so it is a running product,
-    as the exponential of a running sum; a loss of everything stays a loss of everything."""
-    w = Window.partitionBy(*by).orderBy("exit_time", "entry_time", "symbol").rowsBetween(Window.unboundedPreceding, 0)
-    ruined = F.max(F.col("ret") <= -1).over(w)
-    growth = F.sum(F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)).over(w)
-    df = trades.withColumn("equity", F.when(ruined, 0.0).otherwise(start * F.exp(growth)))
-    df = df.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(start)))
+    as the exponential of a running sum; a loss of everything stays a loss of everything. With ``slice_rows`` sums and
+    peaks run in slices of a run, onto what the slices before have come to."""
+    growth = F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(0.0)
+    lost = (F.col("ret") <= -1).cast("int")
+    df = trades.withColumns({"_before": F.lit(0.0), "_ruined": F.lit(0), "_peak": F.lit(start)})
+    key = list(by)
+    if slice_rows:
+        df = written(in_blocks(trades, slice_rows, by, *EXITED), "returns")
+        df = carried(df, {"_before": F.sum(growth), "_ruined": F.max(lost)}, lambda n: F.sum(n) if n == "_before" else F.max(n), by)
+        key.append("_block")
+    w = Window.partitionBy(*key).orderBy(*EXITED).rowsBetween(Window.unboundedPreceding, 0)
+    ruined = F.greatest(F.max(lost).over(w), F.col("_ruined")) > 0
+    df = df.withColumn("equity", F.when(ruined, 0.0).otherwise(start * F.exp(F.sum(growth).over(w) + F.coalesce("_before", F.lit(0.0)))))
+    if slice_rows:
+        df = carried(df, {"_peak": F.max("equity")}, F.max, by)
+    df = df.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(start), F.col("_peak"))).drop("_before", "_ruined", "_peak", "_block", "_row")
     return df.withColumns({"drawdown": (F.col("peak") - F.col("equity")) / F.col("peak"), "pnl": F.col("equity") * div("ret", 1 + F.col("ret"))})
 
 

@@ -48,9 +48,9 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], ti
     return ranked.join(counts, same).withColumn("row_no", F.col("_first") + F.col("_rank")).drop("_bucket", "_first", "_rank", *[f"_by{k}" for k in range(len(by) + 1)])
 
 
-def in_blocks(df: DataFrame, block_rows: int, by: Sequence[str] = SERIES, time: str = TIME) -> DataFrame:
-    """``df`` with ``_row``, its number in its series, and ``_block``, ``block_rows`` rows each but for the last."""
-    rows = numbered(df, by, [time], time, max(block_rows, BUCKET_ROWS)).drop("rows_in").withColumnRenamed("row_no", "_row")
+def in_blocks(df: DataFrame, block_rows: int, by: Sequence[str] = SERIES, time: str = TIME, *then: str) -> DataFrame:
+    """``df`` with ``_row``, its number in its series by time and ``then``, and ``_block``, ``block_rows`` rows each but for the last."""
+    rows = numbered(df, by, [time, *then], time, max(block_rows, BUCKET_ROWS)).drop("rows_in").withColumnRenamed("row_no", "_row")
     return rows.withColumn("_block", F.floor(F.col("_row") / block_rows).cast("long"))
 
 

@@ -255,23 +255,31 @@ def _(spark, sf_dir):
     return summaries.label_distribution(labelled(spark, sf_dir)).withColumn("share", near("share"))
 
 
-@query(
-    "first_touch_labels",
-    f"""{timeframe_sql()}, q AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM f),
+def _touch_sql(n: int, up: float, stop: float) -> str:
+    return f"""{timeframe_sql()}, q AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM f),
 p AS (SELECT a.symbol, a.open_time, a.adx, a.atr, count(*) AS ahead,
-  min(CASE WHEN z.high >= a.close + 1.5 * a.atr THEN z.rn - a.rn END) AS up, min(CASE WHEN z.low <= a.close - a.atr THEN z.rn - a.rn END) AS up_stop,
-  min(CASE WHEN z.low <= a.close - 1.5 * a.atr THEN z.rn - a.rn END) AS down, min(CASE WHEN z.high >= a.close + a.atr THEN z.rn - a.rn END) AS down_stop
-  FROM q a JOIN q z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn + 1 AND a.rn + 12 WHERE a.n >= 100 GROUP BY ALL),
-hit AS (SELECT symbol, open_time, adx, atr, ahead, coalesce(up <= coalesce(up_stop, 13), false) AS buy, coalesce(down <= coalesce(down_stop, 13), false) AS sell FROM p)
-SELECT q.symbol, {stamp_sql("q.open_time")} AS open_time, CASE WHEN hit.ahead = 12 AND hit.adx >= 18 AND hit.atr > 0 AND buy AND NOT sell THEN 'BUY'
-  WHEN hit.ahead = 12 AND hit.adx >= 18 AND hit.atr > 0 AND sell AND NOT buy THEN 'SELL' ELSE 'NO_TRADE' END AS target
-FROM q LEFT JOIN hit ON q.symbol = hit.symbol AND q.open_time = hit.open_time WHERE q.n >= 100""",
-)
+  min(CASE WHEN z.high >= a.close + {up} * a.atr THEN z.rn - a.rn END) AS up, min(CASE WHEN z.low <= a.close - {stop} * a.atr THEN z.rn - a.rn END) AS up_stop,
+  min(CASE WHEN z.low <= a.close - {up} * a.atr THEN z.rn - a.rn END) AS down, min(CASE WHEN z.high >= a.close + {stop} * a.atr THEN z.rn - a.rn END) AS down_stop
+  FROM q a JOIN q z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn + 1 AND a.rn + {n} WHERE a.n >= 100 GROUP BY ALL),
+hit AS (SELECT symbol, open_time, adx, atr, ahead, coalesce(up <= coalesce(up_stop, {n + 1}), false) AS buy, coalesce(down <= coalesce(down_stop, {n + 1}), false) AS sell FROM p)
+SELECT q.symbol, {stamp_sql("q.open_time")} AS open_time, CASE WHEN hit.ahead = {n} AND hit.adx >= 18 AND hit.atr > 0 AND buy AND NOT sell THEN 'BUY'
+  WHEN hit.ahead = {n} AND hit.adx >= 18 AND hit.atr > 0 AND sell AND NOT buy THEN 'SELL' ELSE 'NO_TRADE' END AS target
+FROM q LEFT JOIN hit ON q.symbol = hit.symbol AND q.open_time = hit.open_time WHERE q.n >= 100"""
+
+
+@query("first_touch_labels", _touch_sql(12, 1.5, 1.0))
 def _(spark, sf_dir):
     df = labels.first_touch_targets(features.add_features(bars(spark, sf_dir)))
     return df.select("symbol", stamp("open_time").alias("open_time"), "target")
 
 
+@query("first_touch_labels_far", _touch_sql(1000, 3.0, 1.2))
+def _(spark, sf_dir):
+    """The same within a thousand bars, by skipping blocks that touch nothing."""
+    df = labels.first_touch_targets(features.add_features(bars(spark, sf_dir)), 1000, 3.0, 1.2)
+    return df.select("symbol", stamp("open_time").alias("open_time"), "target")
+
+
 # Segments, splits, samples, summaries.
 _RANKED_SQL = f"""{_TARGET_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY open_time, symbol) - 1 AS i, count(*) OVER (PARTITION BY regime) AS n FROM l),
 p AS (SELECT *, n - CAST(floor(n * 0.2) AS BIGINT) AS ts, CAST(floor(n * 0.15) AS BIGINT) AS cs FROM n),

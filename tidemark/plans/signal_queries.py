@@ -438,10 +438,31 @@ SELECT symbol, {stamp_sql("entry_time")} AS entry_time, {stamp_sql("exit_time")}
 )
 def _(spark, sf_dir):
     """Admitted trades with equity, peak and drawdown."""
-    curve = run_backtest(ruled(spark, sf_dir), "rule")
+    return _curve(run_backtest(ruled(spark, sf_dir), "rule"))
+
+
+def _curve(curve: DataFrame) -> DataFrame:
     return curve.select("symbol", stamp("entry_time").alias("entry_time"), stamp("exit_time").alias("exit_time"), "outcome", near("equity", 2).alias("equity"), near("drawdown").alias("drawdown"))
 
 
+@query("backtest_curve_in_slices", ORACLES["backtest_curve"])
+def _(spark, sf_dir):
+    """The same with a run in slices of 1,000 trades."""
+    return _curve(run_backtest(ruled(spark, sf_dir), "rule", slice_rows=1000))
+
+
+_FAR = 1000
+_FAR_SQL = _EXITS_SQL.replace("2.5 * atr AS stop", "1.2 * atr AS stop").replace("3.5 * atr AS tp1", "3.0 * atr AS tp1").replace("24 FOLLOWING", f"{_FAR} FOLLOWING").replace("ahead = 24", f"ahead = {_FAR}").replace("t.rn + 24", f"t.rn + {_FAR}")
+
+
+@query("simulated_exits_far", f"{_FAR_SQL} SELECT symbol, {stamp_sql('entry_time')} AS entry_time, {stamp_sql('exit_time')} AS exit_time, signal, outcome, {near_sql('exit_price')} AS exit_price FROM o")
+def _(spark, sf_dir):
+    """Exits within a thousand bars, by skipping blocks that touch nothing."""
+    df = ruled(spark, sf_dir).withColumn("signal", F.when(F.col("confidence") >= 52, F.col("signal")).otherwise("NO_TRADE"))
+    out = backtest.simulate_exits(df, _FAR, 1.2, 3.0)
+    return out.select("symbol", stamp("entry_time").alias("entry_time"), stamp("exit_time").alias("exit_time"), "signal", "outcome", near("exit_price").alias("exit_price"))
+
+
 _METRICS_SQL = f"""{_EXITS_SQL.replace("confidence >= 52", "confidence >= 50").replace("SELECT t.symbol, t.open_time AS entry_time,", "SELECT t.symbol, t.confidence, t.open_time AS entry_time,")},
 {_curve_sql("SELECT 'conf-' || least AS run_id, o.* FROM o, (SELECT unnest([50, 55, 60, 65]) AS least) WHERE confidence >= least")},
 s1 AS (SELECT run_id, count(*) AS trades, count(*) FILTER (ret > 0) AS wins, count(*) FILTER (ret <= 0) AS losses, avg(r) AS mr, stddev_pop(r) AS sr, max((peak - equity) / peak) AS max_drawdown,

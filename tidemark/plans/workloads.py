@@ -34,11 +34,11 @@ def rule_signals(df: DataFrame) -> DataFrame:
     return df.withColumns({"signal": side, "confidence": 50 + F.abs(F.col("rsi") - 50)})
 
 
-def run_backtest(df: DataFrame, run_id: str, threshold: float = 52.0) -> DataFrame:
-    """Equity curve of the signals that reach the threshold: exits, position cap, costs, compounding."""
+def run_backtest(df: DataFrame, run_id: str, threshold: float = 52.0, slice_rows: int | None = None) -> DataFrame:
+    """Equity curve of the signals that reach the threshold: exits, position cap, costs, compounding; long runs in slices."""
     fired = df.withColumn("signal", F.when(F.col("confidence") >= threshold, F.col("signal")).otherwise("NO_TRADE"))
     trades = backtest.simulate_exits(fired).withColumn("run_id", F.lit(run_id))
-    return backtest.equity_curve(backtest.trade_returns(backtest.admit(trades)))
+    return backtest.equity_curve(backtest.trade_returns(backtest.admit(trades, slice_rows=slice_rows)), slice_rows=slice_rows)
 
 
 def scored_signals(entry: DataFrame, hourly: DataFrame, slow: DataFrame, benchmark: str, flows: DataFrame, mood: DataFrame) -> DataFrame:
