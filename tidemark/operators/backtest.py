@@ -126,7 +126,7 @@ def _admit_in_slices(trades: DataFrame, most: int, by: Sequence[str], slice_rows
         group = group.sort_values("_row", kind="stable")
         heap = sorted(int(x) for x in state["_until"].iloc[0]) if len(state) else []
         group["_taken"] = _taken(group["_in"].tolist(), group["_out"].tolist(), heap, most)
-        group["_until"] = [*[None] * (len(group) - 1), heap] if len(group) else []
+        group["_until"] = pd.Series([*[None] * (len(group) - 1), heap] if len(group) else [], group.index, dtype=object)
         return group
 
     last = rows.agg(F.max("_step")).first()[0]

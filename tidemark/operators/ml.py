@@ -5,17 +5,28 @@ Classes are numbered in alphabetical order: BUY, NO_TRADE, SELL.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidemark.functions.scalars import best_class
 from tidemark.operators import splits, summaries
@@ -40,6 +51,12 @@ def prepared(df: DataFrame, names: Sequence[str], signal_weight: float = 2.0) ->
     return selector(names).transform(df.withColumns({**clean, "label": label_index(), "weight": weight}))
 
 
+def _kept(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Rows that every tree and round reads: persisted, and a view of them in no more partitions than their number asks for."""
+    held = df.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    return held, held.coalesce(-(-held.count() // rows) or 1)
+
+
 @dataclass
 class Ensemble:
     """Fitted members; ``probs`` is their weighted mean, calibrated per class if there are calibrators."""
@@ -79,14 +96,14 @@ class Ensemble:
 
 def train_ensemble(train: DataFrame, names: Sequence[str], trees: int = 100, rounds: int = 40, depth: int = 5, seed: int = 42) -> Ensemble:
     """A forest, one boosted model per class (whose probabilities are renormalised), and a linear model."""
-    df = prepared(train, names).persist(StorageLevel.MEMORY_AND_DISK)  # read by every tree
+    held, df = _kept(prepared(train, names))
     out = Ensemble(list(names))
     out.forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(df)
     for k in range(len(CLASSES)):
         one = df.withColumn("one", (F.col("label") == k).cast("double"))
         out.boosted.append(GBTClassifier(labelCol="one", weightCol="weight", maxIter=rounds, maxDepth=3, seed=seed).fit(one))
     out.linear = LogisticRegression(weightCol="weight", family="multinomial", maxIter=20).fit(df)
-    df.unpersist()
+    held.unpersist()
     return out
 
 
@@ -128,6 +145,74 @@ def score(model: Ensemble, df: DataFrame) -> DataFrame:
     return out.withColumns({"call": call, "confidence": F.array_max("probs")}).drop("features", "label", "weight")
 
 
+@dataclass
+class Bundle:
+    """A trained ensemble with what a scan needs to use it."""
+
+    model: Ensemble
+    threshold: float
+    trained_at: str  # an ISO time; bars from there on are unseen
+
+
+def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
+    """Members and calibrators as MLlib saves them, the rest as a line of JSON, in one folder of any store."""
+    m = bundle.model
+    for k, model in enumerate(m.boosted):
+        model.write().overwrite().save(f"{path}/boosted-{k}")
+    m.forest.write().overwrite().save(f"{path}/forest")
+    m.linear.write().overwrite().save(f"{path}/linear")
+    kinds = []
+    for k, c in enumerate(m.calibrators):
+        kinds.append([c.slope, c.shift] if isinstance(c, Sigmoid) else None)
+        if not isinstance(c, Sigmoid):
+            c.write().overwrite().save(f"{path}/calibrator-{k}")
+    about = {"names": m.names, "calibrators": kinds, "threshold": bundle.threshold, "trained_at": bundle.trained_at}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_bundle(spark: SparkSession, path: str) -> Bundle:
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    model = Ensemble(about["names"], [GBTClassificationModel.load(f"{path}/boosted-{k}") for k in range(len(CLASSES))])
+    model.forest, model.linear = RandomForestClassificationModel.load(f"{path}/forest"), LogisticRegressionModel.load(f"{path}/linear")
+    for k, sigmoid in enumerate(about["calibrators"]):
+        model.calibrators.append(Sigmoid(*sigmoid) if sigmoid else IsotonicRegressionModel.load(f"{path}/calibrator-{k}"))
+    return Bundle(model, about["threshold"], about["trained_at"])
+
+
+@dataclass(frozen=True)
+class Softmax:
+    """A linear model in plain numpy, as any model from outside would come: rows of features to rows of probabilities."""
+
+    weights: np.ndarray
+    shift: np.ndarray
+
+    @classmethod
+    def of(cls, linear: LogisticRegressionModel) -> Softmax:
+        return cls(linear.coefficientMatrix.toArray(), linear.interceptVector.toArray())
+
+    def predict_proba(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.weights.T + self.shift
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+
+def score_external(df: DataFrame, names: Sequence[str], model) -> DataFrame:
+    """``df`` with probs, call and confidence of a model that is no Spark model, by Arrow batches.
+
+    ``model`` has ``predict_proba`` of an array, classes in alphabetical order, and is sent to the tasks: it must be small
+    enough for that. Missing, NaN and infinite features are 0.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.nan_to_num(batch[list(names)].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
+            batch["probs"] = list(model.predict_proba(x)) if len(batch) else []
+            yield batch
+
+    out = df.mapInPandas(run, StructType([*df.schema.fields, StructField("probs", ArrayType(DoubleType()))]))
+    return out.withColumns({"call": F.get(F.array(*[F.lit(c) for c in CLASSES]), best_class("probs")), "confidence": F.array_max("probs")})
+
+
 def score_pipeline(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Scoring by a saved pipeline."""
     return model.transform(df).withColumn("probs", vector_to_array("probability"))
@@ -139,9 +224,9 @@ def forest_pipeline(names: Sequence[str], trees: int = 100) -> Pipeline:
 
 def importances(df: DataFrame, names: Sequence[str], trees: int = 50) -> DataFrame:
     """(feature, importance) of a forest on all features; a row per feature."""
-    ready = prepared(df, names).persist(StorageLevel.MEMORY_AND_DISK)
+    held, ready = _kept(prepared(df, names))
     model = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=42).fit(ready)
-    ready.unpersist()
+    held.unpersist()
     rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
@@ -170,9 +255,9 @@ def walk_forward(ds: DataFrame, names: Sequence[str], trees: int = 100, k: int =
         part = folds.where(F.col("fold") == fold)
         if part.isEmpty():
             continue  # the last blocks may not fit after the embargo
-        rows = prepared(part.where("part = 'train'"), names).persist(StorageLevel.MEMORY_AND_DISK)
+        held, rows = _kept(prepared(part.where("part = 'train'"), names))
         model = RandomForestClassifier(numTrees=trees, seed=42).fit(rows)
-        rows.unpersist()
+        held.unpersist()
         hit = (F.col("prediction") == F.col("label")).cast("double")
         one = model.transform(prepared(part.where("part = 'test'"), names)).agg(F.avg(hit).alias("accuracy"))
         scores = one if scores is None else scores.unionByName(one)

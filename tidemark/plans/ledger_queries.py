@@ -9,6 +9,8 @@ from tidemark.functions.scalars import is_stale
 from tidemark.operators import ledger as book
 from tidemark.operators.series import recent
 from tidemark.plans.tables import LEDGER_SQL, ledger, near, near_sql, stamp, stamp_sql, table, ticks
+from tidemark.sources import ledger as ledgers
+from tidemark.sources.shared import shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,18 +115,57 @@ def _steps(key: str) -> str:
     SELECT {key} AS k, opened_at AS ts, 1 AS step FROM l UNION ALL SELECT {key}, closed_at, -1 FROM l) GROUP BY k, ts)"""
 
 
-@query(
-    "open_exposure",
-    f"""WITH l AS (SELECT *, 'sec' || (CAST(substr(symbol, 2) AS INTEGER) % 4) AS sector FROM ({LEDGER_SQL})), a AS (SELECT *, 'sec' || (CAST(substr(symbol, 2) AS INTEGER) % 4) AS sector FROM ({_ASKED})),
+def _exposure_sql(held: str, asked_: str) -> str:
+    sector = "'sec' || (CAST(substr(symbol, 2) AS INTEGER) % 4) AS sector"
+    return f"""WITH l AS (SELECT *, {sector} FROM ({held})), a AS (SELECT *, {sector} FROM ({asked_})),
 x AS ({_steps("'all'")}), y AS ({_steps("signal")}), z AS ({_steps("sector")}), v AS ({_steps("symbol")})
 SELECT id, CAST(coalesce(x.n, 0) AS BIGINT) AS open_all, CAST(coalesce(y.n, 0) AS BIGINT) AS open_side, CAST(coalesce(z.n, 0) AS BIGINT) AS open_sector, CAST(coalesce(v.n, 0) AS BIGINT) AS open_symbol,
   coalesce(x.n, 0) < 10 AND coalesce(y.n, 0) < 3 AND coalesce(z.n, 0) < 2 AND coalesce(v.n, 0) < 1 AS allowed
-FROM a ASOF LEFT JOIN x ON a.ts >= x.ts ASOF LEFT JOIN y ON a.signal = y.k AND a.ts >= y.ts ASOF LEFT JOIN z ON a.sector = z.k AND a.ts >= z.ts ASOF LEFT JOIN v ON a.symbol = v.k AND a.ts >= v.ts""",
+FROM a ASOF LEFT JOIN x ON a.ts >= x.ts ASOF LEFT JOIN y ON a.signal = y.k AND a.ts >= y.ts ASOF LEFT JOIN z ON a.sector = z.k AND a.ts >= z.ts ASOF LEFT JOIN v ON a.symbol = v.k AND a.ts >= v.ts"""
+
+
+def _exposed(signals: DataFrame, trades: DataFrame) -> DataFrame:
+    sectors = trades.select("symbol").distinct().withColumn("sector", F.concat(F.lit("sec"), (F.substring("symbol", 2, 9).cast("int") % 4).cast("string")))
+    return book.open_exposure(signals, trades, sectors).select("id", "open_all", "open_side", "open_sector", "open_symbol", "allowed")
+
+
+@query("open_exposure", _exposure_sql(LEDGER_SQL, _ASKED))
+def _(spark, sf_dir):
+    return _exposed(asked(spark, sf_dir), ledger(spark, sf_dir))
+
+
+_BRIEF = {
+    "symbol": "'S' || CAST(l_suppkey % 20 AS {0})", "signal": "CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END",
+    "opened": "l_partkey % 24", "hours": "CASE WHEN l_partkey % 50 = 0 THEN 400 ELSE 1 + l_suppkey % 7 END",
+}
+_BRIEF_SQL = f"""SELECT {_BRIEF["symbol"].format("VARCHAR")} AS symbol, {_BRIEF["signal"]} AS signal, l_shipdate + to_hours(CAST({_BRIEF["opened"]} AS INTEGER)) AS opened_at,
+  l_shipdate + to_hours(CAST({_BRIEF["opened"]} + {_BRIEF["hours"]} AS INTEGER)) AS closed_at FROM lineitem WHERE l_linenumber = 1"""
+
+
+@query("open_exposure_at_the_caps", _exposure_sql(_BRIEF_SQL, _ASKED))
+def _(spark, sf_dir):
+    """Trades of some hours, and a few of weeks, so that each cap decides now and then."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    at = lambda hours: f"CAST(l_shipdate AS TIMESTAMP_NTZ) + make_dt_interval(0, {hours})"
+    trades = lines.select(F.expr(_BRIEF["symbol"].format("STRING")).alias("symbol"), F.expr(_BRIEF["signal"]).alias("signal"), F.expr(at(f"CAST({_BRIEF['opened']} AS INT)")).alias("opened_at"), F.expr(at(f"CAST({_BRIEF['opened']} + {_BRIEF['hours']} AS INT)")).alias("closed_at"))
+    return _exposed(asked(spark, sf_dir), trades)
+
+
+@query(
+    "ledger_appended_in_batches",
+    f"""SELECT o_orderkey AS trade_id, o_custkey % 20 AS symbol, {near_sql("CASE WHEN month(o_orderdate) % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END", 2)} AS pnl,
+  CASE WHEN month(o_orderdate) % 3 = 0 THEN 'corrected' ELSE 'first' END AS state FROM orders""",
 )
 def _(spark, sf_dir):
-    trades = ledger(spark, sf_dir)
-    sectors = trades.select("symbol").distinct().withColumn("sector", F.concat(F.lit("sec"), (F.substring("symbol", 2, 9).cast("int") % 4).cast("string")))
-    return book.open_exposure(asked(spark, sf_dir), trades, sectors).select("id", "open_all", "open_side", "open_sector", "open_symbol", "allowed")
+    """Orders as trades, appended in three batches, each twice, and a batch of corrections: every trade once, as last told."""
+    path = shared_path(spark, "ledger")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade_id"), (F.col("o_custkey") % 20).alias("symbol"), F.col("o_totalprice").alias("pnl"), F.lit("first").alias("state"), F.month("o_orderdate").alias("m"))
+    for k in (0, 1, 2, 0, 1, 2):
+        ledgers.append_batch(rows.where(F.col("m") % 3 == k).drop("m"), path, f"a{k}")
+    fixed = rows.where(F.col("m") % 3 == 0).withColumns({"pnl": F.col("pnl") + 1, "state": F.lit("corrected")}).drop("m")
+    for _ in range(2):
+        ledgers.append_batch(fixed, path, "b0")
+    return ledgers.read_batches(spark, path, ["trade_id"]).select("trade_id", "symbol", near("pnl", 2).alias("pnl"), "state")
 
 
 @query(

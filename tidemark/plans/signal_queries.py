@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import BEARISH, BULLISH, MAJORS
 from tidemark.operators import backtest, features, joins, market, ml, series, signals, splits, summaries
-from tidemark.plans.tables import BENCHMARK, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql, weekly
-from tidemark.plans.workloads import rule_signals, run_backtest, scored_signals
+from tidemark.plans.tables import BENCHMARK, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql, weekly, wide_ticks
+from tidemark.plans.workloads import build_dataset, rule_signals, run_backtest, scored_signals
+from tidemark.sources.bars import to_bars
+from tidemark.sources.shared import shared_path, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +103,13 @@ def _(spark, sf_dir):
     return df.select("symbol", at(), near("range_pct").alias("range_pct"), "vol_state", "vol_risk_mult", "skip")
 
 
+@query("volatility_states_all", None)
+def _(spark, sf_dir):
+    """The same over forty symbols whose prices are from wild to still, so that every state occurs."""
+    df = market.volatility_state(series.with_segment(to_bars(wide_ticks(spark, sf_dir), "15 minutes", "15m")))
+    return df.select("symbol", at(), near("range_pct").alias("range_pct"), "vol_state", "vol_risk_mult", "skip")
+
+
 _ONE_SQL = f"""{timeframe_sql()}, s AS (SELECT *, CASE WHEN trend = 1 AND rsi < 65 THEN 'BUY' WHEN trend = -1 AND rsi > 35 THEN 'SELL' ELSE 'NO_TRADE' END AS signal, 50 + abs(rsi - 50) AS confidence FROM f)"""
 
 
@@ -289,6 +297,34 @@ SELECT symbol, {AT_SQL}, signal, {near_sql("confidence", 2)} AS confidence, poin
   {near_sql("stop")} AS stop, {near_sql("tp1")} AS tp1, {near_sql("tp2")} AS tp2, {near_sql("CASE WHEN raw > 0 THEN greatest(0.01, floor(raw / 0.01) * 0.01) ELSE 0 END", 2)} AS qty FROM k"""
 
 
+ORACLES["volatility_states_all"] = wide_sql(ORACLES["volatility_state"])
+
+# Inputs of scoring and filtering made of order lines: every reason of rejection, every point and acceptance occur.
+_MADE = {
+    "id": "l_orderkey || '-' || l_linenumber", "symbol": f"CASE l_suppkey % 4 WHEN 0 THEN '{MAJORS[0]}' ELSE 'S' || l_suppkey % 4 END",
+    "signal": "CASE l_partkey % 10 WHEN 0 THEN 'NO_TRADE' ELSE CASE l_partkey % 2 WHEN 0 THEN 'BUY' ELSE 'SELL' END END", "confidence": "CAST(42 + l_quantity AS DOUBLE)",
+    "adx": "CAST(12 + l_suppkey % 23 AS DOUBLE)", "rsi": "CAST(20 + l_partkey % 61 AS DOUBLE)", "ema20": "CAST(100 + l_orderkey % 7 AS DOUBLE)", "ema50": "CAST(103 AS DOUBLE)",
+    "ema20_1h": "CAST(100 + l_partkey % 7 AS DOUBLE)", "ema50_1h": "CAST(103 AS DOUBLE)", "ema20_4h": "CAST(100 + l_suppkey % 7 AS DOUBLE)", "ema50_4h": "CAST(103 AS DOUBLE)", "rsi_4h": "CAST(30 + l_orderkey % 41 AS DOUBLE)",
+    "trend_bars": "CAST(l_orderkey % 6 AS INTEGER)", "btc_bias": "CASE l_partkey % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END", "btc_mod": "CASE WHEN l_partkey % 3 < 2 THEN 1 ELSE 0 END",
+    "flow_bias": "CASE l_suppkey % 5 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END", "flow_mod": "CASE WHEN l_suppkey % 5 < 2 THEN 1 ELSE 0 END",
+    "fg_bias": "CASE l_orderkey % 9 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END", "fg_mod": "CASE WHEN l_orderkey % 9 < 2 THEN 1 ELSE 0 END", "blocks_buy": "l_orderkey % 9 = 1", "blocks_sell": "l_orderkey % 9 = 0",
+    "vol_prev": "CAST(l_partkey % 13 AS DOUBLE)", "vol_mean_prev": "CAST(6 AS DOUBLE)", "min_confidence": "45", "min_adx": "15", "min_score": "3",
+    "close": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END", "atr": "CASE WHEN l_linenumber = 6 THEN 0 ELSE l_extendedprice / 50 END",
+}
+_BRANCH_SQL = f"""WITH m AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _MADE.items())} FROM lineitem),
+t AS {_DECIDED_SQL[_DECIDED_SQL.index("t AS (SELECT *, ") + 5 :]}
+SELECT id, signal, score, reject_reason, reasons FROM z"""
+
+
+@query("filter_branches", _BRANCH_SQL)
+def _(spark, sf_dir):
+    """Scores and filters over order lines, so that every branch of both occurs."""
+    names = {"btc_mod": "btc_score_mod", "flow_mod": "flow_score_mod", "fg_mod": "fg_score_mod", "blocks_buy": "fg_blocks_buy", "blocks_sell": "fg_blocks_sell"}
+    made = table(spark, sf_dir, "lineitem").select(*[F.expr(v).alias(names.get(k, k)) for k, v in _MADE.items()])
+    out = signals.filter_signals(signals.score_signals(made))
+    return out.select("id", "signal", "score", "reject_reason", F.array_join("reasons", "; ").alias("reasons"))
+
+
 def news(spark, sf_dir) -> DataFrame:
     """Documents as titles, with their source as the coin."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("coin"), F.col("doc_id").alias("published_at"), F.coalesce("text", F.lit("")).alias("title"))
@@ -563,13 +599,10 @@ def _(spark, sf_dir):
 
 
 def _dataset(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """Labelled bars by week, and the names of all their features."""
-    from tidemark.operators import labels
-
-    b = bars(spark, sf_dir)
-    full = features.add_features(b)
-    names = [c for c, kind in full.dtypes if kind == "double" and c not in b.columns]
-    return weekly(labels.make_targets(full)).persist(StorageLevel.MEMORY_AND_DISK), names  # the models read it again and again
+    """The training set by week, written as the models read it again and again, and the names of all its features."""
+    ds = weekly(build_dataset(*(bars(spark, sf_dir, i) for i in ("15m", "1h", "4h")), BENCHMARK))
+    left_out = {*bars(spark, sf_dir).columns, "btc_close"}
+    return written(ds, "dataset"), [c for c, kind in ds.dtypes if kind == "double" and c not in left_out]
 
 
 @query("ensemble_predictions")
@@ -588,10 +621,10 @@ def _(spark, sf_dir):
 
 @query("sigmoid_calibrated_calls")
 def _(spark, sf_dir):
-    """Test rows by an ensemble of few trees with sigmoid calibration."""
+    """Test rows by an ensemble with sigmoid calibration."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ds)
-    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3), parted.where("part = 'calib'"), "sigmoid")
+    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names), parted.where("part = 'calib'"), "sigmoid")
     return ml.score(model, parted.where("part = 'test'")).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
 
 
@@ -600,7 +633,7 @@ def _(spark, sf_dir):
     """Test rows by a forest in a pipeline, as a saved model would score them."""
     ds, names = _dataset(spark, sf_dir)
     rows = splits.embargo_split(ml.prepared(ds, names).drop("features"))
-    model = ml.forest_pipeline(names, trees=20).fit(rows.where("part = 'train'"))
+    model = ml.forest_pipeline(names).fit(rows.where("part = 'train'"))
     return ml.score_pipeline(model, rows.where("part = 'test'")).select("symbol", at(), "target", F.transform("probs", lambda p: near(p)).alias("probs"))
 
 
@@ -609,12 +642,44 @@ def _(spark, sf_dir):
     """Calls that a model of the calls, trained on the calibration rows, believes in."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ml.prepared(ds, names).drop("features", "label", "weight"))
-    model = ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3)
+    model = ml.train_ensemble(parted.where("part = 'train'"), names)
     meta = ml.train_meta(ml.score(model, parted.where("part = 'calib'")), [*names, "confidence"])
     kept = ml.meta_filter(ml.score(model, parted.where("part = 'test'")), meta, [*names, "confidence"], 0.35, 0.4)
     return kept.select("symbol", at(), "target", "call", near("confidence").alias("confidence"), near("meta_p").alias("meta_p"))
 
 
+@query("bundle_scores")
+def _(spark, sf_dir):
+    """Bars after a bundle's training time, scored by the bundle as saved and loaded, and whether the model itself says the same."""
+    ds, names = _dataset(spark, sf_dir)
+    parted = splits.embargo_split(ds)
+    cutoff = ds.agg(F.percentile_approx("open_time", 0.8).alias("t")).first()["t"]
+    past = parted.where(F.col("open_time") <= F.lit(cutoff))
+    model = ml.calibrate(ml.train_ensemble(past.where("part = 'train'"), names), past.where("part = 'calib'"))
+    path = shared_path(spark, "bundle")
+    ml.save_bundle(spark, ml.Bundle(model, 0.55, cutoff.isoformat()), path)
+    loaded = ml.load_bundle(spark, path)
+    unseen = series.after_cutoff(ds, F.lit(loaded.trained_at).cast(ds.schema["open_time"].dataType))
+    keys = ["symbol", "open_time"]
+    direct = ml.score(model, unseen).select(*keys, F.col("call").alias("_call"), F.col("probs").alias("_probs"))
+    out = ml.score(loaded.model, unseen).join(direct, keys)
+    apart = F.aggregate(F.zip_with("probs", "_probs", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    return out.select("symbol", at(), "call", near("confidence").alias("confidence"), (F.col("confidence") >= loaded.threshold).alias("fires"), ((F.col("call") == F.col("_call")) & (apart < 1e-9)).alias("same"))
+
+
+@query("external_scores")
+def _(spark, sf_dir):
+    """Test rows by a linear model from outside of Spark, and how far it is from the one it was taken from."""
+    ds, names = _dataset(spark, sf_dir)
+    parted = splits.embargo_split(ds)
+    rows, test = ml.prepared(parted.where("part = 'train'"), names), parted.where("part = 'test'")
+    linear = ml.LogisticRegression(weightCol="weight", family="multinomial", maxIter=20).fit(rows)
+    inside = linear.transform(ml.prepared(test, names)).select("symbol", "open_time", ml.vector_to_array("probability").alias("_probs"))
+    out = ml.score_external(test, names, ml.Softmax.of(linear)).join(inside, ["symbol", "open_time"])
+    apart = F.aggregate(F.zip_with("probs", "_probs", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    return out.select("symbol", at(), "target", "call", near("confidence").alias("confidence"), (apart < 1e-9).alias("same"))
+
+
 @query(
     "latest_with_slower",
     f"""SELECT a.symbol, {stamp_sql("a.open_time")} AS open_time, {near_sql("a.close")} AS close, {near_sql("h.rsi")} AS rsi_1h, {near_sql("h.ema20")} AS ema20_1h

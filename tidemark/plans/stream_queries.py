@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, series
 from tidemark.plans.signal_queries import ORDERS_SQL, news, ruled
-from tidemark.plans.tables import BENCHMARK, INTERVALS, TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql
+from tidemark.plans.tables import BENCHMARK, INTERVALS, TIMEFRAME_SQL, averages_sql, bars, bars_sql, near, near_sql, stamp, stamp_sql, table, ticks, timeframe_sql, wide_ticks
 from tidemark.plans.workloads import benchmark_now, ordered, rule_signals, scanned_signals
 from tidemark.sources.bars import to_bars
 from tidemark.sources.shared import shared_path
@@ -106,13 +106,6 @@ def _(spark, sf_dir):
     return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-def wide_ticks(spark, sf_dir) -> DataFrame:
-    """Ticks of forty symbols, an event type and an eighth of the users each, at prices from wild to still."""
-    group = F.concat_ws("-", "event_type", (F.col("user_id") % 8).cast("string"))
-    rows = table(spark, sf_dir, "events").select(group.alias("symbol"), "ts", "value", "user_id")
-    return rows.select("symbol", "ts", (2000 * F.pow(F.lit(2.0), F.col("user_id") % 8) + F.col("value")).alias("price"), (1 + F.col("user_id") % 10).cast("double").alias("qty"), (F.col("user_id") % 2 == 0).alias("is_taker_buy"), "value")
-
-
 @query("stream_live_scan", ORDERS_SQL)
 def _(spark, sf_dir):
     """The last scan of each symbol from a stream of bars: filters, score, news, levels and size, with nothing read twice."""
