@@ -359,6 +359,18 @@ def test_mix_places_every_document_once(odd):
     assert mixing.placed(odd.limit(0)).count() == 0
 
 
+def test_weights_that_are_not_finite_come_last(spark, odd):
+    sources = [r["source"] for r in odd.select("source").distinct().collect()]
+    weights = spark.createDataFrame([(x, [1e-300, 3.3, float("inf"), float("nan"), -1.0][k % 5]) for k, x in enumerate(sources)], "source string, weight double")
+    got = mixing.placed(odd, weights, mixing.Mix(block_docs=4)).toPandas()
+    assert len(got) == odd.count() and not got.duplicated(["slot", "place"]).any()
+
+
+def test_keep_first_takes_no_name_of_a_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "mine"), (2, "a b c d e f", "other")], "doc_id long, text string, __row string").withColumn("row0", F.lit("kept"))
+    assert [tuple(r) for r in ngram_join.keep_first(docs).collect()] == [(1, "a b c d e f", "mine", "kept")]
+
+
 def test_perspectives_make_whole_dialogues(spark):
     rows = [(1, t, r, x) for t, (r, x) in enumerate([("ann", "hi"), ("bob", None), ("ann", "é漢"), (None, "?"), ("bob", "bye")])] + [(None, None, "ann", "lost"), (1, 2, "ann", "é漢")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -15,7 +15,7 @@ thus less than one block from its share of the group's slots, and less than two
 holds a number for each block of a group, and a stretch of the schedule.
 
 A null source is a source. Weights default to the square root of a source's characters; ``weights`` (source,
-weight) overrides them, and the sources it lacks or gives no positive weight come after all others, in equal shares.
+weight) overrides them; a weight below a 2^32nd of the largest counts as that, and the sources it lacks or gives no positive, finite weight come after all others, in equal shares.
 Ties in hash go by doc_id, then by text length; repeated rows are documents of their own; null text
 counts as empty. An empty table gives no rows.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import new_path, parts_for, stored, table, text_volume
 
 BROADCAST_BLOCKS = 250_000
+LEAST_SHARE = 2.0**-32  # of the largest weight; slots of less would not fit 64 bits
 
 
 @dataclass(frozen=True)
@@ -154,10 +155,12 @@ def placed(documents: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
     else:
         named = weights.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("entity"), F.col("weight").cast("double").alias("weight"))
         volume = volume.join(named, "entity", "left")
-    weighed = F.coalesce((F.col("weight") > 0) & ~F.isnan("weight"), F.lit(False))
+    weighed = F.coalesce((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.lit(False))  # NaN is above infinity
     volume = volume.withColumn("phase", F.when(weighed, 0).otherwise(1)).withColumn("weight", F.when(weighed, F.col("weight")).otherwise(1.0))
     volume = stored(volume, "volume")
-    whole_ = volume.agg(F.sum("docs").alias("docs"), F.count("*").alias("sources")).first()
+    whole_ = volume.agg(F.sum("docs").alias("docs"), F.count("*").alias("sources"), F.max(F.when(F.col("phase") == 0, F.col("weight"))).alias("top")).first()
+    if whole_["top"]:
+        volume = volume.withColumn("weight", F.when(F.col("phase") == 0, F.greatest("weight", F.lit(whole_["top"] * LEAST_SHARE))).otherwise(F.col("weight")))
     block_docs = max(mix.block_docs, -(-(whole_["docs"] or 0) // mix.most_blocks))
     volume = volume.withColumn("blocks", F.ceil(F.col("docs") / block_docs))
     if not whole_["docs"]:

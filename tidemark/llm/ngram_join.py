@@ -430,13 +430,15 @@ def keep_first(documents: DataFrame, percent: int = 80, words: int = 5) -> DataF
     Rows are told apart by their place in the table, so repeated and null doc_ids do no harm. Texts without
     words are groups of their own and stay.
     """
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    light = numbered.select("__row", "doc_id")
-    grouped = jaccard_components(numbered.select(F.col("__row").alias("doc_id"), "text"), percent, words)
-    grouped = grouped.select(F.col("doc_id").alias("__row"), "component_id").join(light, "__row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    first = grouped.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
-    return numbered.join(first, "__row", "left_semi").select(*documents.columns)
+    taken = {c.lower() for c in documents.columns}
+    row = next(f"row{k}" for k in range(len(taken) + 1) if f"row{k}" not in taken)
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    light = numbered.select(row, "doc_id")
+    grouped = jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"), percent, words)
+    grouped = grouped.select(F.col("doc_id").alias(row), "component_id").join(light, row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = grouped.groupBy("component_id").agg(F.min_by(row, order).alias(row)).select(row)
+    return numbered.join(first, row, "left_semi").select(*documents.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
