@@ -72,15 +72,15 @@ def test_automata_keep_union_and_compose_counts(seed):
         assert a.first_not_below(key) == sum(tuple(p.split(b" ")) < key for p in one)
 
 
-SMALL = c.Setup(least=3, shard_words=40, range_windows=25, fan=2)
+SMALL = c.Setup(least=3, shard_words=60, range_windows=60, fan=2)
 
 
-@pytest.mark.parametrize("setup", [SMALL, c.Setup(least=3), c.Setup(least=2, shard_words=7, range_windows=3, fan=3)])
+@pytest.mark.parametrize("setup", [SMALL, c.Setup(least=3), c.Setup(least=3, shard_words=30, range_windows=60, fan=3)])
 def test_collocations_equal_brute_force(spark, setup):
     rng = np.random.default_rng(5)
     common = ["the", "of", "The", "a", "new", "york", "é", "x\x1f", "\x01"]
     texts = []
-    for _ in range(60):
+    for _ in range(30):
         p = rng.dirichlet(np.ones(len(common)))
         words = rng.choice(common, rng.integers(0, 40), p=p).tolist()
         words[3:3] = ["New", "York", "City", "marathon", "of", "1999"][: rng.integers(0, 7)]

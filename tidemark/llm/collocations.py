@@ -51,8 +51,8 @@ class Setup:
     longest: int = 5
     least: int = 100
     cover: int = 100  # per cent of a phrase's count from which a longer phrase replaces it
-    shard_words: int = 1 << 18
-    range_windows: int = 1 << 19
+    shard_words: int = 1 << 19
+    range_windows: int = 1 << 20
     fan: int = 256
 
 
