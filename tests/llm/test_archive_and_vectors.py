@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,24 @@ def test_every_query_finds_k_beyond_the_sample(spark):
         assert hits >= 0.95 * 20 * 100
 
 
+def test_answers_come_by_way_of_the_codes():
+    """With bounds of no width only the vectors of the best estimates are compared, so other codes give other answers."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 32))
+    index = rotated_codes.Index(np.zeros((1, 32)), np.linalg.qr(rng.normal(size=(32, 32)))[0], width=0.0)
+    cell, bits, length, agreement = index.code(v)
+    block = pd.DataFrame({"id": np.arange(3000), "v": list(v), "bits": [b.tobytes() for b in bits], "cell": cell, "length": length, "agreement": agreement})
+    asked = pd.DataFrame({"query_row": np.arange(50), "query_id": np.arange(50), "v": list(v[:50]), "floor": -np.inf})
+    right = rotated_codes._nearest(index, asked, block)
+    wrong = rotated_codes._nearest(index, asked, block.assign(bits=block["bits"].sample(frac=1, random_state=1).to_numpy()))
+
+    def recall(found):
+        best = {q: set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, v @ v[q]))[:20].tolist()) for q in range(50)}
+        return np.mean([len(best[q] & set(g["vec_id"])) / 20 for q, g in found.groupby("query_id")])
+
+    assert recall(right) > 0.75 and recall(wrong) < 0.6
+
+
 def test_search_with_few_rows_returns_all_others(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     rows = vectors.usable(df)

@@ -5,14 +5,13 @@ the signs are kept, packed to a bit per dimension, with two correction scalars:
 the inner product of the unit residual with its code. From these the inner product with a query is estimated
 without bias, with an error bound that holds with high probability. In every block of codes that a query visits,
 the vectors of the best estimates are compared exactly first; their k-th best inner product, or the query's floor
-where that is higher, then decides by the bounds which others are compared. The floor is the k-th best inner product
-with the rows of other ids in a bounded sample, which the k-th best of all reaches. The k sampled vectors that show it
-are candidates as well, so a query has k results whatever the bounds miss; a block returns what reaches the floor.
-
-The centroids are fitted on the sample; every vector is coded. A query leaves out a cell only if even a residual
-of the cell's greatest length, at an angle that random directions hardly ever have, would stay below the floor; the
-cells nearest to the query are always visited, and more until they hold enough vectors. The number of cells follows the number of vectors, up to one for eight sampled vectors; beyond that the
-cells have more blocks.
+where that is higher, then decides by the bounds which others are compared. A block returns its k best.
+
+A query goes first to the cells nearest to it, and to more until they hold enough vectors; the k-th best that these
+return is its floor. Then it goes to the other cells, but for those where even a residual of the cell's greatest
+length, at an angle that random directions hardly ever have, would stay below the floor. The centroids are fitted on a
+bounded sample, which serves for nothing else; every vector is coded. The number of cells follows the number of vectors,
+up to one for eight sampled vectors; beyond that the cells have more blocks.
 Cells are cut into blocks of bounded size, so a cell of a third of all vectors is many groups. Of equal vectors
 in a block only the smallest ids can be among a query's nearest, so the others are not compared.
 
@@ -35,7 +34,7 @@ from tidemark.llm.shared import stored, table
 from tidemark.llm.vectors import matrix, sample_with_ids, usable
 
 CODED = "id long, v array<double>, cell int, bits binary, length double, agreement double"
-ROUTED = "query_row long, query_id long, v array<double>, floor double, cell int, vec_id long, score double"
+ROUTED = "query_row long, query_id long, v array<double>, floor double, cell int"
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -45,33 +44,15 @@ class Index:
 
     centroids: np.ndarray
     rotation: np.ndarray
-    points: np.ndarray
-    point_ids: np.ndarray
     nearest_cells: int = 8
     angle: float = 5.0
     width: float = 2.5
     k: int = 20
 
-    def floors(self, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A value that a query's k-th best inner product reaches, and the places of the sampled vectors that show it.
-
-        Rows of the query's ``own`` id in the sample do not count. Without k others there is no floor.
-        """
-        out, best = np.full(len(queries), -np.inf), np.zeros((len(queries), self.k), np.int64)
-        at = len(self.points) - self.k
-        for a in range(0, len(queries) if at >= 0 else 0, 256):
-            score = queries[a : a + 256] @ self.points.T
-            score[own[a : a + 256, None] == self.point_ids[None, :]] = -np.inf
-            best[a : a + 256] = np.argpartition(score, at, axis=1)[:, at:]
-            out[a : a + 256] = np.take_along_axis(score, best[a : a + 256], 1).min(1)
-        return out - 1e-9, best
-
-    def visits(self, queries: np.ndarray, floor: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
-        """Whether each query (row) visits each cell, by the cell's number of vectors and longest residual."""
-        norm = np.sqrt((queries**2).sum(1))[:, None]
+    def near(self, queries: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Whether each query (row) goes to each cell first: the nearest cells, and more until they hold enough vectors."""
         toward = queries @ self.centroids.T
-        reach = toward + norm * longest * min(1.0, self.angle / np.sqrt(queries.shape[1])) >= floor[:, None]
-        out = reach.copy()
+        out = np.zeros(toward.shape, bool)
         for nearness in (toward, 2 * toward - (self.centroids**2).sum(1)):
             order = np.argsort(-nearness, axis=1, kind="stable")
             size = held[order]
@@ -81,6 +62,12 @@ class Index:
             out |= add
         return out & (held > 0)
 
+    def reached(self, queries: np.ndarray, floor: np.ndarray, held: np.ndarray, longest: np.ndarray) -> np.ndarray:
+        """Whether each other cell may hold what reaches the query's floor, by the cell's longest residual."""
+        norm = np.sqrt((queries**2).sum(1))[:, None]
+        most = queries @ self.centroids.T + norm * longest * min(1.0, self.angle / np.sqrt(queries.shape[1]))
+        return (most >= floor[:, None]) & ~self.near(queries, held) & (held > 0)
+
     def code(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cell, packed signs, residual length, and inner product of unit residual and code."""
         gap = (self.centroids**2).sum(1) - 2 * vectors @ self.centroids.T
@@ -105,7 +92,7 @@ class Index:
 def fit(rows: DataFrame, sampled: int = 20_000, rows_per_cell: int = 4096, sampled_per_cell: int = 8, seed: int = 3) -> Index:
     """k-means on at most ``sampled`` vectors, with a cell for so many rows; the rotation is a random orthogonal matrix."""
     random = np.random.default_rng(seed)
-    ids, points = sample_with_ids(rows, sampled)
+    _, points = sample_with_ids(rows, sampled)
     d = points.shape[1] if len(points) else 1
     count = max(1, min(len(points) // sampled_per_cell, rows.count() // rows_per_cell))
     centroids = points[random.choice(len(points), count, replace=False)] if len(points) else np.zeros((1, d))
@@ -115,7 +102,7 @@ def fit(rows: DataFrame, sampled: int = 20_000, rows_per_cell: int = 4096, sampl
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, points)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
-    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0], points, ids)
+    return Index(centroids, np.linalg.qr(random.normal(size=(d, d)))[0])
 
 
 def encode(rows: DataFrame, index: Index) -> DataFrame:
@@ -186,51 +173,47 @@ def search(rows: DataFrame, index: Index, is_query: Column, block_rows: int = 40
     blocks = spark.createDataFrame([(c, -(-int(n) // block_rows)) for c, n in enumerate(held)], "cell int, blocks int")
     shared = spark.sparkContext.broadcast((index, held, longest))
 
-    def route(batches):
-        index, held, longest = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = matrix(batch["v"])
-            floor, best = index.floors(vectors, batch["id"].to_numpy())
-            query, cell = np.nonzero(index.visits(vectors, floor, held, longest))
-            batch = batch.assign(floor=floor).rename(columns={"id": "query_id"})[["query_row", "query_id", "v", "floor"]]
-            yield batch.iloc[query].assign(cell=cell, vec_id=pd.NA, score=np.nan).astype({"vec_id": "Int64"})
-            shown = np.flatnonzero(floor > -np.inf)
-            if len(shown):
-                score = np.concatenate([inner(index.points[best[i]], vectors[i]) for i in shown])
-                sampled = batch.iloc[np.repeat(shown, index.k)].assign(v=None, cell=-1, vec_id=index.point_ids[best[shown]].ravel(), score=score)
-                yield sampled.astype({"vec_id": "Int64"})
-
-    queries = coded.where(is_query).select(F.monotonically_increasing_id().alias("query_row"), "id", "v").mapInPandas(route, ROUTED)
-    routed = stored(queries, "routes")
-    queries = routed.where("cell >= 0").drop("vec_id", "score").join(F.broadcast(blocks), "cell")
-    laps = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / query_rows).cast("int").alias("laps"))
-    plan = blocks.join(laps, "cell")  # a row per centroid
-    queries = queries.join(F.broadcast(laps), "cell").withColumn("lap", F.pmod(F.xxhash64("query_row"), F.col("laps")).cast("int"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    data = coded.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.monotonically_increasing_id(), F.col("blocks")).cast("int"))
-    data = data.withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)))
-    key = ["cell", "block", "lap"]
-    total = plan.agg(F.sum(F.col("blocks") * F.col("laps")).alias("n")).first()["n"] or 1
-    groups = min(max(int(total), 1), 4096)
+    def to_cells(first: bool):
+        def route(batches):
+            index, held, longest = shared.value
+            for batch in batches:
+                if len(batch):
+                    vectors = matrix(batch["v"])
+                    query, cell = np.nonzero(index.near(vectors, held) if first else index.reached(vectors, batch["floor"].to_numpy(), held, longest))
+                    yield batch.iloc[query].assign(cell=cell)
+
+        return route
 
     def find(_key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
             return pd.DataFrame(columns=["query_row", "query_id", "vec_id", "score"])
         return _nearest(shared.value[0], queries, block)
 
-    left = queries.select(*key, "query_row", "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
-    right = data.select(*key, "id", "v", "bits", "length", "agreement").repartition(groups, *key).groupBy(*key)
-    found = left.cogroup(right).applyInPandas(find, FOUND)
-    # The sampled vectors that show a floor are answers too, so that no query has fewer than k; they may have been
-    # found in their blocks as well. Equal rows of one id stay as many as there are.
-    both = found.withColumn("sampled", F.lit(0)).unionByName(routed.where("cell < 0").select("query_row", "query_id", "vec_id", "score", F.lit(1).alias("sampled")))
-    times = F.greatest(F.sum("sampled"), F.sum(1 - F.col("sampled"))).cast("int")
-    both = both.groupBy("query_row", "query_id", "vec_id", "score").agg(times.alias("times"))
-    found = both.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "time")
+    def answered(routed: DataFrame) -> DataFrame:
+        """What the blocks of the cells return, a row per query and vector."""
+        queries = routed.join(F.broadcast(blocks), "cell")
+        laps = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / query_rows).cast("int").alias("laps"))
+        plan = blocks.join(laps, "cell")  # a row per centroid
+        queries = queries.join(F.broadcast(laps), "cell").withColumn("lap", F.pmod(F.xxhash64("query_row"), F.col("laps")).cast("int"))
+        queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        data = coded.join(F.broadcast(plan), "cell").withColumn("block", F.pmod(F.monotonically_increasing_id(), F.col("blocks")).cast("int"))
+        data = data.withColumn("lap", F.explode(F.sequence(F.lit(0), F.col("laps") - 1)))
+        key = ["cell", "block", "lap"]
+        total = plan.agg(F.sum(F.col("blocks") * F.col("laps")).alias("n")).first()["n"] or 1
+        groups = min(max(int(total), 1), 4096)
+        left = queries.select(*key, "query_row", "query_id", "v", "floor").repartition(groups, *key).groupBy(*key)
+        right = data.select(*key, "id", "v", "bits", "length", "agreement").repartition(groups, *key).groupBy(*key)
+        return left.cogroup(right).applyInPandas(find, FOUND)
+
+    asked = coded.where(is_query).select(F.monotonically_increasing_id().alias("query_row"), F.col("id").alias("query_id"), "v", F.lit(float("-inf")).alias("floor"))
+    asked = stored(asked, "asked")
+    first = stored(answered(stored(asked.mapInPandas(to_cells(True), ROUTED), "routes")), "first")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= index.k)
+    top = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= index.k)
+    floors = top.where(F.col("rank") == index.k).select("query_row", (F.col("score") - 1e-9).alias("reached"))
+    again = asked.join(floors, "query_row", "left").select("query_row", "query_id", "v", F.coalesce("reached", "floor").alias("floor"))
+    rest = answered(stored(again.mapInPandas(to_cells(False), ROUTED), "routes"))
+    found = top.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= index.k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
