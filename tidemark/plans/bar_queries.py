@@ -20,6 +20,7 @@ from tidemark.plans.tables import (
     weekly,
 )
 from tidemark.sources.bars import coarser_bars, dedupe_bars, parse_klines
+from tidemark.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -381,10 +382,19 @@ def _(spark, sf_dir):
     return summaries.dataset_summary(series.union_all([bars(spark, sf_dir, i) for i in ("15m", "1h", "4h")]))
 
 
-@query("build_dataset")
+_CROSS = ("btc_corr_20", "btc_beta_20", "btc_rel_strength")
+_TRAINING_SQL = f"""SELECT o.*, {", ".join(_HTF)}, {", ".join(_CROSS)}, regime, target FROM ({features_sql("15m", _ALL)}) o JOIN ({ORACLES["asof_slower_timeframes"]}) h USING (symbol, open_time)
+JOIN ({ORACLES["cross_asset"]}) x USING (symbol, open_time) JOIN ({_RANKED_SQL},
+  tr AS (SELECT symbol, {stamp_sql("open_time")} AS open_time, regime, target FROM s WHERE part = 'train'),
+  dr AS (SELECT *, row_number() OVER (ORDER BY md5(symbol || '|' || open_time || '|42')) AS draw FROM tr WHERE target = 'NO_TRADE')
+  SELECT * FROM tr WHERE target <> 'NO_TRADE' UNION ALL SELECT * EXCLUDE (draw) FROM dr WHERE draw <= (SELECT count(*) FROM tr WHERE target <> 'NO_TRADE')) k USING (symbol, open_time)"""
+
+
+@query("build_dataset", _TRAINING_SQL)
 def _(spark, sf_dir):
     """The whole training set: features, slower timeframes, benchmark, labels, split and balance."""
     from tidemark.plans.workloads import build_dataset, training_rows
 
     ds = build_dataset(bars(spark, sf_dir), bars(spark, sf_dir, "1h"), bars(spark, sf_dir, "4h"), BENCHMARK)
-    return training_rows(weekly(ds))
+    rows = training_rows(written(weekly(ds), "dataset"))  # counted, then read
+    return rows.select("symbol", stamp("open_time").alias("open_time"), *[near(c).alias(c) for c in (*_ALL, *_HTF, *_CROSS)], "regime", "target")
