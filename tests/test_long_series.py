@@ -260,6 +260,16 @@ def test_all_volatility_states_and_reasons_of_rejection_occur(spark):
     assert {"allowed", "side", "sector", "symbol"} <= set(counts) and min(counts[k] for k in ("allowed", "side", "sector", "symbol")) > 20
 
 
+def test_all_endings_and_gate_reasons_occur(spark):
+    from tidemark.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    ended = {r["event"]: r["count"] for r in QUERIES["trade_lifecycle_endings"](spark, sf).groupBy("event").count().collect()}
+    assert {"TP1", "TP2", "BREAK-EVEN", "STOPPED OUT", "TIME"} <= set(ended) and min(ended.values()) >= 3, ended
+    gated = {r["reason"]: r["count"] for r in QUERIES["stream_signal_gate_shuffled"](spark, sf).groupBy("reason").count().collect()}
+    assert set(gated) == {"", "same", "cooldown", "cap"} and min(gated.values()) > 20, gated
+
+
 def test_market_states_of_a_mean_range(spark):
     df = spark.createDataFrame([(None,), (5.0,), (4.0,), (2.0,), (0.05,), (0.01,)], "p double")
     state, risk = market.states_of(F.col("p"))

@@ -190,6 +190,33 @@ def _(spark, sf_dir):
     return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
 
 
+_ENDINGS_SQL = (
+    _LIFE_SQL.replace("close AS entry", "100 + round((close - 100) / 20) AS entry, hour(open_time) = 16 AS wide")
+    .replace("WHERE hour(open_time) = 4)", "WHERE hour(open_time) IN (4, 16))")
+    .replace("entry * (1 - 0.05 * side)", "entry * (1 - CASE WHEN wide THEN 0.99 ELSE 0.05 END * side)")
+    .replace("entry * (1 + 0.04 * side)", "entry * (1 + CASE WHEN wide THEN 9 ELSE 0.04 END * side)")
+    .replace("entry * (1 + 0.1 * side)", "entry * (1 + CASE WHEN wide THEN 9.5 ELSE 0.1 END * side)")
+    .replace("100 + e.value AS price", "100 + round(e.value / 20) AS price")
+)
+
+
+@query("trade_lifecycle_endings", _ENDINGS_SQL)
+def _(spark, sf_dir):
+    """Trades over prices of few steps, half of them with levels out of reach: they also end at the entry and by age."""
+    step = lambda c: 100 + F.round(c / 20)
+    day = bars(spark, sf_dir, "4h").where(F.hour("open_time").isin(4, 16)).withColumns({"entry": step(F.col("close") - 100), "wide": F.hour("open_time") == 16})
+    side = F.when(F.dayofmonth("open_time") % 2 == 0, 1.0).otherwise(-1.0)
+    level = lambda wide, near_, sign: F.col("entry") * (1 + sign * F.when(F.col("wide"), wide).otherwise(near_) * side)
+    trades = day.select(
+        F.concat_ws("-", "symbol", stamp("open_time")).alias("trade_id"), "symbol", F.when(side > 0, "BUY").otherwise("SELL").alias("signal"), "entry",
+        level(0.99, 0.05, -1).alias("stop"), level(9.0, 0.04, 1).alias("tp1"), level(9.5, 0.1, 1).alias("tp2"),
+        F.lit(2.0).alias("qty"), F.lit(1.0).alias("qty_tp1"), F.lit(50.0).alias("risk_usd"), (F.col("open_time") + F.expr("INTERVAL 4 HOURS")).alias("opened_at"),
+    )
+    prices = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", step(F.col("value")).alias("price"))
+    out = jobs.trade_lifecycle(trades, prices)
+    return out.select("trade_id", "symbol", stamp("at").alias("at"), "event", near("price").alias("price"), "qty", near("pnl").alias("pnl"))
+
+
 @query("bars_of_stream_ticks", f"SELECT symbol, count(*) AS bars FROM ({bars_sql('4h')}) GROUP BY symbol")
 def _(spark, sf_dir):
     return to_bars(ticks(spark, sf_dir), "4 hours").groupBy("symbol").agg(F.count("*").alias("bars"))
