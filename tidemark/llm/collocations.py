@@ -209,13 +209,15 @@ def count_ranges(shards: DataFrame, bounds: Bounds, most: int, setup: Setup) ->
         named = Phrases(phrases.words, rows[kept], weight[kept]).named()
         return pd.DataFrame({"lang": key[0], "range": key[1], "phrase": named, "f": weight[kept], "edge": edge[kept]})
 
+    # Groups are few and large: with more partitions than groups hardly two of them share a task.
+    tasks = min(20_000, 4 * sum(1 + len(b) for b in bounds.values()) + 4)
     first = width
     parts = shards.select("lang", "shard", "automaton").mapInPandas(cut, CUT)
     while width > 1:
-        batch = F.pmod(F.xxhash64("shard"), F.lit(width)).alias("batch")
-        parts = parts.groupBy("lang", "range", batch).applyInPandas(finer(width // setup.fan), CUT)
+        batch = F.pmod(F.xxhash64("shard"), F.lit(width))
+        parts = parts.withColumn("batch", batch).repartition(tasks, "lang", "range", "batch").groupBy("lang", "range", "batch").applyInPandas(finer(width // setup.fan), CUT)
         width //= setup.fan
-    return parts.groupBy("lang", "range").applyInPandas(union, COUNTS)
+    return parts.repartition(tasks, "lang", "range").groupBy("lang", "range").applyInPandas(union, COUNTS)
 
 
 def frequent_phrases(documents: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame, Bounds]:
