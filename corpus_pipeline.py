@@ -6,7 +6,8 @@ numbered in that order. All stages but the last return the columns of ``document
 stage to stage as the order of rows in the written files. Packing has no SQL form, so ``run`` has none.
 
 In every stage a null or empty text is an empty text and stays until the end, where it is its end id alone; null and
-repeated doc_ids are rows of their own; other columns pass unread; an empty table gives an empty table.
+repeated doc_ids are rows of their own; columns beyond those of ``documents`` are not read and do not pass; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
