@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -98,11 +99,16 @@ def train_ensemble(train: DataFrame, names: Sequence[str], trees: int = 100, rou
     """A forest, one boosted model per class (whose probabilities are renormalised), and a linear model."""
     held, df = _kept(prepared(train, names))
     out = Ensemble(list(names))
-    out.forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(df)
-    for k in range(len(CLASSES)):
+
+    def boost(k: int):
         one = df.withColumn("one", (F.col("label") == k).cast("double"))
-        out.boosted.append(GBTClassifier(labelCol="one", weightCol="weight", maxIter=rounds, maxDepth=3, seed=seed).fit(one))
-    out.linear = LogisticRegression(weightCol="weight", family="multinomial", maxIter=20).fit(df)
+        return GBTClassifier(labelCol="one", weightCol="weight", maxIter=rounds, maxDepth=3, seed=seed).fit(one)
+
+    with ThreadPool(len(CLASSES) + 2) as pool:  # each fit is a row of small jobs, which leave the cluster idle in between
+        boosted = pool.map_async(boost, range(len(CLASSES)))
+        forest = pool.apply_async(RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit, (df,))
+        linear = pool.apply_async(LogisticRegression(weightCol="weight", family="multinomial", maxIter=20).fit, (df,))
+        out.boosted, out.forest, out.linear = boosted.get(), forest.get(), linear.get()
     held.unpersist()
     return out
 
