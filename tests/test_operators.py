@@ -258,13 +258,13 @@ def test_trade_life(spark):
 
 def test_gate_blocks_repeats_and_cooldowns(spark, tmp_path):
     t = lambda m: START + dt.timedelta(minutes=m)
-    rows = [("A", "BUY", t(0), False), ("A", "BUY", t(1), False), ("A", "", t(2), True), ("A", "SELL", t(3), False), ("A", "SELL", t(200), False)]
+    rows = [("A", "BUY", t(0), False), ("A", "BUY", t(1), False), ("A", "", t(2), True), ("A", "SELL", t(3), False), ("A", "SELL", t(200), False), ("B", "BUY", t(300), False)]  # B moves the watermark past A
     df = spark.createDataFrame(rows, "symbol string, signal string, at timestamp, lost boolean")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     run = jobs.signal_gate(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
     run.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").orderBy("at").collect()
+    got = spark.read.parquet(f"{tmp_path}/out").where("symbol = 'A'").orderBy("at").collect()
     assert [(r["allowed"], r["reason"]) for r in got] == [(True, None), (False, "same"), (False, "cooldown"), (True, None)]
 
 
