@@ -275,8 +275,10 @@ def walk_forward(ds: DataFrame, names: Sequence[str], trees: int = 100, k: int =
 def train_meta(held_out: DataFrame, names: Sequence[str], rounds: int = 20):
     """A binary model of whether a directional call is right, on rows the first model has not seen."""
     meta = summaries.meta_labels(held_out)
-    df = selector(names).transform(meta.withColumn("label", F.col("meta_label").cast("double")))
-    return GBTClassifier(maxIter=rounds, maxDepth=3, seed=42).fit(df)
+    held, df = _kept(selector(names).transform(meta.withColumns({"label": F.col("meta_label").cast("double"), "weight": F.lit(1.0)})))
+    model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=42).fit(df)  # each round reads its rows, which a model has scored
+    held.unpersist()
+    return model
 
 
 def meta_filter(scored: DataFrame, model, names: Sequence[str], threshold: float, meta_threshold: float) -> DataFrame:

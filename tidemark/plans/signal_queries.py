@@ -621,10 +621,10 @@ def _(spark, sf_dir):
 
 @query("sigmoid_calibrated_calls")
 def _(spark, sf_dir):
-    """Test rows by an ensemble with sigmoid calibration."""
+    """Test rows by an ensemble of few trees with sigmoid calibration."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ds)
-    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names), parted.where("part = 'calib'"), "sigmoid")
+    model = ml.calibrate(ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3), parted.where("part = 'calib'"), "sigmoid")
     return ml.score(model, parted.where("part = 'test'")).select("symbol", at(), "target", "call", near("confidence").alias("confidence"))
 
 
@@ -642,7 +642,7 @@ def _(spark, sf_dir):
     """Calls that a model of the calls, trained on the calibration rows, believes in."""
     ds, names = _dataset(spark, sf_dir)
     parted = splits.embargo_split(ml.prepared(ds, names).drop("features", "label", "weight"))
-    model = ml.train_ensemble(parted.where("part = 'train'"), names)
+    model = ml.train_ensemble(parted.where("part = 'train'"), names, trees=10, rounds=3)
     meta = ml.train_meta(ml.score(model, parted.where("part = 'calib'")), [*names, "confidence"])
     kept = ml.meta_filter(ml.score(model, parted.where("part = 'test'")), meta, [*names, "confidence"], 0.35, 0.4)
     return kept.select("symbol", at(), "target", "call", near("confidence").alias("confidence"), near("meta_p").alias("meta_p"))
@@ -655,7 +655,7 @@ def _(spark, sf_dir):
     parted = splits.embargo_split(ds)
     cutoff = ds.agg(F.percentile_approx("open_time", 0.8).alias("t")).first()["t"]
     past = parted.where(F.col("open_time") <= F.lit(cutoff))
-    model = ml.calibrate(ml.train_ensemble(past.where("part = 'train'"), names), past.where("part = 'calib'"))
+    model = ml.calibrate(ml.train_ensemble(past.where("part = 'train'"), names, trees=10, rounds=3), past.where("part = 'calib'"))
     path = shared_path(spark, "bundle")
     ml.save_bundle(spark, ml.Bundle(model, 0.55, cutoff.isoformat()), path)
     loaded = ml.load_bundle(spark, path)
