@@ -136,11 +136,12 @@ def fit_calibrator(one: DataFrame, method: str):
 
 def calibrate(model: Ensemble, calib: DataFrame, method: str = "isotonic") -> Ensemble:
     """Isotonic or sigmoid calibration of each class on rows that trained nothing."""
-    df = model.probabilities(prepared(calib, model.names))
     model.calibrators = []
+    df = model.probabilities(prepared(calib, model.names)).select("probs", "label").persist(StorageLevel.MEMORY_AND_DISK)  # scored once for all classes
     for k in range(len(CLASSES)):
         one = df.select(F.get("probs", F.lit(k)).alias("_x"), (F.col("label") == k).cast("double").alias("one"))
         model.calibrators.append(fit_calibrator(one, method))
+    df.unpersist()
     return model
 
 
