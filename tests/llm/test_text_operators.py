@@ -516,6 +516,16 @@ def test_very_many_secrets_in_one_text(documents, tmp_path):
     assert one["n_hex"] == 1500 and one["spans"] == spans and one["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
 
 
+def test_a_labelled_id_of_many_rows_is_learned_from_once(spark, documents, tmp_path):
+    rows, labels = toxic_corpus()
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    often = [(rows[0][0], " " + str(i), "s") for i in range(20_000)]  # all less than the text itself
+    one, many = (toxicity.train(documents(r, tmp_path / str(k)).select("doc_id", "text"), table) for k, r in enumerate((rows, rows + often)))
+    assert (one.table == many.table).all() and one.bias == many.bias
+    np.testing.assert_allclose([*one.slopes, one.shift], [*many.slopes, many.shift], rtol=1e-6)
+    np.testing.assert_allclose(one.evidence, many.evidence)
+
+
 def test_toxicity_without_labels_or_rows(spark, documents, tmp_path):
     docs = documents([(1, "a", "s")], tmp_path / "d")
     none = spark.createDataFrame([], "doc_id long, toxic int")

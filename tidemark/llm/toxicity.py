@@ -22,7 +22,7 @@ once more with as many of the clean ones nearest to toxic ones and the most toxi
 A null or empty text has no word: it gets the logistic at the margin floor. Nulls in doc_id: such rows
 are scored and never held out. A label whose toxic is null is not learned from. Without any toxic or
 any clean label the score is the share of toxic labels (0 without labels). Repeated rows get equal
-scores; extra columns are not read.
+scores; extra columns are not read. Rows that repeat a labelled doc_id count as one in the training.
 """
 
 from __future__ import annotations
@@ -160,27 +160,24 @@ class Model:
     shift: float = 0.0
     constant: float = 0.0
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """The largest ``TOP`` word margins of each text, missing words counting as the floor, and its number of words."""
-        out = np.full((len(texts), TOP + 1), FLOOR)
+    def margins_and_levels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest ``TOP`` word margins of each text, missing words counting as the floor, with its number of words;
+        and how many of its words have a margin at each level."""
+        out, levels = np.full((len(texts), TOP + 1), FLOOR), np.zeros((len(texts), len(LEVELS)), np.int64)
         out[:, TOP] = 0
         for a, b in self._slices(texts):
             margin, of = self.word_margins(texts[a:b])
+            np.add.at(levels, (a + of, np.clip(np.searchsorted(LEVELS, margin, side="right") - 1, 0, len(LEVELS) - 1)), 1)
             order = np.lexsort((-margin, of))
             margin, of = margin[order], of[order]
             place = np.arange(len(of)) - np.searchsorted(of, of)
             top = place < TOP
             out[a + of[top], place[top]] = margin[top]
             out[a:b, TOP] = np.bincount(of, minlength=b - a)
-        return out
+        return out, levels
 
-    def levels(self, texts: list[str]) -> np.ndarray:
-        """How many words of each text have a margin at each level."""
-        out = np.zeros((len(texts), len(LEVELS)), np.int64)
-        for a, b in self._slices(texts):
-            margin, of = self.word_margins(texts[a:b])
-            np.add.at(out, (a + of, np.clip(np.searchsorted(LEVELS, margin, side="right") - 1, 0, len(LEVELS) - 1)), 1)
-        return out
+    def margins(self, texts: list[str]) -> np.ndarray:
+        return self.margins_and_levels(texts)[0]
 
     @staticmethod
     def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -394,13 +391,15 @@ def hardest(sentences: DataFrame, model: Model, toxic: int, n: int) -> list[str]
 def train(documents: DataFrame, labels: DataFrame, setup: Training = Training(), kernel: Kernel = Kernel()) -> Model:
     """Learn from at most ``setup.sample`` labelled texts that are not held out.
 
-    The sample is the labels least in a hash of doc_id, so it does not depend on their order. Only its
-    ids are broadcast; words and runs are counted over the cluster, and a bounded number comes back.
+    The sample is the labels least in a hash of doc_id, so it does not depend on their order. Of rows that
+    repeat a doc_id one is learned from, that with the greatest text, so the bound holds for rows too. Only the
+    sample's ids are broadcast; words and runs are counted over the cluster, and a bounded number comes back.
     """
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(setup.sample)
     text = F.coalesce("text", F.lit("")).alias("text")
-    known = stored(documents.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    labelled = documents.select("doc_id", text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    known = stored(labelled.select("text", "toxic"), "labelled")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts.get(1) or not counts.get(0):
         return Model(kernel, None, constant=float(bool(counts.get(1))))
@@ -426,8 +425,8 @@ def train(documents: DataFrame, labels: DataFrame, setup: Training = Training(),
         import pandas as pd
 
         for batch in batches:
-            texts = batch["text"].tolist()
-            yield pd.DataFrame({"margins": list(shared.value.margins(texts)), "levels": list(shared.value.levels(texts)), "toxic": batch["toxic"]})
+            margins, levels = shared.value.margins_and_levels(batch["text"].tolist())
+            yield pd.DataFrame({"margins": list(margins), "levels": list(levels), "toxic": batch["toxic"]})
 
     got = known.mapInPandas(measure, "margins array<double>, levels array<long>, toxic int").toPandas()
     y = got["toxic"].to_numpy(float)
