@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.tables import with_row
 from tidemark.operators import backtest, features, joins, labels, market, series, signals, splits
+from tidemark.sources.shared import written
 
 
 def build_dataset(entry: DataFrame, hourly: DataFrame, slow: DataFrame, benchmark: str, least_bars: int = 100, leak_free: bool = False) -> DataFrame:
     """Entry bars with all features of their own and the slower timeframes, the benchmark's, and the label."""
     entry = series.min_bars(entry, least_bars)
-    own = features.add_features(entry)
+    own = written(features.add_features(entry), "own")  # each of three as-of joins reads its left side twice, so eight times in all
     fast, late = features.add_features(hourly), features.add_features(slow)
     if leak_free:
         fast, late = joins.closing(fast, 1), joins.closing(late, 4)
