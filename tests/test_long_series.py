@@ -237,6 +237,25 @@ def test_models_keep_the_properties_of_probabilities(spark, training, tmp_path):
     assert series.after_cutoff(test, F.lit(loaded.trained_at).cast("timestamp")).count() == test.where(F.col("open_time") > F.lit(START)).count()
 
 
+@pytest.mark.parametrize("missing", ["SELL", "NO_TRADE"])
+def test_models_of_rows_without_a_class_score_all_classes(spark, training, missing, tmp_path):
+    rest = training.where(F.col("target") != missing)
+    train, calib = (rest.where(f"minute(open_time) % 2 = {k}") for k in range(2))
+    model = ml.train_ensemble(train, ["x", "noise"], trees=4, rounds=2)
+    for method in (None, "isotonic", "sigmoid"):
+        if method:
+            model = ml.calibrate(model, calib, method)
+            ml.save_bundle(spark, ml.Bundle(model, 0.5, START.isoformat()), f"{tmp_path}/{method}")
+            model = ml.load_bundle(spark, f"{tmp_path}/{method}").model
+        rows = ml.score(model, training).toPandas()
+        probs = np.array(rows["probs"].tolist(), float)
+        assert probs.shape == (600, 3) and not rows["call"].isna().any()
+        np.testing.assert_allclose(probs.sum(axis=1), 1, rtol=1e-9)
+        assert probs[:, ml.CLASSES.index(missing)].max() < 0.3
+    linear = ml.LogisticRegression(weightCol="weight", family="multinomial", maxIter=5).fit(ml.prepared(train, ["x", "noise"]))
+    assert ml.Softmax.of(linear).predict_proba(np.zeros((2, 2))).shape == (2, 3)
+
+
 def test_external_models_score_in_batches_and_missing_features_are_zero(spark, training):
     soft = ml.Softmax(np.array([[1.0, 0.0], [0.0, 0.0], [-1.0, 0.0]]), np.zeros(3))
     odd = training.limit(3).withColumn("x", F.when(F.minute("open_time") == 0, None).when(F.minute("open_time") == 1, float("inf")).otherwise(2.0))

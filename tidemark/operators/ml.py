@@ -37,7 +37,9 @@ WEIGHTS = {"boosted": 3.0, "forest": 2.0, "linear": 1.0}
 
 
 def label_index(target: str = "target") -> Column:
-    return (F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col(target)) - 1).cast("double")
+    """The class number; its metadata names all classes, so that a model has them even if its rows lack the last."""
+    number = (F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col(target)) - 1).cast("double")
+    return number.alias("label", metadata={"ml_attr": {"name": "label", "type": "nominal", "vals": list(CLASSES)}})
 
 
 def selector(names: Sequence[str]) -> VectorAssembler:
@@ -49,7 +51,7 @@ def prepared(df: DataFrame, names: Sequence[str], signal_weight: float = 2.0) ->
     """Label, class weight and features; missing, NaN and infinite values are 0."""
     clean = {c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)) for c in names}
     weight = F.when(F.col("target") == "NO_TRADE", 1.0).otherwise(signal_weight)
-    return selector(names).transform(df.withColumns({**clean, "label": label_index(), "weight": weight}))
+    return selector(names).transform(df.withColumns({**clean, "weight": weight}).drop("label").select("*", label_index()))
 
 
 def _kept(df: DataFrame, rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
