@@ -188,6 +188,29 @@ def test_scan_state_passes_over_bars_seen_and_survives_json():
     assert len(frame.volumes) == 21 and len(frame.ranges) == 14 and 0 <= frame.run(1) <= 5
 
 
+def test_exposure_answers_points_and_hands_them_to_all_their_signals(spark):
+    rng = np.random.default_rng(5)
+    at = lambda: START + int(rng.integers(0, 5000)) * MINUTE
+    some = lambda: (["A", "B", "C", None][int(rng.integers(4))], ["BUY", "SELL"][int(rng.integers(2))])
+    held = [(*some(), at(), None if k % 9 == 0 else at()) for k in range(80)]
+    asked = [(f"s{k}", *some(), at()) for k in range(40)]
+    asked += [(f"t{k}", *asked[k % 7][1:]) for k in range(60)] + asked[:3]
+    trades = spark.createDataFrame(held, "symbol string, signal string, opened_at timestamp, closed_at timestamp")
+    signals = spark.createDataFrame(asked, "id string, symbol string, signal string, ts timestamp")
+    out = book.open_exposure(signals, trades, spark.createDataFrame([("A", "x"), ("B", "x")], "symbol string, sector string"))
+    sector = {"A": "x", "B": "x"}
+
+    def want(row):
+        steps = [(s, d, t, v) for s, d, a, b in held for t, v in ((a, 1), (b, -1)) if t is not None and t <= row[3]]
+        own = (lambda s, d: True, lambda s, d: d == row[2], lambda s, d: sector.get(s) == sector.get(row[1]) is not None, lambda s, d: s == row[1] is not None)
+        return (row[0], *(sum(v for s, d, _, v in steps if f(s, d)) for f in own))
+
+    key = lambda r: tuple(map(str, r))
+    got = [tuple(r) for r in out.select("id", "open_all", "open_side", "open_sector", "open_symbol").collect()]
+    assert sorted(got, key=key) == sorted(map(want, asked), key=key)
+    assert "struct(id" not in out._jdf.queryExecution().optimizedPlan().toString()  # only points are dealt out by cap, no whole signals
+
+
 def test_batches_appended_again_change_nothing(spark, tmp_path):
     path = str(tmp_path / "ledger")
     row = lambda k, v: spark.createDataFrame([(i, v) for i in k], "id int, v string")

@@ -98,22 +98,22 @@ def open_exposure(signals: DataFrame, trades: DataFrame, sectors: DataFrame, dir
     """For each signal (symbol, signal, ts): how many trades are open then, in all, on its side, in its sector
     and in its symbol, and whether the caps allow it.
 
-    A trade is +1 when it opens and -1 when it closes. Trades and signals are one table, each row once per cap it
-    counts for. The events of a day are summed per day first, days are accumulated over a small table, and the
-    running sums inside a day start from there: no pair of a signal and a trade is made, and no group holds more
-    than a day. A last aggregate brings the caps of a signal together again; equal signals are one row of it.
+    A trade is +1 when it opens and -1 when it closes. What the caps see of a trade or signal is its symbol, side and
+    time, so steps are added up, and signals made one, by these before anything else is dealt out; each is then a row per cap it
+    counts for. The events of a day are summed per day first, days are accumulated over a small table, and the running
+    sums inside a day start from there: no pair of a signal and a trade is made, and no group holds more than a day.
+    A last aggregate brings the caps of a point together again, and signals take the answer of their point.
     """
     sectors = sectors.select("symbol", "sector")
-    sides = F.struct("symbol", F.col("signal").alias("side"))
-    opened = trades.select(sides.alias("of"), F.col("opened_at").alias("ts"), F.lit(1).cast("long").alias("step"))
-    closed = trades.where("closed_at IS NOT NULL").select(sides.alias("of"), F.col("closed_at").alias("ts"), F.lit(-1).cast("long").alias("step"))
-    nothing = F.lit(None).cast(signals.select(F.struct("*").alias("s")).schema["s"].dataType)
-    asked = signals.groupBy(*signals.columns).agg(F.count("*").alias("_times")).select(sides.alias("of"), "ts", F.lit(0).cast("long").alias("step"), F.struct(*signals.columns).alias("row"), "_times")
-    rows = opened.unionByName(closed).select("*", nothing.alias("row"), F.lit(None).cast("long").alias("_times")).unionByName(asked)
-    rows = rows.select("of.*", "ts", "step", "row", "_times").join(sectors, "symbol", "left")
+    point = [F.col("symbol"), F.col("signal").alias("side")]
+    opened = trades.select(*point, F.col("opened_at").alias("ts"), F.lit(1).cast("long").alias("step"))
+    closed = trades.where("closed_at IS NOT NULL").select(*point, F.col("closed_at").alias("ts"), F.lit(-1).cast("long").alias("step"))
+    steps = opened.unionByName(closed).groupBy("symbol", "side", "ts").agg(F.sum("step").alias("step"))
+    asked = signals.select(*point, "ts").distinct().select("*", F.lit(0).cast("long").alias("step"), F.struct("symbol", "side", "ts").alias("row"))
+    rows = steps.unionByName(asked, allowMissingColumns=True).join(sectors, "symbol", "left")
     caps = (("open_all", F.lit("")), ("open_side", F.col("side")), ("open_sector", F.col("sector")), ("open_symbol", F.col("symbol")))
     keys = F.array(*[F.struct(F.lit(n).alias("cap"), k.alias("key")) for n, k in caps])
-    rows = rows.withColumn("k", F.explode(keys)).select("k.*", "ts", "step", "row", "_times", F.col("ts").cast("date").alias("day"))
+    rows = rows.withColumn("k", F.explode(keys)).select("k.*", "ts", "step", "row", F.col("ts").cast("date").alias("day"))
     rows = rows.where("key IS NOT NULL OR row IS NOT NULL")  # a signal without a sector is still answered
     daily = rows.groupBy("cap", "key", "day").agg(F.sum("step").alias("sum"))
     earlier = Window.partitionBy("cap", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,8 +123,10 @@ def open_exposure(signals: DataFrame, trades: DataFrame, sectors: DataFrame, dir
     same = (F.col("cap") == F.col("_cap")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("day") == F.col("_day"))
     counted = rows.withColumn("in", F.sum("step").over(inside)).where("row IS NOT NULL").join(daily, same)
     held = F.when(F.col("key").isNotNull(), F.col("base") + F.col("in")).otherwise(0)
-    out = counted.groupBy("row", "_times").agg(*[F.max(F.when(F.col("cap") == n, held)).alias(n) for n, _ in caps])
-    out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("row.*", *[n for n, _ in caps])
+    answers = counted.groupBy("row").agg(*[F.max(F.when(F.col("cap") == n, held)).alias(n) for n, _ in caps])
+    answers = answers.select(*[F.col(f"row.{c}").alias(f"_{c}") for c in ("symbol", "side", "ts")], *[n for n, _ in caps])
+    met = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("signal").eqNullSafe(F.col("_side")) & F.col("ts").eqNullSafe(F.col("_ts"))
+    out = signals.join(answers, met).drop("_symbol", "_side", "_ts")
     allowed = (F.col("open_all") < open_cap) & (F.col("open_side") < direction_cap) & (F.col("open_sector") < sector_cap) & (F.col("open_symbol") < 1)
     return out.withColumn("allowed", allowed)
 
