@@ -166,6 +166,23 @@ def test_gate_keeps_its_cap_when_a_row_of_yesterday_comes_between(spark, tmp_pat
     assert set(today[~today["allowed"]]["reason"]) == {"cap", "same"}  # a refused signal is not the last one
 
 
+def test_gate_judges_the_last_rows_once_the_stream_has_ended(spark, tmp_path):
+    schema = "symbol string, signal string, at timestamp, lost boolean"
+    rows = [("A", "BUY", START + k * MINUTE, False) for k in range(3)]
+    end = (None, None, START + dt.timedelta(hours=2), False)
+    out = run_stream(spark, jobs.signal_gate, schema, [rows, [end]], tmp_path).orderBy("at").toPandas()
+    assert out["symbol"].tolist() == ["A"] * 3 and out["allowed"].tolist() == [True, False, False]
+
+
+def test_stream_gate_judges_every_signal(spark):
+    from tidemark.plans.registry import QUERIES
+    from tidemark.plans.signal_queries import ruled
+
+    sf = "/root/testdata/sf0.001"
+    asked = ruled(spark, sf).where("signal <> 'NO_TRADE' AND rsi >= 35").count()
+    assert QUERIES["stream_signal_gate"](spark, sf).count() == asked
+
+
 def test_trade_life_in_order_of_time_whatever_the_order_of_arrival(spark, tmp_path):
     trade = [("t", "A", "BUY", 100.0, 95.0, 104.0, 110.0, 2.0, 1.0, 50.0, START)]
     trades = spark.createDataFrame(trade, "trade_id string, symbol string, signal string, entry double, stop double, tp1 double, tp2 double, qty double, qty_tp1 double, risk_usd double, opened_at timestamp")

@@ -30,14 +30,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def file_stream(spark: SparkSession, df: DataFrame, name: str, time: str) -> DataFrame:
-    """A table as a stream of files: slices of time, written one after the other and read a slice per micro-batch."""
+def file_stream(spark: SparkSession, df: DataFrame, name: str, time: str, end: DataFrame | None = None) -> DataFrame:
+    """A table as a stream of files: slices of time, written one after the other and read a slice per micro-batch; then the row ``end``, if given."""
     path = shared_path(spark, name)
     at = F.unix_micros(F.col(time).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(at, [k / SLICES for k in range(1, SLICES)], 10_000).alias("c")).first()["c"] or []
     slice_ = sum(((at > c).cast("int") for c in cuts), F.lit(0))
     for k in range(SLICES):
         df.where(slice_ == k).repartition(FILES).write.mode("append").parquet(path)
+    if end is not None:
+        end.repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
@@ -91,7 +93,7 @@ def _(spark, sf_dir):
 @query(
     "stream_signal_gate",
     f"""{timeframe_sql()}, s AS (SELECT symbol, open_time AS moment, rsi < 35 AS lost, {_RULE_SQL} AS signal FROM f),
-n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment) AS turn FROM s WHERE signal <> 'NO_TRADE' AND moment < (SELECT max(moment) - INTERVAL 1 HOUR FROM s WHERE signal <> 'NO_TRADE')),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY moment) AS turn FROM s WHERE signal <> 'NO_TRADE'),
 g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '1970-01-01' AS blocked, DATE '1970-01-01' AS day, 0 AS taken, '' AS reason FROM n
   UNION ALL SELECT symbol, turn, CASE WHEN reason = 'ok' THEN signal ELSE last END, CASE WHEN lost THEN moment + INTERVAL 2 HOUR ELSE blocked END, CAST(moment AS DATE), taken + CASE WHEN reason = 'ok' THEN 1 ELSE 0 END, reason
   FROM (SELECT *, CASE WHEN lost THEN 'lost' WHEN signal = last THEN 'same' WHEN moment < blocked THEN 'cooldown' WHEN taken >= 20 THEN 'cap' ELSE 'ok' END AS reason
@@ -99,10 +101,12 @@ g AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS turn, '' AS last, TIMESTAMP '
 SELECT n.symbol, n.signal, {stamp_sql("n.moment")} AS "at", reason = 'ok' AS allowed, CASE WHEN reason = 'ok' THEN '' ELSE reason END AS reason FROM g JOIN n ON n.symbol = g.symbol AND n.turn = g.turn WHERE reason <> 'lost'""",
 )
 def _(spark, sf_dir):
-    """The rule's signals through the gate, those that the watermark has passed: new ones, off cooldown, under the day's cap."""
+    """The rule's signals through the gate: new ones, off cooldown, under the day's cap. The stream's end moves the watermark past the last."""
     found = ruled(spark, sf_dir).where("signal <> 'NO_TRADE'")
     rows = found.select("symbol", "signal", F.col("open_time").cast("timestamp").alias("at"), (F.col("rsi") < 35).alias("lost"))
-    out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "gate", "at")), "gated")
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("symbol", "signal")]
+    end = rows.agg((F.max("at") + F.expr("INTERVAL 2 HOURS")).alias("at")).select(*nothing, "at", F.lit(False).alias("lost")).where("at IS NOT NULL")
+    out = finished(spark, jobs.signal_gate(file_stream(spark, rows, "gate", "at", end)), "gated")
     return out.select("symbol", "signal", stamp("at").alias("at"), "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
