@@ -526,6 +526,30 @@ def test_a_labelled_id_of_many_rows_is_learned_from_once(spark, documents, tmp_p
     np.testing.assert_allclose(one.evidence, many.evidence)
 
 
+def test_toxicity_training_holds_its_features_once():
+    """The driver fits the machine, so what it holds beside the features is what a few sentences or rows take."""
+    import tracemalloc
+
+    random = np.random.default_rng(3)
+    words = ["".join(random.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    texts = [" ".join(random.choice(words, 8)) for _ in range(12_000)]
+    features = toxicity.Nystrom([w[:4] for w in words[:200]], words[200:330], toxicity.Kernel())
+    y = np.where(np.arange(len(texts)) % 2, 1.0, -1.0)
+    features.sentences(texts[:10])
+    tracemalloc.start()
+    try:
+        phi = features.sentences(texts)
+        made, _ = tracemalloc.get_traced_memory()
+        beta, bias = toxicity.fit_svm(phi, y, 1.0)
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert made < 1.1 * phi.nbytes and most < 4 * phi.nbytes
+    np.testing.assert_allclose(phi[500:700], features.sentences(texts[500:700]), atol=1e-4)
+    gap = 1 - y * (phi @ beta + bias)
+    np.testing.assert_allclose(beta, (y * np.maximum(gap, 0)) @ phi, atol=2e-2)  # the loss has no slope there
+
+
 def test_toxicity_without_labels_or_rows(spark, documents, tmp_path):
     docs = documents([(1, "a", "s")], tmp_path / "d")
     none = spark.createDataFrame([], "doc_id long, toxic int")

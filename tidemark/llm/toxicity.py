@@ -269,9 +269,10 @@ class Nystrom:
         keep = values > 1e-4 * values.max()
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
-    def sentences(self, texts: list[str], chunk: int = 512) -> np.ndarray:
-        """The features of sentences, a row each."""
-        out = np.zeros((len(texts), self.dense.shape[1]), np.float32)
+    def sentences(self, texts: list[str], chunk: int = 32) -> np.ndarray:
+        """The features of sentences, a row each; nothing but them is held for more than ``chunk`` sentences."""
+        root = self.root.astype(np.float32)
+        phi = np.zeros((len(texts), root.shape[1]), np.float32)
         for a in range(0, len(texts), chunk):
             classes, first, last, of = words_of(texts[a : a + chunk])
             if not len(first):
@@ -290,8 +291,8 @@ class Nystrom:
             rows, each = rows[order], self.dense[entries[order]] * values[order, None]
             if len(rows):
                 starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                out[a + rows[starts]] = np.add.reduceat(each, starts, axis=0)
-        return out @ self.root.astype(np.float32)
+                phi[a + rows[starts]] = np.add.reduceat(each, starts, axis=0) @ root
+        return phi
 
     def table(self, beta: np.ndarray) -> np.ndarray:
         """The weights of subsequences that a linear function of the features comes to."""
@@ -300,17 +301,20 @@ class Nystrom:
         return out
 
 
-def fit_svm(phi: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps on the squared hinge loss."""
-    phi = np.hstack([phi, np.ones((len(phi), 1), phi.dtype)])
-    beta, ridge = np.zeros(phi.shape[1]), np.ones(phi.shape[1])
+def fit_svm(phi: np.ndarray, y: np.ndarray, cost: float, block: int = 2048) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton steps on the squared hinge loss, added up over blocks of rows: no copy of ``phi`` is made."""
+    beta, ridge = np.zeros(phi.shape[1] + 1), np.ones(phi.shape[1] + 1)
     ridge[-1] = 1e-3
     for _ in range(30):
-        gap = 1 - y * (phi @ beta)
-        on = gap > 0
-        some = phi[on]
-        gradient = ridge * beta - cost * ((y[on] * gap[on]).astype(phi.dtype) @ some)
-        step = np.linalg.solve(np.diag(ridge) + cost * (some.T @ some).astype(np.float64), gradient)
+        gradient, curvature = ridge * beta, np.diag(ridge)
+        for a in range(0, len(phi), block):
+            some, side = phi[a : a + block], y[a : a + block]
+            gap = 1 - side * (some @ beta[:-1] + beta[-1])
+            on = gap > 0
+            some = np.hstack([some[on], np.ones((int(on.sum()), 1), phi.dtype)])
+            gradient -= cost * ((side[on] * gap[on]).astype(phi.dtype) @ some)
+            curvature += cost * (some.T @ some)
+        step = np.linalg.solve(curvature, gradient)
         beta -= step
         if np.abs(step).max() < 1e-4:
             break
