@@ -526,6 +526,24 @@ def test_a_labelled_id_of_many_rows_is_learned_from_once(spark, documents, tmp_p
     np.testing.assert_allclose(one.evidence, many.evidence)
 
 
+def test_a_chunk_of_sets_lets_go_of_its_arrays():
+    """Packing a chunk holds a few arrays of its shingles at once, not one of each step."""
+    import tracemalloc
+
+    random = np.random.default_rng(4)
+    tracemalloc.start()
+    try:
+        chunk = ngram_join.Chunk(0, 4)
+        for k in range(500):
+            chunk.add(k, np.sort(random.integers(0, 2**64, 2000, dtype=np.uint64)))
+        size = 8 * chunk.tokens
+        packed = sum(len(row[3]) for row in chunk.rows())
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert packed >= 5 * chunk.tokens and most < 6 * size
+
+
 def test_toxicity_training_holds_its_features_once():
     """The driver fits the machine, so what it holds beside the features is what a few sentences or rows take."""
     import tracemalloc

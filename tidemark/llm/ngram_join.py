@@ -108,10 +108,13 @@ class Chunk:
         yield 0, home, self.number, head + names.tobytes() + docs.tobytes() + known.tobytes() + np.array(self.of, "<u4").tobytes()
         if not self.tokens:
             return
-        keys = np.concatenate(self.sets) >> np.uint64(64 - KEY_BITS)
-        which = np.repeat(np.arange(len(self.sets), dtype="<u2"), self.sizes)
+        keys = np.concatenate(self.sets)
+        self.sets.clear()  # the arrays of a chunk are large: none is held longer than it is needed
+        keys >>= np.uint64(64 - KEY_BITS)
+        which = np.repeat(np.arange(len(self.sizes), dtype="<u2"), self.sizes)
         order = np.argsort(keys, kind="stable")
         keys, which = keys[order], which[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(first, len(keys)))
         common = count >= COMMON_IN_CHUNK
@@ -126,16 +129,18 @@ class Chunk:
             weights = np.ones(len(keys), "<u4")
             weights[first[common]] = count[common]
             keys, which, weights = keys[keep], which[keep], weights[keep]
+            del inside, keep
         else:
             weights = np.ones(len(keys), "<u4")
+        del first, count, common
         low = KEY_BITS - self.bits
         cut = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(low))
-        rest = keys & np.uint64((1 << low) - 1)
+        rest = np.uint64((1 << low) - 1)
         for b in range(1 << self.bits):
             s, e = int(cut[b]), int(cut[b + 1])
             if e > s:
                 heavy = np.flatnonzero(which[s:e] == COMMON)
-                yield 1, b, self.number, np.array([e - s], "<u4").tobytes() + _planes(rest[s:e], _width(self.bits)) + which[s:e].tobytes() + weights[s:e][heavy].tobytes()
+                yield 1, b, self.number, np.array([e - s], "<u4").tobytes() + _planes(keys[s:e] & rest, _width(self.bits)) + which[s:e].tobytes() + weights[s:e][heavy].tobytes()
 
 
 def deal_sets(documents: DataFrame, bucket_bits: int, words: int) -> DataFrame:

@@ -41,7 +41,7 @@ END, PUNCTUATION, DIGIT, LATIN, OTHER = 0, 27, 28, 30, 63
 #: Places of the four characters of a subsequence, from its first.
 PATTERNS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4), (0, 1, 3, 5), (0, 2, 3, 5), (0, 2, 4, 5), (0, 2, 4, 6))
 TABLE_BITS = 21
-SLICE = 1_000_000
+SLICE = 250_000
 FLOOR = -3.0
 TOP = 8
 LEVELS = np.arange(FLOOR, 6.01, 0.25)  # of margins, for the evidence
