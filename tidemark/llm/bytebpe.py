@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 END_ID = 2
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 # The letters, numbers and spaces of Latin-1, for the pre-token pattern of this vocabulary.
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
