@@ -40,6 +40,22 @@ def test_query_without_sql_runs(spark, name):
     assert len(got) and len(got.columns)
 
 
+def test_a_symbol_whose_last_scan_has_no_sound_levels_has_no_row(spark, tmp_path):
+    """The levels of its last bar are below zero; the scans before had sound ones."""
+    start = pd.Timestamp("2024-01-01")
+    swing = lambda user, k: 20_000.0 * (k % 2) if user == 8 and k >= 76 else 10.0 + (k % 2)
+    ticks = [(start + pd.Timedelta(minutes=5 * k + user), user, "click", swing(user, k)) for user in (1, 8) for k in range(78)]
+    events = pd.DataFrame(ticks, columns=["ts", "user_id", "event_type", "value"]).astype({"ts": "datetime64[us]"})
+    events.assign(event_id=range(len(events)), props="{}").to_parquet(tmp_path / "events.parquet", index=False)
+    pd.read_parquet(f"{SF}/documents.parquet").to_parquet(tmp_path / "documents.parquet", index=False)
+    con = duckdb.connect()
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = QUERIES["stream_live_scan"](spark, str(tmp_path)).toPandas()
+    assert got["symbol"].tolist() == ["click-1"]
+    assert rows(got) == rows(con.execute(ORACLES["stream_live_scan"]).df())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 

@@ -152,15 +152,17 @@ def rounded(c: Column, entry: Column) -> Column:
     return F.when(entry < 10, F.bround(c, 4)).otherwise(F.bround(c, 2))
 
 
-def with_levels(signals: DataFrame, vol_state: str = "vol_state") -> DataFrame:
-    """Stop and targets from entry and ATR; rows whose levels are not positive numbers are left out."""
+def with_levels(signals: DataFrame, vol_state: str = "vol_state", unsound: bool = False) -> DataFrame:
+    """Stop and targets from entry and ATR; rows whose levels are not positive numbers are left out, or stay without levels if ``unsound``."""
     e, a = F.col("entry"), F.col("atr")
     stretch = F.when(F.col(vol_state) == "VERY_HIGH", 1.5).when(F.col(vol_state).isin("DEAD", "UNKNOWN"), 0.8).otherwise(1.0)
     side = F.when(F.col("signal") == "BUY", 1.0).otherwise(-1.0)
     level = lambda k: rounded(e + side * a * k, e)
     out = signals.withColumns({"stop": level(F.lit(-STOP_ATR)), "tp1": level(TP1_ATR * stretch), "tp2": level(TP2_ATR * stretch)})
     sound = lambda c: (F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf"))
-    return out.where(sound("stop") & sound("tp1") & sound("tp2"))
+    levels = ("stop", "tp1", "tp2")
+    all_sound = sound("stop") & sound("tp1") & sound("tp2")
+    return out.withColumns({c: F.when(all_sound, F.col(c)) for c in levels}) if unsound else out.where(all_sound)
 
 
 def round_amount(raw: Column, step: Column) -> Column:

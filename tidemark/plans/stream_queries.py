@@ -112,7 +112,10 @@ def _(spark, sf_dir):
 
 @query("stream_live_scan", ORDERS_SQL)
 def _(spark, sf_dir):
-    """The last scan of each symbol from a stream of bars: filters, score, news, levels and size, with nothing read twice."""
+    """The last scan of each symbol from a stream of bars: filters, score, news, levels and size, with nothing read twice.
+
+    A symbol whose last scan has no sound levels has no row; an older scan does not stand in for it.
+    """
     seen = wide_ticks(spark, sf_dir)
     bars_ = {i: to_bars(seen, every, i) for i, every in INTERVALS.items()}
     closed = series.union_all([b.withColumn("closed_at", F.col("open_time") + F.expr(f"INTERVAL {INTERVALS[i]}")) for i, b in bars_.items()])
@@ -121,9 +124,9 @@ def _(spark, sf_dir):
     mood = events.agg((F.floor(F.sum("value")) % 101).alias("value"))
     names = seen.select("symbol").distinct().select("symbol", F.lit(0.01).alias("min_amount"), F.lit(1000.0).alias("max_amount"))
     inputs = scan_inputs(file_stream(spark, closed, "scan-bars", "closed_at")).withColumn("coin", F.concat(F.lit("src"), F.substring_index("symbol", "-", -1)))
-    made = ordered(scanned_signals(inputs, bench, events.select("symbol", "ts", "net_inflow"), mood), news(spark, sf_dir), names, 10_000.0)
+    made = ordered(scanned_signals(inputs, bench, events.select("symbol", "ts", "net_inflow"), mood), news(spark, sf_dir), names, 10_000.0, unsound=True)
     shown = ["symbol", "bars", "open_time", "signal", "confidence", "score", "reject_reason", "quality", "vol_state", "reasons", "stop", "tp1", "tp2", "qty"]
-    last = finished(spark, made.select(*shown), "scanned").groupBy("symbol").agg(F.max_by(F.struct(*shown[2:]), "bars").alias("r")).select("symbol", "r.*")
+    last = finished(spark, made.select(*shown), "scanned").groupBy("symbol").agg(F.max_by(F.struct(*shown[2:]), "bars").alias("r")).select("symbol", "r.*").where("stop IS NOT NULL")
     near_ = {c: near(c, 2 if c in ("confidence", "qty") else 4) for c in ("confidence", "stop", "tp1", "tp2", "qty")}
     return last.withColumns({"open_time": stamp("open_time"), "reasons": F.array_join("reasons", "; "), **near_})
 

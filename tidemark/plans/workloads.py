@@ -69,14 +69,15 @@ def decided(latest: DataFrame, bench: DataFrame, flows: DataFrame, mood: DataFra
     return signals.filter_signals(signals.score_signals(market.with_scan_mode(latest, series.TIME)))
 
 
-def ordered(filtered: DataFrame, news: DataFrame, instruments: DataFrame, balance: float) -> DataFrame:
+def ordered(filtered: DataFrame, news: DataFrame, instruments: DataFrame, balance: float, unsound: bool = False) -> DataFrame:
     """Decided rows with the scanner's quality, the news, levels, and the size of an order.
 
-    Needs coin, ema200 and range_pct, the plain mean range in percent; ``news`` has coin and sentiment.
+    Needs coin, ema200 and range_pct, the plain mean range in percent; ``news`` has coin and sentiment. Rows without
+    sound levels are left out; with ``unsound`` they stay, with null levels, so that a symbol's newest row can be told.
     """
     state, risk = market.states_of(F.col("range_pct"))
     out = signals.apply_news(signals.quality_score(filtered), news)
-    out = signals.with_levels(out.withColumns({"entry": F.col("close"), "vol_state": state, "vol_risk_mult": risk}))
+    out = signals.with_levels(out.withColumns({"entry": F.col("close"), "vol_state": state, "vol_risk_mult": risk}), unsound=unsound)
     return signals.position_size(out, instruments, F.lit(balance), F.col("risk_mult") * F.col("vol_risk_mult"))
 
 
