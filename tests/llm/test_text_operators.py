@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import mixing, ngram_join, packing, perspectives, secrets, shared, token_frames, toxicity
-from tidemark.llm.bytebpe import END_ID, ByteBpe, default_vocabulary
+from tidemark.llm.bytebpe import END_ID, LETTERS, ByteBpe, default_vocabulary
 from tidemark.llm.components import components
 
 WORDS = [a + b for a in ("the", "ing", "er", "on", "an", "th", "re") for b in ("ea", "st", "nt", "ou", "ly", "ha", "wh")]
@@ -50,6 +50,26 @@ def test_cached_encoding_equals_the_library(tokenizer, t):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in (t, t + " " + t)]
 
 
+def test_words_of_all_latin1_characters_are_learned_in_one_text_and_equal_the_library(tokenizer):
+    rng = random.Random(3)
+    letters = [chr(x) for x in range(256)]
+    texts = ["".join(rng.choice(letters + [" "] * 40) for _ in range(300)) for _ in range(60)] + ["ÿ ÿÿ ÿa", "x" * 5000, *letters]
+    bpe = ByteBpe(default_vocabulary())
+    assert [np.frombuffer(g, "<u4").tolist() for g in bpe.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(bpe.words) > 1000 and bpe.inner.pre_tokenizer is None  # the words are not parted again one by one
+
+
+def test_a_vocabulary_that_joins_the_mark_to_a_word_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    names = [*LETTERS, "ÿa"]
+    Tokenizer(models.BPE({t: i for i, t in enumerate(names)}, [("ÿ", "a")])).save(str(tmp_path / "joins.json"))
+    bpe = ByteBpe(str(tmp_path / "joins.json"))
+    assert bpe.encode(["b"]) == [np.array([LETTERS.index("b")], "<u4").tobytes()]
+    with pytest.raises(ValueError):
+        bpe.encode(["a"])
+
+
 def test_queries_encode_added_tokens_as_the_plain_library(spark, documents, tmp_path):
     from tokenizers import Tokenizer
 
