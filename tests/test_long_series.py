@@ -337,6 +337,14 @@ def test_models_of_rows_without_a_class_score_all_classes(spark, training, missi
     assert ml.Softmax.of(linear).predict_proba(np.zeros((2, 2))).shape == (2, 3)
 
 
+def test_a_training_set_without_a_signal_is_not_undersampled_to_nothing(spark, training):
+    still = training.withColumns({"target": F.lit("NO_TRADE"), "regime": F.lit("w0")})
+    rows = ml.train_and_score(still, ["x", "noise"], trees=4, rounds=2).toPandas()
+    probs = np.array(rows["probs"].tolist(), float)
+    assert len(rows) == 120 and probs.shape == (120, 3) and set(rows["call"]) == {"NO_TRADE"}
+    np.testing.assert_allclose(probs.sum(axis=1), 1, rtol=1e-9)
+
+
 def test_external_models_score_in_batches_and_missing_features_are_zero(spark, training):
     soft = ml.Softmax(np.array([[1.0, 0.0], [0.0, 0.0], [-1.0, 0.0]]), np.zeros(3))
     odd = training.limit(3).withColumn("x", F.when(F.minute("open_time") == 0, None).when(F.minute("open_time") == 1, float("inf")).otherwise(2.0))

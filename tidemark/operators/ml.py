@@ -248,7 +248,9 @@ def importance_scan(ds: DataFrame, names: Sequence[str], essential: Sequence[str
 def train_and_score(ds: DataFrame, names: Sequence[str], trees: int = 100, rounds: int = 40) -> DataFrame:
     """The split's test rows, scored by an ensemble trained and calibrated on its other parts."""
     parted = splits.embargo_split(ds)
-    train = splits.undersample(parted.where("part = 'train'"), F.concat_ws("|", "symbol", F.col("open_time").cast("string")))
+    train = parted.where("part = 'train'")
+    if not train.where("target != 'NO_TRADE'").isEmpty():  # with no signal to balance, undersampling would leave no row
+        train = splits.undersample(train, F.concat_ws("|", "symbol", F.col("open_time").cast("string")))
     model = train_ensemble(train, names, trees, rounds)
     calib = parted.where("part = 'calib'")
     if not calib.isEmpty():
