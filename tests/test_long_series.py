@@ -345,6 +345,16 @@ def test_a_training_set_without_a_signal_is_not_undersampled_to_nothing(spark, t
     np.testing.assert_allclose(probs.sum(axis=1), 1, rtol=1e-9)
 
 
+def test_a_model_of_the_calls_needs_a_call_to_learn_from(spark, training):
+    names = ["x", "noise", "confidence"]
+    side = F.when(F.col("x") > 0, "BUY").otherwise("NO_TRADE")
+    scored = training.withColumns({"call": side, "confidence": F.lit(0.9)})
+    assert ml.train_meta(scored.where("call = 'NO_TRADE'"), names, 2) is None
+    none = ml.meta_filter(scored, None, names, 0.35, 0.4)
+    some = ml.meta_filter(scored, ml.train_meta(scored, names, 2), names, 0.35, 0.4)
+    assert none.count() == 0 and none.columns == some.columns and some.where("x > 0.5").count() == training.where("x > 0.5").count()
+
+
 def test_external_models_score_in_batches_and_missing_features_are_zero(spark, training):
     soft = ml.Softmax(np.array([[1.0, 0.0], [0.0, 0.0], [-1.0, 0.0]]), np.zeros(3))
     odd = training.limit(3).withColumn("x", F.when(F.minute("open_time") == 0, None).when(F.minute("open_time") == 1, float("inf")).otherwise(2.0))

@@ -277,17 +277,19 @@ def walk_forward(ds: DataFrame, names: Sequence[str], trees: int = 100, k: int =
     return summaries.walk_forward_summary(scores.where("accuracy IS NOT NULL"))
 
 
-def train_meta(held_out: DataFrame, names: Sequence[str], rounds: int = 20):
-    """A binary model of whether a directional call is right, on rows the first model has not seen."""
+def train_meta(held_out: DataFrame, names: Sequence[str], rounds: int = 20) -> GBTClassificationModel | None:
+    """A binary model of whether a directional call is right, on rows the first model has not seen; None if it calls no direction there."""
     meta = summaries.meta_labels(held_out)
     held, df = _kept(selector(names).transform(meta.withColumns({"label": F.col("meta_label").cast("double"), "weight": F.lit(1.0)})))
-    model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=42).fit(df)  # each round reads its rows, which a model has scored
+    model = None if held.isEmpty() else GBTClassifier(maxIter=rounds, maxDepth=3, seed=42).fit(df)  # each round reads its rows, which a model has scored
     held.unpersist()
     return model
 
 
-def meta_filter(scored: DataFrame, model, names: Sequence[str], threshold: float, meta_threshold: float) -> DataFrame:
-    """Directional calls that clear both thresholds, with ``meta_p``."""
+def meta_filter(scored: DataFrame, model: GBTClassificationModel | None, names: Sequence[str], threshold: float, meta_threshold: float) -> DataFrame:
+    """Directional calls that clear both thresholds, with ``meta_p``; without a model none has one to clear them with."""
     calls = scored.where((F.col("call") != "NO_TRADE") & (F.col("confidence") >= threshold))
+    if model is None:
+        return calls.withColumn("meta_p", F.lit(None).cast("double")).where("meta_p IS NOT NULL")
     out = model.transform(selector(names).transform(calls)).withColumn("meta_p", F.get(vector_to_array("probability"), F.lit(1)))
     return out.where(F.col("meta_p") >= meta_threshold).drop("features", "rawPrediction", "probability", "prediction")
