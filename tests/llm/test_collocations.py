@@ -2,13 +2,15 @@
 
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
 from tidemark.llm import collocations as c
-from tidemark.llm.count_automaton import Automaton, numbered, summed
-from tidemark.llm.shared import table
+from tidemark.llm.count_automaton import Automaton, Known, numbered, summed
+from tidemark.llm.shared import shared_dir, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -103,3 +105,30 @@ def test_collocations_of_the_documents(spark):
     rows = [tuple(r) for r in docs.select("lang", "text").collect()]
     assert rows_of(c.op11(spark, sf)) == brute(rows, 100)
     assert rows_of(c.best(c.collocations(docs, c.Setup(range_windows=2000, fan=4)))) == brute(rows, 100)
+
+
+def test_no_shard_is_kept_whole(spark):
+    """Next to the text only what is counted often stays in the shared folder; nothing of rare words is cut out for the ranges."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(400)])
+    texts = [" ".join(words[rng.integers(0, 400, 4000)]) for _ in range(30)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    shared = Path(urlparse(shared_dir(spark)).path)
+    before = set(shared.rglob("*.parquet"))
+    got = rows_of(c.best(c.collocations(docs, c.Setup(least=250, range_windows=20_000))))
+    assert got == brute([("en", t) for t in texts], 250)
+    assert sum(p.stat().st_size for p in set(shared.rglob("*.parquet")) - before if p.is_file()) < 0.2 * sum(map(len, texts))
+
+
+def test_rare_words_end_a_piece_and_known_words_are_named_by_place(spark):
+    docs = spark.createDataFrame([("en", "a b rare c a b"), ("en", "a b")], "lang string, text string")
+    setup = c.Setup(least=3)
+    often = c.often_of(c.scan(docs, setup), setup)
+    shard = c.Shard("en", often, setup)
+    assert not list(shard.add(c.tokens_of(b"a b rare c a b")))
+    phrases = shard.end()
+    assert dict(zip(phrases.named(), phrases.counts.tolist())) == {b"a b": 2, b"b": 2}
+    known = Known([b"a", b"z"])
+    data = Automaton.of(phrases).to_bytes(known)
+    again = Automaton.from_bytes(data, known).phrases()
+    assert again.named() == phrases.named() and again.counts.tolist() == phrases.counts.tolist()

@@ -1,10 +1,13 @@
 """Phrase collocations from weighted automata of word n-grams.
 
+0. Scan. The words' counts are added up in buckets of their hashes. A phrase that holds a word of a bucket below ``least`` is
+   too rare to be a candidate or part of one, so such words end a piece from there on; a bucket that rare words share lets them
+   pass, which costs room only. Windows sampled by the way give the bounds of the ranges, and the words that shards name by a number.
 1. Shards. A task numbers the words of its texts and sorts, for each word, the words from there to the end of its piece,
    five at most. Every phrase is the beginning of such a window, so an automaton of sorted windows counts all phrases of one to
    five words in the weights of its states. A shard has a bounded number of words, however long its texts are.
 2. Union by prefix range. Ranges of windows hold about equally many each, so that a word or pair that starts a
-   large share of all windows is divided too. Shard automata are cut at the ranges' bounds and added up, over several
+   large share of all windows is divided too. Shards are cut at the ranges' bounds as they are made, no whole one is kept, and added up, over several
    rounds where there are more than ``fan`` ranges, each round into ``fan`` times finer ranges. Phrases that reach over a bound lie on
    the first or last path of their range; only these are added up across ranges.
 3. Composition. The phrases counted often enough are far fewer; each range asks for the parts of its own, every part
@@ -20,26 +23,29 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.count_automaton import Automaton, Phrases, counted, numbered, summed
+from tidemark.llm.count_automaton import NONE_KNOWN, Automaton, Known, Phrases, counted, numbered, summed
 from tidemark.llm.shared import stored, table
 
 # A-Z in lower case, a tab as a space, and the marks that end a piece as a byte that UTF-8 does not have.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * 10)
 BREAK = b"\xff"
-SHARDS = "lang string, shard long, n long, windows long, automaton binary, sample array<binary>"
+SCAN = "lang string, number long, f long, window binary"  # a bucket and its count, or a sample's number and window
 CUT = "lang string, range long, shard long, automaton binary"
 COUNTS = "lang string, range long, phrase binary, f long, edge boolean"
 ASKED = "lang string, range long, source long, automaton binary"
 CANDIDATES = "lang string, phrase string, a long, l long, r long, n long, score long"
 SAMPLES = 1 << 17  # most sampled windows that the ranges' bounds are chosen from; they decide the balance of tasks only
+BUCKET_BITS = 25  # of a word's hash; a bit for each bucket goes to all tasks, 4 MB in all
+HELD = 1 << 18  # words that a task counts before it passes the counts on
 
 Bounds = dict[str, list[tuple[bytes, ...]]]
 
@@ -55,15 +61,40 @@ class Setup:
     range_windows: int = 1 << 20
     fan: int = 256
 
+    @property
+    def every(self) -> int:
+        """The tokens from one sampled window to the next."""
+        return max(1, self.range_windows >> 9)
+
+
+def bucket(lang: str, word: bytes) -> int:
+    return zlib.crc32(word, zlib.crc32(lang.encode())) >> (32 - BUCKET_BITS)
+
 
 class Numbers(dict):
-    """Words by number in order of appearance; a break is 0."""
+    """Words by number in order of appearance; a break is 0, and so are words of buckets that occur too rarely."""
+
+    def __init__(self, lang: str, often: bytes):
+        super().__init__({BREAK: 0})
+        self.lang, self.often, self.words = lang, often, []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
+        at = bucket(self.lang, word)
+        if self.often[at >> 3] >> (at & 7) & 1:
+            self.words.append(word)
+            self[word] = n = len(self.words)
+        else:
+            self[word] = n = 0
         return n
 
 
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words and breaks, one at the end too."""
+    tokens = text.translate(FOLD).replace(BREAK, b" \xff ").split()
+    tokens.append(BREAK)
+    return tokens
+
+
 def windows(x: np.ndarray, starts: int, longest: int) -> np.ndarray:
     """The words from each of the first ``starts`` places on, none after a break."""
     padded = np.r_[x, np.zeros(longest, x.dtype)]
@@ -76,10 +107,11 @@ def windows(x: np.ndarray, starts: int, longest: int) -> np.ndarray:
 class Shard:
     """Texts of one lang, up to a number of words."""
 
-    def __init__(self, setup: Setup):
-        self.setup, self.number, self.parts, self.size = setup, Numbers({BREAK: 0}), [], 0
+    def __init__(self, lang: str, often: bytes, setup: Setup):
+        self.lang, self.often, self.setup = lang, often, setup
+        self.number, self.parts, self.size = Numbers(lang, often), [], 0
 
-    def add(self, tokens: list[bytes]) -> Iterator[tuple[int, int, bytes, list[bytes]]]:
+    def add(self, tokens: list[bytes]) -> Iterator[Phrases]:
         """Takes a text's tokens; a text too long is divided, its windows reaching into the next part."""
         at, step, reach = 0, self.setup.shard_words, self.setup.longest - 1
         while at < len(tokens):
@@ -91,77 +123,109 @@ class Shard:
             if self.size >= step:
                 yield self.end()
 
-    def end(self) -> tuple[int, int, bytes, list[bytes]]:
-        """Words, windows, automaton and a sample of the windows; the shard is empty again."""
-        names = [w for w in self.number if w != BREAK]
+    def end(self) -> Phrases:
+        """The windows; the shard is empty again."""
+        names = self.number.words
         words = sorted(names)
         place = {w: k for k, w in enumerate(words, 1)}
         rank = np.array([0, *(place[w] for w in names)], np.int32)
         rows = np.concatenate([windows(rank[x], n, self.setup.longest) for x, n in self.parts])
-        n = len(rows)
-        phrases = Phrases(words, *counted(rows, np.ones(n, np.int64), len(words)))
-        automaton = Automaton.of(phrases).to_bytes()
-        # Shards are alike, so each takes its sample at places of its own; else all bounds would lie together.
-        some = np.arange(0, len(phrases.rows), 1 << 13)
-        some = np.minimum(some + np.random.default_rng(zlib.crc32(automaton)).integers(0, 1 << 13, len(some)), len(phrases.rows) - 1)
-        sample = Phrases(words, phrases.rows[some], phrases.counts[some]).named()
-        self.number, self.parts, self.size = Numbers({BREAK: 0}), [], 0
-        return n, len(phrases.rows), automaton, sample
+        self.number, self.parts, self.size = Numbers(self.lang, self.often), [], 0
+        return Phrases(words, *counted(rows, np.ones(len(rows), np.int64), len(words)))
 
 
-def count_shards(documents: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """The automata of the documents' windows, some per task and lang."""
+@dataclass
+class Seen:
+    """What a task has counted of one lang since it last passed counts on, and the tokens before its next sample."""
+
+    left: int
+    counts: Counter[bytes] = field(default_factory=Counter)
+
+
+def texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+
+
+def scan(documents: DataFrame, setup: Setup) -> DataFrame:
+    """Counts of the words' buckets, several of a bucket, and a window for each of some places."""
+    every = setup.every
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId() << 32
-        open_: dict[str, Shard] = {}
+        task = TaskContext.get().partitionId()
+        number, since = task << 32, 0
+        langs: dict[str, Seen] = {}
         rows: list[tuple] = []
 
         def made() -> pd.DataFrame:
-            nonlocal shard
-            out = pd.DataFrame([(lang, shard + k, *r) for k, (lang, r) in enumerate(rows)], columns=["lang", "shard", "n", "windows", "automaton", "sample"])
-            shard += len(rows)
+            for lang, seen in langs.items():
+                seen.counts.pop(BREAK, None)
+                rows.extend((lang, bucket(lang, word), f, None) for word, f in seen.counts.items())
+                seen.counts.clear()
+            out = pd.DataFrame(rows, columns=["lang", "number", "f", "window"])
             rows.clear()
             return out
 
         for batch in batches:
             for lang, text in zip(batch["lang"].tolist(), batch["text"].tolist()):
                 if text:
-                    tokens = text.encode().translate(FOLD).replace(BREAK, b" \xff ").split()
-                    tokens.append(BREAK)
-                    one = open_.setdefault(lang, Shard(setup))
-                    for r in one.add(tokens):
-                        rows.append((lang, r))
-                        yield made()
-        rows += [(lang, one.end()) for lang, one in open_.items() if one.size]
-        if rows:
-            yield made()
-
-    return documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInPandas(run, SHARDS)
-
-
-def bounds_of(shards: DataFrame, setup: Setup) -> tuple[Bounds, int]:
-    """By lang, the first window of each range but the first; and the most ranges of a lang.
+                    tokens = tokens_of(text)
+                    # Tasks are alike, so each takes its sample at places of its own; else all bounds would lie together.
+                    seen = langs.get(lang) or langs.setdefault(lang, Seen(zlib.crc32(f"{task} {lang}".encode()) % every))
+                    seen.counts.update(tokens)
+                    for at in range(seen.left, len(tokens), every):
+                        window = tokens[at : at + setup.longest]
+                        window = window[: window.index(BREAK)] if BREAK in window else window
+                        if window:
+                            rows.append((lang, number, 0, b" ".join(window)))
+                            number += 1
+                    seen.left = (seen.left - len(tokens)) % every
+                    since += len(tokens)
+                    if since > HELD:
+                        since = 0
+                        if len(rows) + sum(len(x.counts) for x in langs.values()) > HELD:
+                            yield made()
+        yield made()
+
+    return texts_of(documents).mapInPandas(run, SCAN)
+
+
+def often_of(scanned: DataFrame, setup: Setup) -> bytes:
+    """A bit for each bucket that occurs ``least`` times."""
+    held = scanned.where("window IS NULL").groupBy("number").agg(F.sum("f").alias("f")).where(F.col("f") >= setup.least).select(F.col("number") + 1)
+    held = held.toDF("number").groupBy(F.bitmap_bucket_number("number").alias("part"))
+    out = bytearray(1 << (BUCKET_BITS - 3))
+    for r in held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")).collect():
+        out[(r["part"] - 1) * len(r["bits"]) : r["part"] * len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+def bounds_of(scanned: DataFrame, totals: DataFrame, often: bytes, setup: Setup) -> tuple[Bounds, dict[str, Known]]:
+    """By lang, the first window of each range but the first; and the words met in the samples.
 
     Only langs that fill more than one range have bounds, so what comes to the driver follows the number of ranges.
     """
-    totals = shards.groupBy("lang").agg(F.sum("windows").alias("windows")).where(F.col("windows") > setup.range_windows)
-    ranges = {r["lang"]: -(-r["windows"] // setup.range_windows) for r in totals.collect()}
-    if not ranges:
-        return {}, 1
-    large = shards.join(F.broadcast(totals.select("lang")) if len(ranges) < 1000 else totals.select("lang"), "lang", "left_semi")
-    samples = large.select("lang", "shard", F.posexplode("sample").alias("k", "phrase")).select("lang", "phrase", F.xxhash64("shard", "k").alias("h"))
+    large = totals.where(F.col("n") > setup.range_windows).select("lang")
+    count = large.count()
+    if not count:
+        return {}, {}
+    samples = scanned.where("window IS NOT NULL").join(F.broadcast(large) if count < 1000 else large, "lang", "left_semi")
     thin = max(1, -(-samples.count() // SAMPLES))
     by_lang: dict[str, list[tuple[bytes, ...]]] = {}
-    for r in samples.where(F.pmod("h", F.lit(thin)) == 0).select("lang", "phrase").collect():
-        by_lang.setdefault(r["lang"], []).append(tuple(bytes(r["phrase"]).split(b" ")))
+    numbers: dict[str, Numbers] = {}
+    for r in samples.where(F.pmod(F.xxhash64("number"), F.lit(thin)) == 0).select("lang", "window").collect():
+        number = numbers.setdefault(r["lang"], Numbers(r["lang"], often))
+        words = bytes(r["window"]).split(b" ")
+        window = tuple(words[: [*map(number.__getitem__, words), 0].index(0)])
+        if window:
+            by_lang.setdefault(r["lang"], []).append(window)
     out = {}
     for lang, got in by_lang.items():
         got.sort()
-        out[lang] = sorted({got[len(got) * k // ranges[lang]] for k in range(1, ranges[lang])})
-    return out, 1 + max(map(len, out.values()), default=0)
+        ranges = -(-len(got) * thin * setup.every // setup.range_windows)
+        out[lang] = sorted({got[len(got) * k // ranges] for k in range(1, ranges)})
+    return out, {lang: Known(sorted(number.words)) for lang, number in numbers.items()}
 
 
 def pieces_of(phrases: Phrases, bounds: list[tuple[bytes, ...]], width: int) -> Iterator[tuple[int, Phrases]]:
@@ -172,34 +236,51 @@ def pieces_of(phrases: Phrases, bounds: list[tuple[bytes, ...]], width: int) ->
             yield k, phrases.part(a, b)
 
 
-def _cut(lang: str, shard: int, phrases: Phrases, bounds: Bounds, width: int) -> pd.DataFrame:
-    rows = [(lang, k, shard, Automaton.of(p).to_bytes()) for k, p in pieces_of(phrases, bounds.get(lang, []), width)]
+def _cut(lang: str, shard: int, phrases: Phrases, bounds: Bounds, width: int, known: Known) -> pd.DataFrame:
+    rows = [(lang, k, shard, Automaton.of(p).to_bytes(known)) for k, p in pieces_of(phrases, bounds.get(lang, []), width)]
     return pd.DataFrame(rows, columns=["lang", "range", "shard", "automaton"])
 
 
-def _read(automata) -> list[Phrases]:
-    return [Automaton.from_bytes(a).phrases() for a in automata]
+def _read(automata, known: Known) -> list[Phrases]:
+    return [Automaton.from_bytes(a, known).phrases() for a in automata]
 
 
-def count_ranges(shards: DataFrame, bounds: Bounds, most: int, setup: Setup) -> DataFrame:
+def count_ranges(documents: DataFrame, often: bytes, bounds: Bounds, known: dict[str, Known], setup: Setup) -> DataFrame:
     """Phrases by range: those that occur ``least`` times, and with ``edge`` those that may occur in other ranges too."""
-    width = 1
+    width, most = 1, 1 + max(map(len, bounds.values()), default=0)
     while width * setup.fan < most:
         width *= setup.fan
+    held = documents.sparkSession.sparkContext.broadcast((often, known))
+
+    def known_of(lang: str) -> Known:
+        return held.value[1].get(lang, NONE_KNOWN)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
+        open_: dict[str, Shard] = {}
         for batch in batches:
-            for lang, shard, automaton in zip(batch["lang"], batch["shard"], batch["automaton"]):
-                yield _cut(lang, shard, _read([automaton])[0], bounds, first)
+            for lang, text in zip(batch["lang"].tolist(), batch["text"].tolist()):
+                if text:
+                    one = open_.get(lang) or open_.setdefault(lang, Shard(lang, held.value[0], setup))
+                    for phrases in one.add(tokens_of(text)):
+                        yield _cut(lang, shard, phrases, bounds, first, known_of(lang))
+                        shard += 1
+        for lang, one in open_.items():
+            if one.size:
+                yield _cut(lang, shard, one.end(), bounds, first, known_of(lang))
+                shard += 1
 
     def finer(step: int):
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            return _cut(key[0], int(group["shard"].min()), summed(_read(group["automaton"])), bounds, step)
+            of = known_of(key[0])
+            return _cut(key[0], int(group["shard"].min()), summed(_read(group["automaton"], of)), bounds, step, of)
 
         return run
 
     def union(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        phrases = summed(_read(group["automaton"]))
+        phrases = summed(_read(group["automaton"], known_of(key[0])))
         rows, weight = Automaton.of(phrases).states()
         edge = np.zeros(len(rows), bool)
         if bounds.get(key[0]):
@@ -210,7 +291,7 @@ def count_ranges(shards: DataFrame, bounds: Bounds, most: int, setup: Setup) ->
         return pd.DataFrame({"lang": key[0], "range": key[1], "phrase": named, "f": weight[kept], "edge": edge[kept]})
 
     first = width
-    parts = shards.select("lang", "shard", "automaton").mapInPandas(cut, CUT)
+    parts = texts_of(documents).mapInPandas(cut, CUT)
     while width > 1:
         batch = F.pmod(F.xxhash64("shard"), F.lit(width)).alias("batch")
         parts = parts.groupBy("lang", "range", batch).applyInPandas(finer(width // setup.fan), CUT)
@@ -220,9 +301,11 @@ def count_ranges(shards: DataFrame, bounds: Bounds, most: int, setup: Setup) ->
 
 def frequent_phrases(documents: DataFrame, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame, Bounds]:
     """(lang, range, phrase, f) of all phrases with f of ``least`` or more, (lang, n), and the ranges' bounds."""
-    shards = stored(count_shards(documents, setup), "shards")
-    bounds, most = bounds_of(shards, setup)
-    counts = stored(count_ranges(shards, bounds, most, setup), "counts")
+    scanned = stored(scan(documents, setup), "scanned")
+    totals = scanned.groupBy("lang").agg(F.sum("f").alias("n"))
+    often = often_of(scanned, setup)
+    bounds, known = bounds_of(scanned, totals, often, setup)
+    counts = stored(count_ranges(documents, often, bounds, known, setup), "counts")
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -232,7 +315,7 @@ def frequent_phrases(documents: DataFrame, setup: Setup = Setup()) -> tuple[Data
     over = counts.where("edge").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= setup.least)
     over = over.mapInPandas(routed, "lang string, range long, phrase binary, f long")
     frequent = counts.where("not edge").select("lang", "range", "phrase", "f").unionByName(over)
-    return stored(frequent, "frequent"), shards.groupBy("lang").agg(F.sum("n").alias("n")), bounds
+    return stored(frequent, "frequent"), totals, bounds
 
 
 def _range(bounds: Bounds, lang: str, phrase: bytes) -> int:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import zstandard
@@ -91,6 +92,30 @@ def summed(parts: list[Phrases]) -> Phrases:
     return Phrases(words, *counted(np.concatenate(rows), np.concatenate([p.counts for p in parts]), len(words)))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: numbers that are small mostly take less room so when compressed."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
+@dataclass
+class Known:
+    """Words in order that an automaton's bytes may name by their place; the others are spelled out."""
+
+    words: list[bytes] = field(default_factory=list)
+
+    @cached_property
+    def place(self) -> dict[bytes, int]:
+        return {w: k for k, w in enumerate(self.words)}
+
+
+NONE_KNOWN = Known()
+
+
 @dataclass
 class Automaton:
     """By depth, the word into each state, the state that it comes from, and its weight; states are in order."""
@@ -184,24 +209,29 @@ class Automaton:
             out[over] = weight[met[over]]
         return out
 
-    def to_bytes(self) -> bytes:
-        names = b"\xff".join(self.words)
-        parts = [np.array([len(self.word), len(self.words), len(names), *map(len, self.word)], "<i8").tobytes(), names]
+    def to_bytes(self, known: Known = NONE_KNOWN) -> bytes:
+        held = np.array([k for w in self.words if (k := known.place.get(w)) is not None], np.int64)
+        rest = [w for w in self.words if w not in known.place] if len(held) < len(self.words) else []
+        names = b"\xff".join(rest)
+        parts = [np.array([len(self.word), len(held), len(rest), len(names), *map(len, self.word)], "<i8").tobytes(), names, planes(np.diff(held, prepend=0).astype("<u4"))]
         for word, parent, weight in zip(self.word, self.parent, self.weight):
-            parts += [word.astype("<u4").tobytes(), np.diff(parent, prepend=0).astype("<u4").tobytes(), weight.astype("<i8").tobytes()]
+            parts += [planes(word.astype("<u4")), planes(np.diff(parent, prepend=0).astype("<u4")), planes(weight.astype("<i8"))]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Automaton:
+    def from_bytes(cls, data: bytes, known: Known = NONE_KNOWN) -> Automaton:
         data = zstandard.ZstdDecompressor().decompress(data)
-        depth, words, size = np.frombuffer(data, "<i8", 3).tolist()
-        states = np.frombuffer(data, "<i8", depth, 24).tolist()
-        at = 24 + 8 * depth
-        out = cls(data[at : at + size].split(b"\xff") if words else [], [], [], [])
+        depth, held, rest, size = np.frombuffer(data, "<i8", 4).tolist()
+        states = np.frombuffer(data, "<i8", depth, 32).tolist()
+        at = 32 + 8 * depth
+        words = data[at : at + size].split(b"\xff") if rest else []
         at += size
+        words += [known.words[k] for k in np.cumsum(unplaned(data, "<u4", held, at).astype(np.int64)).tolist()]
+        at += 4 * held
+        out = cls(sorted(words), [], [], [])
         for n in states:
-            out.word.append(np.frombuffer(data, "<u4", n, at).astype(np.int32))
-            out.parent.append(np.cumsum(np.frombuffer(data, "<u4", n, at + 4 * n).astype(np.int64)))
-            out.weight.append(np.frombuffer(data, "<i8", n, at + 8 * n))
+            out.word.append(unplaned(data, "<u4", n, at).astype(np.int32))
+            out.parent.append(np.cumsum(unplaned(data, "<u4", n, at + 4 * n).astype(np.int64)))
+            out.weight.append(unplaned(data, "<i8", n, at + 8 * n))
             at += 16 * n
         return out
